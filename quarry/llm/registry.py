@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import fingerprints, language, licenses, mixing, quality
+from quarry.llm import decontaminate, fingerprints, jaccard, language, licenses, lines, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op2_license_scan": licenses.op2_license_scan,
+        "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
+        "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op7_language_id": language.op7_language_id,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_quality": quality.op10_quality,
