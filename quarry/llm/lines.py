@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bitmap, in_bitmap, mix, slices, spill, table
 from quarry.llm.jaccard import WORDS, all_shingles
 from quarry.llm.setjoin import candidates, links, met, needed, prefix_size, ranked, rarity, tasks
-from quarry.llm.tokens import grams, word_hashes
+from quarry.llm.tokens import compact, grams, word_hashes
 
 _LAST = (1 << 63) - 1
 _PREFIX = np.array([prefix_size(n) for n in range(4096)])
@@ -39,7 +39,7 @@ class Lines:
     """The token sets of all lines of a batch of texts, in flat arrays."""
 
     def __init__(self, texts: pa.Array, rare: np.ndarray):
-        split = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
+        split = pc.split_pattern(compact(texts), "\n")
         bounds = split.offsets.to_numpy().astype(np.int64)
         flat = split.values.slice(bounds[0], bounds[-1] - bounds[0])
         per_text = np.diff(bounds)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, fingerprints, jaccard, language, licenses, lines, mixing, quality
+from quarry.llm import decontaminate, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
+        "op4_lm_scores": ngram_lm.op4_lm_scores,
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_language_id": language.op7_language_id,
+        "op8_html_extraction": html.op8_html_extraction,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -12,26 +12,33 @@ from quarry.llm.common import mix
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Lower-cases A-Z.
+_LOWER = bytes(range(256)).lower()
 #: Lower-cases A-Z and makes every other ASCII character but letters and digits a blank.
 _PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
-def plain(texts: pa.Array) -> pa.Array:
-    """Lower-cased texts with blanks for ASCII punctuation, of the same lengths."""
+def compact(texts: pa.Array, table: bytes | None = None) -> pa.Array:
+    """The texts in buffers of their own that start at 0, null as empty, with each byte
+    replaced by ``table``. (Arrow's own kernels misread the buffers of some slices.)"""
     texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or texts.buffers()[2] is None:
-        return texts
-    data = bytes(memoryview(texts.buffers()[2])[int(offsets[0]) : int(offsets[-1])]).translate(_PLAIN)
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data))
+        return pa.array([""] * len(texts), pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(memoryview(texts.buffers()[2])[int(offsets[0]) : int(offsets[-1])])
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data.translate(table)))
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts with blanks for ASCII punctuation, of the same lengths."""
+    return compact(texts, _PLAIN)
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets of each text's words, index of each word in the dictionary, dictionary).
 
     A-Z are lower-cased and words are runs without the six ASCII blanks; null is empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(compact(texts, _LOWER))
     offsets = split.offsets.to_numpy().astype(np.int64)
     flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
