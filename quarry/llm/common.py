@@ -43,6 +43,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python workers at most ``rows`` rows at once: long texts add up in both processes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -93,3 +100,15 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     keys = keys.astype(np.int64)
     shift = ((keys >> 17) % 64).astype(np.uint64)
     return (bits[keys % BITMAP_WORDS] >> shift) & np.uint64(1) == 1
+
+
+def pack(array: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)

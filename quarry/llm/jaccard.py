@@ -17,26 +17,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bitmap, in_bitmap, mix, slices, spill, table
+from quarry.llm.common import bitmap, in_bitmap, mix, slices, small_batches, spill, table
 from quarry.llm.components import components
-from quarry.llm.setjoin import candidates, distinct, links, met, prefix_size, ranked, rarity, signature, tasks
-from quarry.llm.tokens import grams, shingle_sets, word_hashes
+from quarry.llm.setjoin import candidates, first_number, links, met, prefix_size, signature, spare, tasks
+from quarry.llm.tokens import shingle_sets
 
 WORDS = 5
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
 
 
-def all_shingles(texts: pa.Array) -> np.ndarray:
-    """Every full shingle of a batch (those across two texts only add noise to the counts)."""
-    return grams(word_hashes(texts)[1], WORDS)
-
-
 def divide_skip(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (pairs of numbers of ``sets``) that connect whatever is connected."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -76,37 +70,39 @@ def divide_skip(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rid")
-    ids = rows["rid"].to_numpy(dtype=np.int64)
-    pairs = divide_skip([np.frombuffer(x, dtype=np.uint64) for x in rows["keys"]])
-    return pd.DataFrame({"a": [ids[x] for x, _ in pairs], "b": [ids[x] for _, x in pairs]}, dtype="int64")
+def _verify(rows: list[tuple]) -> list[tuple]:
+    rows.sort(key=lambda r: r[:3])
+    pairs = divide_skip([np.frombuffer(r[3], dtype=np.uint64) for r in rows])
+    return [(rows[x][0], rows[y][0]) for x, y in pairs]
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rare = rarity(rows.select("text"), all_shingles)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        rid = first_number()
         for batch in slices(batches):
             out = []
             for doc_id, keys in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), WORDS), strict=True):
-                keys = distinct(ranked(keys, rare))
                 node, check = signature(keys)
                 first = doc_id is not None and len(keys) and (node, check) not in seen
                 if first:
                     seen.add((node, check))
-                out.append((doc_id, len(keys), node, check, keys[: prefix_size(len(keys))].tobytes() if first else None))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n", "node", "check", "prefix"])
+                size = int(prefix_size(len(keys)) + spare(len(keys)))
+                out.append((rid, doc_id, len(keys), node, check, keys[:size].tobytes() if first else None))
+                rid += 1
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["rid", "doc_id", "n", "node", "check", "prefix"])
 
-    described = spill(rows.mapInArrow(describe, "doc_id long, n long, node long, check long, prefix binary"), "shingles")
+    described = spill(rows.mapInArrow(describe, "rid long, doc_id long, n long, node long, check long, prefix binary"), "shingles")
     near = candidates(described)
-    records = described.filter("n > 0 and doc_id is not null").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rid"))
-    records = spill(records, "records")
-    assigned = spill(tasks(records.join(near.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_")).select("component", "n", "node", "check", "rid")), "assigned")
+    classes = described.filter("n > 0 and doc_id is not null").groupBy("node", "check", "n").agg(F.min("doc_id").alias("first"))
+    classes = spill(classes, "classes")
+    placed = described.join(near.withColumnRenamed("node", "rid"), "rid").groupBy("node", "check").agg(F.min("component").alias("component"))
+    assigned = spill(tasks(classes.join(placed, ["node", "check"])), "assigned")
     bits = _id_bits(assigned)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,24 +111,25 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = np.flatnonzero(in_bitmap(bits, mix(ids.astype(np.uint64)).view(np.int64)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
             if not len(keep):
                 continue
-            keys = [distinct(ranked(x, rare)) for x in shingle_sets(batch.column(1).take(pa.array(keep)), WORDS)]
+            keys = shingle_sets(batch.column(1).take(pa.array(keep)), WORDS)
             marks = [signature(x) for x in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[keep]), pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary())],
-                names=["rid", "node", "check", "keys"],
+                names=["first", "node", "check", "keys"],
             )
 
-    sets = rows.mapInArrow(full, "rid long, node long, check long, keys binary").dropDuplicates(["rid", "node", "check"])
-    pairs = met(assigned, sets, ["rid", "node", "check"], _verify, "a long, b long")
+    key = ["first", "node", "check"]
+    sets = rows.mapInArrow(full, "first long, node long, check long, keys binary")
+    pairs = met(assigned, sets, key, key, _verify, "a long, b long")
     joined = components(pairs)
-    own = records.join(joined.withColumnRenamed("node", "rid"), "rid", "left").select("node", "check", F.coalesce("component", "rid").alias("class_id"))
+    own = classes.join(joined.withColumnRenamed("node", "first"), "first", "left").select("node", "check", F.coalesce("component", "first").alias("class_id"))
     out = described.join(own, ["node", "check"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"))
 
 
 def _id_bits(assigned: DataFrame) -> np.ndarray:
     """A bitmap of the record ids, under the hash that tasks use too."""
-    return bitmap(assigned.select("rid").distinct().mapInArrow(_mixed, "k long"), "k")
+    return bitmap(assigned.select("first").distinct().mapInArrow(_mixed, "k long"), "k")
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,8 @@
 A line's tokens are its five-word shingles (the whole of a shorter line is one token), so
 that a rare token says more than a rare word would: with single words the prefixes of
 unrelated lines meet so often that candidates grow with the square of the corpus. Tokens
-are ordered by rarity; ``setjoin`` finds the lines whose prefixes share a token at sizes
-that allow a link, and each task joins its lines by PPJoin: prefix index, length filter,
+are ordered by rarity (the length of their lists); ``setjoin`` finds the lines whose
+prefixes share a token at sizes that allow a link, and each task joins its lines by PPJoin: prefix index, length filter,
 positional filter, then the exact Jaccard similarity, 0.8 or more.
 
 A line is removed if an earlier line, by (doc_id, line number), is equal in tokens or
@@ -20,49 +20,63 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bitmap, in_bitmap, mix, slices, spill, table
-from quarry.llm.jaccard import WORDS, all_shingles
-from quarry.llm.setjoin import candidates, links, met, needed, prefix_size, ranked, rarity, tasks
+from quarry.llm.common import bitmap, in_bitmap, mix, slices, small_batches, spill, table
+from quarry.llm.jaccard import WORDS
+from quarry.llm.setjoin import candidates, first_number, links, met, needed, prefix_size, spare, tasks
 from quarry.llm.tokens import compact, grams, word_hashes
 
 _LAST = (1 << 63) - 1
-_PREFIX = np.array([prefix_size(n) for n in range(4096)])
+#: Spare prefix tokens, in eighths of the least overlap: lines are short and share little by chance.
+EIGHTHS = 1
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(all lines, the number of each one's text, its number in the text)."""
+    split = pc.split_pattern(compact(texts), "\n")
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    per_text = np.diff(bounds)
+    lines = split.values.slice(bounds[0], bounds[-1] - bounds[0])
+    return lines, np.repeat(np.arange(len(texts)), per_text), np.arange(len(lines)) - np.repeat(bounds[:-1] - bounds[0], per_text)
+
+
+def place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A hash of (document, line number), the same in all tasks."""
+    with np.errstate(over="ignore"):
+        return mix(mix(doc.astype(np.uint64)) + number.astype(np.uint64)).view(np.int64)
 
 
 class Lines:
-    """The token sets of all lines of a batch of texts, in flat arrays."""
-
-    def __init__(self, texts: pa.Array, rare: np.ndarray):
-        split = pc.split_pattern(compact(texts), "\n")
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        flat = split.values.slice(bounds[0], bounds[-1] - bounds[0])
-        per_text = np.diff(bounds)
-        self.text = np.repeat(np.arange(len(texts)), per_text)
-        self.number = np.arange(len(flat)) - np.repeat(bounds[:-1] - bounds[0], per_text)
+    """The token sets of an array of lines, in flat arrays."""
+
+    def __init__(self, flat: pa.Array):
         offsets, hashes = word_hashes(flat)
         many = np.diff(offsets)
-        line_of = np.repeat(np.arange(len(flat)), many)
-        hashes_from = grams(hashes, WORDS)
-        inside = line_of[: len(hashes_from)] == line_of[WORDS - 1 :] if len(hashes_from) else np.zeros(0, bool)
-        keys, owner = [hashes_from[inside]], [line_of[: len(hashes_from)][inside]]
+        count = np.where(many >= WORDS, many - WORDS + 1, many > 0)
+        ends = np.cumsum(count)
+        begin = ends - count
+        key = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
         for size in range(1, WORDS):
             short = np.flatnonzero(many == size)
             if len(short):
-                keys.append(grams(hashes, size)[offsets[short]])
-                owner.append(short)
-        key, line = ranked(np.concatenate(keys), rare), np.concatenate(owner)
-        order = np.lexsort((key, line))
-        key, line = key[order], line[order]
+                key[begin[short]] = grams(hashes, size)[offsets[short]]
+        windows = grams(hashes, WORDS)
+        order = np.argsort(many, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(many[order])) + 1):  # lines of as many words
+            n = int(many[rows[0]]) - WORDS + 1 if len(rows) else 0
+            if n > 0:
+                step = np.arange(n)
+                key[begin[rows][:, None] + step] = np.sort(windows[offsets[rows][:, None] + step], axis=1)
+        line = np.repeat(np.arange(len(flat)), count)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
         self.key, line = key[new], line[new]
-        self.lines, self.start = np.unique(line, return_index=True)  # lines with words
+        self.start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+        self.lines = line[self.start]  # lines with words
         self.size = np.diff(np.append(self.start, len(self.key)))
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -76,98 +90,114 @@ class Lines:
 
     def prefixes(self, wanted: np.ndarray) -> pa.Array:
         """The prefix of each line as bytes, null where not ``wanted``."""
-        size = np.where(wanted, np.where(self.size < len(_PREFIX), _PREFIX[np.minimum(self.size, len(_PREFIX) - 1)], self.size - -(-self.size * 80 // 100) + 1), 0)
+        size = np.where(wanted, prefix_size(self.size) + spare(self.size, EIGHTHS), 0)
         at = np.repeat(self.start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64) * 8
         valid = np.packbits(wanted, bitorder="little")
         return pa.Array.from_buffers(pa.large_binary(), len(size), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.key[at].tobytes())]).cast(pa.binary())
 
 
-def ppjoin(sets: list[np.ndarray], order: list) -> set[int]:
+def by_rarity(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets with tokens numbered by how many of the sets have them, rarest first."""
+    codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    return [np.sort(x) for x in np.split(rank[codes], np.cumsum([len(x) for x in sets])[:-1])]
+
+
+def ppjoin(sets: list[np.ndarray], order: list) -> list[int]:
     """Numbers of the sets that link to one that comes earlier in ``order``."""
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    later: set[int] = set()
-    for x in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-        n = len(sets[x])
-        met_: dict[int, int] = defaultdict(int)
-        prefix = sets[x][: prefix_size(n)].tolist()
-        for i, token in enumerate(prefix):
-            for y, j in index[token]:
-                m = len(sets[y])
-                if 100 * m < 80 * n or met_[y] < 0:
-                    continue
-                if met_[y] + 1 + min(n - i - 1, m - j - 1) >= needed(n, m):
-                    met_[y] += 1
-                else:
-                    met_[y] = -1
-        for y, count in met_.items():
-            last = x if order[x] > order[y] else y
-            if count > 0 and last not in later:
-                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if links(n, len(sets[y]), shared):
-                    later.add(last)
+    whole: list[frozenset[int]] = [frozenset(x.tolist()) for x in sets]
+    later: list[int] = []
+    for x in sorted(range(len(sets)), key=order.__getitem__):
+        n, seen = len(sets[x]), set()
+        prefix = sets[x][: int(prefix_size(n))].tolist()
+
+        def earlier(x: int = x, n: int = n, seen: set[int] = seen, prefix: list[int] = prefix) -> bool:
+            for i, token in enumerate(prefix):
+                for y, j in index[token]:
+                    if y in seen:
+                        continue
+                    seen.add(y)
+                    m = len(whole[y])
+                    if 100 * min(n, m) < 80 * max(n, m) or 1 + min(n - i - 1, m - j - 1) < needed(n, m):
+                        continue
+                    if links(n, m, len(whole[x] & whole[y])):
+                        return True
+            return False
+
+        if earlier():
+            later.append(x)
         for i, token in enumerate(prefix):
             index[token].append((x, i))
     return later
 
 
-def _verify(rows: pd.DataFrame) -> pd.DataFrame:
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["keys"]]
-    hit = sorted(ppjoin(sets, list(zip(rows["doc"], rows["line"], strict=True))))
-    return rows.iloc[hit][["node", "check"]]
+def _verify(rows: list[tuple]) -> list[tuple]:
+    sets = by_rarity([np.frombuffer(r[4], dtype=np.uint64) for r in rows])
+    return [rows[x][:2] for x in ppjoin(sets, [r[:2] for r in rows])]
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some.
     ``doc`` is the id, the greatest long for null."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
-    rare = rarity(rows.select("text"), all_shingles)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = first_number()
+        seen: set[tuple[int, int]] = set()  # sets that this task has posted
         for batch in slices(batches):
-            found = Lines(batch.column(1), rare)
+            lines, text, numbers = cut(batch.column(1))
+            found = Lines(lines)
             node, check = found.sums()
             first = np.zeros(len(node), bool)
-            first[np.unique(node, return_index=True)[1]] = True
-            doc = batch.column(0).to_numpy()[found.text[found.lines]]
-            number = found.number[found.lines].astype(np.int32)
+            for k, mark in enumerate(zip(node.tolist(), check.tolist(), strict=True)):
+                if mark not in seen:
+                    seen.add(mark)
+                    first[k] = True
+            doc = batch.column(0).to_numpy()[text[found.lines]]
+            number = numbers[found.lines].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(number), pa.array(found.size), pa.array(node), pa.array(check), found.prefixes(first)],
-                names=["doc", "line", "n", "node", "check", "prefix"],
+                [pa.array(rid + np.arange(len(doc))), pa.array(doc), pa.array(number), pa.array(found.size), pa.array(node), pa.array(check), found.prefixes(first)],
+                names=["rid", "doc", "line", "n", "node", "check", "prefix"],
             )
-
-    described = spill(rows.mapInArrow(describe, "doc long, line int, n long, node long, check long, prefix binary"), "lines")
-    near = candidates(described)
-    classes = described.groupBy("node", "check", "n").agg(F.min(F.struct("doc", "line")).alias("first"))
-    members = classes.join(near, "node").select("component", "n", "node", "check", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+            rid += len(doc)
+
+    described = spill(rows.mapInArrow(describe, "rid long, doc long, line int, n long, node long, check long, prefix binary"), "lines")
+    near = candidates(described, EIGHTHS)
+    classes = described.groupBy("node", "check", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
+    classes = spill(classes, "classes")
+    placed = described.join(near.withColumnRenamed("node", "rid"), "rid").groupBy("node", "check").agg(F.min("component").alias("component"))
+    members = classes.join(placed, ["node", "check"]).select("component", "n", "node", "check", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
     assigned = spill(tasks(members), "assigned")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().astype(np.uint64)).view(np.int64))], names=["k"])
+            yield pa.RecordBatch.from_arrays([pa.array(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["k"])
 
-    bits = bitmap(assigned.select("doc").distinct().mapInArrow(hashed, "k long"), "k")
-    nodes = bitmap(assigned.select("node"), "node")
+    bits = bitmap(assigned.select("doc", "line").mapInArrow(hashed, "k long"), "k")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = batch.column(0).to_numpy()
-            keep = pa.array(np.flatnonzero(in_bitmap(bits, mix(ids.astype(np.uint64)).view(np.int64))))
-            if not len(keep):
+            lines, text, numbers = cut(batch.column(1))
+            doc = batch.column(0).to_numpy()[text]
+            some = np.flatnonzero(in_bitmap(bits, place_hash(doc, numbers)))
+            if not len(some):
                 continue
-            found = Lines(batch.column(1).take(keep), rare)
+            found = Lines(lines.take(pa.array(some)))
             node, check = found.sums()
-            doc = ids[keep.to_numpy()][found.text[found.lines]]
-            some = np.flatnonzero(in_bitmap(nodes, node))
-            keys = [found.key[found.start[k] : found.start[k] + found.size[k]].tobytes() for k in some]
-            number = found.number[found.lines].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(number[some]), pa.array(node[some]), pa.array(check[some]), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
+            keys = [found.key[a : a + n].tobytes() for a, n in zip(found.start.tolist(), found.size.tolist(), strict=True)]
+            at = some[found.lines]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(numbers[at].astype(np.int32)), pa.array(node), pa.array(check), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
 
     key = ["doc", "line", "node", "check"]
-    sets = rows.mapInArrow(full, "doc long, line int, node long, check long, keys binary").dropDuplicates(key)
-    similar = met(assigned, sets, key, _verify, "node long, check long").distinct().withColumn("similar", F.lit(True))
-    decided = classes.join(similar, ["node", "check"], "left").select("node", "check", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    gone = described.select("doc", "line", "node", "check").join(decided, ["node", "check"]).filter("similar or doc <> first.doc or line <> first.line")
+    sets = rows.mapInArrow(full, "doc long, line int, node long, check long, keys binary")
+    similar = met(assigned, sets, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
+    again = described.select("doc", "line", "node", "check").join(classes.filter("lines > 1").select("node", "check", "first"), ["node", "check"])
+    again = again.filter("doc <> first.doc or line <> first.line").select("doc", "line")
+    gone = again.unionByName(similar)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, partitions, remainder, spill, table
+from quarry.llm.common import mix, pack, partitions, remainder, small_batches, spill, table, unpack
 from quarry.llm.eliasfano import WORD_BITS, Trie, restored
 from quarry.llm.tokens import hashed, words
 
@@ -45,18 +45,6 @@ END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 _WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 
 
-def pack(array: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(raw: bytes, kind: type, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
-
-
 def six(words_: np.ndarray) -> np.ndarray:
     """The 6 bytes of each 48-bit word."""
     return np.ascontiguousarray((words_ & _WORD_MASK).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
@@ -294,6 +282,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     """Scores of all texts by the model of those whose crc32(id as text) mod ``modulus`` is
     not ``out``; ``train`` says which those are."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     shards, parts = SHARDS * partitions(spark), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = spill(rows.mapInArrow(_chunks(modulus, out), _CHUNK), "chunks")

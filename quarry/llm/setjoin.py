@@ -1,14 +1,18 @@
 """Exact Jaccard joins of token sets that never bring a token's whole list together with
 the sets, nor all pairs of a group: what line dedup and the n-gram join share.
 
-1. ``rarity`` counts all tokens in a table of fixed size (hashed). Its logarithm, followed by
-   the token's own hash, is the order of tokens: a total order that is the same everywhere,
-   rare tokens first, so the prefix filter holds exactly.
-2. Every record (a distinct set) posts its prefix to the shard of each token. A shard joins
+1. Every record posts an extended prefix of its tokens (in hash order) to the tokens'
+   shards, which count the lists (of records whose sizes allow a link). Sets that link share
+   at least l tokens of their extended prefixes (l grows with the set), so each record may
+   leave out its l - 1 longest lists: whatever is left is in the order of true rarity, and
+   linked sets still share one. Tokens that no other such record posted are done with.
+2. The rarest shared tokens that a record has to keep are posted once more. A shard joins
    the records of one token whose sizes allow a link to the least of them, a star.
 3. The components of those stars hold every link. Their full sets meet in tasks of bounded
    size: a component is one task, or, if large, is cut by size class and hash into blocks of
    which every two that can link are one task.
+
+All postings travel packed, some rows for each task and shard.
 """
 
 from __future__ import annotations
@@ -16,58 +20,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import partitions, spill
-from quarry.llm.components import components
+from quarry.llm.common import mix, pack, partitions, spill, unpack
+from quarry.llm.components import components, forest
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Cells of the rarity table, and of each part of it that is summed in one place.
-CELLS, SEGMENT = 1 << 20, 1 << 14
 #: Tokens of one block, and postings a task holds before it sends them.
-BLOCK_TOKENS, POSTINGS_AT_ONCE = 1_500_000, 2_000_000
-#: Token shards per shuffle partition.
-SHARDS = 4
-
-
-def rarity(texts: DataFrame, tokens: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
-    """A byte for each cell: the logarithm of its tokens' count (two steps an octave).
-    ``tokens`` gives all token hashes of a batch of texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                found = tokens(batch.column(0).slice(at, 1000))
-                cells += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-        kind = np.uint16 if cells.max(initial=0) < 1 << 16 else np.int64
-        parts = [cells[at : at + SEGMENT].astype(kind).tobytes() for at in range(0, CELLS, SEGMENT)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * SEGMENT else np.int64).astype(np.int64)
-                total[part] = total[part] + cells if part in total else cells
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "cells"])
-
-    schema = "part int, cells binary"
-    sums = texts.mapInArrow(count, schema).repartition(partitions(texts.sparkSession), "part").mapInArrow(add, schema)
-    cells = np.zeros(CELLS, np.int64)
-    for row in sums.collect():  # CELLS numbers
-        cells[row["part"] * SEGMENT : (row["part"] + 1) * SEGMENT] = np.frombuffer(row["cells"], dtype=np.int64)
-    return np.minimum(np.log2(cells + 1) * 2, 63).astype(np.uint8)
+BLOCK_TOKENS, POSTINGS_AT_ONCE = 1_000_000, 1_000_000
+#: Shards per shuffle partition.
+SHARDS = 2
 
 
-def ranked(hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Tokens as numbers whose order is rarity, then hash."""
-    return (rare[(hashes >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (hashes & np.uint64((1 << 58) - 1))
+def first_number() -> int:
+    """Where the records of this task start to be numbered."""
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 40
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:
@@ -77,9 +50,22 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[keep]
 
 
-def prefix_size(n: int) -> int:
-    """Tokens of which two sets that link share one at least."""
-    return n - -(-n * PERCENT // 100) + 1 if n else 0
+def prefix_size(n):
+    """Tokens of which two sets that link share one at least, in any order of all tokens."""
+    return np.where(n > 0, n - -(-n * PERCENT // 100) + 1, 0)
+
+
+def spare(n, eighths: int = 5):
+    """Tokens more in the extended prefix, of which as many may be left out again. A function
+    of the least overlap that grows no faster than it, as the proof needs."""
+    return np.where(n > 0, (-(-n * PERCENT // 100) - 1) * eighths // 8, 0)
+
+
+def runs(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where runs start in postings sorted by (token, size): one token, and each size within
+    reach of the one before. Only records of one run can link by the token."""
+    near = (tokens[1:] == tokens[:-1]) & (100 * sizes[:-1].astype(np.int64) >= PERCENT * sizes[1:].astype(np.int64))
+    return np.flatnonzero(np.concatenate(([True], ~near)))
 
 
 def signature(keys: np.ndarray) -> tuple[int, int]:
@@ -96,76 +82,162 @@ def needed(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def candidates(records: DataFrame) -> DataFrame:
-    """(node, component) of the records (node long, n long, prefix binary or null) that may link.
-    Records of one node are one; prefixes of further copies may be null."""
-    spark = records.sparkSession
-    shards = SHARDS * partitions(spark)
+def _posted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int) -> pa.RecordBatch:
+    """Postings (token, record, number), packed for the shards of their tokens."""
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    shard = (mix(columns[0]) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    found, at = np.unique(shard[order], return_index=True) if len(order) else (order, order)
+    cut = [order[a:b] for a, b in zip(at, np.append(at[1:], len(order)), strict=False)]
+    tokens, records, numbers = columns
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(found.astype(np.int32)),
+            pa.array([len(c) for c in cut], pa.int32()),
+            pa.array([tokens[c].tobytes() for c in cut], pa.binary()),
+            pa.array([pack(records[c]) for c in cut], pa.binary()),
+            pa.array([pack(numbers[c].astype(np.int32)) for c in cut], pa.binary()),
+        ],
+        names=["shard", "many", "tokens", "records", "numbers"],
+    )
+
+
+_POSTED = "shard int, many int, tokens binary, records binary, numbers binary"
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, records, numbers) of each shard; the rows come sorted by shard."""
+    now, parts = None, []
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    for batch in batches:
+        for shard, many, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now and parts:
+                yield joined()
+                parts = []
+            now = shard
+            parts.append((np.frombuffer(raw[0], np.uint64), unpack(raw[1], np.int64, many), unpack(raw[2], np.int32, many)))
+    if parts:
+        yield joined()
+
+
+def candidates(records: DataFrame, eighths: int = 5) -> DataFrame:
+    """(node, component) of the records (rid long, n long, prefix binary) that may link; rows
+    without a prefix are passed over. ``prefix`` holds the first prefix_size(n) + spare(n, eighths)
+    tokens. Records may repeat a set: they are found to be linked."""
+    shards = SHARDS * partitions(records.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            tokens, nodes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            shard = (tokens % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            found, at = np.unique(shard[order], return_index=True)
-            cut = [slice(a, b) for a, b in zip(at, np.append(at[1:], len(order)), strict=True)]
-            packed = [[x[order[c]].tobytes() for c in cut] for x in (tokens, nodes, sizes)]
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], names=["shard", "tokens", "nodes", "sizes"])
-
+        held, size = [], 0
         for batch in batches:
-            nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            prefixes = batch.column(2).to_pylist()
-            keys = [np.frombuffer(x, dtype=np.uint64) for x in prefixes]
-            many = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-            held.append((np.concatenate(keys), np.repeat(nodes, many), np.repeat(sizes, many).astype(np.int32)))
+            rids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            many = prefix_size(sizes) + spare(sizes, eighths)
+            held.append((np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), np.repeat(rids, many), np.repeat(sizes, many)))
             size += int(many.sum())
             if size >= POSTINGS_AT_ONCE:
-                yield flush()
+                yield _posted(held, shards)
                 held, size = [], 0
-        if held:
-            yield flush()
+        if size:
+            yield _posted(held, shards)
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-            tokens = np.concatenate([np.frombuffer(x[0], dtype=np.uint64) for x in parts])
-            nodes = np.concatenate([np.frombuffer(x[1], dtype=np.int64) for x in parts])
-            sizes = np.concatenate([np.frombuffer(x[2], dtype=np.int32) for x in parts])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens that several records posted, with the length of the run."""
+        held, size = [], 0
+        for tokens, rids, sizes in _shards(batches):
             order = np.lexsort((sizes, tokens))
-            tokens, nodes, sizes = tokens[order], nodes[order], sizes[order].astype(np.int64)
-            # a run: one token, each size within reach of the one before
-            same = (tokens[1:] == tokens[:-1]) & (100 * sizes[:-1] >= PERCENT * sizes[1:])
-            starts = np.flatnonzero(np.concatenate(([True], ~same))) if len(tokens) else np.zeros(0, np.int64)
-            least = np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.append(starts, len(nodes)))) if len(starts) else nodes
-            edge = least != nodes
-            pairs = np.unique(np.stack((least[edge], nodes[edge])), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-        now, parts = None, []
-        for batch in batches:
-            for shard, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now and parts:
-                    yield of(parts)
-                    parts = []
-                now = shard
-                parts.append(raw)
-        if parts:
-            yield of(parts)
+            tokens, rids, sizes = tokens[order], rids[order], sizes[order]
+            length = np.diff(np.append(runs(tokens, sizes), len(tokens)))
+            length = np.repeat(length, length)
+            some = length > 1
+            # lengths are only compared, so their logarithm in fine steps will do
+            held.append((tokens[some], rids[some], np.log2(length[some]) * 1000, sizes[some]))
+            size += len(held[-1][0])
+            if size >= POSTINGS_AT_ONCE:
+                yield _with_sizes(*map(np.concatenate, zip(*held, strict=True)), shards)
+                held, size = [], 0
+        if size:
+            yield _with_sizes(*map(np.concatenate, zip(*held, strict=True)), shards)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for tokens, rids, ranks, sizes in _ranked_shards(batches):
+            order = np.lexsort((tokens, ranks, rids))
+            tokens, rids, sizes = tokens[order], rids[order], sizes[order].astype(np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], rids[1:] != rids[:-1])))
+            many = np.diff(np.append(starts, len(rids)))
+            n = sizes[starts]
+            alone = prefix_size(n) + spare(n, eighths) - many  # tokens of no other record come first
+            kept = np.clip(prefix_size(n) - alone, 0, many)
+            chosen = np.repeat(starts, kept) + np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+            held.append((tokens[chosen], rids[chosen], sizes[chosen]))
+            size += len(chosen)
+            if size >= POSTINGS_AT_ONCE:
+                yield _posted(held, shards)
+                held, size = [], 0
+        if size:
+            yield _posted(held, shards)
 
-    posted = records.filter("prefix is not null").select("node", "n", "prefix").mapInArrow(post, "shard int, tokens binary, nodes binary, sizes binary")
-    dealt = posted.repartition(shards, "shard").sortWithinPartitions("shard")
-    return components(dealt.mapInArrow(stars, "a long, b long"))
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for tokens, rids, sizes in _shards(batches):
+            order = np.lexsort((sizes, tokens))
+            tokens, rids, sizes = tokens[order], rids[order], sizes[order]
+            starts = runs(tokens, sizes)
+            least = np.repeat(np.minimum.reduceat(rids, starts), np.diff(np.append(starts, len(rids))))
+            edge = least != rids
+            a, b = forest(np.concatenate((a, least[edge])), np.concatenate((b, rids[edge])))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(df.sparkSession), "shard").sortWithinPartitions("shard")
+
+    posted = records.filter("prefix is not null").select("rid", "n", "prefix").mapInArrow(post, _POSTED)
+    counted = dealt(posted).mapInArrow(count, _RANKED)
+    return components(dealt(dealt(counted).mapInArrow(keep, _POSTED)).mapInArrow(stars, "a long, b long"))
+
+
+_RANKED = "shard int, many int, tokens binary, records binary, numbers binary, ranks binary"
+
+
+def _with_sizes(tokens: np.ndarray, rids: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Counted postings, packed for the shards of their records."""
+    shard = (mix(rids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((rids, shard))
+    found, at = np.unique(shard[order], return_index=True)
+    cut = [order[a:b] for a, b in zip(at, np.append(at[1:], len(order)), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(found.astype(np.int32)),
+            pa.array([len(c) for c in cut], pa.int32()),
+            pa.array([tokens[c].tobytes() for c in cut], pa.binary()),
+            *(pa.array([pack(x[c]) for c in cut], pa.binary()) for x in (rids, sizes.astype(np.int32), np.minimum(ranks, 65535).astype(np.uint16))),
+        ],
+        names=["shard", "many", "tokens", "records", "numbers", "ranks"],
+    )
+
+
+def _ranked_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    now, parts = None, []
+    for batch in batches:
+        for shard, many, tokens, rids, sizes, ranks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now and parts:
+                yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+                parts = []
+            now = shard
+            parts.append((np.frombuffer(tokens, np.uint64), unpack(rids, np.int64, many), unpack(ranks, np.uint16, many), unpack(sizes, np.int32, many)))
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def tasks(members: DataFrame) -> DataFrame:
     """``members`` (component, n, key columns) with the ``task`` column: a row for each task
-    that has to see the record. Small components are one task."""
+    that has to see the record. Small components are one task, single records none."""
     classed = members.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int"))
-    sums = classed.groupBy("component", "size_class").agg(F.sum("n").alias("tokens"))
-    whole = sums.groupBy("component").agg(F.sum("tokens").alias("all_tokens"), F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")))).alias("salts"))
-    joined = classed.join(whole, "component")
+    sums = classed.groupBy("component", "size_class").agg(F.sum("n").alias("tokens"), F.count("*").alias("records"))
+    whole = sums.groupBy("component").agg(F.sum("records").alias("records"), F.sum("tokens").alias("all_tokens"), F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")))).alias("salts"))
+    joined = classed.join(whole.filter("records > 1").drop("records"), "component")
     # blocks of a class pair up with those of the same and of the two next classes
     salt = "cast(pmod(xxhash64(node, component), salts[size_class]) as int)"
     own = f"""flatten(transform(array(0, 1, 2), d -> transform(sequence(0, coalesce(try_element_at(salts, size_class + d), 0)),
@@ -178,9 +250,31 @@ def tasks(members: DataFrame) -> DataFrame:
     return placed.drop("salts", "s", "all_tokens", "size_class")
 
 
-def met(assigned: DataFrame, sets: DataFrame, keys: list[str], verify: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``verify`` applied to the records of each task with their full sets."""
-    return assigned.join(sets, keys).groupBy("component", "task").applyInPandas(verify, schema)
+def met(assigned: DataFrame, sets: DataFrame, keys: list[str], columns: list[str], verify: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``verify`` applied to the records (``columns``, then the set's bytes) of each task. The
+    rows of a task follow one another, so only one task's are held at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, {}, []
 
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-__all__ = ["candidates", "distinct", "links", "met", "needed", "prefix_size", "ranked", "rarity", "signature", "spill", "tasks"]
+        for batch in batches:
+            for component, task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, task) != now:
+                    if len(held) > 1:
+                        out += verify(list(held.values()))
+                    now, held = (component, task), {}
+                held[tuple(row[:-1])] = tuple(row)  # repeated rows are one record
+            if len(out) > 50_000:
+                yield result()
+                out.clear()
+        if len(held) > 1:
+            out += verify(list(held.values()))
+        if out:
+            yield result()
+
+    joined = assigned.join(sets, keys).select("component", "task", *columns, "keys")
+    return joined.repartition("component", "task").sortWithinPartitions("component", "task").mapInArrow(run, schema)
