@@ -39,18 +39,19 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of ``edges`` (long columns a, b) and the least node it
-    reaches. Each task first contracts its own edges; then labels move along the edges and
-    jump to their label's label until nothing changes, with a stored table for each step."""
-    edges = spill(edges.select("a", "b").mapInArrow(_shrink, "a long, b long").filter("a <> b").distinct(), "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = spill(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    reaches. Each task contracts its own edges, then those that share an end. What is left
+    are trees (each edge from a lesser node a to b) in which, until all are stars, every node
+    keeps its least parent, hands its other parents to that one, and jumps to its parent's
+    parent; each step is a stored table."""
+    part = edges.select("a", "b").mapInArrow(_shrink, "a long, b long").filter("a <> b")
+    tree = spill(part.repartition("b").mapInArrow(_shrink, "a long, b long").distinct(), "edges")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component")
-        spread = labels.unionByName(near).groupBy("node").agg(F.min("component").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("jump"))
-        after = spread.join(jump, "to").select("node", F.least("to", "jump").alias("component"))
-        after = spill(after, "labels")
-        moved = after.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old")
-        if moved.isEmpty():
-            return after
-        labels = after
+        parent = tree.groupBy("b").agg(F.min("a").alias("m"))
+        above = parent.select(F.col("b").alias("m"), F.col("m").alias("top"))
+        jumped = parent.join(above, "m", "left").select(F.coalesce("top", "m").alias("a"), "b", F.col("top").isNotNull().alias("moved"))
+        handed = tree.join(parent, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
+        after = spill(jumped.unionByName(handed).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        if after.filter("moved").isEmpty():
+            roots = after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+            return after.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+        tree = after.select("a", "b")
