@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import frame_queries, sql_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = sql_queries.QUERIES | frame_queries.QUERIES
+ORACLES = sql_queries.ORACLES | frame_queries.ORACLES
