@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import spill
+from quarry.llm.common import lean, spill
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     are trees (each edge from a lesser node a to b) in which, until all are stars, every node
     keeps its least parent, hands its other parents to that one, and jumps to its parent's
     parent; each step is a stored table."""
-    part = edges.select("a", "b").mapInArrow(_shrink, "a long, b long").filter("a <> b")
-    tree = spill(part.repartition("b").mapInArrow(_shrink, "a long, b long").distinct(), "edges")
+    part = edges.select("a", "b").mapInArrow(lean(_shrink), "a long, b long").filter("a <> b")
+    tree = spill(part.repartition("b").mapInArrow(lean(_shrink), "a long, b long").distinct(), "edges")
     while True:
         parent = tree.groupBy("b").agg(F.min("a").alias("m"))
         above = parent.select(F.col("b").alias("m"), F.col("m").alias("top"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, table
+from quarry.llm.common import lean, slices, table
 from quarry.llm.tokens import grams, plain, word_hashes
 
 LEAST, COVERAGE, BLOCK_WORDS = 5, 0.5, 2_000_000
@@ -142,7 +142,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, l
                         names=["doc_id", "item_id", *names, "coverage"],
                     )
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, " + ", ".join(f"{x} int" for x in names) + ", coverage double")
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, item_id long, " + ", ".join(f"{x} int" for x in names) + ", coverage double")
 
     return reduce(DataFrame.unionByName, map(one, blocks(benchmark)))
 
@@ -159,7 +159,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                 keep[[x[0] for x in index.search(batch.column(at), coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

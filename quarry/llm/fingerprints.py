@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import bitmap, in_bitmap, partitions, slices, spill, texts
+from quarry.llm.common import bitmap, in_bitmap, lean, partitions, slices, spill, texts
 
 #: Id ranges per shuffle partition when rows are paired with their successors.
 RANGES_PER_PARTITION = 8
@@ -100,7 +100,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and the likeness of each pair: 1 if
     digests and canonical bytes agree, else 0."""
-    return with_successor(docs, id_col, text_col).mapInArrow(_compare, _PAIR_SCHEMA)
+    return with_successor(docs, id_col, text_col).mapInArrow(lean(_compare), _PAIR_SCHEMA)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [digest(canonical(x)) for x in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def exact_groups(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +132,7 @@ def exact_groups(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", tex
             ids = batch.column(0).take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([ids, pa.array([prints_[i] for i in keep], pa.string()), pa.array([forms[i] for i in keep], pa.string())], names=["doc_id", "fingerprint", "form"])
 
-    forms = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(candidates, "doc_id long, fingerprint string, form string")
+    forms = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(candidates), "doc_id long, fingerprint string, form string")
     distinct = forms.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     clashing = spill(distinct.withColumn("n", F.lit(1)).groupBy("fingerprint").agg(F.sum("n").alias("n")).filter("n > 1").select("fingerprint"), "clashes")
     grouped = prints.join(shared, "fingerprint", "left").withColumn("group_id", F.coalesce("group_id", "doc_id")).withColumn("group_size", F.coalesce("group_size", F.lit(1)))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import slices, table, texts
+from quarry.llm.common import lean, slices, table, texts
 
 PATH, WORDS, NUMBERS, HIDDEN = 48, 24, 6, 24
 INPUT = PATH + WORDS + NUMBERS
@@ -357,7 +357,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*kept, "text", "n_chars"])
 
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
-    return pages.select(*kept, html_col).mapInArrow(run, schema)
+    return pages.select(*kept, html_col).mapInArrow(lean(run), schema)
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bitmap, in_bitmap, mix, slices, small_batches, spill, table
+from quarry.llm.common import bitmap, in_bitmap, lean, mix, slices, small_batches, spill, table
 from quarry.llm.components import components
 from quarry.llm.setjoin import candidates, first_number, links, met, prefix_size, signature, spare, tasks
 from quarry.llm.tokens import shingle_sets
@@ -97,7 +97,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["rid", "doc_id", "n", "node", "check", "prefix"])
 
-    described = spill(rows.mapInArrow(describe, "rid long, doc_id long, n long, node long, check long, prefix binary"), "shingles")
+    described = spill(rows.mapInArrow(lean(describe), "rid long, doc_id long, n long, node long, check long, prefix binary"), "shingles")
     near = candidates(described)
     classes = described.filter("n > 0 and doc_id is not null").groupBy("node", "check", "n").agg(F.min("doc_id").alias("first"))
     classes = spill(classes, "classes")
@@ -119,7 +119,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     key = ["first", "node", "check"]
-    sets = rows.mapInArrow(full, "first long, node long, check long, keys binary")
+    sets = rows.mapInArrow(lean(full), "first long, node long, check long, keys binary")
     pairs = met(assigned, sets, key, key, _verify, "a long, b long")
     joined = components(pairs)
     own = classes.join(joined.withColumnRenamed("node", "first"), "first", "left").select("node", "check", F.coalesce("component", "first").alias("class_id"))
@@ -129,7 +129,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _id_bits(assigned: DataFrame) -> np.ndarray:
     """A bitmap of the record ids, under the hash that tasks use too."""
-    return bitmap(assigned.select("first").distinct().mapInArrow(_mixed, "k long"), "k")
+    return bitmap(assigned.select("first").distinct().mapInArrow(lean(_mixed), "k long"), "k")
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

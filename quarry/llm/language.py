@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import remainder, slices, table, texts
+from quarry.llm.common import lean, remainder, slices, small_batches, table, texts
 
 #: N-grams of a language's profile and of a text's own list.
 PROFILE, OWN = 400, 300
@@ -71,7 +71,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
             keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 200):
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             every = [grams(x) for x in texts(batch.column(0))]
             for lang in set(langs):
@@ -83,8 +83,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
             keys, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(text_col, F.col(lang_col).cast("string")).filter(F.col(lang_col).isNotNull())
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile).toPandas()
     out = []
@@ -131,7 +132,7 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
@@ -143,4 +144,4 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text")
             found = [predict(x, profiles) for x in texts(batch.column(at))]
             yield batch.filter(pa.array([lang != UNDETERMINED and score > 0 for lang, score in found], pa.bool_()))
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return docs.select(*columns).mapInArrow(lean(run), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bitmap, in_bitmap, mix, slices, small_batches, spill, table
+from quarry.llm.common import bitmap, in_bitmap, lean, mix, slices, small_batches, spill, table
 from quarry.llm.jaccard import WORDS
 from quarry.llm.setjoin import candidates, first_number, links, met, needed, prefix_size, spare, tasks
 from quarry.llm.tokens import compact, grams, word_hashes
@@ -165,7 +165,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
             rid += len(doc)
 
-    described = spill(rows.mapInArrow(describe, "rid long, doc long, line int, n long, node long, check long, prefix binary"), "lines")
+    described = spill(rows.mapInArrow(lean(describe), "rid long, doc long, line int, n long, node long, check long, prefix binary"), "lines")
     near = candidates(described, EIGHTHS)
     classes = described.groupBy("node", "check", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
     classes = spill(classes, "classes")
@@ -177,7 +177,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["k"])
 
-    bits = bitmap(assigned.select("doc", "line").mapInArrow(hashed, "k long"), "k")
+    bits = bitmap(assigned.select("doc", "line").mapInArrow(lean(hashed), "k long"), "k")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -193,7 +193,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(numbers[at].astype(np.int32)), pa.array(node), pa.array(check), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
 
     key = ["doc", "line", "node", "check"]
-    sets = rows.mapInArrow(full, "doc long, line int, node long, check long, keys binary")
+    sets = rows.mapInArrow(lean(full), "doc long, line int, node long, check long, keys binary")
     similar = met(assigned, sets, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
     again = described.select("doc", "line", "node", "check").join(classes.filter("lines > 1").select("node", "check", "first"), ["node", "check"])
     again = again.filter("doc <> first.doc or line <> first.line").select("doc", "line")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, pack, partitions, remainder, small_batches, spill, table, unpack
+from quarry.llm.common import lean, mix, pack, partitions, remainder, small_batches, spill, table, unpack
 from quarry.llm.eliasfano import WORD_BITS, Trie, restored
 from quarry.llm.tokens import hashed, words
 
@@ -285,11 +285,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     small_batches(docs.sparkSession)
     shards, parts = SHARDS * partitions(spark), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = spill(rows.mapInArrow(_chunks(modulus, out), _CHUNK), "chunks")
-    asked = chunks.mapInArrow(_ask_pairs(shards), _ASK).repartition(parts, "shard").sortWithinPartitions("shard", "chunk")
-    pairs = spill(asked.mapInArrow(_answer_pairs(discount, shards), _ANSWER), "pairs")
-    asked = chunks.mapInArrow(_ask_words(shards), _ANSWER).unionByName(pairs.filter("kind = 'successors'"))
-    answered = spill(asked.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(_answer_words, _ANSWER), "words")
+    chunks = spill(rows.mapInArrow(lean(_chunks(modulus, out)), _CHUNK), "chunks")
+    asked = chunks.mapInArrow(lean(_ask_pairs(shards)), _ASK).repartition(parts, "shard").sortWithinPartitions("shard", "chunk")
+    pairs = spill(asked.mapInArrow(lean(_answer_pairs(discount, shards)), _ANSWER), "pairs")
+    asked = chunks.mapInArrow(lean(_ask_words(shards)), _ANSWER).unionByName(pairs.filter("kind = 'successors'"))
+    answered = spill(asked.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(lean(_answer_words), _ANSWER), "words")
     totals = answered.filter("kind = 'totals'").agg(F.sum("chunk"), F.sum("n")).collect()[0]
     tokens, types = int(totals[0] or 0), int(totals[1] or 0)
     answers = pairs.filter("kind = 'pairs'").unionByName(answered.filter("kind = 'words'"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_remainder, remainder, slices, table, texts
+from quarry.llm.common import crc_remainder, lean, remainder, slices, table, texts
 
 MOST_LABELLED = 20_000
 BINS, DEPTH, TREES, RATE, L2 = 32, 4, 60, 0.15, 1.0
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
                 batch = batch.take(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(feature_matrix(texts(batch.column(1)))), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(measure, "doc_id long, x array<double>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(lean(measure), "doc_id long, x array<double>")
     found = rows.groupBy("doc_id").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     if found.empty:
         return fit(np.zeros((0, 1)), np.zeros(0))
@@ -144,4 +144,4 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")

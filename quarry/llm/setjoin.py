@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, pack, partitions, spill, unpack
+from quarry.llm.common import lean, mix, pack, partitions, spill, unpack
 from quarry.llm.components import components, forest
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Tokens of one block, and postings a task holds before it sends them.
-BLOCK_TOKENS, POSTINGS_AT_ONCE = 1_000_000, 1_000_000
+BLOCK_TOKENS, POSTINGS_AT_ONCE = 1_000_000, 500_000
 #: Shards per shuffle partition.
 SHARDS = 2
 
@@ -193,9 +193,9 @@ def candidates(records: DataFrame, eighths: int = 5) -> DataFrame:
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(partitions(df.sparkSession), "shard").sortWithinPartitions("shard")
 
-    posted = records.filter("prefix is not null").select("rid", "n", "prefix").mapInArrow(post, _POSTED)
-    counted = dealt(posted).mapInArrow(count, _RANKED)
-    return components(dealt(dealt(counted).mapInArrow(keep, _POSTED)).mapInArrow(stars, "a long, b long"))
+    posted = records.filter("prefix is not null").select("rid", "n", "prefix").mapInArrow(lean(post), _POSTED)
+    counted = dealt(posted).mapInArrow(lean(count), _RANKED)
+    return components(dealt(dealt(counted).mapInArrow(lean(keep), _POSTED)).mapInArrow(lean(stars), "a long, b long"))
 
 
 _RANKED = "shard int, many int, tokens binary, records binary, numbers binary, ranks binary"
@@ -277,4 +277,4 @@ def met(assigned: DataFrame, sets: DataFrame, keys: list[str], columns: list[str
             yield result()
 
     joined = assigned.join(sets, keys).select("component", "task", *columns, "keys")
-    return joined.repartition("component", "task").sortWithinPartitions("component", "task").mapInArrow(run, schema)
+    return joined.repartition("component", "task").sortWithinPartitions("component", "task").mapInArrow(lean(run), schema)
