@@ -95,11 +95,7 @@ def _op2_sql() -> str:
     known = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     cases = [f"CASE WHEN contains(seq, ' {rule} ') THEN '{name}' END" for name, rule in RULES]
     ordered = "CASE " + " ".join(f"WHEN contains(seq, ' {rule} ') THEN '{name}'" for name, rule in RULES) + " END"
-    names = list(dict.fromkeys(name for name, _ in RULES))
-    listed = ", ".join("CASE WHEN " + " OR ".join(f"contains(seq, ' {rule} ')" for n, rule in RULES if n == name) + f" THEN '{name}' END" for name in names)
-    # array_distinct keeps first occurrences; names come in the order of their first matching rule
-    first = ", ".join(cases)
-    del listed
+    first = ", ".join(cases)  # of a name that matches twice the first place counts
     return f"""
 WITH s AS (
   SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '[.!?;:]+\\s+|\\n+'),

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.OP2_SQL}
+    return {"op2_license_scan": licenses.OP2_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL}
