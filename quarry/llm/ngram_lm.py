@@ -39,7 +39,7 @@ from quarry.llm.tokens import hashed, words
 
 DISCOUNT = 0.75
 #: Tokens of a chunk, about; texts tokenised at once; shards per shuffle partition.
-CHUNK_TOKENS, TEXTS_AT_ONCE, SHARDS = 2_500_000, 500, 2
+CHUNK_TOKENS, TEXTS_AT_ONCE, SHARDS = 1_600_000, 500, 2
 # Hashes of the end of a text and of its start (a context only).
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 _WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
