@@ -63,3 +63,14 @@ def mention_query(text: Column, bot: str) -> Column:
 
 def folder_url(prefix: str, folder: Column) -> Column:
     return F.concat(F.lit(prefix), F.replace(F.url_encode(folder), F.lit("+"), F.lit("%20")))
+
+
+def bytes_label(n: Column) -> Column:
+    """A number of bytes in the largest unit below it, with 0, 1, 1 and 2 decimals."""
+
+    def scaled(power: int, digits: int, unit: str) -> Column:
+        # A tie goes up, as a reader expects; decimals keep the digits exact.
+        value = F.round((n / F.lit(1024.0**power)).cast("decimal(30,10)"), digits).cast(f"decimal(30,{digits})")
+        return F.concat(value.cast("string"), F.lit(f" {unit}"))
+
+    return F.when(n < 1024, scaled(0, 0, "B")).when(n < 1024**2, scaled(1, 1, "KiB")).when(n < 1024**3, scaled(2, 1, "MiB")).otherwise(scaled(3, 2, "GiB"))

@@ -8,8 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarry.plans.fixtures import PDF, PPTX, SLIDES
+
 #: How far back from the longest end a boundary is looked for, and from the overlap a blank.
 LOOK_BACK, BLANK_BACK = 160, 40
+# Chunk length and overlap by media type; any other has the last.
+SIZES, OTHER = {PPTX: (1500, 100), SLIDES: (1500, 100), PDF: (900, 120)}, (900, 100)
 # Boundaries, the best first.
 BOUNDARIES = [re.compile(p) for p in (r"\n[^\S\n]*\n+", r"\n", r"[.!?。！？]['\"”’）)\]】」』]*\s*", r"\s")]
 
@@ -53,3 +57,22 @@ def chunk_documents(docs: DataFrame, size: int = 900, overlap: int = 100) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_id", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, chunk_id string, content string")
+
+
+SECTION_CHUNKS = "document_id string, chunk_index long, chunk_id string, content string, page int, slide int, section_title string"
+
+
+def chunk_sections(files: DataFrame) -> DataFrame:
+    """Chunks of extracted files (document_id, mime, sections), numbered through each file;
+    page, slide and title come from the section. A null list of sections has no chunks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for document, mime, sections in zip(frame["document_id"], frame["mime"], frame["sections"], strict=True):
+                found = [(p, s) for s in (sections if sections is not None else []) for p in pieces(s["text"] or "", *SIZES.get(mime, OTHER))]
+                out += [(document, k, f"{document}:{k}", p, s["page"] or None, s["slide"] or None, s["title"] or None) for k, (p, s) in enumerate(found)]
+            rows = pd.DataFrame(out, columns=["document_id", "chunk_index", "chunk_id", "content", "page", "slide", "section_title"])
+            yield rows.astype({"page": "Int32", "slide": "Int32"})
+
+    return files.select("document_id", "mime", "sections").mapInPandas(run, SECTION_CHUNKS)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import expressions as X
 from quarry.operators import chunking, retrieval
+from quarry.operators.search import MOST_POOL
 from quarry.plans.fixtures import CATEGORY, FILES, SUPPORTED
 from quarry.session import table
 
@@ -156,9 +157,11 @@ def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
-@query("rerank_overlap", """WITH w AS (SELECT doc_id, n_chars, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents WHERE doc_id < 50)
-SELECT 'd' || CAST(doc_id AS STRING) AS document_id, CAST(len(list_intersect(w, ['the', 'les', 'und'])) AS INT) AS relevance FROM w ORDER BY relevance DESC, n_chars DESC, document_id LIMIT 10""")
+@query("rerank_overlap", """WITH w AS (SELECT doc_id, n_chars, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+pool AS (SELECT * FROM w ORDER BY n_chars DESC, doc_id LIMIT 50)
+SELECT 'd' || CAST(doc_id AS STRING) AS document_id, CAST(len(list_intersect(w, ['the', 'les', 'und'])) AS INT) AS relevance FROM pool ORDER BY relevance DESC, n_chars DESC, document_id LIMIT 10""")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = table(spark, sf_dir, "documents").filter("doc_id < 50").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("n_chars").alias("score"), "text")
+    best = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(MOST_POOL)
+    pool = best.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("n_chars").alias("score"), "text")
     overlap = F.size(F.array_intersect(retrieval.words(F.coalesce(F.col("text"), F.lit(""))), F.array(*map(F.lit, TERMS))))
     return retrieval.rerank(pool, overlap, 10).select("document_id", "relevance")

@@ -44,10 +44,6 @@ SELECT id, CASE WHEN mime = '{SLIDES}' THEN 'slides_api' WHEN mime = '{DOCS}' TH
 both("point_lookup", WITH + " SELECT id, name, mime, parent, size FROM files WHERE id = 'f0000042'")
 both("keyed_chunk_scan", f"WITH chunks AS ({CHUNKS}) SELECT document_id, chunk_index, vec_id FROM chunks WHERE document_id = 'd7'")
 both("active_scan", WITH + f" SELECT id, name, mime FROM files WHERE {SUPPORTED} AND doc_id % 10 <> 9")
-both("error_classify", """
-SELECT event_id, CASE WHEN event_type <> 'error' THEN 'none' WHEN event_id % 5 = 0 THEN 'abusive_file' WHEN event_id % 5 IN (1, 2) THEN 'retry'
-  ELSE 'unknown' END AS action, event_type = 'error' AND event_id % 5 IN (1, 2) AS retriable FROM {events}""")
-
 # -- duplicates and analysis --------------------------------------------------------------
 both("dedupe_pairs", WITH + " SELECT pdf_id, kept_id FROM pairs")
 both("dedupe_kept", WITH + f", {KEPT} SELECT id, category FROM kept")
@@ -67,6 +63,11 @@ FROM typed GROUP BY category""", WITH + """
 SELECT category, CAST(sum(size) AS BIGINT) AS total, round(avg(size), 6) AS average, min(size) AS least,
   quantile_disc(size, 0.25) AS p25, quantile_disc(size, 0.5) AS median, quantile_disc(size, 0.75) AS p75, quantile_disc(size, 0.9) AS p90,
   quantile_disc(size, 0.95) AS p95, quantile_disc(size, 0.99) AS p99, max(size) AS most FROM typed GROUP BY category""")
+both("percentiles", """
+WITH n AS (SELECT l_orderkey, count(*) AS v FROM {lineitem} GROUP BY l_orderkey)
+SELECT min(v) AS least, CAST(percentile_disc(0.25) WITHIN GROUP (ORDER BY v) AS BIGINT) AS p25, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY v) AS BIGINT) AS median,
+  CAST(percentile_disc(0.75) WITHIN GROUP (ORDER BY v) AS BIGINT) AS p75, CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY v) AS BIGINT) AS p90,
+  CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY v) AS BIGINT) AS p99, max(v) AS most FROM n""")
 both("histogram", """
 WITH n AS (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS v FROM {lineitem} GROUP BY l_orderkey)
 SELECT count(CASE WHEN v <= 10 THEN 1 END) AS le10, count(CASE WHEN v > 10 AND v <= 25 THEN 1 END) AS le25,
@@ -139,27 +140,8 @@ both("feedback_owned", FEEDBACK + ", logs AS (SELECT event_id AS log_id, user_id
 both("rate_window_60s", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS requests FROM {events}")
 both("allow_list", "SELECT c_custkey FROM {customer} WHERE lower(c_name) IN (SELECT lower(c_name) FROM {customer} WHERE c_custkey % 10 = 0)")
 
-# -- evaluation ---------------------------------------------------------------------------
-EVAL = """WITH judged AS (SELECT b.item_id, d.doc_id, 3 AS grade FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)),
-ranked AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id * 7 + b.item_id * 13) % 31, d.doc_id) AS rank
-  FROM {benchmark} b JOIN judged j ON true JOIN {documents} d ON d.doc_id = j.doc_id AND (d.doc_id + b.item_id) % 3 <> 0 GROUP BY b.item_id, d.doc_id),
-top AS (SELECT r.item_id, r.rank, coalesce(j.grade, 0) AS grade, j.grade IS NULL AS unjudged FROM ranked r
-  LEFT JOIN judged j ON j.item_id = r.item_id AND j.doc_id = r.doc_id WHERE r.rank <= 5),
-ideal AS (SELECT item_id, sum((pow(2, grade) - 1) / log2(n + 1)) AS idcg FROM (SELECT item_id, grade, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC, doc_id) AS n FROM judged) q
-  WHERE n <= 5 GROUP BY item_id),
-metrics AS (SELECT b.item_id, i.item_id IS NULL AS no_answer,
-  CASE WHEN i.item_id IS NOT NULL THEN CAST(coalesce(max(CASE WHEN t.grade >= 2 THEN 1 ELSE 0 END), 0) AS DOUBLE) END AS hit,
-  CASE WHEN i.item_id IS NOT NULL THEN coalesce(1.0E0 / min(CASE WHEN t.grade >= 2 THEN t.rank END), 0.0E0) END AS mrr,
-  CASE WHEN i.item_id IS NOT NULL THEN coalesce(sum((pow(2, t.grade) - 1) / log2(t.rank + 1)), 0.0E0) / max(i.idcg) END AS ndcg,
-  count(CASE WHEN t.unjudged THEN 1 END) AS unjudged
-  FROM {benchmark} b LEFT JOIN ideal i ON i.item_id = b.item_id LEFT JOIN top t ON t.item_id = b.item_id GROUP BY b.item_id, i.item_id)"""
-both("eval_metrics", EVAL + " SELECT item_id, no_answer, hit, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, unjudged FROM metrics")
-both("eval_summary", EVAL + " SELECT count(*) AS cases, count(CASE WHEN no_answer THEN 1 END) AS no_answer, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM metrics")
-
 # -- text and formats ---------------------------------------------------------------------
 both("token_estimate", "SELECT doc_id, CAST(octet_length(text) + 16 AS BIGINT) AS tokens FROM {documents}", "SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS tokens FROM documents")
-both("format_bytes", """
-SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS STRING) || ' B' ELSE CAST(CAST(floor(n_chars / 102.4 + 0.5) / 10 AS DECIMAL(20, 1)) AS STRING) || ' KiB' END AS label FROM {documents}""")
 both("doc_format", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%brass' THEN 'PDF' WHEN lower(p_name) LIKE '%a%' THEN 'DOC' ELSE 'FILE' END AS format FROM {part}")
 both("score_normalize", "SELECT event_id, round(CASE WHEN value IS NULL THEN 0.0E0 ELSE least(1.0E0, greatest(0.0E0, value / 100 / (2.0E0 / 61))) END, 6) AS score FROM {events}")
 both("descriptor_parse", "WITH d AS (SELECT n_nationkey AS k, 'provider=' || n_name || ';dim=' || CAST(64 + n_regionkey AS STRING) AS s FROM {nation}) SELECT k, str_to_map(s, ';', '=')['provider'] AS provider, CAST(str_to_map(s, ';', '=')['dim'] AS INT) AS dim FROM d",

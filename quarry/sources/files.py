@@ -7,12 +7,13 @@ import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
-from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import all_nfkc, decode_xml, tidy
+
 SECTIONS = "path string, status string, sections array<struct<text:string,page:int,slide:int,title:string>>, slide_count int"
 SLIDES_JSON = """struct<slides:array<struct<objectId:string,pageElements:array<struct<shape:struct<placeholder:struct<type:string>,
 text:struct<textElements:array<struct<textRun:struct<content:string>,autoText:struct<content:string>>>>>>>>>>"""
@@ -30,9 +31,64 @@ def local_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select("version", "embeddingProviderId", F.explode("chunks").alias("c")).select("version", "embeddingProviderId", "c.*")
 
 
+#: A stored chunk as its service gives it: every field may be missing, numbers may be texts.
+RECORD = """struct<id:string,documentId:string,documentName:string,chunkIndex:string,content:string,embedding:array<double>,
+sourceModifiedTime:string,driveFileId:string,mimeType:string,page:string,slide:string,sectionTitle:string,url:string>"""
+#: The largest whole number that a double holds exactly with all below it.
+SAFE = 2**53 - 1
+
+
+def _whole(col: Column) -> Column:
+    value = F.when(col.rlike("^-?[0-9]+$"), col.try_cast("long"))
+    return F.when(F.abs(value) <= SAFE, value)
+
+
+def decode_entities(rows: DataFrame, column: str = "json") -> DataFrame:
+    """Chunks of JSON records. A record without one of its five mandatory fields is an error;
+    empty optional texts and numbers that are not whole are null; no vector is an empty one."""
+    r = rows.select(F.from_json(column, RECORD).alias("r")).select("r.*")
+    index = _whole(F.col("chunkIndex"))
+    whole = index.isNotNull()
+    for name in ("id", "documentId", "documentName", "content"):
+        whole = whole & (F.coalesce(F.col(name), F.lit("")) != "")
+    own = F.when(whole, F.col("id")).otherwise(F.raise_error(F.lit("a stored chunk lacks a mandatory field")).cast("string"))
+    optional = {"source_modified_time": "sourceModifiedTime", "drive_file_id": "driveFileId", "mime_type": "mimeType", "section_title": "sectionTitle", "url": "url"}
+    return r.select(
+        own.alias("id"), F.col("documentId").alias("document_id"), F.col("documentName").alias("document_name"), index.alias("chunk_index"), "content",
+        F.coalesce("embedding", F.array().cast("array<double>")).alias("embedding"), _whole(F.col("page")).alias("page"), _whole(F.col("slide")).alias("slide"),
+        *[F.nullif(F.col(b), F.lit("")).alias(a) for a, b in optional.items()])
+
+
+INDEX = "struct<version:int,embeddingProviderId:string,embeddingDimensions:int,chunks:array<struct<id:string,documentId:string,chunkIndex:bigint,content:string,embedding:array<double>>>>"
+
+
+def parse_indexes(docs: DataFrame, column: str = "json") -> DataFrame:
+    """The chunks of index documents held as JSON texts. One of another version, a chunk without
+    id, document or content, or a vector of another length is an error."""
+    parsed = docs.select(F.from_json(column, INDEX, {"mode": "FAILFAST"}).alias("x"))
+    chunks = parsed.select(F.col("x.version").alias("version"), F.col("x.embeddingProviderId").alias("provider"), F.col("x.embeddingDimensions").alias("dimensions"), F.explode("x.chunks").alias("c"))
+    ok = (F.col("version") == 1) & F.col("c.id").isNotNull() & F.col("c.documentId").isNotNull() & F.col("c.content").isNotNull() & (F.size("c.embedding") == F.col("dimensions")) & ~F.exists("c.embedding", lambda x: x.isNull() | F.isnan(x))
+    own = F.when(ok, F.col("c.id")).otherwise(F.raise_error(F.lit("not a valid index")).cast("string"))
+    return chunks.select(own.alias("id"), "provider", F.col("c.documentId").alias("document_id"), F.col("c.chunkIndex").alias("chunk_index"), F.col("c.content").alias("content"), F.col("c.embedding").alias("embedding"))
+
+
+# The reasons that are told apart.
+REASONS = ("cannotDownloadAbusiveFile", "exportSizeLimitExceeded", "insufficientFilePermissions", "fileNotDownloadable")
+
+
+def classified(errors: DataFrame, body: str = "body", response: str = "response_status", direct: str = "direct_status") -> DataFrame:
+    """``errors`` with status (of the response, else its own, else the body's code), reason (the
+    first known one, else unknown) and whether another attempt may help."""
+    error = F.from_json(body, "struct<error:struct<code:int,message:string,errors:array<struct<reason:string>>>>")["error"]
+    status = F.coalesce(F.col(response), F.col(direct), error["code"])
+    known = F.filter(error["errors"]["reason"], lambda r: r.isin(*REASONS))
+    again = (status == 429) | status.between(500, 599)
+    return errors.withColumns({"status": status, "reason": F.coalesce(F.try_element_at(known, F.lit(1)), F.lit("unknown")), "retriable": F.coalesce(again, F.lit(False))})
+
+
 def _texts(xml: str, tag: str) -> list[str]:
     found = re.findall(rf"<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", xml, re.S)
-    return [t for t in (unicodedata.normalize("NFKC", unescape(x)).strip() for x in found) if t]
+    return [t for t in (unicodedata.normalize("NFKC", decode_xml(x)).strip() for x in found) if t]
 
 
 def slides_of(data: bytes) -> tuple[list[dict], int]:
@@ -55,7 +111,7 @@ def headings_of(data: bytes) -> list[dict]:
             body.clear()
 
     for paragraph in re.findall(r"<w:p(?:\s[^>]*)?>.*?</w:p>", xml, re.S):
-        text = "".join(unescape(t) for t in re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", paragraph, re.S)).strip()
+        text = "".join(decode_xml(t) for t in re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", paragraph, re.S)).strip()
         if not text:
             continue
         if re.search(r'<w:pStyle\s[^>]*w:val="(?:heading|見出し)', paragraph, re.I):
@@ -94,7 +150,9 @@ def extract(files: DataFrame) -> DataFrame:
 def slides_json(docs: DataFrame, column: str = "json") -> DataFrame:
     """(slide, title, text) rows of presentations in JSON; empty slides are left out, counted."""
     slides = docs.select("*", F.posexplode(F.from_json(column, SLIDES_JSON)["slides"]).alias("pos", "s"))
-    said = "transform(s.pageElements, e -> struct(e.shape.placeholder.type AS kind, regexp_replace(array_join(transform(e.shape.text.textElements, t -> coalesce(t.textRun.content, t.autoText.content, '')), ''), r'^\s+|\s+$', '') AS text))"
-    shapes = slides.withColumn("shapes", F.expr(f"filter({said}, x -> x.text <> '')"))
+    said = "transform(s.pageElements, e -> array_join(transform(e.shape.text.textElements, t -> coalesce(t.textRun.content, t.autoText.content, '')), ''))"
+    plain = slides.withColumn("kinds", F.expr("transform(s.pageElements, e -> e.shape.placeholder.type)")).withColumn("texts", all_nfkc(F.expr(said)))
+    tidied = F.transform(F.arrays_zip("kinds", "texts"), lambda x: F.struct(x["kinds"].alias("kind"), tidy(x["texts"]).alias("text")))
+    shapes = plain.withColumn("shapes", F.filter(tidied, lambda x: x["text"] != ""))
     title = F.expr("try_element_at(filter(shapes, x -> x.kind IN ('TITLE', 'CENTERED_TITLE')), 1).text")
     return shapes.filter(F.size("shapes") > 0).select(*docs.columns, (F.col("pos") + 1).alias("slide"), title.alias("title"), F.array_join("shapes.text", "\n").alias("text"))

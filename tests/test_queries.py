@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quarry.operators import chunking, retrieval
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(str([None if x is None or x != x else x for x in r]) for r in frame[columns].astype(object).values.tolist())
+    return columns, sorted(str([None if pd.isna(x) else x for x in r]) for r in frame[columns].astype(object).values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
