@@ -137,7 +137,7 @@ def local_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_indexes(docs.select(index.alias("json"))).select("id", "document_id", "chunk_index", F.round(F.col("embedding")[0], 6).alias("first"))
 
 
-@query("entity_decode", """SELECT 'e' || event_id AS id, 'd' || user_id AS document_id, event_id AS chunk_index, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS page,
+@query("entity_decode", """SELECT 'e' || event_id AS id, 'd' || user_id AS document_id, event_id AS chunk_index, CASE WHEN event_id % 3 = 0 THEN event_id % 7 ELSE -1 END AS page,
 CASE WHEN event_id % 2 = 0 THEN event_type END AS section_title, 0 AS dimensions FROM events""")
 def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as stored records: numbers as texts, empty optional fields, no vector."""
@@ -145,10 +145,10 @@ def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 7).cast("string")).otherwise("none")
     record = F.struct(F.concat(F.lit("e"), text("event_id")).alias("id"), F.concat(F.lit("d"), text("user_id")).alias("documentId"), F.lit("n").alias("documentName"), text("event_id").alias("chunkIndex"), F.lit("c").alias("content"), page.alias("page"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("").alias("sectionTitle"))
     decoded = files.decode_entities(table(spark, sf_dir, "events").select(F.to_json(record).alias("json")))
-    return decoded.select("id", "document_id", "chunk_index", "page", "section_title", F.size("embedding").alias("dimensions"))
+    return decoded.select("id", "document_id", "chunk_index", F.coalesce("page", F.lit(-1)).alias("page"), "section_title", F.size("embedding").alias("dimensions"))
 
 
-@query("error_classify", """SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 429 WHEN event_id % 4 = 1 THEN 403 WHEN event_id % 4 = 2 THEN 503 END AS INT) AS status,
+@query("error_classify", """SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 429 WHEN event_id % 4 = 1 THEN 403 WHEN event_id % 4 = 2 THEN 503 ELSE 0 END AS INT) AS status,
 CASE WHEN event_id % 5 = 0 THEN 'cannotDownloadAbusiveFile' WHEN event_id % 5 = 1 THEN 'exportSizeLimitExceeded' ELSE 'unknown' END AS reason, event_id % 4 IN (0, 2) AS retriable FROM events WHERE event_type = 'error'""")
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as responses of a service: JSON bodies, broken ones, and none."""
@@ -158,7 +158,7 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     status: Column = F.coalesce(code(0, 429), code(1, 403))
     rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", body.alias("body"), status.alias("response_status"), F.when(F.col("event_id") % 4 < 3, 503).alias("direct_status"))
     silent = rows.withColumn("body", F.when((F.col("event_id") % 4 == 3) & (k == 0), F.replace("body", F.lit('"code": 403, '), F.lit(""))).otherwise(F.col("body")))
-    return files.classified(silent).select("event_id", "status", "reason", "retriable")
+    return files.classified(silent).select("event_id", F.coalesce("status", F.lit(0)).alias("status"), "reason", "retriable")
 
 
 @query("format_bytes", """SELECT o_orderkey, CASE WHEN n < 1024 THEN CAST(n AS STRING) || ' B' WHEN n < 1048576 THEN CAST(CAST(CAST(n / 1024.0E0 AS DECIMAL(30, 10)) AS DECIMAL(30, 1)) AS STRING) || ' KiB'
