@@ -75,6 +75,32 @@ def grown(ranked: DataFrame, pool: int) -> DataFrame:
     return found
 
 
+def hybrid(chunks: DataFrame, dense: DataFrame, sparse: DataFrame, pool: int) -> DataFrame:
+    """The chunks of two lists (ordinal, rank from 1) by reciprocal ranks, of the first level of
+    candidates that holds ``pool`` documents, that the lists cannot fill, or that is the last.
+
+    At each level both lists are as long as it. No more than ``MOST`` rows of a list reach the
+    driver; the chunks are read once, by the ordinals found."""
+    spark = chunks.sparkSession
+    lists = [[tuple(r) for r in x.select("ordinal", "rank").filter(F.col("rank") <= MOST).limit(MOST).collect()] for x in (dense, sparse)]
+    found = spark.createDataFrame(sorted({(o,) for x in lists for o, _ in x}), "ordinal long")
+    held = chunks.drop("embedding").join(F.broadcast(found), "ordinal", "left_semi")
+    rows = held.collect()
+    document = {r["ordinal"]: r["document_id"] for r in rows}
+    best: list[tuple[int, float]] = []
+    for level in levels(pool):
+        scores: dict[int, float] = {}
+        for listed in lists:
+            for ordinal, rank in listed:
+                if rank <= level and ordinal in document:
+                    scores[ordinal] = scores.get(ordinal, 0.0) + 1.0 / (RRF + rank)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:level]
+        if len({document[o] for o, _ in best}) >= pool or len(best) < level:
+            break
+    scored = spark.createDataFrame(best, "ordinal long, score double")
+    return spark.createDataFrame(rows, held.schema).join(F.broadcast(scored), "ordinal")
+
+
 def rerank(results: DataFrame, relevance: Column, limit: int) -> DataFrame:
     """Results by another relevance; the retrieval score stays."""
     return results.withColumn("relevance", relevance).orderBy(F.desc("relevance"), F.desc("score"), "document_id").limit(limit)

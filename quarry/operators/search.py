@@ -123,10 +123,10 @@ def search(
     top = retrieval.dense_topk(chunks, provider.embed_query(request.query), retrieval.MOST)
     ranked = top.withColumn("rank", F.row_number().over(order))
     if sparse:
-        lists = [ranked.select("ordinal", "rank"), sparse(request.query, retrieval.MOST)]
-        fused = retrieval.rrf(lists, "ordinal", retrieval.MOST)
-        ranked = chunks.drop("embedding").join(F.broadcast(fused), "ordinal").withColumn("rank", F.row_number().over(order))
-    found = retrieval.grouped(retrieval.grown(ranked, wanted), wanted).withColumn("score_type", F.lit("rrf" if sparse else "cosine"))
+        matches = retrieval.hybrid(chunks, ranked, sparse(request.query, retrieval.MOST), wanted)
+    else:
+        matches = retrieval.grown(ranked, wanted)
+    found = retrieval.grouped(matches, wanted).withColumn("score_type", F.lit("rrf" if sparse else "cosine"))
     results = None
     if relevance:
         try:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as X
 from quarry.functions import text
-from quarry.operators import chunking, embedding, evaluation, search
+from quarry.operators import chunking, embedding, evaluation, retrieval, search
 from quarry.plans import registry
 from quarry.plans.fixtures import PDF, SLIDES
 from quarry.sources import files
@@ -223,6 +223,25 @@ def test_search(spark):
         search.search(chunks, request, provider, lambda q, d: d, pool=51)
 
 
+def test_hybrid_lists_grow_together(spark):
+    chunks = spark.createDataFrame([("a" if k < 120 else f"d{k}", k, [1.0]) for k in range(600)], "document_id string, ordinal long, embedding array<double>")
+    dense = chunks.select("ordinal", (F.col("ordinal") + 1).cast("int").alias("rank"))
+    sparse = chunks.filter("ordinal < 300").select("ordinal", (300 - F.col("ordinal")).cast("int").alias("rank"))
+
+    def plain(level):
+        score = {}
+        for k in range(600):
+            for rank in [k + 1] + ([300 - k] if k < 300 else []):
+                if rank <= level:
+                    score[k] = score.get(k, 0) + 1 / (60 + rank)
+        return dict(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:level])
+
+    for pool, level in ((5, 100), (150, 500)):
+        got = {r.ordinal: r.score for r in retrieval.hybrid(chunks, dense, sparse, pool).collect()}
+        assert got == pytest.approx(plain(level))
+    assert retrieval.hybrid(chunks.limit(0), dense, sparse.limit(0), 5).count() == 0
+
+
 def test_rerank_text(spark):
     row = spark.createDataFrame([("n", "", 2, None, "body", ["p", "q", "r"])], "name string, section string, page int, slide int, content string, related array<string>")
     got = row.select(search.rerank_text(*[F.col(c) for c in row.columns])).first()[0]
