@@ -125,7 +125,7 @@ both("delete_document", STORES + " SELECT * FROM stored WHERE document_id <> 'd3
 both("meta_upsert", SNAPS + """
 SELECT coalesce(c.id, o.id) AS id, coalesce(c.modified, o.modified) AS modified, c.id IS NOT NULL AS is_active FROM old o FULL OUTER JOIN cur c ON c.id = o.id""")
 both("state_update", SNAPS + " SELECT o.id, CASE WHEN c.id IS NULL THEN false ELSE true END AS is_active, CASE WHEN c.modified = o.modified THEN true ELSE false END AS is_indexed FROM old o LEFT JOIN cur c ON c.id = o.id")
-both("location_enrich", WITH + ", hits AS (SELECT 'f' || lpad(CAST(doc_id AS STRING), 7, '0') AS id FROM {documents} WHERE doc_id % 50 = 0) SELECT h.id, NULLIF(f.parent, '') AS folder FROM hits h LEFT JOIN files f ON f.id = h.id")
+both("location_enrich", WITH + ", hits AS (SELECT 'f' || lpad(CAST(doc_id AS STRING), 7, '0') AS id FROM {documents}) SELECT h.id, NULLIF(f.parent, '') AS folder FROM hits h LEFT JOIN files f ON f.id = h.id")
 both("migration_split", WITH + " SELECT count(*) AS candidates, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) AS same_store, count(CASE WHEN doc_id % 3 <> 0 AND size = 0 THEN 1 END) AS empty FROM files WHERE " + SUPPORTED)
 
 # -- logs and feedback --------------------------------------------------------------------
