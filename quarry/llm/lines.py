@@ -1,11 +1,10 @@
 """Line dedup: an exact set-similarity join of all lines, later matches removed.
 
-A line's tokens are its five-word shingles (the whole of a shorter line is one token), so
-that a rare token says more than a rare word would: with single words the prefixes of
-unrelated lines meet so often that candidates grow with the square of the corpus. Tokens
-are ordered by rarity (the length of their lists); ``setjoin`` finds the lines whose
-prefixes share a token at sizes that allow a link, and each task joins its lines by PPJoin: prefix index, length filter,
-positional filter, then the exact Jaccard similarity, 0.8 or more.
+A line's tokens are its words, repeats numbered, in order of rarity. ``wordjoin`` finds the
+lines that share a prefix token and pass the length, positional and bitmap filters, and each
+task joins its lines by PPJoin: prefix index, length filter, positional filter, then the exact
+Jaccard similarity, 0.8 or more. ``removed_lines`` can take five-word shingles as tokens instead
+(the whole of a shorter line is one), whose candidates ``setjoin`` finds; no query does.
 
 A line is removed if an earlier line, by (doc_id, line number), is equal in tokens or
 similar to it, whether that one is kept or not. Lines without words are kept. Null text is
@@ -25,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import wordjoin
 from quarry.llm.common import bitmap, in_bitmap, lean, mix, slices, small_batches, spill, table
 from quarry.llm.jaccard import WORDS
 from quarry.llm.setjoin import candidates, first_number, links, met, needed, prefix_size, spare, tasks
@@ -88,15 +88,45 @@ class Lines:
             two = np.add.reduceat(mix(self.key ^ np.uint64(0x5851F42D4C957F2D)), self.start)
         return mix(one).view(np.int64), mix(two).view(np.int64)
 
-    def prefixes(self, wanted: np.ndarray) -> pa.Array:
+    def prefixes(self, wanted: np.ndarray, eighths: int = EIGHTHS) -> pa.Array:
         """The prefix of each line as bytes, null where not ``wanted``."""
-        size = np.where(wanted, prefix_size(self.size) + spare(self.size, EIGHTHS), 0)
+        size = np.where(wanted, prefix_size(self.size) + spare(self.size, eighths), 0)
         at = np.repeat(self.start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64) * 8
         valid = np.packbits(wanted, bitorder="little")
         return pa.Array.from_buffers(pa.large_binary(), len(size), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.key[at].tobytes())]).cast(pa.binary())
 
 
+class WordLines(Lines):
+    """The multisets of words of an array of lines: a word's second, third, ... place in its
+    line are tokens of their own, which follow the first in order."""
+
+    def __init__(self, flat: pa.Array, classes: np.ndarray):
+        offsets, hashes = word_hashes(flat)
+        many = np.diff(offsets)
+        key = wordjoin.ordered(hashes, classes)
+        order = np.argsort(many, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(many[order])) + 1):  # lines of as many words
+            if len(rows) and many[rows[0]] > 1:
+                at = offsets[rows][:, None] + np.arange(many[rows[0]])
+                key[at] = np.sort(key[at], axis=1)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.lines = np.flatnonzero(many > 0)
+        self.start, self.size = offsets[:-1][self.lines], many[self.lines]
+        new[self.start] = True
+        first = np.flatnonzero(new)
+        times = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        with np.errstate(over="ignore"):
+            self.key = np.where(new, key, mix(key + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def sketches(self, wanted: np.ndarray) -> pa.Array:
+        """The sketch of each line as bytes, null where not ``wanted``."""
+        if not len(self.start):
+            return pa.array([], pa.binary())
+        return pa.array([x.tobytes() if w else None for x, w in zip(wordjoin.sketches(self.key, self.start), wanted.tolist(), strict=True)], pa.binary())
+
+
 def by_rarity(sets: list[np.ndarray]) -> list[np.ndarray]:
     """The sets with tokens numbered by how many of the sets have them, rarest first."""
     codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
@@ -139,34 +169,40 @@ def _verify(rows: list[tuple]) -> list[tuple]:
     return [rows[x][:2] for x in ppjoin(sets, [r[:2] for r in rows])]
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some.
-    ``doc`` is the id, the greatest long for null."""
+    ``doc`` is the id, the greatest long for null. Tokens are words with ``words``, else shingles."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    classes_of_words = wordjoin.word_classes(rows) if words else None
+
+    def sets_of(lines: pa.Array) -> Lines:
+        return WordLines(lines, classes_of_words) if words else Lines(lines)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = first_number()
         seen: set[tuple[int, int]] = set()  # sets that this task has posted
         for batch in slices(batches):
             lines, text, numbers = cut(batch.column(1))
-            found = Lines(lines)
+            found = sets_of(lines)
             node, check = found.sums()
             first = np.zeros(len(node), bool)
             for k, mark in enumerate(zip(node.tolist(), check.tolist(), strict=True)):
                 if mark not in seen:
                     seen.add(mark)
                     first[k] = True
+            if words:
+                first &= found.size >= wordjoin.LEAST
             doc = batch.column(0).to_numpy()[text[found.lines]]
             number = numbers[found.lines].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid + np.arange(len(doc))), pa.array(doc), pa.array(number), pa.array(found.size), pa.array(node), pa.array(check), found.prefixes(first)],
-                names=["rid", "doc", "line", "n", "node", "check", "prefix"],
+                [pa.array(rid + np.arange(len(doc))), pa.array(doc), pa.array(number), pa.array(found.size), pa.array(node), pa.array(check), *((found.prefixes(first, 0), found.sketches(first)) if words else (found.prefixes(first),))],
+                names=["rid", "doc", "line", "n", "node", "check", "prefix", *(["sketch"] if words else [])],
             )
             rid += len(doc)
 
-    described = spill(rows.mapInArrow(lean(describe), "rid long, doc long, line int, n long, node long, check long, prefix binary"), "lines")
-    near = candidates(described, EIGHTHS)
+    described = spill(rows.mapInArrow(lean(describe), "rid long, doc long, line int, n long, node long, check long, prefix binary" + (", sketch binary" if words else "")), "lines")
+    near = wordjoin.candidates(described) if words else candidates(described, EIGHTHS)
     classes = described.groupBy("node", "check", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
     classes = spill(classes, "classes")
     placed = described.join(near.withColumnRenamed("node", "rid"), "rid").groupBy("node", "check").agg(F.min("component").alias("component"))
@@ -186,7 +222,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             some = np.flatnonzero(in_bitmap(bits, place_hash(doc, numbers)))
             if not len(some):
                 continue
-            found = Lines(lines.take(pa.array(some)))
+            found = sets_of(lines.take(pa.array(some)))
             node, check = found.sums()
             keys = [found.key[a : a + n].tobytes() for a, n in zip(found.start.tolist(), found.size.tolist(), strict=True)]
             at = some[found.lines]
@@ -204,7 +240,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; ``n_chars`` follows the new text. Documents that
     lose all their lines go."""
-    gone = removed_lines(docs)
+    gone = removed_lines(docs, words=True)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     joined = docs.withColumn("doc_key_", key).join(gone.select(F.col("doc").alias("doc_key_"), F.col("lines").alias("lines_gone_")), "doc_key_", "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("lines_gone_", k)), "\n")
@@ -217,7 +253,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row for each document: its lines, how many go, and their numbers."""
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs).withColumnRenamed("doc", "doc_id")
+    gone = removed_lines(docs, words=True).withColumnRenamed("doc", "doc_id")
     lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
     out = lines.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines")
