@@ -4,8 +4,11 @@ Documents with one set are one record (their links are certain); records that ma
 found and brought together by ``setjoin``. There each record is a T-occurrence query against
 the inverted lists of its task by DivideSkip: with the least overlap T that any partner
 needs, the L longest lists are set aside, the short ones are merged, records with T - L
-occurrences stay, and each of them is probed by binary search for the tokens of the long
-lists. Records already connected are not probed again. The intersections are exact.
+occurrences stay and are probed for the tokens of the long lists: by binary search, or, where
+that costs more, by a merge of these lists too. The intersections are exact. All links between
+different sets are found; each task hands on the number of linked documents of each of its
+records and a forest of the links, never the pairs. ``keep_first`` needs components only and
+passes over records already connected.
 
 A null or blank text has no words, an empty set, and links with nothing. A text of fewer
 than five words is one shingle. Ids are taken to be unique; rows that share one each have the
@@ -15,6 +18,7 @@ component of their own text. A row with a null id has a null component. Repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bitmap, in_bitmap, lean, mix, slices, small_batches, spill, table
-from quarry.llm.components import components
-from quarry.llm.setjoin import candidates, first_number, links, met, prefix_size, signature, spare, tasks
+from quarry.llm.components import components, forest
+from quarry.llm.setjoin import PERCENT, candidates, first_number, met, prefix_size, signature, spare, tasks
 from quarry.llm.tokens import shingle_sets
 
 WORDS = 5
@@ -31,8 +35,10 @@ WORDS = 5
 MU = 0.0085
 
 
-def divide_skip(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (pairs of numbers of ``sets``) that connect whatever is connected."""
+def linked(sets: list[np.ndarray], apart: np.ndarray | None = None, every: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a set, numbers of the sets linked to it), each link once; with ``apart`` only
+    links between sets of different values there. Without ``every``, links that connect whatever
+    is connected."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     bounds = np.concatenate(([0], np.cumsum(sizes)))
@@ -40,9 +46,17 @@ def divide_skip(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     lists = owner[np.argsort(codes, kind="stable")]
     lengths = np.bincount(codes)
     ends = np.cumsum(lengths)
+    whole = owner * len(lengths) + codes  # ascending, since sets are sorted
     root = np.arange(len(sets))
-    out = []
+    done = np.zeros(len(sets), bool)
+
+    def merged(tokens: np.ndarray) -> np.ndarray:
+        many = lengths[tokens]
+        at = np.repeat(ends[tokens] - many, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.bincount(lists[at], minlength=len(sets))
+
     for q in np.argsort(sizes, kind="stable").tolist():
+        done[q] = True
         n = int(sizes[q])
         if not n:
             continue
@@ -50,34 +64,61 @@ def divide_skip(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         own = own[np.argsort(lengths[own], kind="stable")]
         least = -(-n * 80 // 100)
         skip = min(least - 1, int(least / (MU * np.log2(max(lengths[own[-1]], 2)) + 1)))
-        short, long = own[: n - skip], np.sort(own[n - skip :])
+        short, long = own[: n - skip], own[n - skip :]
         short = short[lengths[short] > 1]
         if not len(short):
             continue
-        many = lengths[short]
-        at = np.repeat(ends[short] - many, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        seen = np.bincount(lists[at], minlength=len(sets))
-        found = np.flatnonzero((seen >= least - skip) & (root != root[q]) & (sizes * 100 >= sizes[q] * 80) & (sizes * 80 <= sizes[q] * 100))
-        for c in found.tolist():
-            if root[c] == root[q]:
-                continue
-            theirs = codes[bounds[c] : bounds[c + 1]]  # sorted, since sets are
-            place = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
-            shared = int(seen[c]) + int(np.count_nonzero(theirs[place] == long))
-            if links(n, int(sizes[c]), shared):
-                out.append((q, c))
-                root[root == root[c]] = root[q]
-    return out
+        seen = merged(short)
+        open_ = ~done if every else root != root[q]
+        if apart is not None:
+            open_ &= apart != apart[q]
+        found = np.flatnonzero((seen >= least - skip) & open_ & (sizes * 100 >= sizes[q] * 80) & (sizes * 80 <= sizes[q] * 100))
+        if not len(found):
+            continue
+        if len(found) * len(long) * 10 > lengths[long].sum() + len(sets):
+            shared = (seen + merged(long))[found]
+        else:
+            wanted = (found[:, None] * len(lengths) + np.sort(long)).reshape(-1)
+            place = np.minimum(np.searchsorted(whole, wanted), len(whole) - 1)
+            shared = seen[found] + np.count_nonzero((whole[place] == wanted).reshape(len(found), -1), axis=1)
+        found = found[100 * shared >= PERCENT * (n + sizes[found] - shared)]
+        if len(found):
+            yield q, found
+            if not every:
+                root[np.isin(root, root[found])] = root[q]
 
 
-def _verify(rows: list[tuple]) -> list[tuple]:
-    rows.sort(key=lambda r: r[:3])
-    pairs = divide_skip([np.frombuffer(r[3], dtype=np.uint64) for r in rows])
-    return [(rows[x][0], rows[y][0]) for x, y in pairs]
+def divide_skip(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """All links, as pairs of numbers of ``sets``."""
+    return [(q, c) for q, found in linked(sets) for c in found.tolist()]
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+def _verify(rows: list[tuple], every: bool = True) -> list[tuple]:
+    """Rows (first, node, check, docs, block, cross, keys): edges (a, b, 0) that connect the linked
+    ones, and (a, a, number of documents linked to a by this task)."""
+    rows.sort(key=lambda r: r[:3])
+    first, docs = (np.array([r[k] for r in rows], np.int64) for k in (0, 3))
+    apart = np.unique([r[4] for r in rows], return_inverse=True)[1] if rows[0][5] else None
+    counts, a, b = np.zeros(len(rows), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pending, waiting = [(a, b)], 0
+
+    for q, found in linked([np.frombuffer(r[6], dtype=np.uint64) for r in rows], apart, every):
+        counts[q] += docs[found].sum()
+        counts[found] += docs[q]
+        pending.append((np.full(len(found), q), found))
+        waiting += len(found)
+        if waiting > 1_000_000:
+            a, b = forest(*map(np.concatenate, zip(*pending, strict=True)))
+            pending, waiting = [(a, b)], 0
+    a, b = forest(*map(np.concatenate, zip(*pending, strict=True)))
+    some = np.flatnonzero(counts)
+    nothing = [0] * len(a)
+    return [*zip(first[a].tolist(), first[b].tolist(), nothing, strict=True), *zip(first[some].tolist(), first[some].tolist(), counts[some].tolist(), strict=True)]
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row: the number of other documents
+    linked to it, copies included, null for a null id. Without ``every`` there is no n_links."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -99,10 +140,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     described = spill(rows.mapInArrow(lean(describe), "rid long, doc_id long, n long, node long, check long, prefix binary"), "shingles")
     near = candidates(described)
-    classes = described.filter("n > 0 and doc_id is not null").groupBy("node", "check", "n").agg(F.min("doc_id").alias("first"))
+    classes = described.filter("n > 0 and doc_id is not null").groupBy("node", "check", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"))
     classes = spill(classes, "classes")
     placed = described.join(near.withColumnRenamed("node", "rid"), "rid").groupBy("node", "check").agg(F.min("component").alias("component"))
-    assigned = spill(tasks(classes.join(placed, ["node", "check"])), "assigned")
+    assigned = tasks(classes.join(placed, ["node", "check"])).withColumn("cross", F.expr("task not in ('all', concat_ws('.', block, block))"))
+    assigned = spill(assigned, "assigned")
     bits = _id_bits(assigned)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +162,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     key = ["first", "node", "check"]
     sets = rows.mapInArrow(lean(full), "first long, node long, check long, keys binary")
-    pairs = met(assigned, sets, key, key, _verify, "a long, b long")
-    joined = components(pairs)
-    own = classes.join(joined.withColumnRenamed("node", "first"), "first", "left").select("node", "check", F.coalesce("component", "first").alias("class_id"))
-    out = described.join(own, ["node", "check"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"))
+    found = spill(met(assigned, sets, key, [*key, "docs", "block", "cross"], partial(_verify, every=every), "a long, b long, links long"), "links")
+    joined = components(found)
+    own = classes.join(joined.withColumnRenamed("node", "first"), "first", "left").withColumn("class_id", F.coalesce("component", "first"))
+    columns = []
+    if every:
+        counts = found.filter("links > 0").groupBy(F.col("a").alias("first")).agg(F.sum("links").alias("links"))
+        own = own.join(counts, "first", "left").withColumn("class_links", F.col("docs") - 1 + F.coalesce("links", F.lit(0)))
+        columns = [F.when(F.col("doc_id").isNotNull(), F.coalesce("class_links", F.lit(0))).alias("n_links")]
+    out = described.join(own.select("node", "check", "class_id", *(["class_links"] if every else [])), ["node", "check"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"), *columns)
 
 
 def _id_bits(assigned: DataFrame) -> np.ndarray:
@@ -139,11 +186,16 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of least id of each component."""
-    gone = link_components(docs).filter("component_id < doc_id").select("doc_id").distinct()
+    gone = link_components(docs, every=False).filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """The columns of the SQL twin; ``op5_link_counts`` has the numbers of links too."""
+    return link_components(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def op5_link_counts(spark, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 

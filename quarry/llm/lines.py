@@ -207,7 +207,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = spill(classes, "classes")
     placed = described.join(near.withColumnRenamed("node", "rid"), "rid").groupBy("node", "check").agg(F.min("component").alias("component"))
     members = classes.join(placed, ["node", "check"]).select("component", "n", "node", "check", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
-    assigned = spill(tasks(members), "assigned")
+    assigned = spill(tasks(members).drop("block"), "assigned")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
         "op4_lm_scores": ngram_lm.op4_lm_scores,
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+        "op5_link_counts": jaccard.op5_link_counts,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_html_extraction": html.op8_html_extraction,

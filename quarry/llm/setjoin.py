@@ -233,7 +233,8 @@ def _ranked_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 def tasks(members: DataFrame) -> DataFrame:
     """``members`` (component, n, key columns) with the ``task`` column: a row for each task
-    that has to see the record. Small components are one task, single records none."""
+    that has to see the record, and its ``block``. Small components are one task, single records
+    none. Pairs of one block are at home in its task 'block.block', those of two in their common one."""
     classed = members.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int"))
     sums = classed.groupBy("component", "size_class").agg(F.sum("n").alias("tokens"), F.count("*").alias("records"))
     whole = sums.groupBy("component").agg(F.sum("records").alias("records"), F.sum("tokens").alias("all_tokens"), F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")))).alias("salts"))
@@ -246,7 +247,7 @@ def tasks(members: DataFrame) -> DataFrame:
     other = f"""flatten(transform(array(1, 2), d -> transform(sequence(0, coalesce(try_element_at(salts, size_class - d), 0)),
               o -> if(o = coalesce(try_element_at(salts, size_class - d), 0), null, concat_ws('.', size_class - d, o, size_class, s)))))"""
     places = F.when(F.col("all_tokens") <= BLOCK_TOKENS, F.array(F.lit("all"))).otherwise(F.expr(f"array_distinct(filter(concat({own}, {other}), x -> x is not null))"))
-    placed = joined.withColumn("s", F.expr(salt)).withColumn("task", F.explode(places))
+    placed = joined.withColumn("s", F.expr(salt)).withColumn("task", F.explode(places)).withColumn("block", F.concat_ws(".", "size_class", "s"))
     return placed.drop("salts", "s", "all_tokens", "size_class")
 
 
