@@ -1,13 +1,17 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each sentence is normalised (lower case, every run of other
-characters than a-z and 0-9 one blank) and looked up among known licence sentences; the
-sequence of identifiers found is then matched against ordered rules, each a sequence of
+A text is cut into sentences, at end marks and blank lines, so that a sentence may be wrapped
+over lines (and comment signs). Each sentence is normalised (lower case, every run of other
+characters than a-z and 0-9 one blank) and looked up among known licence sentences; if it is
+none of them, its lines are looked up one by one. The sequence of identifiers found is then matched against ordered rules, each a sequence of
 identifiers that must follow one another. The first rule that matches is the document's
 licence, all that match are listed.
 
 Null and empty texts have no sentences and no licence. Repeated rows each get a row.
 There is no shuffle: every row is decided by itself.
+
+The SQL twin cuts at every newline and knows ``SENTENCES`` and ``RULES`` only: it agrees where
+no licence notice is wrapped and none of ``WHOLE_SENTENCES`` occurs.
 """
 
 from __future__ import annotations
@@ -56,25 +60,51 @@ RULES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "cc-by-sa-4"),
     ("CC-BY-4.0", "cc-by-4"),
 ]
-#: Ends of sentences.
-SENTENCE_END = r"[.!?;:]+\s+|\n+"
-#: Every known sentence has one of these; other texts are not cut up.
-SIGN = "(?i)licen[sc]e|redistribut|permission|free software|later version"
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+# Sentences as the whole notices have them, besides SENTENCES.
+WHOLE_SENTENCES: dict[str, str] = {
+    f"{_TERMS} either version 3 of the license or at your option any later version": "gpl-terms-v3-later",
+    f"{_TERMS} either version 2 of the license or at your option any later version": "gpl-terms-v2-later",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+}
+# Rules for them, before those of RULES.
+WHOLE_RULES: list[tuple[str, str]] = [
+    ("GPL-3.0-or-later", "gpl-free gpl-terms-v3-later"),
+    ("GPL-2.0-or-later", "gpl-free gpl-terms-v2-later"),
+    ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-names"),
+]
+#: Ends of sentences: marks, and lines without a letter or digit.
+SENTENCE_END = r"[.!?;:]+\s+|\n[^A-Za-z0-9\n]*\n"
+#: Every known sentence has one of these; other texts are not cut up. Line ends may come in between.
+SIGN = "(?i)licen[sc]e|redistribut|permission|free[^a-z0-9]+software|later[^a-z0-9]+version"
+#: Whoever is named there.
+NAMES = "^neither the name of .+ nor the names of its contributors may"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in text order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    cut = F.split(text, SENTENCE_END)
-    ids = F.transform(F.filter(cut, lambda s: s.rlike(SIGN)), lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.when(text.rlike(SIGN), F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | WHOLE_SENTENCES).items() for x in pair])
+
+    def look_up(part: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))
+        return F.try_element_at(known, F.regexp_replace(plain, NAMES, "neither the name of the copyright holder nor the names of its contributors may"))
+
+    def ids(part: Column) -> Column:
+        return F.when(look_up(part).isNotNull(), F.array(look_up(part))).otherwise(F.transform(F.split(part, "\n"), look_up))
+
+    found = F.flatten(F.transform(F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(SIGN)), ids))
+    return F.when(text.rlike(SIGN), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, licenses, sentence_ids, n_sentences): license is null where no rule matches."""
     found = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
     sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    hits = [F.when(sequence.contains(f" {rule} "), F.lit(name)) for name, rule in RULES]
+    hits = [F.when(sequence.contains(f" {rule} "), F.lit(name)) for name, rule in WHOLE_RULES + RULES]
     matched = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
     return found.select(
         "doc_id",
