@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one step of a Python operator holds at once.
 ROWS_AT_ONCE = 500
-#: 64-bit words of a membership bitmap: 2**17 words are 1 MiB, whatever the input.
-BITMAP_WORDS = 1 << 17
+#: 64-bit words of a membership bitmap: a quarter of the members, from 1 to 16 MiB.
+LEAST_BITMAP, MOST_BITMAP = 1 << 17, 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,17 +29,33 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
+def spill(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that
-    survives the loss of executors."""
+    survives the loss of executors. ``folders`` names a column of few values with a folder each."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(folders) if folders else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where a column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        own = f"{name}_"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -107,12 +123,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bitmap(df: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of the long column ``key`` (a hash). Its size is fixed, so it may be
-    sent to every task; what it lets pass by chance only costs time, since every user
-    joins exactly afterwards."""
-    word = F.pmod(F.col(key), F.lit(BITMAP_WORDS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.col(key), 17), F.lit(64)).cast("int"))
-    out = np.zeros(BITMAP_WORDS, dtype=np.uint64)
+    """A bitmap of the long column ``key`` (a hash) of a stored table. Its size follows the number
+    of members up to a fixed one, so it may be sent to every task; what it lets pass by chance only
+    costs time, since every user joins exactly afterwards."""
+    words = min(MOST_BITMAP, max(LEAST_BITMAP, 1 << (df.count() // 4).bit_length()))
+    word = F.pmod(F.col(key), F.lit(words))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.col(key), 40), F.lit(64)).cast("int"))
+    out = np.zeros(words, dtype=np.uint64)
     rows = df.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
@@ -121,8 +138,8 @@ def bitmap(df: DataFrame, key: str) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the int64 ``keys`` may be members."""
     keys = keys.astype(np.int64)
-    shift = ((keys >> 17) % 64).astype(np.uint64)
-    return (bits[keys % BITMAP_WORDS] >> shift) & np.uint64(1) == 1
+    shift = ((keys >> 40) % 64).astype(np.uint64)
+    return (bits[keys % len(bits)] >> shift) & np.uint64(1) == 1
 
 
 def pack(array: np.ndarray) -> bytes:

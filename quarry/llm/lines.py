@@ -3,14 +3,14 @@
 A line's tokens are its words, repeats numbered, in order of rarity. ``wordjoin`` finds the
 lines that share a prefix token and pass the length, positional and bitmap filters, and each
 task joins its lines by PPJoin: prefix index, length filter, positional filter, then the exact
-Jaccard similarity, 0.8 or more. ``removed_lines`` can take five-word shingles as tokens instead
-(the whole of a shorter line is one), whose candidates ``setjoin`` finds; no query does.
+Jaccard similarity, 0.8 or more.
 
 A line is removed if an earlier line, by (doc_id, line number), is equal in tokens or
 similar to it, whether that one is kept or not. Lines without words are kept. Null text is
 empty. Null ids come last and count as one document; rows that share an id are one document
 and each get its result. Rows whose text loses all its lines keep the empty text, and
-``dedup`` drops them.
+``dedup`` drops them. Very long texts are taken whole, a slice of rows at a time; an empty
+table gives an empty result; other columns are ignored, or handed on by ``dedup``.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import wordjoin
-from quarry.llm.common import bitmap, in_bitmap, lean, mix, slices, small_batches, spill, table
-from quarry.llm.jaccard import WORDS
-from quarry.llm.setjoin import candidates, first_number, links, met, needed, prefix_size, spare, tasks
-from quarry.llm.tokens import compact, grams, word_hashes
+from quarry.llm.common import bitmap, fresh, in_bitmap, lean, mix, pack, partitions, slices, small_batches, spill, table, unpack
+from quarry.llm.setjoin import POSTINGS_AT_ONCE, links, met, needed, prefix_size, tasks
+from quarry.llm.tokens import compact, word_hashes
+from quarry.llm.wordjoin import AGAIN, LEAST, LINES, PACKED, POSTINGS
 
 _LAST = (1 << 63) - 1
-#: Spare prefix tokens, in eighths of the least overlap: lines are short and share little by chance.
-EIGHTHS = 1
+#: Lines that a task holds before it sends them.
+LINES_AT_ONCE = 200_000
 
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -50,56 +50,9 @@ def place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
         return mix(mix(doc.astype(np.uint64)) + number.astype(np.uint64)).view(np.int64)
 
 
-class Lines:
-    """The token sets of an array of lines, in flat arrays."""
-
-    def __init__(self, flat: pa.Array):
-        offsets, hashes = word_hashes(flat)
-        many = np.diff(offsets)
-        count = np.where(many >= WORDS, many - WORDS + 1, many > 0)
-        ends = np.cumsum(count)
-        begin = ends - count
-        key = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-        for size in range(1, WORDS):
-            short = np.flatnonzero(many == size)
-            if len(short):
-                key[begin[short]] = grams(hashes, size)[offsets[short]]
-        windows = grams(hashes, WORDS)
-        order = np.argsort(many, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(many[order])) + 1):  # lines of as many words
-            n = int(many[rows[0]]) - WORDS + 1 if len(rows) else 0
-            if n > 0:
-                step = np.arange(n)
-                key[begin[rows][:, None] + step] = np.sort(windows[offsets[rows][:, None] + step], axis=1)
-        line = np.repeat(np.arange(len(flat)), count)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        self.key, line = key[new], line[new]
-        self.start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-        self.lines = line[self.start]  # lines with words
-        self.size = np.diff(np.append(self.start, len(self.key)))
-
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit signatures of each line's set."""
-        if not len(self.start):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            one = np.add.reduceat(mix(self.key), self.start)
-            two = np.add.reduceat(mix(self.key ^ np.uint64(0x5851F42D4C957F2D)), self.start)
-        return mix(one).view(np.int64), mix(two).view(np.int64)
-
-    def prefixes(self, wanted: np.ndarray, eighths: int = EIGHTHS) -> pa.Array:
-        """The prefix of each line as bytes, null where not ``wanted``."""
-        size = np.where(wanted, prefix_size(self.size) + spare(self.size, eighths), 0)
-        at = np.repeat(self.start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64) * 8
-        valid = np.packbits(wanted, bitorder="little")
-        return pa.Array.from_buffers(pa.large_binary(), len(size), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.key[at].tobytes())]).cast(pa.binary())
-
-
-class WordLines(Lines):
-    """The multisets of words of an array of lines: a word's second, third, ... place in its
-    line are tokens of their own, which follow the first in order."""
+class WordLines:
+    """The multisets of words of an array of lines, in flat arrays: a word's second, third, ...
+    place in its line are tokens of their own, which follow the first in order."""
 
     def __init__(self, flat: pa.Array, classes: np.ndarray):
         offsets, hashes = word_hashes(flat)
@@ -112,19 +65,32 @@ class WordLines(Lines):
                 key[at] = np.sort(key[at], axis=1)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        self.lines = np.flatnonzero(many > 0)
+        self.lines = np.flatnonzero(many > 0)  # lines with words
         self.start, self.size = offsets[:-1][self.lines], many[self.lines]
         new[self.start] = True
         first = np.flatnonzero(new)
         times = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
         with np.errstate(over="ignore"):
-            self.key = np.where(new, key, mix(key + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            again = key & wordjoin.CLASS | mix(key + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(4)
+        self.key = np.where(new, key, again)
 
-    def sketches(self, wanted: np.ndarray) -> pa.Array:
-        """The sketch of each line as bytes, null where not ``wanted``."""
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit signatures of each line's set."""
         if not len(self.start):
-            return pa.array([], pa.binary())
-        return pa.array([x.tobytes() if w else None for x, w in zip(wordjoin.sketches(self.key, self.start), wanted.tolist(), strict=True)], pa.binary())
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            one = np.add.reduceat(mix(self.key), self.start)
+            two = np.add.reduceat(mix(self.key ^ np.uint64(0x5851F42D4C957F2D)), self.start)
+        return mix(one), mix(two)
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, number of the set, place) of the prefix tokens that another line may have."""
+        size = np.where(self.size >= LEAST, prefix_size(self.size), 0)
+        own = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        token = self.key[self.start[own] + place]
+        some = token >> np.uint64(60) > wordjoin.SINGLE
+        return token[some], own[some], place[some]
 
 
 def by_rarity(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -169,44 +135,85 @@ def _verify(rows: list[tuple]) -> list[tuple]:
     return [rows[x][:2] for x in ppjoin(sets, [r[:2] for r in rows])]
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
-    """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some.
-    ``doc`` is the id, the greatest long for null. Tokens are words with ``words``, else shingles."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
-    classes_of_words = wordjoin.word_classes(rows) if words else None
-
-    def sets_of(lines: pa.Array) -> Lines:
-        return WordLines(lines, classes_of_words) if words else Lines(lines)
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = first_number()
-        seen: set[tuple[int, int]] = set()  # sets that this task has posted
+def _describe(rarity: wordjoin.Rarity, shards: int):
+    """Packed rows of three kinds: the postings of each set and its first line, by shard, and the
+    lines whose set the task has met at an earlier place."""
+
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, check, n, doc, line, sketch, token, own, place = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((line, doc, check, node))
+        new = np.ones(len(order), bool)
+        new[1:] = (node[order[1:]] != node[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        first, again = order[new], order[~new]
+        whole = np.zeros(len(order), bool)
+        whole[first] = True
+        some = np.flatnonzero(whole[own])
+        token, own, place = token[some], own[some], place[some]
+        if len(token):
+            yield wordjoin.packed(POSTINGS, (mix(token) % np.uint64(shards)).astype(np.int64), (token, node[own], n[own], place, sketch[own]))
+        yield wordjoin.packed(LINES, (node[first] % np.uint64(shards)).astype(np.int64), (node[first], check[first], n[first], doc[first], line[first]))
+        if len(again):
+            row = [pa.array([x], pa.int32()) for x in (AGAIN, 0, len(again))] + [pa.array([pack(x)], pa.binary()) for x in (doc[again], line[again])] + [pa.nulls(1, pa.binary())] * 3
+            yield pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, held, lines_held, posted = rarity.classes(), [], 0, 0
         for batch in slices(batches):
-            lines, text, numbers = cut(batch.column(1))
-            found = sets_of(lines)
-            node, check = found.sums()
-            first = np.zeros(len(node), bool)
-            for k, mark in enumerate(zip(node.tolist(), check.tolist(), strict=True)):
-                if mark not in seen:
-                    seen.add(mark)
-                    first[k] = True
-            if words:
-                first &= found.size >= wordjoin.LEAST
+            flat, text, numbers = cut(batch.column(1))
+            found = WordLines(flat, classes)
+            if not len(found.lines):
+                continue
+            token, own, place = found.postings()
             doc = batch.column(0).to_numpy()[text[found.lines]]
-            number = numbers[found.lines].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid + np.arange(len(doc))), pa.array(doc), pa.array(number), pa.array(found.size), pa.array(node), pa.array(check), *((found.prefixes(first, 0), found.sketches(first)) if words else (found.prefixes(first),))],
-                names=["rid", "doc", "line", "n", "node", "check", "prefix", *(["sketch"] if words else [])],
-            )
-            rid += len(doc)
-
-    described = spill(rows.mapInArrow(lean(describe), "rid long, doc long, line int, n long, node long, check long, prefix binary" + (", sketch binary" if words else "")), "lines")
-    near = wordjoin.candidates(described) if words else candidates(described, EIGHTHS)
-    classes = described.groupBy("node", "check", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
-    classes = spill(classes, "classes")
-    placed = described.join(near.withColumnRenamed("node", "rid"), "rid").groupBy("node", "check").agg(F.min("component").alias("component"))
-    members = classes.join(placed, ["node", "check"]).select("component", "n", "node", "check", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+            held.append((*found.sums(), found.size.astype(np.int32), doc, numbers[found.lines].astype(np.int32), wordjoin.sketches(found.key, found.start), token, own + lines_held, place.astype(np.int32)))
+            lines_held, posted = lines_held + len(doc), posted + len(token)
+            if posted >= POSTINGS_AT_ONCE or lines_held >= LINES_AT_ONCE:
+                yield from sent(held)
+                held, lines_held, posted = [], 0, 0
+        if held:
+            yield from sent(held)
+
+    return run
+
+
+_FIRSTS = "node long, check long, n long, doc long, line int, again boolean"
+
+
+def _firsts(bits: np.ndarray):
+    """The first line of each set whose node may be in ``bits``, and all lines that repeat one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, check, n, doc, line in wordjoin.unpacked(batches, (np.uint64, np.uint64, np.int32, np.int64, np.int32)):
+            order = np.lexsort((line, doc, check, node))
+            new = np.ones(len(order), bool)
+            new[1:] = (node[order[1:]] != node[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+            kept = np.flatnonzero(~new | in_bitmap(bits, node[order].view(np.int64)))
+            at = order[kept]
+            columns = (node[at].view(np.int64), check[at].view(np.int64), n[at].astype(np.int64), doc[at], line[at], ~new[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _FIRSTS.split(", ")])
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for many, doc, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(doc, np.int64, many)), pa.array(unpack(line, np.int32, many))], names=["doc", "line"])
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some.
+    ``doc`` is the id, the greatest long for null."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    rarity = wordjoin.rarity(rows)
+    shards = rarity.shards(partitions(spark))
+    described = spill(rows.mapInArrow(lean(_describe(rarity, shards)), PACKED), "lines", "kind")
+    near = wordjoin.candidates(described, shards)
+    firsts = wordjoin.dealt(described, LINES, shards).mapInArrow(lean(_firsts(bitmap(near, "node"))), _FIRSTS)
+    firsts = spill(firsts, "firsts")
+    members = firsts.filter("NOT again").drop("again").join(near, "node")
     assigned = spill(tasks(members).drop("block"), "assigned")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,44 +223,43 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = bitmap(assigned.select("doc", "line").mapInArrow(lean(hashed), "k long"), "k")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = rarity.classes()
         for batch in slices(batches):
             lines, text, numbers = cut(batch.column(1))
             doc = batch.column(0).to_numpy()[text]
             some = np.flatnonzero(in_bitmap(bits, place_hash(doc, numbers)))
             if not len(some):
                 continue
-            found = sets_of(lines.take(pa.array(some)))
+            found = WordLines(lines.take(pa.array(some)), classes)
             node, check = found.sums()
             keys = [found.key[a : a + n].tobytes() for a, n in zip(found.start.tolist(), found.size.tolist(), strict=True)]
             at = some[found.lines]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(numbers[at].astype(np.int32)), pa.array(node), pa.array(check), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(numbers[at].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
 
     key = ["doc", "line", "node", "check"]
     sets = rows.mapInArrow(lean(full), "doc long, line int, node long, check long, keys binary")
     similar = met(assigned, sets, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
-    again = described.select("doc", "line", "node", "check").join(classes.filter("lines > 1").select("node", "check", "first"), ["node", "check"])
-    again = again.filter("doc <> first.doc or line <> first.line").select("doc", "line")
-    gone = again.unionByName(similar)
+    told = described.filter(f"kind = {AGAIN}").select("many", "a", "b").mapInArrow(lean(_told), "doc long, line int")
+    gone = told.unionByName(firsts.filter("again").select("doc", "line")).unionByName(similar)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; ``n_chars`` follows the new text. Documents that
     lose all their lines go."""
-    gone = removed_lines(docs, words=True)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.withColumn("doc_key_", key).join(gone.select(F.col("doc").alias("doc_key_"), F.col("lines").alias("lines_gone_")), "doc_key_", "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("lines_gone_", k)), "\n")
-    changed = joined.withColumn("text", F.when(F.col("lines_gone_").isNull(), F.col("text")).otherwise(left))
+    key, lost = fresh(docs, "key", "lost")
+    gone = removed_lines(docs).select(F.col("doc").alias(key), F.col("lines").alias(lost))
+    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(gone, key, "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains(lost, k)), "\n")
+    changed = joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("lines_gone_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.filter(F.col("lines_gone_").isNull() | (F.trim("text") != "")).select(*docs.columns)
+        changed = changed.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return changed.filter(F.col(lost).isNull() | (F.trim("text") != "")).select(*docs.columns)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row for each document: its lines, how many go, and their numbers."""
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs, words=True).withColumnRenamed("doc", "doc_id")
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    out = lines.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("lines", F.array().cast("array<int>")))
+    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    out = lines.join(removed_lines(docs), "doc", "left").withColumn("removed_lines", F.coalesce("lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines")

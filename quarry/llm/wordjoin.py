@@ -8,59 +8,91 @@ at least as many tokens as their sketches do in places. Only pairs that may stil
 edges. No pair that links is lost: it passes all three at its first common token.
 
 Any order of tokens will do, as long as it is the same everywhere. Words are ordered by
-classes of how often their hash comes in a sample of the texts, then by hash.
+classes of how often they come in the whole corpus, then by hash. The counts are those of
+hash buckets, a table of fixed size: words that share a bucket share its class. The one word
+of a bucket that was met once is in one line only, links nothing, and is not posted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarry.llm.common import lean, mix, pack, partitions, slices, unpack
 from quarry.llm.components import components, forest
-from quarry.llm.setjoin import PERCENT, POSTINGS_AT_ONCE, SHARDS, prefix_size, runs
-from quarry.llm.tokens import word_hashes
+from quarry.llm.setjoin import PERCENT, SHARDS, runs
+from quarry.llm.tokens import hashed, words
 
-#: Hash buckets whose words are counted together, and rows of the sample, about: fixed sizes.
-BUCKET_BITS, SAMPLE_ROWS = 20, 20_000
+#: Hash buckets whose words are counted together: 16 MiB of classes, whatever the input.
+BUCKET_BITS = 24
 #: The counts travel in so many parts.
 PARTS = 16
 #: Smaller sets link only with equal ones.
 LEAST = 4
-_KINDS = (np.int64, np.int32, np.int32)
+#: Words of the corpus for each shard of postings, about 64 MB of them.
+WORDS_PER_SHARD = 6_000_000
+#: The class of words that come once, and the four bits of a token that hold its class.
+SINGLE, CLASS = 1, np.uint64(0xF << 60)
 
 
-def word_classes(rows: DataFrame, text_col: str = "text") -> np.ndarray:
-    """For each bucket of hashes 0 to 15, by the bit length of its count in a sample of ``rows``."""
-    total = rows.count()
-    some = rows.select(text_col) if total <= SAMPLE_ROWS else rows.select(text_col).sample(SAMPLE_ROWS / total, 1)
+@dataclass(frozen=True)
+class Rarity:
+    """The class of each bucket, packed, and the number of words in the corpus."""
+
+    packed: bytes
+    words: int
+
+    def classes(self) -> np.ndarray:
+        return _unpacked(self.packed)
+
+    def shards(self, least: int) -> int:
+        return max(SHARDS * least, -(-self.words // WORDS_PER_SHARD))
+
+
+@lru_cache(1)
+def _unpacked(packed: bytes) -> np.ndarray:
+    return unpack(packed, np.uint8, 1 << BUCKET_BITS)
+
+
+def rarity(rows: DataFrame, text_col: str = "text") -> Rarity:
+    """The bit length (15 at most) of each bucket's count over all ``rows``."""
     each = (1 << BUCKET_BITS) // PARTS
+    schema = "part int, words long, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in slices(batches):
-            seen += np.bincount((word_hashes(batch.column(0))[1] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
-        if seen.any():
-            yield parts(seen)
+    def batch(rows_: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows_], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["part", "words", "counts"])
 
-    def parts(seen: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([pack(x) for x in seen.reshape(PARTS, each)], pa.binary())], names=["part", "counts"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(1 << BUCKET_BITS, np.uint32), 0
+        for part in slices(batches):
+            _, index, dictionary = words(part.column(0))
+            if len(index):
+                np.add.at(seen, (hashed(dictionary) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.bincount(index, minlength=len(dictionary)).astype(np.uint32))
+                total += len(index)
+        if total:
+            own = np.minimum(seen, 65535).astype(np.uint16).reshape(PARTS, each)
+            for part, counts in enumerate(own):
+                yield batch([(part, 0 if part else total, pack(counts))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + unpack(raw, np.int64, each)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], names=["part", "counts"])
+        total = 0
+        for found in batches:
+            for part, many, raw in zip(*(c.to_pylist() for c in found.columns), strict=True):
+                sums[part] = sums.get(part, 0) + unpack(raw, np.uint16, each).astype(np.int64)
+                total += many
+        yield batch([(part, 0 if k else total, pack(np.minimum(np.frexp(x)[1], 15).astype(np.uint8))) for k, (part, x) in enumerate(sums.items())])
 
-    schema, out = "part int, counts binary", np.zeros((PARTS, each), np.int64)
-    for row in some.mapInArrow(lean(count), schema).repartition(PARTS, "part").mapInArrow(lean(add), schema).collect():
-        out[row.part] = unpack(row.counts, np.int64, each)
-    return np.minimum(np.frexp(out.reshape(-1))[1], 15).astype(np.uint8)
+    out, total = np.zeros((PARTS, each), np.uint8), 0
+    for row in rows.select(text_col).mapInArrow(lean(count), schema).repartition(PARTS, "part").mapInArrow(lean(add), schema).collect():
+        out[row.part] = unpack(row.counts, np.uint8, each)
+        total += row.words
+    return Rarity(pack(out.reshape(-1)), total)
 
 
 def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -70,6 +102,8 @@ def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Two words of parities for the sets that start at ``starts``."""
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
     bit = np.uint64(1) << (tokens & np.uint64(63))
     high = tokens & np.uint64(64) > 0
     return np.stack([np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), starts) for x in (~high, high)], axis=1)
@@ -93,7 +127,8 @@ def pairs(tokens: np.ndarray, rids: np.ndarray, sizes: np.ndarray, places: np.nd
         y = x + step
         need = -(-PERCENT * (sizes[x] + sizes[y]) // (100 + PERCENT))
         ok = np.minimum(sizes[x] - places[x], sizes[y] - places[y]) >= need
-        ok &= np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) <= sizes[x] + sizes[y] - 2 * need
+        x, y, need = x[ok], y[ok], need[ok]
+        ok = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) <= sizes[x] + sizes[y] - 2 * need
         if ok.any():
             pending.append((label[x[ok]], label[y[ok]]))
             waiting += int(ok.sum())
@@ -112,61 +147,61 @@ def pairs(tokens: np.ndarray, rids: np.ndarray, sizes: np.ndarray, places: np.nd
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-_POSTED = "shard int, many int, tokens binary, records binary, numbers binary, places binary, sketches binary"
+#: Rows of packed arrays for the shards: what they are depends on ``kind``.
+PACKED = "kind int, shard int, many int, a binary, b binary, c binary, d binary, e binary"
+POSTINGS, LINES, AGAIN = 0, 1, 2
 
 
-def _posted(parts: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatch:
-    tokens, *rest, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-    shard = (mix(tokens) % np.uint64(shards)).astype(np.int64)
+def packed(kind: int, shard: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """``columns`` (five) cut up by shard. 64-bit hashes are stored as they are, since nothing
+    makes them smaller; numbers are packed."""
     order = np.argsort(shard, kind="stable")
     found, at = np.unique(shard[order], return_index=True)
     cut = [order[a:b] for a, b in zip(at, np.append(at[1:], len(order)), strict=True)]
-    columns = [[tokens[c].tobytes() for c in cut], *([pack(x[c].astype(kind)) for c in cut] for x, kind in zip(rest, _KINDS, strict=True)), [sketch[c].tobytes() for c in cut]]
-    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([len(c) for c in cut], pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=[x.split()[0] for x in _POSTED.split(", ")])
-
-
-def candidates(records: DataFrame) -> DataFrame:
-    """(node, component) of the records (rid long, n long, prefix binary, sketch binary) that may
-    link; rows without a prefix are passed over. ``prefix`` holds the first prefix_size(n) tokens."""
-    shards = SHARDS * partitions(records.sparkSession)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            rids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            many = prefix_size(sizes)
-            own = np.repeat(np.arange(len(rids)), many)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 2)
-            held.append((np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), rids[own], sizes[own], place, sketch[own]))
-            size += len(own)
-            if size >= POSTINGS_AT_ONCE:
-                yield _posted(held, shards)
-                held, size = [], 0
-        if size:
-            yield _posted(held, shards)
+
+    def binary(column: np.ndarray) -> pa.Array:
+        raw = column.dtype == np.uint64
+        return pa.array([column[c].tobytes() if raw else pack(column[c]) for c in cut], pa.binary())
+
+    heads = [pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), pa.array([len(c) for c in cut], pa.int32())]
+    return pa.RecordBatch.from_arrays([*heads, *map(binary, columns)], names=[x.split()[0] for x in PACKED.split(", ")])
+
+
+def _column(raw: bytes, kind: type, many: int) -> np.ndarray:
+    if kind is not np.uint64:
+        return unpack(raw, kind, many)
+    words_ = np.frombuffer(raw, np.uint64)
+    return words_ if len(words_) == many else words_.reshape(many, -1)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple[type, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of each shard; the rows come sorted by shard."""
+    now, parts = None, []
+    for batch in batches:
+        for _, shard, many, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now and parts:
+                yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                parts = []
+            now = shard
+            parts.append(tuple(_column(x, kind, many) for x, kind in zip(raw, kinds, strict=True)))
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def dealt(described: DataFrame, kind: int, shards: int) -> DataFrame:
+    """The rows of one kind, a task for every shard or few."""
+    return described.filter(f"kind = {kind}").repartition(max(partitions(described.sparkSession), shards // SHARDS), "shard").sortWithinPartitions("shard")
+
+
+def candidates(described: DataFrame, shards: int) -> DataFrame:
+    """(node, component) of the sets that may link, from postings: token, node, size, place in
+    the prefix (the first prefix_size(n) tokens) and sketch."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        now, parts = None, []
-
-        def closed() -> None:
-            nonlocal a, b, parts
-            *columns, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts = []
-            more = pairs(*columns, sketch[:, 0], sketch[:, 1])
+        for tokens, nodes, sizes, places, sketch in unpacked(batches, (np.uint64, np.uint64, np.int32, np.int32, np.uint64)):
+            more = pairs(tokens, nodes.view(np.int64), sizes, places, sketch[:, 0], sketch[:, 1])
             a, b = forest(np.concatenate((a, more[0])), np.concatenate((b, more[1])))
-
-        for batch in batches:
-            for shard, many, tokens, *packed, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now and parts:
-                    closed()
-                now = shard
-                parts.append((np.frombuffer(tokens, np.uint64), *(unpack(x, kind, many) for x, kind in zip(packed, _KINDS, strict=True)), np.frombuffer(sketch, np.uint64).reshape(-1, 2)))
-        if parts:
-            closed()
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    posted = records.filter("prefix is not null").select("rid", "n", "prefix", "sketch").mapInArrow(lean(post), _POSTED)
-    dealt = posted.repartition(partitions(records.sparkSession), "shard").sortWithinPartitions("shard")
-    return components(dealt.mapInArrow(lean(match), "a long, b long"))
+    return components(dealt(described, POSTINGS, shards).mapInArrow(lean(match), "a long, b long"))

@@ -119,30 +119,6 @@ def test_divide_skip_matches_all_pairs():
         assert [x.tolist() for x in want] == [x.tolist() for x in have]
 
 
-def brute_lines(rows):
-    every = sorted((i, k, shingles(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")))
-    gone = {}
-    for n, (i, k, s) in enumerate(every):
-        if any(linked(s, e) for _, _, e in every[:n]):
-            gone.setdefault(i, []).append(k)
-    return gone
-
-
-@pytest.mark.parametrize("block", [1_500_000, 60])
-def test_lines_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr("quarry.llm.setjoin.BLOCK_TOKENS", block)
-    rng = random.Random(9)
-    pool = [t.replace("\n", " ") for _, t in near_copies(4, docs=25, copies=5)] + ["", "  ", "one", "one two"]
-    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(60)] + [(61, None)]
-    docs = frame(spark, rows)
-    assert {r.doc: r.lines for r in lines.removed_lines(docs.repartition(3)).collect()} == brute_lines(rows)
-
-
-def test_lines_of_the_table(spark):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    assert {r.doc: r.lines for r in lines.removed_lines(docs).collect()} == brute_lines([(r.doc_id, r.text) for r in docs.collect()])
-
-
 def test_dedup_changes_texts(spark):
     rows = [(1, "a b c\nd"), (2, "A b c\nnew\n"), (3, "d"), (None, "d\nlast"), (4, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in lines.dedup(frame(spark, rows)).collect()}

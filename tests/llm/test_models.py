@@ -11,7 +11,8 @@ import pytest
 
 from quarry.llm import decontaminate, eliasfano, html, language, mixing, ngram_lm
 from quarry.llm.common import table
-from tests.llm.test_joins import brute_components, brute_lines, brute_tiles, frame, near_copies, split
+from tests.llm.test_joins import brute_components, brute_tiles, frame, near_copies, split
+from tests.llm.test_word_lines import brute_word_lines
 
 
 def test_elias_fano_round_trip():
@@ -144,7 +145,7 @@ def brute_pipeline(docs, bench):
         own = [g for g, _ in sorted(Counter(language.grams(d.text or "").tolist()).items(), key=lambda x: (-x[1], x[0]))[: language.OWN]]
         if own and any(g in p for p in profiles.values() for g in own):
             kept.append((d.doc_id, d.text))
-    gone = brute_lines(kept)
+    gone = brute_word_lines(kept)
     kept = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, []))) for i, t in kept]
     kept = [(i, t) for i, t in kept if t.strip(" ") or i not in gone]
     label = brute_components(kept)

@@ -9,7 +9,6 @@ import pytest
 from quarry.llm import lines
 from quarry.llm.common import table
 from quarry.llm.wordjoin import pairs
-from tests.llm import test_models
 from tests.llm.test_joins import frame, linked, near_copies, split
 
 
@@ -33,7 +32,7 @@ def brute_word_lines(rows):
 
 def test_one_changed_word_of_ten(spark):
     rows = [(1, "a b c d e f g h i j"), (2, "a b c d X f g h i j\nother"), (3, "a a b"), (4, "a b b"), (5, "one two three four"), (6, "four three two one"), (7, "one two three four five")]
-    got = {r.doc: r.lines for r in lines.removed_lines(frame(spark, rows), words=True).collect()}
+    got = {r.doc: r.lines for r in lines.removed_lines(frame(spark, rows)).collect()}
     assert got == {2: [0], 6: [0], 7: [0]} == brute_word_lines(rows)
     kept = {r.doc_id: r.text for r in lines.dedup(frame(spark, rows)).collect()}
     assert kept == {1: rows[0][1], 2: "other", 3: "a a b", 4: "a b b", 5: rows[4][1]}
@@ -46,8 +45,16 @@ def test_word_lines_match_brute_force(spark, monkeypatch, block):
     pool = [t.replace("\n", " ") for _, t in near_copies(4, docs=25, copies=5)] + ["", "  ", "one", "one two"]
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(60)] + [(61, None)]
     docs = frame(spark, rows).repartition(3)
-    assert {r.doc: r.lines for r in lines.removed_lines(docs, words=True).collect()} == brute_word_lines(rows)
-    assert lines.removed_lines(docs.limit(0), words=True).count() == 0
+    assert {r.doc: r.lines for r in lines.removed_lines(docs).collect()} == brute_word_lines(rows)
+    assert lines.removed_lines(docs.limit(0)).count() == 0
+
+
+def test_odd_rows_of_op6(spark, tmp_path):
+    rows = [(1, "a b c d e\nd"), (None, "d\nlast"), (None, "last\nA B c d e"), (2, None), (2, ""), (3, "x " * 30_000), (4, "X " * 30_000)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_lines, r.removed_lines) for r in lines.op6_line_dedup(spark, str(tmp_path)).collect())
+    # rows without an id are one document: the lines 0 and 1 of both go
+    assert got == [("1", 2, []), ("2", 1, []), ("2", 1, []), ("3", 1, []), ("4", 1, [0]), ("None", 2, [0, 1]), ("None", 2, [0, 1])]
 
 
 def test_op6_of_the_table(spark):
@@ -70,8 +77,3 @@ def test_pairs_connect_all_that_link():
         label = [label[x] if z == label[y] else z for z in label]
     every = [(x, y) for x in range(200) for y in range(x) if linked(set(sets[x].tolist()), set(sets[y].tolist()))]
     assert every and all(label[x] == label[y] for x, y in every)
-
-
-def test_pipeline_over_word_lines(spark, monkeypatch):
-    monkeypatch.setattr(test_models, "brute_lines", brute_word_lines)
-    test_models.test_pipeline_matches_brute_force(spark)
