@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import wordjoin
-from quarry.llm.common import bitmap, fresh, in_bitmap, lean, mix, pack, partitions, slices, small_batches, spill, table, unpack
-from quarry.llm.setjoin import POSTINGS_AT_ONCE, links, met, needed, prefix_size, tasks
+from quarry.llm.common import bitmap, fresh, in_bitmap, lean, mix, partitions, slices, small_batches, spill, table, unpack
+from quarry.llm.components import components, forest
+from quarry.llm.setjoin import POSTINGS_AT_ONCE, first_number, links, met, needed, prefix_size, tasks
 from quarry.llm.tokens import compact, word_hashes
 from quarry.llm.wordjoin import AGAIN, LEAST, LINES, PACKED, POSTINGS
 
@@ -84,13 +85,11 @@ class WordLines:
         return mix(one), mix(two)
 
     def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token, number of the set, place) of the prefix tokens that another line may have."""
+        """(token, number of the set, place) of the prefix tokens."""
         size = np.where(self.size >= LEAST, prefix_size(self.size), 0)
         own = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-        token = self.key[self.start[own] + place]
-        some = token >> np.uint64(60) > wordjoin.SINGLE
-        return token[some], own[some], place[some]
+        return self.key[self.start[own] + place], own, place
 
 
 def by_rarity(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -135,29 +134,33 @@ def _verify(rows: list[tuple]) -> list[tuple]:
     return [rows[x][:2] for x in ppjoin(sets, [r[:2] for r in rows])]
 
 
+def _sorted_sets(node: np.ndarray, check: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by set and place, which rows in that order are the first of their set)."""
+    order = np.lexsort((line, doc, check, node))
+    new = np.ones(len(order), bool)
+    new[1:] = (node[order[1:]] != node[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    return order, new
+
+
 def _describe(rarity: wordjoin.Rarity, shards: int):
-    """Packed rows of three kinds: the postings of each set and its first line, by shard, and the
-    lines whose set the task has met at an earlier place."""
+    """Packed rows of three kinds: the postings of each set, the first line that has it, and the
+    lines whose set comes earlier among those held."""
 
-    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def sent(rid: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         node, check, n, doc, line, sketch, token, own, place = map(np.concatenate, zip(*held, strict=True))
-        order = np.lexsort((line, doc, check, node))
-        new = np.ones(len(order), bool)
-        new[1:] = (node[order[1:]] != node[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        order, new = _sorted_sets(node, check, doc, line)
         first, again = order[new], order[~new]
         whole = np.zeros(len(order), bool)
         whole[first] = True
         some = np.flatnonzero(whole[own])
-        token, own, place = token[some], own[some], place[some]
-        if len(token):
-            yield wordjoin.packed(POSTINGS, (mix(token) % np.uint64(shards)).astype(np.int64), (token, node[own], n[own], place, sketch[own]))
-        yield wordjoin.packed(LINES, (node[first] % np.uint64(shards)).astype(np.int64), (node[first], check[first], n[first], doc[first], line[first]))
+        if len(some):
+            yield wordjoin.postings(token[some], rid + own[some], n[own[some]], place[some], sketch[own[some]], shards)
+        yield wordjoin.rows_of(LINES, wordjoin.shard_of(node[first] >> np.uint64(32), shards), [x[first] for x in (node, check, n, doc, line)] + [rid + first])
         if len(again):
-            row = [pa.array([x], pa.int32()) for x in (AGAIN, 0, len(again))] + [pa.array([pack(x)], pa.binary()) for x in (doc[again], line[again])] + [pa.nulls(1, pa.binary())] * 3
-            yield pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in PACKED.split(", ")])
+            yield wordjoin.rows_of(AGAIN, np.full(len(again), rid % shards), [doc[again], line[again]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, held, lines_held, posted = rarity.classes(), [], 0, 0
+        classes, rid, held, lines_held, posted = rarity.classes(), first_number(), [], 0, 0
         for batch in slices(batches):
             flat, text, numbers = cut(batch.column(1))
             found = WordLines(flat, classes)
@@ -168,37 +171,60 @@ def _describe(rarity: wordjoin.Rarity, shards: int):
             held.append((*found.sums(), found.size.astype(np.int32), doc, numbers[found.lines].astype(np.int32), wordjoin.sketches(found.key, found.start), token, own + lines_held, place.astype(np.int32)))
             lines_held, posted = lines_held + len(doc), posted + len(token)
             if posted >= POSTINGS_AT_ONCE or lines_held >= LINES_AT_ONCE:
-                yield from sent(held)
-                held, lines_held, posted = [], 0, 0
+                yield from sent(rid, held)
+                rid, held, lines_held, posted = rid + lines_held, [], 0, 0
         if held:
-            yield from sent(held)
+            yield from sent(rid, held)
 
     return run
 
 
-_FIRSTS = "node long, check long, n long, doc long, line int, again boolean"
+_FOUND = "kind int, x long, y long, check long, n long, doc long, line int"
+
+
+def _found(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+    many = len(next(iter(columns.values())))
+    types = {"kind": pa.int32(), "line": pa.int32()}
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    given = {"kind": np.full(many, kind, np.int32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(given[c]) if c in given else pa.nulls(many, types.get(c, pa.int64())) for c in names], names=names)
+
 
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (x, y) between records that may link; the records (x) with the hash of their set (y)
+    and their place; and the lines (doc, line) whose set has an earlier one."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for kind, rows in wordjoin.each_shard(batches):
+        if kind == POSTINGS:
+            tokens, records, sizes, places, sketch = wordjoin.posted(rows)
+            more = wordjoin.pairs(tokens, records, sizes, places, sketch[:, 0], sketch[:, 1])
+            a, b = forest(np.concatenate((a, more[0])), np.concatenate((b, more[1])))
+        elif kind == LINES:
+            kinds = (np.int32, np.int64, np.int32, np.int64)
+            parts = [(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64), *(unpack(x, t, r[0]) for x, t in zip(r[3:], kinds, strict=True))) for r in rows]
+            node, check, n, doc, line, rid = map(np.concatenate, zip(*parts, strict=True))
+            order, new = _sorted_sets(node, check, doc, line)
+            again = order[~new]
+            yield _found(LINES, x=rid, y=node, check=check, n=n.astype(np.int64), doc=doc, line=line)
+            yield _found(AGAIN, doc=doc[again], line=line[again])
+        else:
+            for many, doc, line, *_ in rows:
+                yield _found(AGAIN, doc=unpack(doc, np.int64, many), line=unpack(line, np.int32, many))
+    yield _found(POSTINGS, x=a, y=b)
 
-def _firsts(bits: np.ndarray):
-    """The first line of each set whose node may be in ``bits``, and all lines that repeat one."""
+
+def _hashed(hash_of):
+    """The hash (k) of each row's numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, check, n, doc, line in wordjoin.unpacked(batches, (np.uint64, np.uint64, np.int32, np.int64, np.int32)):
-            order = np.lexsort((line, doc, check, node))
-            new = np.ones(len(order), bool)
-            new[1:] = (node[order[1:]] != node[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
-            kept = np.flatnonzero(~new | in_bitmap(bits, node[order].view(np.int64)))
-            at = order[kept]
-            columns = (node[at].view(np.int64), check[at].view(np.int64), n[at].astype(np.int64), doc[at], line[at], ~new[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _FIRSTS.split(", ")])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hash_of(*(c.to_numpy() for c in batch.columns)))], names=["k"])
 
-    return run
+    return lean(run)
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for many, doc, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(unpack(doc, np.int64, many)), pa.array(unpack(line, np.int32, many))], names=["doc", "line"])
+def _record_hash(rid: np.ndarray) -> np.ndarray:
+    return mix(rid.astype(np.uint64)).view(np.int64)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,18 +235,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
     rarity = wordjoin.rarity(rows)
     shards = rarity.shards(partitions(spark))
-    described = spill(rows.mapInArrow(lean(_describe(rarity, shards)), PACKED), "lines", "kind")
-    near = wordjoin.candidates(described, shards)
-    firsts = wordjoin.dealt(described, LINES, shards).mapInArrow(lean(_firsts(bitmap(near, "node"))), _FIRSTS)
-    firsts = spill(firsts, "firsts")
-    members = firsts.filter("NOT again").drop("again").join(near, "node")
-    assigned = spill(tasks(members).drop("block"), "assigned")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = spill(wordjoin.dealt(rows.mapInArrow(lean(_describe(rarity, shards)), PACKED), shards).mapInArrow(lean(_join), _FOUND), "lines")
+    near = spill(components(found.filter(f"kind = {POSTINGS}").select(F.col("x").alias("a"), F.col("y").alias("b"))), "near")
+    records = bitmap(near.select("node").mapInArrow(_hashed(_record_hash), "k long"), "k")
+
+    def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["k"])
+            yield batch.filter(pa.array(in_bitmap(records, _record_hash(batch.column(0).to_numpy()))))
 
-    bits = bitmap(assigned.select("doc", "line").mapInArrow(lean(hashed), "k long"), "k")
+    sets = found.filter(f"kind = {LINES}").select(F.col("x").alias("rid"), F.col("y").alias("node"), "check", "n", "doc", "line")
+    sets = sets.mapInArrow(lean(connected), sets.schema).join(near.withColumnRenamed("node", "rid"), "rid")
+    # equal sets are connected: their records share every token
+    members = sets.groupBy("node", "check", "n").agg(F.min("component").alias("component"), F.min(F.struct("doc", "line")).alias("first"))
+    assigned = spill(tasks(members.select("component", "n", "node", "check", "first.doc", "first.line")).drop("block"), "assigned")
+    bits = bitmap(assigned.select("doc", "line").mapInArrow(_hashed(place_hash), "k long"), "k")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = rarity.classes()
@@ -234,13 +262,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             node, check = found.sums()
             keys = [found.key[a : a + n].tobytes() for a, n in zip(found.start.tolist(), found.size.tolist(), strict=True)]
             at = some[found.lines]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(numbers[at].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
+            columns = (doc[at], numbers[at].astype(np.int32), node.view(np.int64), check.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys, pa.binary())], names=["doc", "line", "node", "check", "keys"])
 
     key = ["doc", "line", "node", "check"]
-    sets = rows.mapInArrow(lean(full), "doc long, line int, node long, check long, keys binary")
-    similar = met(assigned, sets, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
-    told = described.filter(f"kind = {AGAIN}").select("many", "a", "b").mapInArrow(lean(_told), "doc long, line int")
-    gone = told.unionByName(firsts.filter("again").select("doc", "line")).unionByName(similar)
+    whole = rows.mapInArrow(lean(full), "doc long, line int, node long, check long, keys binary")
+    similar = met(assigned, whole, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
+    gone = found.filter(f"kind = {AGAIN}").select("doc", "line").unionByName(similar)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 

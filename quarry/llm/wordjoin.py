@@ -9,8 +9,10 @@ edges. No pair that links is lost: it passes all three at its first common token
 
 Any order of tokens will do, as long as it is the same everywhere. Words are ordered by
 classes of how often they come in the whole corpus, then by hash. The counts are those of
-hash buckets, a table of fixed size: words that share a bucket share its class. The one word
-of a bucket that was met once is in one line only, links nothing, and is not posted.
+hash buckets, a table of fixed size: words that share a bucket share its class.
+
+Postings travel packed: tokens by their 48-bit hashes, sorted, as differences; records by
+numbers that count up within a task. Tokens that share a hash only add to what is compared.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import lean, mix, pack, partitions, slices, unpack
-from quarry.llm.components import components, forest
+from quarry.llm.components import forest
 from quarry.llm.setjoin import PERCENT, SHARDS, runs
 from quarry.llm.tokens import hashed, words
 
@@ -36,8 +38,8 @@ PARTS = 16
 LEAST = 4
 #: Words of the corpus for each shard of postings, about 64 MB of them.
 WORDS_PER_SHARD = 6_000_000
-#: The class of words that come once, and the four bits of a token that hold its class.
-SINGLE, CLASS = 1, np.uint64(0xF << 60)
+#: The four bits of a token that hold its class; bits of a posted token.
+CLASS, TOKEN_BITS = np.uint64(0xF << 60), 48
 
 
 @dataclass(frozen=True)
@@ -148,60 +150,69 @@ def pairs(tokens: np.ndarray, rids: np.ndarray, sizes: np.ndarray, places: np.nd
 
 
 #: Rows of packed arrays for the shards: what they are depends on ``kind``.
-PACKED = "kind int, shard int, many int, a binary, b binary, c binary, d binary, e binary"
+PACKED = "kind int, shard int, many int, a binary, b binary, c binary, d binary, e binary, f binary"
 POSTINGS, LINES, AGAIN = 0, 1, 2
+_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 
 
-def packed(kind: int, shard: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    """``columns`` (five) cut up by shard. 64-bit hashes are stored as they are, since nothing
-    makes them smaller; numbers are packed."""
-    order = np.argsort(shard, kind="stable")
-    found, at = np.unique(shard[order], return_index=True)
-    cut = [order[a:b] for a, b in zip(at, np.append(at[1:], len(order)), strict=True)]
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """A shard for each 32-bit hash, ascending with it."""
+    return (hashes * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def binary(column: np.ndarray) -> pa.Array:
-        raw = column.dtype == np.uint64
-        return pa.array([column[c].tobytes() if raw else pack(column[c]) for c in cut], pa.binary())
 
-    heads = [pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), pa.array([len(c) for c in cut], pa.int32())]
-    return pa.RecordBatch.from_arrays([*heads, *map(binary, columns)], names=[x.split()[0] for x in PACKED.split(", ")])
+def rows_of(kind: int, shard: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """``columns`` (six at most), which lie sorted by shard, cut up by it. 64-bit hashes are stored
+    as they are, since nothing makes them smaller; numbers are packed."""
+    found, at = np.unique(shard, return_index=True)
+    ends = np.append(at[1:], len(shard))
 
+    def binary(column: np.ndarray) -> pa.Array:
+        raw = column.dtype == np.uint64
+        return pa.array([column[a:b].tobytes() if raw else pack(column[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())
 
-def _column(raw: bytes, kind: type, many: int) -> np.ndarray:
-    if kind is not np.uint64:
-        return unpack(raw, kind, many)
-    words_ = np.frombuffer(raw, np.uint64)
-    return words_ if len(words_) == many else words_.reshape(many, -1)
+    heads = [pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), pa.array((ends - at).astype(np.int32))]
+    blank = [pa.nulls(len(found), pa.binary())] * (6 - len(columns))
+    return pa.RecordBatch.from_arrays([*heads, *map(binary, columns), *blank], names=_NAMES)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple[type, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of each shard; the rows come sorted by shard."""
-    now, parts = None, []
-    for batch in batches:
-        for _, shard, many, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != now and parts:
-                yield tuple(map(np.concatenate, zip(*parts, strict=True)))
-                parts = []
-            now = shard
-            parts.append(tuple(_column(x, kind, many) for x, kind in zip(raw, kinds, strict=True)))
-    if parts:
-        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+def postings(tokens: np.ndarray, records: np.ndarray, sizes: np.ndarray, places: np.ndarray, sketch: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rows of postings. Each token is what it exceeds the one before it in its row by."""
+    short = mix(tokens) >> np.uint64(64 - TOKEN_BITS)
+    order = np.argsort(short)
+    short = short[order]
+    shard = shard_of(short >> np.uint64(TOKEN_BITS - 32), shards)
+    step = np.diff(short, prepend=np.uint64(0)).astype(np.int64)
+    new = np.flatnonzero(np.diff(shard, prepend=-1))
+    step[new] = short[new].astype(np.int64)
+    return rows_of(POSTINGS, shard, [step, records[order], sizes[order], places[order], sketch[order].reshape(-1, 2)])
 
 
-def dealt(described: DataFrame, kind: int, shards: int) -> DataFrame:
-    """The rows of one kind, a task for every shard or few."""
-    return described.filter(f"kind = {kind}").repartition(max(partitions(described.sparkSession), shards // SHARDS), "shard").sortWithinPartitions("shard")
+_POSTED = (np.int64, np.int64, np.int32, np.int32)
 
 
-def candidates(described: DataFrame, shards: int) -> DataFrame:
-    """(node, component) of the sets that may link, from postings: token, node, size, place in
-    the prefix (the first prefix_size(n) tokens) and sketch."""
+def posted(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(tokens, records, sizes, places, sketches) of the rows (many, a, b, ...) of a shard."""
+    parts = []
+    for many, *raw in rows:
+        steps, *numbers = (unpack(x, kind, many) for x, kind in zip(raw, _POSTED, strict=False))
+        parts.append((np.cumsum(steps).astype(np.uint64), *numbers, np.frombuffer(raw[4], np.uint64).reshape(many, 2)))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for tokens, nodes, sizes, places, sketch in unpacked(batches, (np.uint64, np.uint64, np.int32, np.int32, np.uint64)):
-            more = pairs(tokens, nodes.view(np.int64), sizes, places, sketch[:, 0], sketch[:, 1])
-            a, b = forest(np.concatenate((a, more[0])), np.concatenate((b, more[1])))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return components(dealt(described, POSTINGS, shards).mapInArrow(lean(match), "a long, b long"))
+def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(kind, its rows) of each shard; the rows come sorted by shard and kind."""
+    now, held = None, []
+    for batch in batches:
+        for kind, shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (kind, shard) != now and held:
+                yield now[0], held
+                held = []
+            now = (kind, shard)
+            held.append(tuple(row))
+    if held:
+        yield now[0], held
+
+
+def dealt(described: DataFrame, shards: int) -> DataFrame:
+    """A task for every few shards."""
+    return described.repartition(max(partitions(described.sparkSession), shards // SHARDS), "shard").sortWithinPartitions("shard", "kind")
