@@ -1,4 +1,5 @@
-"""Elias-Fano sequences and the two-level n-gram trie built of them, in memory-mapped levels."""
+"""Elias-Fano sequences and a two-level n-gram trie built of them, in memory-mapped levels
+that are searched as they are: no level is decoded."""
 
 from __future__ import annotations
 
@@ -7,8 +8,11 @@ import tempfile
 import numpy as np
 
 #: Bits of a word within a context, and steps of a quantised logarithm.
-WORD_BITS = 48
+WORD_BITS = 40
 SCALE, SHIFT = 4000, 4001
+#: 64-bit words of a block of the directory, and queries answered at once.
+BLOCK, AT_ONCE = 8, 1 << 18
+_ONE = np.uint64(1)
 
 
 class Levels:
@@ -28,40 +32,99 @@ class Levels:
         return np.memmap(self.file, dtype=array.dtype, mode="r", offset=at, shape=array.shape)
 
 
+def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the one with ``rank`` ones before it in each word."""
+    place = np.zeros(len(words), np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(words & ((_ONE << np.uint64(step)) - _ONE)).astype(np.int64)
+        on = rank >= below
+        rank = rank - below * on
+        words = np.where(on, words >> np.uint64(step), words)
+        place += step * on
+    return place
+
+
 class EliasFano:
-    """A monotone sequence given as (head, tail): head counts blocks of 2**bits values.
-
-    Low bits are kept in whole bytes, high bits as gaps in a bit vector."""
-
-    def __init__(self, head: np.ndarray, tail: np.ndarray, bits: int, levels: Levels):
-        n, blocks = len(tail), int(head[-1]) + 1 if len(head) else 0
-        spread = max(0, int(np.floor(np.log2(max(n, 1) / max(blocks, 1)))))  # high bits of a tail
-        self.bits, self.low_bits = bits, max(0, bits - spread)
-        low = tail & np.uint64((1 << self.low_bits) - 1)
-        high = (head.astype(np.uint64) << np.uint64(bits - self.low_bits)) | (tail >> np.uint64(self.low_bits))
-        width = -(-self.low_bits // 8)
-        ones = np.zeros(int(high[-1]) + n if n else 0, np.uint8)
-        if n:
-            ones[high.astype(np.int64) + np.arange(n)] = 1
-        self.n = n
-        self.upper = levels.put(np.packbits(ones))
-        self.low = levels.put(low.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width])
-
-    def decoded(self) -> tuple[np.ndarray, np.ndarray]:
-        """(head, tail) of all elements: the place of the i-th one less i, and its low bytes."""
+    """A sequence of ascending uint64 values.
+
+    The low bits of each value lie in arrays of their own. The high bits are a bit vector: for
+    each high part a one for every value that has it, then a zero. A directory counts the ones
+    before each block of the vector; all else is found by counting bits."""
+
+    def __init__(self, values: np.ndarray, levels: Levels):
+        self.n = n = len(values)
+        if not n:
+            return
+        self.low_bits = low = min(48, max(0, (int(values[-1]) // n).bit_length() - 1))
+        high = (values >> np.uint64(low)).astype(np.int64)
+        self.buckets = int(high[-1]) + 1
+        bits = np.zeros(-(-(self.buckets + n) // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
+        bits[high + np.arange(n)] = 1
+        upper = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.bitwise_count(upper).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+        self.upper = levels.put(upper)
+        self.ones = levels.put(np.concatenate(([0], np.cumsum(ones)[:-1])).astype(np.uint32))
+        self.low32 = levels.put((values & np.uint64((1 << min(low, 32)) - 1)).astype(np.uint32))
+        self.low16 = levels.put((values >> np.uint64(32) & np.uint64((1 << (low - 32)) - 1)).astype(np.uint16)) if low > 32 else None
+
+    def low(self, at: np.ndarray) -> np.ndarray:
+        out = self.low32[at].astype(np.uint64)
+        return out if self.low16 is None else out | self.low16[at].astype(np.uint64) << np.uint64(32)
+
+    def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
+        """The place in the bit vector of the one (or zero) with ``rank`` such before it."""
+        before = self.ones.astype(np.int64)
+        if not ones:
+            before = np.arange(len(before)) * 64 * BLOCK - before
+        block = np.searchsorted(before, rank, "right") - 1
+        rank, word = rank - before[block], block * BLOCK
+        own = self.upper[word] if ones else ~self.upper[word]
+        for _ in range(BLOCK - 1):
+            many = np.bitwise_count(own).astype(np.int64)
+            on = rank >= many
+            if not on.any():
+                break
+            rank, word = rank - many * on, word + on
+            own = self.upper[word] if ones else ~self.upper[word]
+        return word * 64 + _in_word(own, rank)
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        high = (self._select(at, True) - at).astype(np.uint64)
+        return high << np.uint64(self.low_bits) | self.low(at)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 for none: its high part gives a range, searched by low parts."""
+        out = np.full(len(values), -1, np.int64)
         if not self.n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        high = np.flatnonzero(np.unpackbits(self.upper, count=None))[: self.n] - np.arange(self.n)
-        low = np.zeros((self.n, 8), np.uint8)
-        low[:, : self.low.shape[1]] = self.low
-        head = high >> (self.bits - self.low_bits)
-        rest = (high - (head << (self.bits - self.low_bits))).astype(np.uint64)
-        return head, (rest << np.uint64(self.low_bits)) | low.view("<u8")[:, 0]
+            return out
+        high = values >> np.uint64(self.low_bits)
+        known = np.flatnonzero(high < np.uint64(self.buckets))
+        high, low = high[known].astype(np.int64), values[known] & np.uint64((1 << self.low_bits) - 1)
+        end = self._select(high, False) - high
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
+        at = _least(start, end, lambda at, rows: self.low(at) < low[rows])
+        hit = np.flatnonzero(at < end)
+        hit = hit[self.low(at[hit]) == low[hit]]
+        out[known[hit]] = at[hit]
+        return out
+
+
+def _least(start: np.ndarray, end: np.ndarray, less) -> np.ndarray:
+    """The first place of each range [start, end) that is not ``less``, by halving; else its end."""
+    start, end = start.copy(), end.copy()
+    open_ = np.flatnonzero(start < end)
+    while len(open_):
+        middle = (start[open_] + end[open_]) // 2
+        low = less(middle, open_)
+        start[open_] = np.where(low, middle + 1, start[open_])
+        end[open_] = np.where(low, end[open_], middle)
+        open_ = open_[start[open_] < end[open_]]
+    return start
 
 
 def quantised(value: np.ndarray) -> np.ndarray:
-    """Codes from 1 for log10 of positive numbers; 0 is for none."""
-    return (np.rint(np.log10(value) * SCALE) + SHIFT).clip(1, 65535).astype(np.uint16)
+    """Codes from 1 for log10 of numbers from 1 on; 0 is for none."""
+    return (np.rint(np.log10(np.maximum(value, 1)) * SCALE) + SHIFT).clip(1, 65535).astype(np.uint16) * (value > 0)
 
 
 def restored(code: np.ndarray) -> np.ndarray:
@@ -69,46 +132,43 @@ def restored(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts (64-bit) with their successors (``WORD_BITS``-bit) and quantised values.
+    """Contexts (64-bit) with their words (``WORD_BITS``-bit), both with quantised values.
 
-    The first level holds the contexts and monotone pointers to where their successors start;
-    the second the successors, which are monotone over all contexts since each context adds
-    one block of the second level's universe."""
+    The first level holds the contexts and monotone pointers to where their words start; the
+    second the words, ascending over all contexts since each context adds one block of the
+    level's universe. A word is searched among those of its context."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, value: np.ndarray):
-        """Entries sorted by (context, word), without repeats."""
+    def __init__(self, context: np.ndarray, context_value: np.ndarray, owner: np.ndarray, word: np.ndarray, value: np.ndarray):
+        """Contexts ascend; ``owner`` is the number of each word's context; (owner, word) ascend."""
         self.levels = Levels()
-        starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(context))))
-        names = context[starts]
-        self.contexts = EliasFano((names >> np.uint64(WORD_BITS)).astype(np.int64), names & np.uint64((1 << WORD_BITS) - 1), WORD_BITS, self.levels)
-        ends = np.append(starts, len(context)).astype(np.uint64)
-        self.pointers = EliasFano(np.zeros(len(ends), np.int64), ends, max(1, int(len(context)).bit_length()), self.levels)
-        self.words = EliasFano(owner, word, WORD_BITS, self.levels)
+        self.contexts = EliasFano(context, self.levels)
+        self.context_values = self.levels.put(quantised(context_value))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(context))))).astype(np.uint64)
+        self.pointers = EliasFano(ends, self.levels)
+        self.words = EliasFano(owner.astype(np.uint64) << np.uint64(WORD_BITS) | word, self.levels)
         self.values = self.levels.put(quantised(value))
 
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each (context, word), 0 for none."""
-        out = np.zeros(len(context), np.uint16)
-        if not self.words.n or not len(context):
-            return out
-        head, tail = self.contexts.decoded()
-        names = (head.astype(np.uint64) << np.uint64(WORD_BITS)) | tail
-        at = np.minimum(np.searchsorted(names, context), len(names) - 1)
-        known = names[at] == context
-        pointer = self.pointers.decoded()[1].astype(np.int64)
-        low, high = pointer[at], np.where(known, pointer[at + 1], pointer[at])
-        end = high.copy()
-        words = self.words.decoded()[1]
-        while True:  # the successor of each word within its own context's range
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) // 2
-            less = words[middle] < word[open_]
-            low[open_] = np.where(less, middle + 1, low[open_])
-            high[open_] = np.where(less, high[open_], middle)
-        hit = np.flatnonzero(low < end)
-        hit = hit[words[low[hit]] == word[hit]]
-        out[hit] = self.values[low[hit]]
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, code) of each context, -1 and 0 for none."""
+        places = [self.contexts.find(context[k : k + AT_ONCE]) for k in range(0, len(context), AT_ONCE)]
+        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        codes = np.zeros(len(place), np.uint16)
+        hit = np.flatnonzero(place >= 0)
+        codes[hit] = self.context_values[place[hit]]
+        return place, codes
+
+    def lookup(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each word after the context with number ``place``, 0 for none."""
+        out = np.zeros(len(place), np.uint16)
+        for k in range(0, len(place), AT_ONCE):
+            known = np.flatnonzero(place[k : k + AT_ONCE] >= 0) + k
+            if not len(known) or not self.words.n:
+                continue
+            own = place[known]
+            start, end = (self.pointers.access(own + x).astype(np.int64) for x in (0, 1))
+            wanted = own.astype(np.uint64) << np.uint64(WORD_BITS) | word[known]
+            at = _least(start, end, lambda at, rows, wanted=wanted: self.words.access(at) < wanted[rows])
+            hit = np.flatnonzero(at < end)
+            hit = hit[self.words.access(at[hit]) == wanted[hit]]
+            out[known[hit]] = self.values[at[hit]]
         return out

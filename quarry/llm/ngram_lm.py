@@ -1,25 +1,29 @@
 """Language-model scores from an Elias-Fano n-gram trie that is spread over shards.
 
-Tokens are words (A-Z lower-cased) and one end for each text. The model is an interpolated
-bigram model with absolute discounting D:
+Tokens are words (A-Z lower-cased) and one end for each text. The model is a trigram model in
+which each order is smoothed towards the one below, as if that had been seen K times more:
 
-    P(w) = (c(w) + 1) / (N + V + 1)
-    P(w | v) = (c(vw) - D) / c(v) + D * n(v) / c(v) * P(w)      n(v): distinct successors
+    P(w)     = (c(w) + 1) / (N + V + 1)
+    P(w|v)   = (c(vw) + K2 P(w)) / (c(v) + K2)
+    P(w|uv)  = (c(uvw) + K3 P(w|v)) / (c(uv) + K3)
 
-with P(w) where v was never seen; the start of a text is a context too. Bigram counts are
-exact; (c - D) is kept as a quantised logarithm.
+The start of a text is a context too; its first word has P(w|v). Counts are exact sums over all
+training texts, kept as quantised logarithms (steps of 1/4000 of a power of ten); a shard has
+no counts of other shards' contexts, so the smoothing is done where the counts meet.
 
 The corpus is tokenised once into chunks, stored with their own small dictionaries. Each
-chunk asks every shard for its distinct bigrams and words (as packed arrays, with the counts
-of its training texts). A shard, which owns the pairs or words with its hash, adds up what
-all chunks send, builds its part of the trie, and answers every chunk in the order it asked.
-So a hot word is spread by its successors, each distinct pair of a chunk travels once, and
-no task or driver holds the model. Words are told apart by 64-bit hashes, successors of one
-word by 48 bits of them.
+chunk asks every shard for its distinct trigrams, ordered by their last two words (as packed
+arrays, with the counts of its training texts). A shard, which owns the pairs of words with
+its hashes, adds up what all chunks send, builds its part of the trie (pairs, then the words
+before them), searches it for what is asked, and answers every chunk in the order it asked.
+So a hot word is spread by its neighbours, each distinct trigram of a chunk travels once, and
+no task or driver holds the model. Words and pairs are told apart by 64-bit hashes, the words
+before one pair by 40 bits of them.
 
 Null texts are empty: one token, the end. A null id counts as the empty text for the
 training split. Without training texts every score is the base score. Repeated rows each
-count and are each scored.
+count and are each scored. Very long texts are taken whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,22 +41,23 @@ from quarry.llm.common import lean, mix, pack, partitions, remainder, small_batc
 from quarry.llm.eliasfano import WORD_BITS, Trie, restored
 from quarry.llm.tokens import hashed, words
 
-DISCOUNT = 0.75
-#: Tokens of a chunk, about; texts tokenised at once; shards per shuffle partition.
-CHUNK_TOKENS, TEXTS_AT_ONCE, SHARDS = 1_600_000, 500, 2
+#: What the order below counts for, for pairs and for trigrams.
+K2, K3 = 20.0, 2.0
+#: Tokens of a chunk, about; texts tokenised at once; shards per shuffle partition, at least;
+#: tokens of the corpus for each shard.
+CHUNK_TOKENS, TEXTS_AT_ONCE, SHARDS, SHARD_TOKENS = 1_600_000, 500, 2, 2_000_000
 # Hashes of the end of a text and of its start (a context only).
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
-_WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 
 
-def six(words_: np.ndarray) -> np.ndarray:
-    """The 6 bytes of each 48-bit word."""
-    return np.ascontiguousarray((words_ & _WORD_MASK).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def five(words_: np.ndarray) -> np.ndarray:
+    """The 5 bytes of each 40-bit word."""
+    return np.ascontiguousarray(words_.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
 
-def from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return out.view("<u8")[:, 0].astype(np.uint64)
 
 
@@ -101,7 +106,7 @@ def _chunks(modulus: int, out: int):
 
 
 class Chunk:
-    """A stored chunk, unpacked, with its distinct bigrams in a fixed order."""
+    """A stored chunk, unpacked, with its distinct pairs and trigrams in a fixed order."""
 
     def __init__(self, row: dict):
         docs, n, tokens = row["n_docs"], row["n_words"], row["n_tokens"]
@@ -112,9 +117,8 @@ class Chunk:
         self.tokens = unpack(row["tokens"], np.uint32, tokens).astype(np.int64)
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.trained = np.repeat(self.train, np.diff(np.append(self.starts, tokens)))
-        before = np.concatenate(([n], self.tokens[:-1]))
-        before[self.starts] = n
-        self.pair = before * (n + 1) + self.tokens
+        self.before = np.concatenate(([n], self.tokens[:-1]))
+        self.before[self.starts] = n
 
     def word_counts(self) -> np.ndarray:
         """Training count of each word of the dictionary, of the start the training texts."""
@@ -122,10 +126,23 @@ class Chunk:
         counts[-1] = np.count_nonzero(self.train)
         return counts
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context codes, word codes, place of each token's pair) of the distinct pairs."""
-        codes, place = np.unique(self.pair, return_inverse=True)
-        return codes // len(self.hashes), codes % len(self.hashes), place
+    def grams(self) -> None:
+        """``pair`` of each token, and of each pair its hash, by which they are numbered, and the code
+        of its word and context; ``gram`` of each token, and of each trigram its pair and first word."""
+        many = len(self.hashes)
+        codes, place = np.unique(self.before * many + self.tokens, return_inverse=True)
+        context, word = codes // many, codes % many
+        with np.errstate(over="ignore"):
+            keys = mix(self.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word])
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, self.context, self.word, self.pair = keys[order], context[order], word[order], rank[place]
+        first = np.concatenate(([many - 1], self.before[:-1]))
+        first[self.starts] = many - 1
+        codes, self.gram = np.unique(self.pair * many + first, return_inverse=True)
+        self.gram_pair, self.gram_first = codes // many, codes % many
+        self.gram_counts = np.bincount(self.gram[self.trained], minlength=len(codes))
 
 
 def _dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -138,12 +155,7 @@ def _dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield s, order[a:b]
 
 
-def _pair_shard(chunk: Chunk, context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(chunk.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + chunk.hashes[word]) % np.uint64(shards)).astype(np.int64)
-
-
-_ASK = "shard int, chunk long, n int, runs int, contexts binary, lengths binary, words binary, counts binary"
+_ASK = "shard int, chunk long, n int, grams int, pairs binary, lengths binary, words binary, counts binary"
 _ANSWER = "kind string, shard int, chunk long, n int, first binary, second binary"
 
 
@@ -159,19 +171,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _ask_pairs(shards: int):
+def _cuts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of the shards of ascending 64-bit keys."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    found, at = np.unique(shard, return_index=True)
+    yield from zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)
+
+
+def _ask_grams(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row)
-            context, word, place = chunk.pairs()
-            counts = np.bincount(place[chunk.trained], minlength=len(context)).astype(np.uint32)
-            out = []
-            for shard, at in _dealt(_pair_shard(chunk, context, word, shards)):
-                own = context[at]
-                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                lengths = np.diff(np.append(starts, len(own))).astype(np.uint32)
-                out.append((shard, chunk.id, len(at), len(starts), chunk.hashes[own[starts]].tobytes(), pack(lengths), six(chunk.hashes[word[at]]).tobytes(), pack(counts[at])))
-            yield _batch(_ASK, out)
+            chunk.grams()
+            bounds = np.searchsorted(chunk.gram_pair, np.arange(len(chunk.keys) + 1))
+            words_, out = chunk.hashes >> np.uint64(64 - WORD_BITS), []
+            for shard, a, b in _cuts(chunk.keys, shards):
+                c, d = bounds[a], bounds[b]
+                steps = np.diff(chunk.keys[a:b], prepend=np.uint64(0))
+                out.append((shard, chunk.id, b - a, int(d - c), pack(steps), pack(np.diff(bounds[a : b + 1]).astype(np.uint32)), five(words_[chunk.gram_first[c:d]]).tobytes(), pack(chunk.gram_counts[c:d].astype(np.uint32))))
+            if out:
+                yield _batch(_ASK, out)
 
     return run
 
@@ -188,28 +207,27 @@ def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[d
         yield now, held
 
 
-def _answer_pairs(discount: float, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, asked in _each_shard(batches):
-            context = np.concatenate([np.repeat(np.frombuffer(r["contexts"], np.uint64), unpack(r["lengths"], np.uint32, r["runs"])) for r in asked])
-            word = np.concatenate([from_six(r["words"]) for r in asked])
-            counts = np.concatenate([unpack(r["counts"], np.uint32, r["n"]) for r in asked]).astype(np.int64)
-            order = np.lexsort((word, context))
-            order = order[counts[order] > 0]
-            c, w = context[order], word[order]
-            first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))) if len(c) else np.zeros(0, np.int64)
-            total = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
-            trie = Trie(c[first], w[first], total - discount)
-            codes, at, out = trie.lookup(context, word), 0, []
-            for r in asked:
-                out.append(("pairs", shard, r["chunk"], r["n"], pack(codes[at : at + r["n"]]), None))
-                at += r["n"]
-            names, successors = np.unique(c[first], return_counts=True)
-            for to, places in _dealt((names % np.uint64(shards)).astype(np.int64)):
-                out.append(("successors", to, -1, len(places), names[places].tobytes(), pack(successors[places].astype(np.uint32))))
-            yield _batch(_ANSWER, out)
-
-    return run
+def _answer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, asked in _each_shard(batches):
+        pair = np.concatenate([np.cumsum(unpack(r["pairs"], np.uint64, r["n"])) for r in asked])
+        owner = np.repeat(np.arange(len(pair)), np.concatenate([unpack(r["lengths"], np.uint32, r["n"]) for r in asked]))
+        word = np.concatenate([from_five(r["words"]) for r in asked])
+        counts = np.concatenate([unpack(r["counts"], np.uint32, r["grams"]) for r in asked])
+        pairs, pair_at = np.unique(pair, return_inverse=True)
+        grams, gram_at = np.unique(pair_at[owner].astype(np.uint64) << np.uint64(WORD_BITS) | word, return_inverse=True)
+        total = np.bincount(gram_at, weights=counts, minlength=len(grams)).astype(np.int64)
+        own, last = (grams >> np.uint64(WORD_BITS)).astype(np.int64), grams & np.uint64((1 << WORD_BITS) - 1)
+        pair_total = np.bincount(own, weights=total, minlength=len(pairs)).astype(np.int64)
+        seen, taught = np.flatnonzero(pair_total), total > 0
+        number = np.cumsum(pair_total > 0) - 1
+        trie = Trie(pairs[seen], pair_total[seen], number[own[taught]], last[taught], total[taught])
+        place, pair_codes = trie.find(pairs)
+        gram_codes = trie.lookup(place[own], last)
+        a = b = 0
+        for r in asked:
+            n, m = r["n"], r["grams"]
+            yield _batch(_ANSWER, [("grams", shard, r["chunk"], n, pack(pair_codes[pair_at[a : a + n]]), pack(gram_codes[gram_at[b : b + m]]))])
+            a, b = a + n, b + m
 
 
 def _ask_words(shards: int):
@@ -225,19 +243,12 @@ def _ask_words(shards: int):
 
 def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, asked in _each_shard(batches):
-        names = [np.frombuffer(r["first"], np.uint64) for r in asked]
-        numbers = [unpack(r["second"], np.uint32, r["n"]).astype(np.int64) for r in asked]
-        every, place = np.unique(np.concatenate(names), return_inverse=True)
-        is_word = np.repeat([r["kind"] == "words" for r in asked], [r["n"] for r in asked])
-        flat = np.concatenate(numbers)
-        count = np.bincount(place[is_word], weights=flat[is_word], minlength=len(every)).astype(np.int64)
-        successors = np.bincount(place[~is_word], weights=flat[~is_word], minlength=len(every)).astype(np.int64)
+        every, place = np.unique(np.concatenate([np.frombuffer(r["first"], np.uint64) for r in asked]), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([unpack(r["second"], np.uint32, r["n"]) for r in asked]), minlength=len(every)).astype(np.int64)
         tokens = np.where(every == START, 0, count)
         out, at = [("totals", shard, int(tokens.sum()), int(np.count_nonzero(tokens)), None, None)], 0
         for r in asked:
-            if r["kind"] == "words":
-                own = place[at : at + r["n"]]
-                out.append(("words", shard, r["chunk"], r["n"], pack(count[own]), pack(successors[own])))
+            out.append(("words", shard, r["chunk"], r["n"], pack(count[place[at : at + r["n"]]]), None))
             at += r["n"]
         yield _batch(_ANSWER, out)
 
@@ -245,24 +256,29 @@ def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _SCORE = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scorer(tokens: int, types: int, discount: float, shards: int):
+def _scorer(tokens: int, types: int, shards: int, k2: float, k3: float):
     def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(chunks):
             return pd.DataFrame({c.split()[0]: [] for c in _SCORE.split(", ")})
         chunk = Chunk(chunks.iloc[0].to_dict())
+        chunk.grams()
         told = {(r.kind, r.shard): r for r in answers.itertuples()}
-        count, successors = np.zeros(len(chunk.hashes), np.int64), np.zeros(len(chunk.hashes), np.int64)
+        count = np.zeros(len(chunk.hashes), np.int64)
         for shard, at in _dealt((chunk.hashes % np.uint64(shards)).astype(np.int64)):
             r = told["words", shard]
-            count[at], successors[at] = unpack(r.first, np.int64, r.n), unpack(r.second, np.int64, r.n)
-        context, word, place = chunk.pairs()
-        codes = np.zeros(len(context), np.uint16)
-        for shard, at in _dealt(_pair_shard(chunk, context, word, shards)):
-            r = told["pairs", shard]
-            codes[at] = unpack(r.first, np.uint16, r.n)
+            count[at] = unpack(r.first, np.int64, r.n)
+        bounds = np.searchsorted(chunk.gram_pair, np.arange(len(chunk.keys) + 1))
+        pair_codes, gram_codes = np.zeros(len(chunk.keys), np.uint16), np.zeros(len(chunk.gram_pair), np.uint16)
+        for shard, a, b in _cuts(chunk.keys, shards):
+            r = told["grams", shard]
+            pair_codes[a:b] = unpack(r.first, np.uint16, r.n)
+            gram_codes[bounds[a] : bounds[b]] = unpack(r.second, np.uint16, int(bounds[b] - bounds[a]))
         one = (count + 1.0) / (tokens + types + 1.0)
-        seen = np.maximum(count[context], 1)
-        two = np.where(count[context] > 0, restored(codes) / seen + discount * successors[context] / seen * one[word], one[word])
+        pair_counts = restored(pair_codes)
+        two = (pair_counts + k2 * one[chunk.word]) / (count[chunk.context] + k2)
+        above = np.concatenate(([0.0], pair_counts[chunk.pair[:-1]]))  # of the pair that comes before
+        three = (restored(gram_codes)[chunk.gram] + k3 * two[chunk.pair]) / (above + k3)
+        three[chunk.starts] = two[chunk.pair[chunk.starts]]
         sums = lambda x: np.add.reduceat(x, chunk.starts)
         return pd.DataFrame(
             {
@@ -271,29 +287,31 @@ def _scorer(tokens: int, types: int, discount: float, shards: int):
                 "n_tokens": np.diff(np.append(chunk.starts, len(chunk.tokens))),
                 "n_known": sums((count[chunk.tokens] > 0).astype(np.int64)),
                 "base_score": sums(np.log10(one)[chunk.tokens]),
-                "score": sums(np.log10(two)[place]),
+                "score": sums(np.log10(three)),
             }
         )
 
     return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, out: int = 2, discount: float = DISCOUNT) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, out: int = 2, k2: float = K2, k3: float = K3) -> DataFrame:
     """Scores of all texts by the model of those whose crc32(id as text) mod ``modulus`` is
     not ``out``; ``train`` says which those are."""
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
-    shards, parts = SHARDS * partitions(spark), partitions(spark)
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = spill(rows.mapInArrow(lean(_chunks(modulus, out)), _CHUNK), "chunks")
-    asked = chunks.mapInArrow(lean(_ask_pairs(shards)), _ASK).repartition(parts, "shard").sortWithinPartitions("shard", "chunk")
-    pairs = spill(asked.mapInArrow(lean(_answer_pairs(discount, shards)), _ANSWER), "pairs")
-    asked = chunks.mapInArrow(lean(_ask_words(shards)), _ANSWER).unionByName(pairs.filter("kind = 'successors'"))
-    answered = spill(asked.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(lean(_answer_words), _ANSWER), "words")
+    size = int(chunks.agg(F.sum(F.col("n_tokens").cast("long"))).first()[0] or 0)
+    shards = max(SHARDS * partitions(spark), -(-size // SHARD_TOKENS))
+    parts = shards // SHARDS
+    asked = chunks.mapInArrow(lean(_ask_grams(shards)), _ASK).repartition(parts, "shard").sortWithinPartitions("shard", "chunk")
+    grams = spill(asked.mapInArrow(lean(_answer_grams), _ANSWER), "grams")
+    asked = chunks.mapInArrow(lean(_ask_words(shards)), _ANSWER)
+    answered = spill(asked.repartition(parts, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(lean(_answer_words), _ANSWER), "words")
     totals = answered.filter("kind = 'totals'").agg(F.sum("chunk"), F.sum("n")).collect()[0]
     tokens, types = int(totals[0] or 0), int(totals[1] or 0)
-    answers = pairs.filter("kind = 'pairs'").unionByName(answered.filter("kind = 'words'"))
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scorer(tokens, types, discount, shards), _SCORE)
+    answers = grams.unionByName(answered.filter("kind = 'words'"))
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scorer(tokens, types, shards, k2, k3), _SCORE)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

@@ -15,47 +15,58 @@ from tests.llm.test_joins import brute_components, brute_tiles, frame, near_copi
 from tests.llm.test_word_lines import brute_word_lines
 
 
-def test_elias_fano_round_trip():
+def test_elias_fano_finds_all():
     rng = np.random.default_rng(1)
-    for n, blocks, bits in ((0, 1, 8), (1, 1, 48), (500, 40, 48), (3000, 2, 10)):
-        head, tail = np.sort(rng.integers(0, blocks, n)), rng.integers(0, 1 << bits, n).astype(np.uint64)
-        order = np.lexsort((tail, head))
-        got = eliasfano.EliasFano(head, tail[order], bits, eliasfano.Levels()).decoded()
-        assert got[0].tolist() == head.tolist() and got[1].tolist() == tail[order].tolist()
+    for n, bits in ((0, 8), (1, 1), (1, 64), (700, 9), (5000, 30), (3000, 64), (3000, 47)):
+        values = np.sort(rng.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+        found = eliasfano.EliasFano(values, eliasfano.Levels())
+        if n:
+            assert found.access(np.arange(n)).tolist() == values.tolist()
+        asked = np.concatenate((values, values + np.uint64(1), values - np.uint64(1), rng.integers(0, (1 << 64) - 1, 50, dtype=np.uint64)))
+        known = set(values.tolist())
+        place = found.find(asked)
+        assert [(p >= 0) for p in place.tolist()] == [x in known for x in asked.tolist()]
+        hit = np.flatnonzero(place >= 0)
+        assert values[place[hit]].tolist() == asked[hit].tolist()
 
 
 def test_trie_matches_a_dictionary():
     rng = np.random.default_rng(2)
-    known = {(int(c) << 40, int(w) << 20): float(v) for c, w, v in zip(rng.integers(0, 1 << 23, 40).repeat(20), rng.integers(0, 1 << 27, 800), rng.integers(1, 99, 800), strict=True)}
-    keys = sorted(known)
-    trie = eliasfano.Trie(np.array([c for c, _ in keys], np.uint64), np.array([w for _, w in keys], np.uint64), np.array([known[k] for k in keys]))
-    asked = keys[::3] + [(c, w + 1) for c, w in keys[::5]] + [(c + 1, w) for c, w in keys[::7]] + [(0, 0), (1 << 63, 5)]
-    got = eliasfano.restored(trie.lookup(np.array([c for c, _ in asked], np.uint64), np.array([w for _, w in asked], np.uint64)))
-    assert np.allclose(got, [known.get(k, 0.0) for k in asked], rtol=3e-4)
-    empty = eliasfano.Trie(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0))
-    assert empty.lookup(np.array([1], np.uint64), np.array([1], np.uint64)).tolist() == [0]
-
-
-def brute_scores(rows, discount=ngram_lm.DISCOUNT):
+    known = {(int(c), int(w)): int(v) for c, w, v in zip(rng.integers(0, (1 << 64) - 1, 40, dtype=np.uint64).repeat(20), rng.integers(0, 1 << 40, 800), rng.integers(1, 99, 800), strict=True)}
+    keys, contexts = sorted(known), sorted({c for c, _ in known})
+    number = {c: k for k, c in enumerate(contexts)}
+    totals = [sum(v for (c, _), v in known.items() if c == x) for x in contexts]
+    trie = eliasfano.Trie(np.array(contexts, np.uint64), np.array(totals), np.array([number[c] for c, _ in keys]), np.array([w for _, w in keys], np.uint64), np.array([known[k] for k in keys]))
+    place, codes = trie.find(np.array([*contexts, 5], np.uint64))
+    assert place.tolist() == [*range(len(contexts)), -1] and np.allclose(eliasfano.restored(codes), [*totals, 0], rtol=3e-4)
+    asked = keys[::3] + [(c, w + 1) for c, w in keys[::5]] + [(c, 0) for c in contexts] + [(5, 5)]
+    got = trie.lookup(trie.find(np.array([c for c, _ in asked], np.uint64))[0], np.array([w for _, w in asked], np.uint64))
+    assert np.allclose(eliasfano.restored(got), [known.get(k, 0) for k in asked], rtol=3e-4)
+    empty = eliasfano.Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    place, codes = empty.find(np.array([1], np.uint64))
+    assert place.tolist() == [-1] and codes.tolist() == [0] and empty.lookup(place, np.array([1], np.uint64)).tolist() == [0]
+
+
+def brute_scores(rows, k2=ngram_lm.K2, k3=ngram_lm.K3):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     texts = [(i, [*split(t), "</s>"]) for i, t in rows]
-    train = [w for i, w in texts if not held(i)]
-    one, two, before, after = Counter(), Counter(), Counter(), {}
-    for w in train:
+    one, two, three, before = Counter(), Counter(), Counter(), Counter()
+    for w in (w for i, w in texts if not held(i)):
         one.update(w)
-        for a, b in zip(["<s>", *w], w, strict=False):
-            two[a, b] += 1
-            before[a] += 1
-            after.setdefault(a, set()).add(b)
+        padded = ["<s>", "<s>", *w]
+        for a, b, c in zip(padded, padded[1:], w, strict=False):
+            two[b, c] += 1
+            three[a, b, c] += 1
+            before[b] += 1
     n, v = sum(one.values()), len(one)
     out = []
     for i, w in texts:
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        score = 0.0
-        for a, b in zip(["<s>", *w], w, strict=False):
-            p = (one[b] + 1) / (n + v + 1)
-            if before[a]:
-                p = max(two[a, b] - discount, 0) / before[a] + discount * len(after[a]) / before[a] * p
+        padded, score = ["<s>", "<s>", *w], 0.0
+        for k, (a, b, c) in enumerate(zip(padded, padded[1:], w, strict=False)):
+            p = (two[b, c] + k2 * (one[c] + 1) / (n + v + 1)) / (before[b] + k2)
+            if k:
+                p = (three[a, b, c] + k3 * p) / (two[a, b] + k3)
             score += math.log10(p)
         out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, base, score))
     return out
