@@ -146,7 +146,7 @@ def _describe(rarity: wordjoin.Rarity, shards: int):
     """Packed rows of three kinds: the postings of each set, the first line that has it, and the
     lines whose set comes earlier among those held."""
 
-    def sent(rid: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def sent(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         node, check, n, doc, line, sketch, token, own, place = map(np.concatenate, zip(*held, strict=True))
         order, new = _sorted_sets(node, check, doc, line)
         first, again = order[new], order[~new]
@@ -154,13 +154,15 @@ def _describe(rarity: wordjoin.Rarity, shards: int):
         whole[first] = True
         some = np.flatnonzero(whole[own])
         if len(some):
-            yield wordjoin.postings(token[some], rid + own[some], n[own[some]], place[some], sketch[own[some]], shards)
-        yield wordjoin.rows_of(LINES, wordjoin.shard_of(node[first] >> np.uint64(32), shards), [x[first] for x in (node, check, n, doc, line)] + [rid + first])
+            at = own[some]
+            yield wordjoin.postings(token[some], n[at], place[some], sketch[at], node[at], shards)
+        name = wordjoin.names(n, sketch, node)
+        yield wordjoin.rows_of(LINES, wordjoin.shard_of(node[first] >> np.uint64(32), shards), [x[first] for x in (node, check, n, doc, line, name)])
         if len(again):
-            yield wordjoin.rows_of(AGAIN, np.full(len(again), rid % shards), [doc[again], line[again]])
+            yield wordjoin.rows_of(AGAIN, np.full(len(again), part % shards), [doc[again], line[again]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, rid, held, lines_held, posted = rarity.classes(), first_number(), [], 0, 0
+        classes, part, held, lines_held, posted = rarity.classes(), first_number() >> 40, [], 0, 0
         for batch in slices(batches):
             flat, text, numbers = cut(batch.column(1))
             found = WordLines(flat, classes)
@@ -171,10 +173,10 @@ def _describe(rarity: wordjoin.Rarity, shards: int):
             held.append((*found.sums(), found.size.astype(np.int32), doc, numbers[found.lines].astype(np.int32), wordjoin.sketches(found.key, found.start), token, own + lines_held, place.astype(np.int32)))
             lines_held, posted = lines_held + len(doc), posted + len(token)
             if posted >= POSTINGS_AT_ONCE or lines_held >= LINES_AT_ONCE:
-                yield from sent(rid, held)
-                rid, held, lines_held, posted = rid + lines_held, [], 0, 0
+                yield from sent(part, held)
+                held, lines_held, posted = [], 0, 0
         if held:
-            yield from sent(rid, held)
+            yield from sent(part, held)
 
     return run
 
@@ -191,21 +193,21 @@ def _found(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (x, y) between records that may link; the records (x) with the hash of their set (y)
-    and their place; and the lines (doc, line) whose set has an earlier one."""
+    """Edges (x, y) between the names of sets that may link; the first line of each set with its
+    name (x) and hash (y); and the lines (doc, line) whose set has an earlier one."""
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for kind, rows in wordjoin.each_shard(batches):
         if kind == POSTINGS:
-            tokens, records, sizes, places, sketch = wordjoin.posted(rows)
-            more = wordjoin.pairs(tokens, records, sizes, places, sketch[:, 0], sketch[:, 1])
+            tokens, called, sizes, places, sketch = wordjoin.posted(rows)
+            more = wordjoin.pairs(tokens, called, sizes, places, sketch[:, 0], sketch[:, 1])
             a, b = forest(np.concatenate((a, more[0])), np.concatenate((b, more[1])))
         elif kind == LINES:
-            kinds = (np.int32, np.int64, np.int32, np.int64)
-            parts = [(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64), *(unpack(x, t, r[0]) for x, t in zip(r[3:], kinds, strict=True))) for r in rows]
-            node, check, n, doc, line, rid = map(np.concatenate, zip(*parts, strict=True))
+            hashes = [[np.frombuffer(r[k], np.int64) for k in (1, 2, 6)] for r in rows]
+            places = [[unpack(x, t, r[0]) for x, t in zip(r[3:6], (np.int32, np.int64, np.int32), strict=True)] for r in rows]
+            node, check, name, n, doc, line = (np.concatenate(x) for x in zip(*(a + b for a, b in zip(hashes, places, strict=True)), strict=True))
             order, new = _sorted_sets(node, check, doc, line)
-            again = order[~new]
-            yield _found(LINES, x=rid, y=node, check=check, n=n.astype(np.int64), doc=doc, line=line)
+            first, again = order[new], order[~new]
+            yield _found(LINES, x=name[first], y=node[first], check=check[first], n=n[first].astype(np.int64), doc=doc[first], line=line[first])
             yield _found(AGAIN, doc=doc[again], line=line[again])
         else:
             for many, doc, line, *_ in rows:
@@ -223,10 +225,6 @@ def _hashed(hash_of):
     return lean(run)
 
 
-def _record_hash(rid: np.ndarray) -> np.ndarray:
-    return mix(rid.astype(np.uint64)).view(np.int64)
-
-
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some.
     ``doc`` is the id, the greatest long for null."""
@@ -237,17 +235,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = rarity.shards(partitions(spark))
     found = spill(wordjoin.dealt(rows.mapInArrow(lean(_describe(rarity, shards)), PACKED), shards).mapInArrow(lean(_join), _FOUND), "lines")
     near = spill(components(found.filter(f"kind = {POSTINGS}").select(F.col("x").alias("a"), F.col("y").alias("b"))), "near")
-    records = bitmap(near.select("node").mapInArrow(_hashed(_record_hash), "k long"), "k")
+    named = bitmap(near, "node")
 
     def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(records, _record_hash(batch.column(0).to_numpy()))))
+            yield batch.filter(pa.array(in_bitmap(named, batch.column(0).to_numpy())))
 
-    sets = found.filter(f"kind = {LINES}").select(F.col("x").alias("rid"), F.col("y").alias("node"), "check", "n", "doc", "line")
-    sets = sets.mapInArrow(lean(connected), sets.schema).join(near.withColumnRenamed("node", "rid"), "rid")
-    # equal sets are connected: their records share every token
-    members = sets.groupBy("node", "check", "n").agg(F.min("component").alias("component"), F.min(F.struct("doc", "line")).alias("first"))
-    assigned = spill(tasks(members.select("component", "n", "node", "check", "first.doc", "first.line")).drop("block"), "assigned")
+    sets = found.filter(f"kind = {LINES}").select(F.col("x").alias("name"), F.col("y").alias("node"), "check", "n", "doc", "line")
+    members = sets.mapInArrow(lean(connected), sets.schema).join(near.withColumnRenamed("node", "name"), "name")
+    assigned = spill(tasks(members.drop("name")).drop("block"), "assigned")
     bits = bitmap(assigned.select("doc", "line").mapInArrow(_hashed(place_hash), "k long"), "k")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +263,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     key = ["doc", "line", "node", "check"]
     whole = rows.mapInArrow(lean(full), "doc long, line int, node long, check long, keys binary")
-    similar = met(assigned, whole, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
+    similar = met(assigned.hint("merge"), whole, key, key, _verify, "doc long, line long").withColumn("line", F.col("line").cast("int"))
     gone = found.filter(f"kind = {AGAIN}").select("doc", "line").unionByName(similar)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 

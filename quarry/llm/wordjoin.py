@@ -11,8 +11,9 @@ Any order of tokens will do, as long as it is the same everywhere. Words are ord
 classes of how often they come in the whole corpus, then by hash. The counts are those of
 hash buckets, a table of fixed size: words that share a bucket share its class.
 
-Postings travel packed: tokens by their 48-bit hashes, sorted, as differences; records by
-numbers that count up within a task. Tokens that share a hash only add to what is compared.
+Postings travel packed: tokens by their 48-bit hashes, sorted, as differences; sets by their
+sketches, or, where these have too few bits to tell sets apart, by a hash. Tokens that share a
+hash, and sets that share a name, only add to what is compared.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BUCKET_BITS = 24
 PARTS = 16
 #: Smaller sets link only with equal ones.
 LEAST = 4
+#: Smaller sets are named by the hash of their tokens, others by their sketch.
+NAMED = 16
 #: Words of the corpus for each shard of postings, about 64 MB of them.
 WORDS_PER_SHARD = 6_000_000
 #: The four bits of a token that hold its class; bits of a posted token.
@@ -175,27 +178,40 @@ def rows_of(kind: int, shard: np.ndarray, columns: list[np.ndarray]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*heads, *map(binary, columns), *blank], names=_NAMES)
 
 
-def postings(tokens: np.ndarray, records: np.ndarray, sizes: np.ndarray, places: np.ndarray, sketch: np.ndarray, shards: int) -> pa.RecordBatch:
-    """Rows of postings. Each token is what it exceeds the one before it in its row by."""
+def names(sizes: np.ndarray, sketch: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """What a set is called as a node: equal for equal sets."""
+    with np.errstate(over="ignore"):
+        own = mix(mix(sketch[:, 0]) + sketch[:, 1] * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64))
+    return np.where(sizes < NAMED, node, own)
+
+
+def postings(tokens: np.ndarray, sizes: np.ndarray, places: np.ndarray, sketch: np.ndarray, node: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rows of postings. Each token is what it exceeds the one before it in its row by; ``node`` is
+    sent of small sets only."""
     short = mix(tokens) >> np.uint64(64 - TOKEN_BITS)
     order = np.argsort(short)
-    short = short[order]
+    short, sizes, node = short[order], sizes[order], node[order]
     shard = shard_of(short >> np.uint64(TOKEN_BITS - 32), shards)
     step = np.diff(short, prepend=np.uint64(0)).astype(np.int64)
     new = np.flatnonzero(np.diff(shard, prepend=-1))
     step[new] = short[new].astype(np.int64)
-    return rows_of(POSTINGS, shard, [step, records[order], sizes[order], places[order], sketch[order].reshape(-1, 2)])
+    out = rows_of(POSTINGS, shard, [step, sizes, places[order], sketch[order].reshape(-1, 2)])
+    ends = np.append(new[1:], len(shard))
+    small = [node[a:b][sizes[a:b] < NAMED].tobytes() for a, b in zip(new.tolist(), ends.tolist(), strict=True)]
+    return out.set_column(out.schema.get_field_index("e"), "e", pa.array(small, pa.binary()))
 
 
-_POSTED = (np.int64, np.int64, np.int32, np.int32)
+_POSTED = (np.int64, np.int32, np.int32)
 
 
 def posted(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    """(tokens, records, sizes, places, sketches) of the rows (many, a, b, ...) of a shard."""
+    """(tokens, names, sizes, places, sketches) of the rows (many, a, b, ...) of a shard."""
     parts = []
     for many, *raw in rows:
-        steps, *numbers = (unpack(x, kind, many) for x, kind in zip(raw, _POSTED, strict=False))
-        parts.append((np.cumsum(steps).astype(np.uint64), *numbers, np.frombuffer(raw[4], np.uint64).reshape(many, 2)))
+        steps, sizes, places = (unpack(x, kind, many) for x, kind in zip(raw, _POSTED, strict=False))
+        sketch, node = np.frombuffer(raw[3], np.uint64).reshape(many, 2), np.zeros(many, np.uint64)
+        node[sizes < NAMED] = np.frombuffer(raw[4], np.uint64)
+        parts.append((np.cumsum(steps).astype(np.uint64), names(sizes, sketch, node).view(np.int64), sizes, places, sketch))
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
