@@ -7,7 +7,8 @@ none of them, its lines are looked up one by one. The sequence of identifiers fo
 identifiers that must follow one another. The first rule that matches is the document's
 licence, all that match are listed.
 
-Null and empty texts have no sentences and no licence. Repeated rows each get a row.
+Null and empty texts have no sentences and no licence. Repeated rows each get a row; very long
+texts are taken whole; an empty table gives an empty result; other columns are ignored.
 There is no shuffle: every row is decided by itself.
 
 The SQL twin cuts at every newline and knows ``SENTENCES`` and ``RULES`` only: it agrees where
@@ -61,8 +62,49 @@ RULES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "cc-by-4"),
 ]
 _TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_LESSER = _TERMS.replace("general", "lesser general")
+_AFFERO = _TERMS.replace("general", "affero general")
+_CC = "this work is licensed under a creative commons attribution {} 4 0 international license"
 # Sentences as the whole notices have them, besides SENTENCES.
 WHOLE_SENTENCES: dict[str, str] = {
+    "this library is free software": "gpl-free",
+    _LESSER: "lgpl-terms",
+    "either version 2 1 of the license or at your option any later version": "gpl-v21-later",
+    f"{_LESSER} either version 2 1 of the license or at your option any later version": "lgpl-terms-v21-later",
+    f"{_LESSER} either version 3 of the license or at your option any later version": "lgpl-terms-v3-later",
+    _AFFERO: "agpl-terms",
+    f"{_AFFERO} either version 3 of the license or at your option any later version": "agpl-terms-v3-later",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation": "gfdl-13",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit-0-grant",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-subject",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "cddl-subject",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "bsl-1",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedication",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl-copies",
+    "this font software is licensed under the sil open font license version 1 1": "ofl-11",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    "licensed under the bsd 2 clause license": "bsd-2",
+    "licensed under the bsd 3 clause license": "bsd-3",
+    "licensed under the isc license": "isc",
+    "licensed under the mozilla public license 2 0": "mpl-2",
+    "licensed under the mozilla public license version 2 0": "mpl-2",
+    "licensed under the gnu lesser general public license version 3": "lgpl-3",
+    "licensed under the gnu affero general public license version 3": "agpl-3",
+    "licensed under the eupl": "eupl",
+    _CC.format("sharealike"): "cc-by-sa-4",
+    _CC.format("noncommercial"): "cc-by-nc-4",
+    _CC.format("noderivatives"): "cc-by-nd-4",
+    _CC.format("noncommercial sharealike"): "cc-by-nc-sa-4",
+    _CC.format("noncommercial noderivatives"): "cc-by-nc-nd-4",
     f"{_TERMS} either version 3 of the license or at your option any later version": "gpl-terms-v3-later",
     f"{_TERMS} either version 2 of the license or at your option any later version": "gpl-terms-v2-later",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
@@ -75,12 +117,43 @@ WHOLE_SENTENCES: dict[str, str] = {
 WHOLE_RULES: list[tuple[str, str]] = [
     ("GPL-3.0-or-later", "gpl-free gpl-terms-v3-later"),
     ("GPL-2.0-or-later", "gpl-free gpl-terms-v2-later"),
+    ("LGPL-3.0-or-later", "gpl-free lgpl-terms-v3-later"),
+    ("LGPL-3.0-or-later", "gpl-free lgpl-terms gpl-v3-later"),
+    ("LGPL-2.1-or-later", "gpl-free lgpl-terms-v21-later"),
+    ("LGPL-2.1-or-later", "gpl-free lgpl-terms gpl-v21-later"),
+    ("AGPL-3.0-or-later", "gpl-free agpl-terms-v3-later"),
+    ("AGPL-3.0-or-later", "gpl-free agpl-terms gpl-v3-later"),
+    ("GFDL-1.3-or-later", "gfdl-13"),
+    ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd-advert"),
     ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-names"),
+    ("MPL-2.0", "mpl-subject mpl-2-copy"),
+    ("EPL-2.0", "epl-2"),
+    ("CDDL-1.0", "cddl-subject"),
+    ("ISC", "isc-grant"),
+    ("0BSD", "0bsd-grant"),
+    ("MIT-0", "mit-0-grant"),
+    ("PostgreSQL", "postgresql-grant"),
+    ("Unlicense", "unlicense"),
+    ("Zlib", "zlib-grant"),
+    ("BSL-1.0", "bsl-1"),
+    ("CC0-1.0", "cc0-dedication"),
+    ("WTFPL", "wtfpl-copies"),
+    ("OFL-1.1", "ofl-11"),
+    ("BSD-2-Clause", "bsd-2"),
+    ("BSD-3-Clause", "bsd-3"),
+    ("ISC", "isc"),
+    ("MPL-2.0", "mpl-2"),
+    ("LGPL-3.0", "lgpl-3"),
+    ("AGPL-3.0", "agpl-3"),
+    ("EUPL-1.2", "eupl"),
+    ("CC-BY-ND-4.0", "cc-by-nd-4"),
+    ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-4"),
+    ("CC-BY-NC-ND-4.0", "cc-by-nc-nd-4"),
 ]
 #: Ends of sentences: marks, and lines without a letter or digit.
 SENTENCE_END = r"[.!?;:]+\s+|\n[^A-Za-z0-9\n]*\n"
 #: Every known sentence has one of these; other texts are not cut up. Line ends may come in between.
-SIGN = "(?i)licen[sc]e|redistribut|permission|free[^a-z0-9]+software|later[^a-z0-9]+version"
+SIGN = "(?i)licen[sc]e|redistribut|permission|free[^a-z0-9]+software|later[^a-z0-9]+version|version [0-9.]+ of the|public[^a-z0-9]+domain|advertising[^a-z0-9]+materials|copy of the mpl"
 #: Whoever is named there.
 NAMES = "^neither the name of .+ nor the names of its contributors may"
 

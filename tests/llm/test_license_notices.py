@@ -24,6 +24,20 @@ NOTICES = [
     (APACHE, "Apache-2.0"),
     ("Licensed under the MIT License\nCopyright A", "MIT"),
     ("later\nversion", None),
+    (GPL.format(";", ";", "2.1").replace("program", "library").replace("General", "Lesser General"), "LGPL-2.1-or-later"),
+    (GPL.format(":", ",", 3).replace("program", "library").replace("General", "Lesser General"), "LGPL-3.0-or-later"),
+    (GPL.format(":", ",", 3).replace("General", "Affero General"), "AGPL-3.0-or-later"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", "0BSD"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n", "Zlib"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"),
+    ("To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide.", "CC0-1.0"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    (BSD + "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n", "BSD-4-Clause"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-\nShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
 ]
 
 
