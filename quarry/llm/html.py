@@ -9,8 +9,9 @@ The model is trained here, on pages that ``sample_page`` makes up (articles in m
 between menus, headers, footers, sidebars, notices, adverts, forms and comments); training
 is deterministic and takes some seconds on the driver. No page of the input is needed.
 
-Scripts, styles, comments and markup are never text. A null page is empty; a page without
-text gives the empty string. Unclosed and unmatched tags are tolerated. Repeated rows each
+Scripts, styles, templates, drawings, form fields, what stands for a script, comments and
+markup are never text. A null page is empty; a page without text gives the empty string; a page
+without any tag is text as a whole. Unclosed and unmatched tags are tolerated. Repeated rows each
 get a row.
 """
 
@@ -34,7 +35,7 @@ INPUT = PATH + WORDS + NUMBERS
 #: Pages and passes of training, and padded leaves of one step of labelling.
 PAGES, PASSES, STEP = 1500, 20, 40_000
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|canvas)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -345,6 +346,10 @@ def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> Labelle
     return model
 
 
+def untagged(page: list[Leaf]) -> bool:
+    return len(page) == 1 and not page[0][0]
+
+
 def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None) -> DataFrame:
     """``pages`` without the html, with ``text`` and ``n_chars``."""
     model = model or trained()
@@ -353,7 +358,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             found = [leaves(x) for x in texts(batch.column(len(kept)))]
-            out = [" ".join(leaf[1] for leaf, yes in zip(page, labels, strict=True) if yes) for page, labels in zip(found, model.label(found), strict=True)]
+            out = [" ".join(leaf[1] for leaf, yes in zip(page, labels, strict=True) if yes or untagged(page)) for page, labels in zip(found, model.label(found), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*kept, "text", "n_chars"])
 
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")

@@ -142,7 +142,12 @@ def test_odd_pages(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "no tags at all", "t"), (4, "u", "<article><p>" + "word " * 50_000, "t"), (4, "u", "<div>" * 2000, "t")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.page_id for r in got) == [1, 2, 3, 4, 4]
-    assert {r.page_id: r.text for r in got if r.page_id < 3} == {1: "", 2: ""}
+    assert {r.page_id: r.text for r in got if r.page_id < 4} == {1: "", 2: "", 3: "no tags at all"}
+
+
+def test_unseen_elements_have_no_text():
+    page = "<main><p>One.</p><noscript>Enable it</noscript><template><p>hidden</p></template><svg><text>s</text></svg><select><option>o</select><textarea>t</textarea><p>Two &amp; more.</p></main>"
+    assert [x[1] for x in html.leaves(page)] == ["One.", "Two & more."]
 
 
 def brute_pipeline(docs, bench):
