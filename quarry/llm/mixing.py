@@ -13,7 +13,12 @@ rounds without it), so the schedule is worked out once for each kind and looked
 each row. Nothing in it grows with the number of rows.
 
 A null source is a source of its own. Sources without a stated weight get the default.
-Null ids sort first. Repeated rows each get a place. An empty table gives an empty result.
+The rows of a source lie in the order of a hash of their ids, then by id; rows without an id
+in that of their other columns. Repeated rows each get a place. An empty table gives an empty
+result. Columns may be called anything: those named like the three results are replaced.
+
+The schedule of a kind costs its slots times the sources, and there are about two kinds for
+each source: it is made for mixtures of some hundred sources, not for a source for every host.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.window import Window
 
 #: Rows of a block.
@@ -50,7 +56,14 @@ def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, default:
     weight = F.lit(default)
     if weights:
         weight = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))]), F.col("mix_source")), weight)
-    keyed = docs.withColumns({"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)), "mix_part": F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts))})
+    # the rows of a source follow a hash, whatever their number; parts are ranges of it
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_own"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("mix_source"),
+        F.col(id_col).alias("mix_id"), F.xxhash64(F.col(id_col)).alias("mix_hash"), F.xxhash64(*hashable).alias("mix_rest"))
+    spread = F.when(F.col("mix_id").isNull(), F.col("mix_rest")).otherwise(F.col("mix_hash"))
+    keyed = keyed.withColumn("mix_hash", F.shiftrightunsigned(spread, 32)).withColumn("mix_part", F.shiftright(F.col("mix_hash") * parts, 32))
     counts = keyed.groupBy("mix_source", "mix_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
     sources = counts.groupBy("mix_source").agg(F.sum("n").alias("rows"))
@@ -63,20 +76,22 @@ def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, default:
     kinds = kinds.withColumn("share", F.expr("transform(all, s -> greatest(0L, least(s.w, s.blocks - turn * s.w)))"))
     kinds = kinds.withColumn("total", F.expr("aggregate(share, 0L, (a, x) -> a + x)")).filter("total > 0")
     kinds = kinds.withColumn("base", F.expr("aggregate(all, 0L, (a, s) -> a + least(s.blocks, turn * s.w))"))
+    kinds = kinds.repartition("kind")  # a task for each: their schedules do not depend on one another
     slots = kinds.select("all", "kind", "turn", "total", "base", F.posexplode(F.expr(_SCHEDULE)).alias("slot", "i"))
     nth = Window.partitionBy("kind", "i").orderBy("slot")
     slots = slots.select("kind", F.expr("all[i].mix_source").alias("mix_source"), "turn", "total", "base", "slot", (F.row_number().over(nth) - 1).cast("bigint").alias("k"))
 
     per_source = one.select("turns", F.explode("all").alias("s")).select("s.mix_source", "s.w", "turns")
     offsets = counts.withColumn("mix_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(per_source, "mix_source")
-    own = Window.partitionBy("mix_source", "mix_part").orderBy(id_col)
+    own = Window.partitionBy("mix_source", "mix_part").orderBy("mix_hash", "mix_id", "mix_rest")
     ranked = keyed.withColumn("mix_index", F.row_number().over(own) - 1).join(offsets, ["mix_source", "mix_part"])
     ranked = ranked.withColumn("mix_index", F.col("mix_index") + F.col("mix_before"))
     ranked = ranked.withColumns({"mix_block": F.expr(f"mix_index div {block_rows}"), "mix_row": F.expr(f"cast(mix_index % {block_rows} as int)")})
     ranked = ranked.withColumns({"mix_round": F.expr("mix_block div w"), "k": F.expr("mix_block % w")})
     ranked = ranked.withColumn("kind", F.expr("size(filter(turns, x -> x <= mix_round)) - 1")).drop("turns")
     placed = ranked.join(slots, ["kind", "mix_source", "k"])
-    return placed.withColumn("mix_slot", F.expr("base + (mix_round - turn) * total + slot")).select(*docs.columns, "mix_slot", "mix_row", "mix_block")
+    kept = [F.col("mix_own").getField(c).alias(c) for c in docs.columns if c.lower() not in ("mix_slot", "mix_row", "mix_block")]
+    return placed.withColumn("mix_slot", F.expr("base + (mix_round - turn) * total + slot")).select(*kept, "mix_slot", "mix_row", "mix_block")
 
 
 def target_weights() -> dict[str, int]:

@@ -152,3 +152,25 @@ def test_quality_of_odd_rows(spark):
     trees = quality.train(docs, labels)
     assert 0 < trees.score(quality.feature_matrix(["", "a b"]))[0] <= 1
     assert quality.train(docs, labels.limit(0)).score(quality.feature_matrix([""]))[0] == 0.5
+
+
+def plain_edf(shares):
+    """Earliest deadline first over one round, slot by slot."""
+    total, done, out = sum(shares), [0] * len(shares), []
+    for t in range(total):
+        open_ = [(-(-(d + 1) * total // a), k) for k, (a, d) in enumerate(zip(shares, done, strict=True)) if d < a and d * total // a <= t]
+        k = min(open_)[1]
+        done[k] += 1
+        out.append(k)
+    return out
+
+
+def test_mixing_columns_may_be_called_anything(spark):
+    names = ["k", "kind", "slot", "w", "total", "base", "turn", "mix_part", "mix_slot", "row", "n"]
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('s', id % 3) as source", *[f"id + 100 as {n}" for n in names])
+    got = mixing.schedule(docs, {"s0": 1, "s1": 2, "s2": 3}, block_rows=1).collect()
+    assert len(got) == 40 and all(r[n] == r.doc_id + 100 for r in got for n in names if n != "mix_slot")
+    order = [int(r.source[1]) for r in sorted(got, key=lambda r: r.mix_slot)]
+    assert order[:6] == plain_edf([1, 2, 3]) == order[6:12]
+    null = docs.selectExpr("cast(null as bigint) as doc_id", "* except (doc_id)")
+    assert mixing.schedule(null, block_rows=4).count() == 40
