@@ -45,8 +45,17 @@ def all_nfkc(lists: pd.Series) -> pd.Series:
 
 
 def tidy(text: Column) -> Column:
-    """Line ends as newlines, no blanks before them, at most one empty line, ends trimmed."""
-    unix = F.regexp_replace(text, "\\r\\n?", "\n")
+    """NFKC, line ends as newlines, no blanks before them, at most one empty line, ends trimmed."""
+    unix = F.regexp_replace(nfkc(text), "\\r\\n?", "\n")
+    return _trimmed_lines(unix)
+
+
+def tidied(text: Column) -> Column:
+    """``tidy`` of a text that is in NFKC already."""
+    return _trimmed_lines(F.regexp_replace(text, "\\r\\n?", "\n"))
+
+
+def _trimmed_lines(unix: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(unix, "[ \\t]+\\n", "\n"), "\\n{3,}", "\n\n"))
 
 

@@ -1,10 +1,14 @@
-"""Overlapping chunks that end at natural boundaries."""
+"""Overlapping chunks that end at natural boundaries.
+
+Where a chunk may end is looked up in tables made once for each text: for every place the last
+line end, blank line, sentence end and white space before it.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -14,8 +18,53 @@ from quarry.plans.fixtures import PDF, PPTX, SLIDES
 LOOK_BACK, BLANK_BACK = 160, 40
 # Chunk length and overlap by media type; any other has the last.
 SIZES, OTHER = {PPTX: (1500, 100), SLIDES: (1500, 100), PDF: (900, 120)}, (900, 100)
-# Boundaries, the best first.
-BOUNDARIES = [re.compile(p) for p in (r"\n[^\S\n]*\n+", r"\n", r"[.!?。！？]['\"”’）)\]】」』]*\s*", r"\s")]
+# White space, what ends a sentence, and what may follow that.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+SENTENCE_ENDS, CLOSERS = ".!?。！？", "\"'”’）)"
+
+
+class Boundaries:
+    """For each place k of a text, the last place before k that has a property, -1 for none."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        places = np.arange(len(codes))
+
+        def among(chars: str) -> np.ndarray:
+            return np.isin(codes, np.array([ord(c) for c in chars], np.uint32))
+
+        def last(has: np.ndarray, value: np.ndarray = places) -> np.ndarray:
+            return np.concatenate(([-1], np.maximum.accumulate(np.where(has, value, -1))))
+
+        def stretch(has: np.ndarray) -> np.ndarray:
+            """Where the stretch of ``has`` that starts at each place ends."""
+            stop = np.where(has, len(codes), places)
+            return np.append(np.minimum.accumulate(stop[::-1])[::-1], len(codes))
+
+        white, line = among(WHITE), codes == ord("\n")
+        self.white, self.line, self.sentence = last(white), last(line), last(among(SENTENCE_ENDS))
+        self.sentence_end = stretch(white)[stretch(among(CLOSERS))[1:]]
+        # a line end with another before it in the same white space closes a blank line
+        other = last(line)[:-1]
+        joined = line & (other >= 0) & (other > last(~white)[:-1])
+        self.blank, self.opened = last(joined), np.where(joined, other, -1)
+
+    def end(self, low: int, high: int) -> int:
+        """The best place in (low, high] to end a chunk: after a blank line, a line, a sentence or
+        a blank, the last of its kind; else ``high``."""
+        blank, line, sentence, white = (int(x[high]) for x in (self.blank, self.line, self.sentence, self.white))
+        if blank >= low and self.opened[blank] >= low:
+            return blank + 1
+        if line >= low:
+            return line + 1
+        if sentence >= low:
+            return min(int(self.sentence_end[sentence]), high)
+        return white + 1 if white >= low else high
+
+    def start(self, low: int, high: int) -> int:
+        """After the last blank in [low, high), else ``high``."""
+        white = int(self.white[high])
+        return white + 1 if white >= low else high
 
 
 def pieces(text: str, size: int = 900, overlap: int = 100) -> list[str]:
@@ -23,29 +72,17 @@ def pieces(text: str, size: int = 900, overlap: int = 100) -> list[str]:
     ``overlap`` before the end of the last."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive, overlap in [0, size)")
-    text = text.replace("\r\n", "\n").replace("\r", "\n").strip()
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            low = max(start + 1, end - LOOK_BACK)
-            for boundary in BOUNDARIES:
-                found = [m.end() for m in boundary.finditer(text, low, end)]
-                if found:
-                    end = found[-1]
-                    break
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
-        after = end
-        if overlap:
-            after = max(start + 1, end - overlap)
-            blank = max((k for k in range(max(start + 1, after - BLANK_BACK), after) if text[k].isspace()), default=None)
-            after = after if blank is None else blank + 1
-        start = after
-    return out
+    text = text.replace("\r\n", "\n").replace("\r", "\n").strip(WHITE)
+    if len(text) <= size:
+        return [text] if text else []
+    bounds, spans, start = Boundaries(text), [], 0
+    while start + size < len(text):
+        end = bounds.end(max(start + 1, start + size - LOOK_BACK), start + size)
+        spans.append((start, end))
+        back = max(start + 1, end - overlap)
+        start = bounds.start(max(start + 1, back - BLANK_BACK), back) if overlap else end
+    spans.append((start, len(text)))
+    return [x for x in (text[a:b].strip(WHITE) for a, b in spans) if x]
 
 
 def chunk_documents(docs: DataFrame, size: int = 900, overlap: int = 100) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from quarry.functions import expressions as X
 from quarry.functions.text import tidy, xml_decoded
 from quarry.operators import chunking, embedding, evaluation
-from quarry.plans.fixtures import FILES
+from quarry.plans import chunk_sql
+from quarry.plans.fixtures import FILES, PDF, PPTX, SLIDES
 from quarry.session import table
 from quarry.sources import files
 
@@ -74,9 +75,14 @@ def slide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- chunks -------------------------------------------------------------------------------
-@query("chunk_by_format")
+SECTIONS_SQL = f"""SELECT id AS key, p AS part, parts[p] AS text, CASE WHEN mime IN ('{PPTX}', '{SLIDES}') THEN 1500 ELSE 900 END AS size, CASE WHEN mime = '{PDF}' THEN 120 ELSE 100 END AS overlap
+FROM (SELECT id, mime, parts, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT id, mime, string_split(coalesce(text, ''), chr(10) || chr(10)) AS parts FROM ({FILES.replace('{documents}', 'documents')}) f) x) y"""
+
+
+@query("chunk_by_format", chunk_sql.chunks(SECTIONS_SQL) + f""" SELECT key AS document_id, n AS chunk_index, key || ':' || n AS chunk_id, content, CAST(part AS INT) AS page, CAST(NULL AS INT) AS slide, base AS section_title
+FROM pieces JOIN ({FILES.replace('{documents}', 'documents')}) f ON f.id = key""")
 def chunk_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file whose paragraphs are sections; held against a plain loop."""
+    """Every document as a file whose paragraphs are sections."""
     listed = spark.sql(FILES, documents=table(spark, sf_dir, "documents"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n\n")
     sections = F.transform(lines, lambda t, i: F.struct(t.alias("text"), (i + 1).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"), F.col("base").alias("title")))

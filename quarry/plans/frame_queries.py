@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quarry.functions import expressions as X
 from quarry.operators import chunking, retrieval
 from quarry.operators.search import MOST_POOL
+from quarry.plans import chunk_sql
 from quarry.plans.fixtures import CATEGORY, FILES, SUPPORTED
 from quarry.session import table
 
@@ -127,14 +128,11 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified(files, 100)
 
 
+@query("chunk_documents", chunk_sql.chunks("SELECT doc_id AS key, 0 AS part, text, 900 AS size, 100 AS overlap FROM documents") + " SELECT key AS doc_id, n AS chunk_index, key || ':' || n AS chunk_id, content FROM pieces")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain rendition in the tests."""
     return chunking.chunk_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES["chunk_documents"] = chunk_documents
-
-
 @query("query_normalize", "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations")
 def query_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.collapsed(F.col("text")).alias("q"))

@@ -26,7 +26,7 @@ def both(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
 
 
 WITH = f"WITH files AS ({FILES}), pairs AS ({PAIRS}), typed AS (SELECT *, {CATEGORY} AS category, {ESTIMATE} AS est FROM files)"
-KEPT = "kept AS (SELECT * FROM typed WHERE id NOT IN (SELECT pdf_id FROM pairs))"
+KEPT = "kept AS (SELECT * FROM typed t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.pdf_id = t.id))"
 
 # -- listing, validation, routing ---------------------------------------------------------
 both("folder_closure", """

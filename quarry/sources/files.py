@@ -7,12 +7,16 @@ import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
+from itertools import accumulate, groupby
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import all_nfkc, decode_xml, tidy
+from quarry.functions.text import all_nfkc, tidied
+from quarry.operators.chunking import WHITE
+from quarry.plans.fixtures import DOCX, PDF, PPTX, SLIDES
 
 SECTIONS = "path string, status string, sections array<struct<text:string,page:int,slide:int,title:string>>, slide_count int"
 SLIDES_JSON = """struct<slides:array<struct<objectId:string,pageElements:array<struct<shape:struct<placeholder:struct<type:string>,
@@ -86,41 +90,81 @@ def classified(errors: DataFrame, body: str = "body", response: str = "response_
     return errors.withColumns({"status": status, "reason": F.coalesce(F.try_element_at(known, F.lit(1)), F.lit("unknown")), "retriable": F.coalesce(again, F.lit(False))})
 
 
-def _texts(xml: str, tag: str) -> list[str]:
-    found = re.findall(rf"<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", xml, re.S)
-    return [t for t in (unicodedata.normalize("NFKC", decode_xml(x)).strip() for x in found) if t]
+class Paragraphs:
+    """The paragraphs of an office document as a parser meets them: (style, its runs of text).
+    Names are compared as they are written; without ``block`` the whole document is one."""
+
+    def __init__(self, run: str, block: str | None = None, style: str | None = None):
+        self.names, self.found, self.held = (run, block, style), [], None
+        if block is None:
+            self.found.append((None, []))
+
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        run, block, style = self.names
+        if name == block:
+            self.found.append((None, []))
+        elif name == run and self.found:
+            self.held = []
+        elif name == style and self.found:
+            self.found[-1] = (attributes.get("w:val"), self.found[-1][1])
+
+    def text(self, data: str) -> None:
+        if self.held is not None:
+            self.held.append(data)
+
+    def end(self, name: str) -> None:
+        if name == self.names[0] and self.held is not None:
+            said = unicodedata.normalize("NFKC", "".join(self.held)).strip(WHITE)
+            self.held = None
+            if said:
+                self.found[-1][1].append(said)
+
+    def read(self, xml: bytes) -> list[tuple[str | None, list[str]]]:
+        parser = expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.text
+        # a root of our own: parts of a document may come without one
+        parser.Parse(b"<all>" + re.sub(rb"^\s*(?:\xef\xbb\xbf)?<\?xml[^>]*\?>", b"", xml) + b"</all>", True)
+        return self.found
 
 
 def slides_of(data: bytes) -> tuple[list[dict], int]:
     """Sections of a PPTX: a slide's texts by line, the first as its title."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        out = [(k, _texts(z.read(n).decode("utf-8"), "a:t")) for k, n in names]
+        out = [(k, Paragraphs("a:t").read(z.read(n))[0][1]) for k, n in names]
     return [{"text": "\n".join(t), "page": None, "slide": k, "title": t[0]} for k, t in out if t], len(names)
 
 
+# How the styles of headings start, in lower case.
+HEADINGS = ("heading", "見出し")
+
+
 def headings_of(data: bytes) -> list[dict]:
     """Sections of a DOCX, a new one at each heading; one of headings alone gives its last."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        xml = z.read("word/document.xml").decode("utf-8")
-    out, title, body = [], None, []
-
-    def flush() -> None:
-        if body:
-            out.append({"text": "\n".join(body), "page": None, "slide": None, "title": title})
-            body.clear()
-
-    for paragraph in re.findall(r"<w:p(?:\s[^>]*)?>.*?</w:p>", xml, re.S):
-        text = "".join(decode_xml(t) for t in re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", paragraph, re.S)).strip()
-        if not text:
-            continue
-        if re.search(r'<w:pStyle\s[^>]*w:val="(?:heading|見出し)', paragraph, re.I):
-            flush()
-            title = text
-        else:
-            body.append(text)
-    flush()
-    return out or ([{"text": title, "page": None, "slide": None, "title": title}] if title else [])
+        found = Paragraphs("w:t", "w:p", "w:pStyle").read(z.read("word/document.xml"))
+    said = [((style or "").lower().startswith(HEADINGS), "".join(runs)) for style, runs in found if runs]
+    numbers = accumulate(heading for heading, _ in said)
+    parts = [[x for _, x in group] for _, group in groupby(zip(numbers, said, strict=True), key=lambda x: x[0])]
+    split = [(part[0][1] if part[0][0] else None, [text for heading, text in part if not heading]) for part in parts]
+    titles = [title for title, _ in split if title]
+    kept = [(title, "\n".join(body)) for title, body in split if body] or [(title, title) for title in titles[-1:]]
+    return [{"text": text, "page": None, "slide": None, "title": title} for title, text in kept]
+
+
+# Media types of each extractor, in their order.
+EXTRACTORS = {"pdf": (PDF,), "pptx": (PPTX,), "slides": (SLIDES,), "docx": (DOCX,)}
+
+
+def extractor_of(mime: Column) -> Column:
+    """The first extractor for a content's media type, null if there is none."""
+    return F.coalesce(*[F.when(mime.isin(*types), name) for name, types in EXTRACTORS.items()])
+
+
+def structural_count(sections: Column, kind: str, counted: Column) -> Column:
+    """What the extractor counted, else how many pages (slides) the sections name, else null."""
+    named = F.size(F.array_distinct(F.filter(F.transform(sections, lambda s: s[kind]), lambda x: x.isNotNull())))
+    return F.coalesce(counted, F.nullif(named, F.lit(0)))
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -136,7 +180,7 @@ def extract(files: DataFrame) -> DataFrame:
             else:
                 return path, "unsupported", [], None
             return path, "success" if sections else "empty_document", sections, count
-        except (zipfile.BadZipFile, KeyError, UnicodeDecodeError):
+        except (zipfile.BadZipFile, KeyError, expat.ExpatError):
             return path, "failed", [], None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +196,7 @@ def slides_json(docs: DataFrame, column: str = "json") -> DataFrame:
     slides = docs.select("*", F.posexplode(F.from_json(column, SLIDES_JSON)["slides"]).alias("pos", "s"))
     said = "transform(s.pageElements, e -> array_join(transform(e.shape.text.textElements, t -> coalesce(t.textRun.content, t.autoText.content, '')), ''))"
     plain = slides.withColumn("kinds", F.expr("transform(s.pageElements, e -> e.shape.placeholder.type)")).withColumn("texts", all_nfkc(F.expr(said)))
-    tidied = F.transform(F.arrays_zip("kinds", "texts"), lambda x: F.struct(x["kinds"].alias("kind"), tidy(x["texts"]).alias("text")))
-    shapes = plain.withColumn("shapes", F.filter(tidied, lambda x: x["text"] != ""))
+    shaped = F.transform(F.arrays_zip("kinds", "texts"), lambda x: F.struct(x["kinds"].alias("kind"), tidied(x["texts"]).alias("text")))
+    shapes = plain.withColumn("shapes", F.filter(shaped, lambda x: x["text"] != ""))
     title = F.expr("try_element_at(filter(shapes, x -> x.kind IN ('TITLE', 'CENTERED_TITLE')), 1).text")
     return shapes.filter(F.size("shapes") > 0).select(*docs.columns, (F.col("pos") + 1).alias("slide"), title.alias("title"), F.array_join("shapes.text", "\n").alias("text"))

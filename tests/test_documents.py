@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 def plain_chunks(body, size, overlap):
     """The chunks by looking at every position on its own."""
     body = body.replace("\r\n", "\n").replace("\r", "\n").strip()
-    kinds = (r"\n[^\S\n]*\n+$", r"\n$", r"[.!?。！？]['\"”’）)\]】」』]*\s*$", r"\s$")
+    kinds = (r"\n\s*\n$", r"\n$", r"[.!?。！？][\"'”’）)]*\s*$", r"\s$")
     out, start = [], 0
     while start < len(body):
         end = limit = min(start + size, len(body))
@@ -46,6 +46,13 @@ def plain_chunks(body, size, overlap):
     return out
 
 
+def test_chunks_end_at_their_best_boundary():
+    assert chunking.pieces("そうです。」" * 40, 50, 0)[0].endswith("。")  # a corner bracket closes no sentence
+    assert chunking.pieces("a b.\n \n" + "x" * 30, 20, 0)[0] == "a b."
+    assert chunking.pieces("one two) three.) four" + "x" * 30, 21, 5)[0] == "one two) three.)"
+    assert "".join(chunking.pieces("y" * 95, 30, 0)) == "y" * 95
+
+
 def test_chunks_against_a_plain_loop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bodies = {r.doc_id: r.text or "" for r in docs.collect()}

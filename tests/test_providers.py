@@ -1,0 +1,71 @@
+"""Clients of remote services, without a network."""
+
+import json
+import math
+
+import pytest
+
+from quarry.operators import providers
+
+
+def reply(vectors):
+    return json.dumps({"data": [{"index": k, "embedding": v} for k, v in vectors]})
+
+
+def test_replies_are_put_in_order():
+    assert providers.vectors_of(reply([(1, [0, 5]), (0, [3, 4])]), 2, 2) == [[0.6, 0.8], [0.0, 1.0]]
+    for bad in ("x", "[]", reply([(0, [1, 0])]), reply([(0, [1, 0]), (0, [1, 0])]), reply([(0, [1, 0]), (2, [1, 0])]), reply([(0, [1, 0]), ("1", [1, 0])]), reply([(0, [0, 0]), (1, [1, 0])]), reply([(0, [1]), (1, [1, 0])])):
+        with pytest.raises(providers.BadReply):
+            providers.vectors_of(bad, 2, 2)
+
+
+def test_delays():
+    assert [providers.retry_delay(k) for k in (0, 1, 9)] == [1, 2, 60]
+    assert providers.retry_delay(3, "1.5") == 1.5 and providers.retry_delay(3, "soon") == 8
+    assert providers.retry_delay(0, "Thu, 01 Jan 1970 00:02:00 GMT", now=60.0) == 60.0
+    assert [providers.retriable(s) for s in (400, 408, 409, 429, 500, 503)] == [False, True, True, True, True, True]
+
+
+def test_windows():
+    now = [0.0]
+    waited = []
+
+    def sleep(seconds):
+        waited.append(seconds)
+        now[0] += seconds
+
+    paced = providers.Window(3, 100, clock=lambda: now[0], sleep=sleep)
+    for need in (10, 10, 10, 95):
+        paced.reserve(need)
+    assert waited == [60.25]
+    with pytest.raises(ValueError):
+        paced.reserve(101)
+    fast = providers.Window(1, waits=False, clock=lambda: now[0])
+    fast.reserve()
+    with pytest.raises(providers.RateLimited):
+        fast.reserve()
+    now[0] += 60
+    fast.cool_down(5)
+    with pytest.raises(providers.RateLimited):
+        fast.reserve()
+    now[0] += 5
+    fast.reserve()
+
+
+def test_embedder():
+    sent, answers = [], [(429, {"retry-after": "2"}, ""), None, None]
+
+    def post(request):
+        sent.append(request)
+        return answers[len(sent) - 1] or (200, {}, reply([(k, [1.0, 1.0]) for k in range(len(request["input"]))]))
+
+    waits = []
+    remote = providers.RemoteEmbedder(post, "m", 2, providers.Window(1000), tokens_a_minute=120, sleep=waits.append)
+    got = remote.embed([" a "] * 7, title="T")  # 19 tokens each, 108 a request
+    assert [len(r["input"]) for r in sent] == [5, 5, 2] and sent[0]["input"][0] == "T\na" and waits == [2.0]
+    assert len(got) == 7 and math.isclose(got[0][0], 0.5**0.5)
+    assert remote.embed([]) == []
+    with pytest.raises(ValueError):
+        remote.embed([" "])
+    with pytest.raises(ValueError):
+        remote.batches(["x" * 200])
