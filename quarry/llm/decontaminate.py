@@ -9,7 +9,10 @@ words, in whatever order they come.
 
 The benchmark is taken in blocks of ``BLOCK_WORDS`` words; each block is sent to the tasks
 and every document is read once for each block, without any shuffle. Null and empty texts
-or items match nothing. Repeated documents and items each get their rows.
+or items match nothing. Repeated documents and items each get their rows. Of equally long runs the
+one comes first whose shift from item to text is least, then that earliest in the text. Very long
+texts are taken whole; an empty table gives an empty result; other columns are ignored, or handed
+on by ``keep_clean``.
 """
 
 from __future__ import annotations

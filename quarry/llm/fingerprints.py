@@ -6,7 +6,8 @@ with equal fingerprints are compared byte by byte: if two canonical texts ever s
 digest, the later ones (in byte order) get a numbered suffix.
 
 Null text is the empty text and has a fingerprint like any other. Null ids sort last.
-Repeated rows stay, each with its own result; an empty table gives an empty result.
+Repeated rows stay, each with its own result; very long texts are taken whole, a slice of rows at
+a time; an empty table gives an empty result.
 Columns beyond the id and the text are ignored.
 """
 
@@ -120,7 +121,7 @@ def exact_groups(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", tex
     Only digests that occur twice send their texts anywhere, each distinct text once from
     each task. ``prints`` should be stored: it is read several times."""
     buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id"))
-    shared = buckets.filter("group_size > 1")
+    shared = spill(buckets.filter("group_size > 1"), "buckets")
     bits = bitmap(shared.select(F.xxhash64("fingerprint").alias("k")), "k")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

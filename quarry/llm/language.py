@@ -8,12 +8,13 @@ profile where it lacks the n-gram. Ties go to the language first in order.
 
 The score is 1 - distance / greatest possible distance. Null texts and texts without a
 letter are ``und`` with score 0, also if there is no profile at all. Rows with a null
-language teach nothing. Repeated rows count as often as they occur.
+language teach nothing. Repeated rows count as often as they occur. Very long texts are taken
+whole; an empty table gives an empty result; other columns are ignored, or handed on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -110,10 +111,6 @@ def predict(text: str, profiles: Profiles, profile: int = PROFILE, own: int = OW
     return best, 1.0 - least / (profile * len(mine))
 
 
-def predictor(profiles: Profiles) -> Callable[[list[str]], list[tuple[str, float]]]:
-    return lambda rows: [predict(x, profiles) for x in rows]
-
-
 def held_out(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
     from quarry.llm.common import crc_remainder
 

@@ -77,3 +77,18 @@ def test_pairs_connect_all_that_link():
         label = [label[x] if z == label[y] else z for z in label]
     every = [(x, y) for x in range(200) for y in range(x) if linked(set(sets[x].tolist()), set(sets[y].tolist()))]
     assert every and all(label[x] == label[y] for x, y in every)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    table(spark, sf, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, sf, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_hands_on_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "a b\nc", 7, 8, 9)], "doc_id long, text string, key_ int, lost_ int, lines int")
+    got = sorted(tuple(r) for r in lines.dedup(docs).collect())
+    assert got == [(1, "a b", 7, 8, 9), (2, "c", 7, 8, 9)]
