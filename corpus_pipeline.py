@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. ``run`` stores each stage's rows in the shared folder for the next.
+
+Null texts have no letter and go at once. Rows without an id are kept by every stage that does not
+find fault with their text; repeated rows are near duplicates of one another, as far as their ids
+differ; an empty table gives an empty result; columns besides those of documents are handed on.
 """
 
 from __future__ import annotations
