@@ -208,16 +208,18 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # Words of class and id names around and in articles.
 _AROUND = {
     "nav": "nav navbar menu navigation breadcrumb breadcrumbs topnav pagination pager links toc skip".split(),
-    "header": "header masthead top topbar branding logo tagline hero".split(),
-    "footer": "footer bottom copyright legal colophon foot".split(),
-    "aside": "sidebar aside widget related recommended trending popular more rail secondary".split(),
+    "header": "header masthead top topbar branding logo tagline hero hd".split(),
+    "footer": "footer bottom copyright legal colophon foot ft".split(),
+    "aside": "sidebar aside widget related recommended trending popular more rail secondary sb posts stories".split(),
     "ad": "ad ads advert advertisement advertising sponsor sponsored promo promotion banner adsense adbox".split(),
-    "notice": "cookie cookies consent notice alert popup modal gdpr privacy overlay message banner disclaimer subscribe newsletter paywall".split(),
+    "notice": "cookie newsletter signup cookies consent notice alert popup modal gdpr privacy overlay message banner disclaimer subscribe newsletter paywall".split(),
     "form": "form search login signup subscribe newsletter contact register".split(),
     "share": "share social sharing follow buttons tags meta byline".split(),
     "comments": "comments comment commentlist discussion replies reply responses disqus respond thread reader".split(),
 }
-_INSIDE = "article content post entry story main body text page single blog news wrapper container column".split()
+_INSIDE = "article content post entry story main body text page single blog news wrapper container column bd".split()
+#: Words that say nothing of what a block is.
+_ANYWHERE = "box slot bar wrap wrapper container section block area inner unit item list".split()
 
 
 def sample_page(rng: random.Random) -> tuple[str, list[str]]:
@@ -235,7 +237,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
         return text + (rng.choice([".", ".", "!", "?"]) if stop else "")
 
     def mark(kind: str) -> str:
-        names = rng.sample(_AROUND[kind], k=min(2, rng.randint(1, 2)))
+        names = rng.sample(_AROUND[kind], k=rng.randint(1, 2)) + rng.sample(_ANYWHERE, k=rng.random() < 0.4)
         name = rng.choice([" ", "-", "_"]).join(names) + ("" if rng.random() < 0.7 else f" x{rng.randrange(999)}")
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
@@ -298,7 +300,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
     inside = [f"<h1>{take(words(2, 9, False))}</h1>"] if rng.random() < 0.85 else []
     for _ in range(rng.randint(1, 10)):
         inside.append(block(rng.randint(2, 4)))
-        if rng.random() < 0.08:
+        if rng.random() < 0.16:
             inside.append(around(rng.choice(["ad", "share", "notice", "aside", "form"])))
     if rng.random() < 0.15:
         inside.append(around("comments"))
