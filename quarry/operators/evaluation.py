@@ -57,6 +57,14 @@ def checked_dataset(data: dict) -> dict:
     return data
 
 
+def chosen_cases(dataset: dict, case: str | None = None, category: str | None = None) -> list[dict]:
+    """The cases with this id and of this category, where given; none is an error."""
+    out = [c for c in dataset["cases"] if case in (None, c["id"]) and category in (None, c["category"])]
+    if not out:
+        raise ValueError(f"no case {case or '*'} of category {category or '*'}")
+    return out
+
+
 def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
 

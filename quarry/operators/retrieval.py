@@ -23,13 +23,9 @@ def words(text: Column) -> Column:
     return F.expr("regexp_extract_all(lower(coalesce(%s, '')), '[\\\\p{L}\\\\p{N}]+', 0)" % text) if isinstance(text, str) else F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of the documents with one of the terms. Only the query's own terms are
-    exploded; lengths and the number of documents come from one aggregate."""
-    tokens = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    counted = tokens.select("doc_id", F.size("w").alias("len"), F.explode(F.filter("w", lambda x: x.isin(terms))).alias("term"))
-    tf = counted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    whole = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+def bm25_scores(tf: DataFrame, whole: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc_id, score) from the lists (term, doc_id, tf, len) of a query's terms and the one row ``whole``
+    (n, avgdl)."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))  # one row each term, one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -37,6 +33,15 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
     return joined.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
+def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc_id, score) of the documents with one of the terms, without an index (``PostingIndex``). Only the
+    query's own terms are exploded; lengths and the number of documents come from one aggregate."""
+    tokens = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
+    counted = tokens.select("doc_id", F.size("w").alias("len"), F.explode(F.filter("w", lambda x: x.isin(terms))).alias("term"))
+    tf = counted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    return bm25_scores(tf, tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")), k1, b)
+
+
 def rrf(lists: list[DataFrame], key: str, limit: int, constant: int = RRF) -> DataFrame:
     """Reciprocal-rank fusion of lists (key, rank from 1)."""
     union = lists[0].select(key, "rank")
