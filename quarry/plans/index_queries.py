@@ -35,9 +35,9 @@ def posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One chunk in forty is a document of its own, the others belong to one: few documents among many chunks.
 UNEVEN = "CASE WHEN vec_id % 40 = 0 THEN 'd' || CAST(vec_id AS STRING) ELSE 'common' END"
-POOL = 4
+POOL = 7
 DENSE = frame_queries.SCORED.replace("'d' || CAST(CAST(floor(vec_id / 5) AS BIGINT) AS STRING)", UNEVEN)
-LEVELS = ", l AS (SELECT unnest([100, 200, 400, 500]) AS level)"
+LEVELS = ", l AS (SELECT unnest([140, 280, 500]) AS level)"
 
 
 def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
