@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 GRADES = (0, 1, 2, 3)
-#: Items too short for a seed that one query may hold.
+#: Items too short for a seed that one reading of the texts looks for.
 SHORT_ITEMS = 1000
 
 
@@ -109,16 +109,14 @@ def containing(documents: DataFrame, items: DataFrame, seed: int = 5) -> DataFra
 
     Candidates share the item's whole words from its second on, ``seed`` of them or as many as
     there are before its last: an equi-join on their hash, after which each candidate is held
-    against the text. Items of fewer than three words have no such seed: they are sent along
-    as a list, and more than ``SHORT_ITEMS`` of them are an error. Null texts match nothing."""
+    against the text. Items of fewer than three words have no such seed: the texts are read once for
+    each list of ``SHORT_ITEMS`` of them. Null texts match nothing."""
     words = "filter(split(text, '[ \\t\\n\\r\\f]+'), w -> w <> '')"
     split = items.filter("text IS NOT NULL").select("item_id", F.col("text").alias("item"), F.expr(words).alias("w"))
     size = F.least(F.lit(seed), F.size("w") - 2)
     seeds = split.filter(size > 0).select("item_id", size.alias("n"), F.xxhash64(F.slice("w", F.lit(2), size)).alias("key"))
     body = documents.filter("text IS NOT NULL").select("doc_id", F.expr(words).alias("w"))
-    short = split.filter(size <= 0).select("item_id", "item").limit(SHORT_ITEMS + 1).collect()
-    if len(short) > SHORT_ITEMS:
-        raise ValueError(f"more than {SHORT_ITEMS} items have fewer than three words")
+    short = split.filter(size <= 0).select("item_id", "item").collect()
     keys = []
     for row in sorted(seeds.select("n").distinct().collect()):  # ``seed`` rows at most
         n = row["n"]
@@ -129,8 +127,8 @@ def containing(documents: DataFrame, items: DataFrame, seed: int = 5) -> DataFra
         pairs = reduce(DataFrame.unionAll, keys).join(seeds, ["n", "key"]).select("item_id", "doc_id").distinct()
         near = pairs.join(split.select("item_id", "item"), "item_id").join(documents.select("doc_id", "text"), "doc_id")
         out.append(near.filter(F.contains("text", "item")).select("item_id", "doc_id"))
-    if short:
-        listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in short])
+    for at in range(0, len(short), SHORT_ITEMS):
+        listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in short[at : at + SHORT_ITEMS]])
         direct = documents.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("text"), x["item"]))).alias("hit"))
         out.append(direct.select("hit.item_id", "doc_id"))
     return reduce(DataFrame.unionAll, out) if out else split.select("item_id", F.lit(None).cast("long").alias("doc_id")).limit(0)

@@ -13,7 +13,7 @@ from quarry.functions.text import tidy, xml_decoded
 from quarry.operators import chunking, embedding, evaluation
 from quarry.plans import chunk_sql
 from quarry.plans.fixtures import FILES, PDF, PPTX, SLIDES
-from quarry.session import table
+from quarry.session import stored, table
 from quarry.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,7 +199,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case for each benchmark item: the documents that contain it are relevant, and what is
     ranked are those, their two successors, and one other document."""
     items = table(spark, sf_dir, "benchmark")
-    judged = evaluation.containing(table(spark, sf_dir, "documents"), items).select("item_id", "doc_id")
+    judged = stored(evaluation.containing(table(spark, sf_dir, "documents"), items).select("item_id", "doc_id"), "judged")  # read four times
     near = judged.select("item_id", F.explode(F.array("doc_id", F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("doc_id")).union(items.select("item_id", F.col("item_id") * 3)).distinct()
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("doc_id") * 7 % 31, "doc_id"))
     results = near.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("document"), rank.alias("rank")).withColumn("score", 1.0 / F.col("rank"))

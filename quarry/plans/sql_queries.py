@@ -147,8 +147,9 @@ both("score_normalize", "SELECT event_id, round(CASE WHEN value IS NULL THEN 0.0
 both("descriptor_parse", "WITH d AS (SELECT n_nationkey AS k, 'provider=' || n_name || ';dim=' || CAST(64 + n_regionkey AS STRING) AS s FROM {nation}) SELECT k, str_to_map(s, ';', '=')['provider'] AS provider, CAST(str_to_map(s, ';', '=')['dim'] AS INT) AS dim FROM d",
      "WITH d AS (SELECT n_nationkey AS k, 'provider=' || n_name || ';dim=' || CAST(64 + n_regionkey AS STRING) AS s FROM nation) SELECT k, regexp_extract(s, 'provider=([^;]*)', 1) AS provider, CAST(regexp_extract(s, 'dim=([0-9]+)', 1) AS INT) AS dim FROM d")
 both("search_text", WITH + " SELECT id, concat_ws(chr(10), NULLIF(name, ''), NULLIF(parent, 'folder0'), NULLIF(text, '')) AS search_text FROM files")
-both("xml_text_values", "SELECT page_id, array_join(regexp_extract_all(html, '<p(?:\\\\s[^>]*)?>([^<]*)</p>', 1), '|') AS paragraphs FROM {pages}",
-     "SELECT page_id, array_to_string(regexp_extract_all(html, '<p(?:\\s[^>]*)?>([^<]*)</p>', 1), '|') AS paragraphs FROM pages")
+PARAGRAPH = "(?s)<p(?:\\s[^>]*)?>(.*?)</p>"
+both("xml_text_values", "SELECT page_id, array_join(transform(regexp_extract_all(html, '" + PARAGRAPH.replace("\\", "\\\\") + "', 1), x -> regexp_replace(x, '<[^>]*>', '')), '|') AS paragraphs FROM {pages}",
+     f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '{PARAGRAPH}', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), '|') AS paragraphs FROM pages")
 both("direct_messages", "SELECT conv_id, turn, text FROM {conversations} WHERE role = 'user' AND text IS NOT NULL AND text <> ''")
 both("slide_fold", """
 SELECT conv_id, CAST(count(*) AS BIGINT) AS shapes, max(CASE WHEN role = 'system' THEN text END) AS title,

@@ -181,11 +181,13 @@ def test_evaluation(spark):
     assert (s.cases, s.answered, s.no_answer, s.hit, s.mean_silent_score) == (3, 2, 1, 0.5, 0.5)
 
 
-def test_containing(spark):
+def test_containing(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "so one two\tthree four five six seven"), (2, "one two"), (3, None), (4, ""), (5, "xone two three four five sixx")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two\tthree four five six seven"), (2, "two"), (3, None), (4, "one two three"), (5, "ne two three four five six")], "item_id long, text string")
     got = sorted(tuple(r) for r in evaluation.containing(docs, items).collect())
     assert got == [(1, 1), (2, 1), (2, 2), (2, 5), (4, 5), (5, 5)]
+    monkeypatch.setattr(evaluation, "SHORT_ITEMS", 1)
+    assert sorted(tuple(r) for r in evaluation.containing(docs, items).collect()) == got
     assert evaluation.containing(docs, items.limit(0)).count() == 0
 
 
