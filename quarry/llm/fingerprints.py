@@ -27,8 +27,9 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import bitmap, in_bitmap, lean, partitions, slices, spill, texts
 
-#: Id ranges per shuffle partition when rows are paired with their successors.
-RANGES_PER_PARTITION = 8
+#: Id ranges per shuffle partition when rows are paired with their successors, at least, and the
+#: rows of a range beyond which there are more.
+RANGES_PER_PARTITION, ROWS_PER_RANGE = 8, 20_000
 _LOWEST = -(1 << 63)
 
 
@@ -51,7 +52,8 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(_LOWEST))
-    ranges = RANGES_PER_PARTITION * partitions(spark)
+    tasks = max(partitions(spark), -(-rows.count() // (RANGES_PER_PARTITION * ROWS_PER_RANGE)))
+    ranges = RANGES_PER_PARTITION * tasks
     cuts = np.unique(rows.select(key.cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges))
 
     @F.pandas_udf("int")
@@ -71,7 +73,7 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = names[found] == keys.to_numpy() if len(names) else np.zeros(len(keys), bool)
         return pd.Series([[a, int(parts[i])] if h else [a] for a, i, h in zip(own.tolist(), found, hit, strict=True)])
 
-    dealt = keyed.select("id", "text", "key", F.posexplode(places("key", "part")).alias("guest", "place"))
+    dealt = keyed.select("id", "text", "key", F.posexplode(places("key", "part")).alias("guest", "place")).repartition(tasks, "place")
     order = Window.partitionBy("place").orderBy("guest", F.desc("key"), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0").select("id", "text", "next_text")
 

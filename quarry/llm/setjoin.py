@@ -33,8 +33,8 @@ from quarry.llm.components import components, forest
 PERCENT = 80
 #: Tokens of one block, and postings a task holds before it sends them.
 BLOCK_TOKENS, POSTINGS_AT_ONCE = 1_000_000, 500_000
-#: Shards per shuffle partition.
-SHARDS = 2
+#: Shards per shuffle partition, and the postings of one, about, beyond which there are more.
+SHARDS, SHARD_POSTINGS = 2, 2_000_000
 
 
 def first_number() -> int:
@@ -123,11 +123,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield joined()
 
 
+def shards_of(tasks_: int, tokens: int, eighths: int = 5) -> int:
+    """Shards of the postings of sets with ``tokens`` tokens in all: some for each of ``tasks_`` at
+    least, and as many as keep a shard, which a task holds whole, at about SHARD_POSTINGS."""
+    share = (100 - PERCENT) + PERCENT * eighths // 8  # of 100 tokens, those in the extended prefix
+    return SHARDS * max(tasks_, -(-tokens * share // (100 * SHARD_POSTINGS * SHARDS)))
+
+
 def candidates(records: DataFrame, eighths: int = 5) -> DataFrame:
     """(node, component) of the records (rid long, n long, prefix binary) that may link; rows
     without a prefix are passed over. ``prefix`` holds the first prefix_size(n) + spare(n, eighths)
-    tokens. Records may repeat a set: they are found to be linked."""
-    shards = SHARDS * partitions(records.sparkSession)
+    tokens. Records may repeat a set: they are found to be linked. ``records`` should be stored:
+    their sizes, which say how many shards there are, are summed first."""
+    known = records.filter("prefix is not null")
+    shards = shards_of(partitions(records.sparkSession), int(known.agg(F.sum("n")).first()[0] or 0), eighths)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -191,9 +200,9 @@ def candidates(records: DataFrame, eighths: int = 5) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions(df.sparkSession), "shard").sortWithinPartitions("shard")
+        return df.repartition(shards // SHARDS, "shard").sortWithinPartitions("shard")
 
-    posted = records.filter("prefix is not null").select("rid", "n", "prefix").mapInArrow(lean(post), _POSTED)
+    posted = known.select("rid", "n", "prefix").mapInArrow(lean(post), _POSTED)
     counted = dealt(posted).mapInArrow(lean(count), _RANKED)
     return components(dealt(dealt(counted).mapInArrow(lean(keep), _POSTED)).mapInArrow(lean(stars), "a long, b long"))
 
