@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles.
 
 A profile is the list of a language's most frequent letter n-grams (1 to 3 letters of the
-lower-cased text, words padded by one blank), most frequent first, ties by code point. A
+lower-cased text, words padded by one blank), most frequent first, ties by length and code points. A
 text is given the language whose profile has the least out-of-place distance: for each of
 the text's own most frequent n-grams the difference of its two ranks, or the length of the
 profile where it lacks the n-gram. Ties go to the language first in order.
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import lean, remainder, slices, small_batches, table, texts
+from quarry.llm.common import crc_remainder, lean, remainder, slices, small_batches, table, texts
 
 #: N-grams of a language's profile and of a text's own list.
 PROFILE, OWN = 400, 300
 UNDETERMINED = "und"
+#: The code point around words.
+BLANK = 32
 Profiles = list[tuple[str, np.ndarray, np.ndarray]]
 
 
@@ -37,16 +39,17 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of all letter n-grams of a text, in no order."""
+    """Codes of all letter n-grams of a text, in no order: their code points, 21 bits each. The
+    blank has its own, so that a letter is another n-gram than the same letter after a blank."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[codes]
     if not letter.any():
         return np.zeros(0, np.int64)
-    codes = np.concatenate(([0], np.where(letter, codes, 0), [0])).astype(np.int64)
-    codes = codes[np.concatenate(([True], (codes[1:] > 0) | (codes[:-1] > 0)))]
+    codes = np.concatenate(([BLANK], np.where(letter, codes, BLANK), [BLANK])).astype(np.int64)
+    codes = codes[np.concatenate(([True], (codes[1:] != BLANK) | (codes[:-1] != BLANK)))]
     two = (codes[:-1] << 21) | codes[1:]
     three = (two[:-1] << 21) | codes[2:]
-    return np.concatenate((codes[codes > 0], two, three[codes[1:-1] > 0]))
+    return np.concatenate((codes[codes != BLANK], two, three[codes[1:-1] != BLANK]))
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +59,7 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def most_frequent(keys: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent keys, ties by key."""
+    """The most frequent keys, ties by key: shorter n-grams first, then by code points."""
     found, n = counted(keys)
     return found[np.argsort(-n, kind="stable")[:most]]
 
@@ -111,15 +114,14 @@ def predict(text: str, profiles: Profiles, profile: int = PROFILE, own: int = OW
     return best, 1.0 - least / (profile * len(mine))
 
 
-def held_out(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
-    from quarry.llm.common import crc_remainder
-
+def taught(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
+    """The rows to learn from."""
     return docs.filter(crc_remainder("doc_id", modulus) != out)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    profiles = learn(held_out(docs))
+    profiles = learn(taught(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, quality
+from quarry.llm import decontaminate, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, quality, twins
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.OP2_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL}
+    return {
+        "op2_license_scan": licenses.OP2_SQL,
+        "op5_ngram_jaccard": jaccard.OP5_SQL,
+        "op6_line_dedup": twins.OP6_SQL,
+        "op7_language_id": twins.OP7_SQL,
+        "op9_source_mixing": twins.OP9_SQL,
+    }
