@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters and digits (ASCII punctuation is blank, A-Z lower-cased). A pair
-of document and item is looked at if they share a seed of ``LEAST`` words (the whole item,
-if that is shorter). Then the longest common runs of unmarked words are found by comparing
+of document and item is looked at if they share seeds of ``LEAST`` words (the whole item,
+if that is shorter), enough of them for the coverage asked for. Then the longest common runs of unmarked words are found by comparing
 Karp-Rabin hashes of their windows, marked as tiles, and this is repeated until no run of
-``LEAST`` words is left. An item is found in a document if tiles cover ``COVERAGE`` of its
+``LEAST`` words is left. Where equal windows of ``LEAST`` words would make too many pairs, longer
+windows are tried first, which give the same longest runs. An item is found in a document if tiles cover ``COVERAGE`` of its
 words, in whatever order they come.
 
 The benchmark is taken in blocks of ``BLOCK_WORDS`` words; each block is sent to the tasks
@@ -29,41 +30,86 @@ from quarry.llm.common import lean, slices, table
 from quarry.llm.tokens import grams, plain, word_hashes
 
 LEAST, COVERAGE, BLOCK_WORDS = 5, 0.5, 2_000_000
+#: Pairs of equal windows that are laid out at once, about.
+MOST_PAIRS = 1_000_000
 _SEED_BITS = 22
+#: The base of the window hashes, odd, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 Items = list[tuple[int, np.ndarray]]
 
 
-def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+class Windows:
+    """Karp-Rabin hashes of the windows of a text, of any size, from running sums."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.free = words, np.ones(len(words), bool)
+        with np.errstate(over="ignore"):
+            self.power, back = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words), x, np.uint64)))) for x in (_BASE, _INVERSE))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * back[:-1], dtype=np.uint64)))
+
+    def open(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows without a marked word."""
+        marked = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(marked[size:] == marked[:-size])
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + size] - self.sums[at]) * self.power[at]
+
+
+class Meeting:
+    """Open windows of one size that an item and a text have in common, before they are paired."""
+
+    def __init__(self, item: Windows, text: Windows, size: int):
+        self.size = size
+        at_item, keys = item.open(size)
+        order = np.argsort(keys, kind="stable")
+        self.item, keys = at_item[order], keys[order]
+        self.text, asked = text.open(size)
+        self.low = np.searchsorted(keys, asked, "left")
+        self.many = np.searchsorted(keys, asked, "right") - self.low
+        self.pairs = int(self.many.sum())
+
+    def paired(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the item, places in the text) of windows with equal hashes."""
+        return self.item[np.repeat(self.low - np.cumsum(self.many) + self.many, self.many) + np.arange(self.pairs)], np.repeat(self.text, self.many)
+
+
+def _longest(item: Windows, text: Windows, least: int, most_pairs: float) -> Meeting:
+    """Common windows of ``least`` words; if they make more than ``most_pairs`` pairs, as in texts
+    that repeat themselves, of the greatest size needed, up to the longest match."""
+    best, beyond = Meeting(item, text, least), min(len(item.words), len(text.words)) + 1
+    while best.pairs > most_pairs and beyond - best.size > 1:
+        tried = Meeting(item, text, min(2 * best.size, (best.size + beyond) // 2))
+        if tried.pairs:
+            best = tried
+        else:
+            beyond = tried.size
+    return best
+
+
+def tiles(words_of_item: np.ndarray, words_of_text: np.ndarray, least: int, most_pairs: float = MOST_PAIRS) -> list[tuple[int, int, int]]:
     """(place in item, place in text, words) of the tiles, longest first."""
-    free_item, free_text, found = np.ones(len(item), bool), np.ones(len(text), bool), []
+    item, text, found, clash = Windows(words_of_item), Windows(words_of_text), [], False
     while True:
-        hashes = grams(item, least)
-        windows = grams(text, least)
-        # windows with a marked word drop out
-        open_item = np.flatnonzero(np.convolve(free_item, np.ones(least, int), "valid") == least)
-        open_text = np.flatnonzero(np.convolve(free_text, np.ones(least, int), "valid") == least)
-        if not len(open_item) or not len(open_text):
-            return found
-        open_item = open_item[np.argsort(hashes[open_item], kind="stable")]
-        keys = hashes[open_item]
-        low = np.searchsorted(keys, windows[open_text], "left")
-        many = np.searchsorted(keys, windows[open_text], "right") - low
-        at_text = np.repeat(open_text, many)
-        at_item = open_item[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        equal = np.ones(len(at_text), bool)
-        for k in range(least):  # the hashes only propose
-            equal &= item[at_item + k] == text[at_text + k]
-        at_text, at_item = at_text[equal], at_item[equal]
+        common = _longest(item, text, least, float("inf") if clash else most_pairs)
+        at_item, at_text = common.paired()
+        for k in range(least if clash else 0):  # hashes only propose: word by word, once they have failed
+            equal = words_of_item[at_item + k] == words_of_text[at_text + k]
+            at_item, at_text = at_item[equal], at_text[equal]
         if not len(at_text):
             return found
         order = np.lexsort((at_text, at_text - at_item))
         at_text, at_item = at_text[order], at_item[order]
         starts = np.flatnonzero(np.concatenate(([True], (np.diff(at_text) != 1) | (np.diff(at_item) != 1))))
-        lengths = np.diff(np.append(starts, len(at_text))) + least - 1
-        for s in starts[lengths == lengths.max()]:
-            i, t, n = int(at_item[s]), int(at_text[s]), int(lengths.max())
-            if free_item[i : i + n].all() and free_text[t : t + n].all():
-                free_item[i : i + n] = free_text[t : t + n] = False
+        lengths = np.diff(np.append(starts, len(at_text))) + common.size - 1
+        n = int(lengths.max())
+        for s in starts[lengths == n]:
+            i, t = int(at_item[s]), int(at_text[s])
+            if item.free[i : i + n].all() and text.free[t : t + n].all():
+                clash = not np.array_equal(words_of_item[i : i + n], words_of_text[t : t + n])
+                if clash:
+                    break
+                item.free[i : i + n] = text.free[t : t + n] = False
                 found.append((i, t, n))
 
 
@@ -75,36 +121,46 @@ class Index:
         self.least, seeds = least, {}
         for n, (_, hashes) in enumerate(self.items):
             size = min(least, len(hashes))
-            found = np.unique(grams(hashes, size))
-            seeds.setdefault(size, []).append((found, np.full(len(found), n)))
+            found, times = np.unique(grams(hashes, size), return_counts=True)
+            seeds.setdefault(size, []).append((found, np.full(len(found), n), times))
         self.seeds = {}
         for size, parts in seeds.items():
-            keys, owner = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+            keys, owner, times = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(keys, kind="stable")
             some = np.zeros(1 << _SEED_BITS, bool)
             some[(keys >> np.uint64(64 - _SEED_BITS)).astype(np.int64)] = True
-            self.seeds[size] = (keys[order], owner[order], some)
-
-    def pairs(self, offsets: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(document's number, item's number) that share a seed."""
-        out: set[tuple[int, int]] = set()
-        for size, (keys, owner, some) in self.seeds.items():
+            self.seeds[size] = (keys[order], owner[order], times[order], some)
+        self.sizes = np.array([len(h) for _, h in self.items], np.int64)
+
+    def pairs(self, offsets: np.ndarray, hashes: np.ndarray, coverage: float = COVERAGE) -> Iterator[tuple[int, int]]:
+        """(document's number, item's number) whose shared seeds leave room for ``coverage``: a tile
+        of n words has n / size windows at least, so that they cover size words each at most."""
+        hits = []
+        for size, (keys, owner, times, some) in self.seeds.items():
             windows = grams(hashes, size)
             at = np.flatnonzero(some[(windows >> np.uint64(64 - _SEED_BITS)).astype(np.int64)])
             low = np.searchsorted(keys, windows[at], "left")
             many = np.searchsorted(keys, windows[at], "right") - low
-            at, low, many = at[many > 0], low[many > 0], many[many > 0]
             doc = np.searchsorted(offsets, at, "right") - 1
-            inside = at + size <= offsets[doc + 1]
-            for d, a, m in zip(doc[inside].tolist(), low[inside].tolist(), many[inside].tolist(), strict=True):
-                out.update((d, int(o)) for o in owner[a : a + m])
-        return sorted(out)
+            inside = (many > 0) & (at + size <= offsets[doc + 1])
+            # each seed once for a document
+            first = np.unique(np.stack((doc[inside], low[inside], many[inside])), axis=1) if inside.any() else np.zeros((3, 0), np.int64)
+            hits.append((size, first, owner, times))
+        for d in np.unique(np.concatenate([h[1][0] for h in hits])) if hits else ():
+            near = []
+            for size, (doc, low, many), owner, times in hits:
+                a, b = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
+                at = np.repeat(low[a:b] - np.cumsum(many[a:b]) + many[a:b], many[a:b]) + np.arange(many[a:b].sum())
+                items, back = np.unique(owner[at], return_inverse=True)
+                shared = np.bincount(back, weights=times[at], minlength=len(items))
+                near += items[shared * size >= coverage * self.sizes[items]].tolist()
+            yield from ((int(d), n) for n in sorted(near))
 
     def search(self, texts: pa.Array, coverage: float = COVERAGE) -> list[tuple[int, int, int, int, int, int, float]]:
         """(document's number, item id, its words, words covered, tiles, longest tile, coverage)."""
         offsets, hashes = word_hashes(plain(texts))
         out = []
-        for d, n in self.pairs(offsets, hashes):
+        for d, n in self.pairs(offsets, hashes, coverage):
             key, item = self.items[n]
             found = tiles(item, hashes[offsets[d] : offsets[d + 1]], min(self.least, len(item)))
             covered = sum(x for _, _, x in found)

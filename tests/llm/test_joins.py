@@ -127,7 +127,7 @@ def test_dedup_changes_texts(spark):
 
 
 def brute_tiles(item, text, least):
-    """Greedy string tiling by comparing everything."""
+    """Greedy string tiling by comparing everything; of equal runs the least shift first."""
     used_i, used_t, out = set(), set(), []
     while True:
         best, found = least, []
@@ -141,21 +141,35 @@ def brute_tiles(item, text, least):
                     best = n
         if not found:
             return out
-        for i, t, n in found:
+        for i, t, n in sorted(found, key=lambda x: (x[1] - x[0], x[1])):
             if not any(i + k in used_i or t + k in used_t for k in range(n)):
                 used_i.update(range(i, i + n))
                 used_t.update(range(t, t + n))
                 out.append((i, t, n))
 
 
-def test_tiles_match_brute_force():
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_tiles_match_brute_force(most):
     rng = random.Random(2)
+    for _ in range(120):
+        item, text = ([rng.randrange(rng.choice([1, 2, 4])) for _ in range(n)] for n in (rng.randint(1, 14), rng.randint(0, 30)))
+        got = decontaminate.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 3, most)
+        assert got == brute_tiles(item, text, 3)
+
+
+def test_tiles_of_texts_that_repeat_themselves():
+    one = np.zeros(60_000, np.uint64)
+    assert decontaminate.tiles(one[:3000], one, 5) == [(0, 0, 3000)]
+    assert [n for _, _, n in decontaminate.tiles(one, one[:3000], 5)] == [3000]
+
+
+def test_tiles_when_hashes_clash(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_BASE", 1)  # windows with the same sum of words clash
+    monkeypatch.setattr(decontaminate, "_INVERSE", 1)
+    rng = random.Random(3)
     for _ in range(60):
-        item, text = ([rng.randrange(4) for _ in range(n)] for n in (rng.randint(3, 14), rng.randint(3, 30)))
-        got = decontaminate.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 3)
-        want = brute_tiles(item, text, 3)
-        assert sorted((n for _, _, n in got), reverse=True)[:1] == sorted((n for _, _, n in want), reverse=True)[:1]
-        assert all(item[i : i + n] == text[t : t + n] and n >= 3 for i, t, n in got)
+        item, text = ([rng.randrange(3) for _ in range(n)] for n in (rng.randint(3, 14), rng.randint(3, 30)))
+        assert decontaminate.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 3) == brute_tiles(item, text, 3)
 
 
 def test_leaks(spark):
