@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, quality, twins
+from quarry.llm import alignment, decontaminate, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, quality, twins
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html.op8_html_extraction,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_quality": quality.op10_quality,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
