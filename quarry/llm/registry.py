@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import alignment, decontaminate, dualtree, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, quality, twins
+from quarry.llm import alignment, decontaminate, dualtree, fingerprints, html, jaccard, language, licenses, lines, mixing, ngram_lm, onebit, quality, twins
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html.op8_html_extraction,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_quality": quality.op10_quality,
+        "op11_nearest_neighbours": onebit.op11_nearest_neighbours,
         "op12_centroid_clustering": dualtree.op12_centroid_clustering,
         "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
         "pipeline": corpus_pipeline.run,
@@ -36,5 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": twins.OP6_SQL,
         "op7_language_id": twins.OP7_SQL,
         "op9_source_mixing": twins.OP9_SQL,
+        "op11_nearest_neighbours": onebit.OP11_SQL,
         "op12_centroid_clustering": dualtree.OP12_SQL,
     }

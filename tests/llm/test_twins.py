@@ -25,7 +25,7 @@ def odd(spark, tmp_path_factory):
 
     vectors = [(k, vector(k)) for k in range(120)] + [(k, vector(4)) for k in range(200, 260)] + [(k % 3, vector(9)) for k in range(6)]
     vectors += [(300, None), (350, []), (400, vector(1, 63)), (450, [None] + vector(2, 63)), (500, [float("nan")] + vector(3, 63)), (550, [float("inf")] + vector(3, 63)), (600, [0.0] * 64), (None, vector(11)), (None, vector(50)), (650, [2.0 * x for x in vector(4)])]
-    spark.createDataFrame([(*r, 1, "n") for r in vectors], "vec_id long, embedding array<double>, cluster int, nodes string").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(*r, 1, "n") for r in vectors], "vec_id long, embedding array<float>, cluster int, nodes string").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
