@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ FOLDER = "/opt/tokenizers"
 NAME_A, NAME_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words of a chunk, and tokens of the words that a task remembers; both bound its memory.
 CHUNK_WORDS, KEPT_TOKENS = 1 << 20, 1 << 22
+#: Characters of a text of new words, documents read at once.
+RUN, ROWS = 4096, 200
 #: A tokenizer's file is sent to every task; vocabularies do not grow with the data.
 MOST_FILE = 64 << 20
 #: Labels of a byte.
@@ -66,6 +70,9 @@ class Tokenizers:
         self.bytes_a = {i: bytes(map(char.__getitem__, t)) for t, i in vocabulary.items() if i not in special}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in y], dtype=np.int64) for y in ([self.bytes_a.get(i, b"") for i in range(max(self.bytes_a) + 1)], self.bytes_b))
+        # an id as it is written, before another of its side, at the end of A's, at the end of B's
+        self.written = [f"{i}{mark}" for i in range(max(len(self.lengths_a), len(self.lengths_b))) for mark in ",|;"]
         self.blank = self.b.piece_to_id(SPACE)
         # no piece goes on over the start of a word, and white space before a word is all in it
         self.by_words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) and str(self.a.pre_tokenizer) == 'ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)' and self.a.normalizer is None
@@ -96,32 +103,28 @@ class Tokenizers:
 
 @functools.lru_cache(maxsize=1)
 def _loaded(file_a: bytes, file_b: bytes) -> Tokenizers:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # in a worker: Spark deals out the cores
     return Tokenizers(file_a, file_b)
 
 
-def labels(lengths_a: list[int], lengths_b: list[int], size: int) -> bytearray:
-    """The label of every byte."""
-    out = bytearray(size)
-    for lengths, mark in ((lengths_a, A_END), (lengths_b, B_END)):
-        at = -1
-        for n in lengths:
-            at += n
-            out[at] |= mark
-    return out
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
-def groups(a: list[int], b: list[int], labelled: bytes) -> list[tuple[list[int], list[int]]]:
-    """The ids of each group, in order."""
-    out, i, j = [], 0, 0
-    for span in _SPAN.findall(labelled):
-        to_i, to_j = i + span.count(A_END) + 1, j + span.count(B_END) + 1
-        out.append((a[i:to_i], b[j:to_j]))
-        i, j = to_i, to_j
+def labels(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> np.ndarray:
+    """The label of every byte."""
+    out = np.zeros(size, dtype=np.uint8)
+    out[ends_a - 1] |= A_END
+    out[ends_b - 1] |= B_END
     return out
 
 
-def written(found: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in found)
+def groups(labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The end of each group in bytes, and the numbers of tokens of A and of B up to there."""
+    ends = np.cumsum([len(span) for span in _SPAN.findall(labelled.tobytes())], dtype=np.int64)
+    return ends, *(np.cumsum((labelled & mark) > 0)[ends - 1] for mark in (A_END, B_END))
 
 
 class Aligner:
@@ -134,43 +137,84 @@ class Aligner:
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.groups: list[str] = []
-        self.counts: list[tuple[int, int, int]] = []
-        self.links: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # counts and links of words, a part for each call of learn
         self.tokens = 0
 
     def learn(self, words: list[str]) -> None:
-        """New words; one that does not come back byte by byte has code -1."""
+        """New words, side by side in short texts; those that may not stand before a space stand alone."""
+        together, alone = [], []
+        for word in words:
+            (together if word and not word[-1].isspace() and SPACE not in word else alone).append(word)
+        runs, run, size = [], [], 0
+        for word in together:
+            run.append(word)
+            size += len(word) + 1
+            if size >= RUN:
+                runs.append(run)
+                run, size = [], 0
+        runs += [run] * bool(run) + [[w] for w in alone]
+        todo = zip(runs, self.tokenizers.encode([" ".join(r) for r in runs]), strict=True)
+        for run, (a, b) in todo:
+            if not self._add(run, a, b):
+                if len(run) == 1:
+                    self.codes[run[0]] = -1  # does not come back byte by byte
+                for word in run if len(run) > 1 else []:
+                    if not self._add([word], *next(self.tokenizers.encode([word]))):
+                        self.codes[word] = -1
+
+    def _add(self, run: list[str], a: list[int], b: list[int]) -> bool:
         t = self.tokenizers
-        for word, (a, b) in zip(words, t.encode(words), strict=True):
-            raw = f" {word}".encode()
-            bytes_a, bytes_b = [t.bytes_a[i] for i in a], [t.bytes_b[i] for i in b]
-            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-                self.codes[word] = -1
-                continue
-            found = groups(a, b, labels([len(x) for x in bytes_a], [len(x) for x in bytes_b], len(raw)))
+        raw = f" {' '.join(run)}".encode()
+        if b"".join(map(t.bytes_a.__getitem__, a)) != raw or b"".join(map(t.bytes_b.__getitem__, b)) != raw:
+            return False
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends, to_a, to_b = groups(labels(np.cumsum(t.lengths_a[a]), np.cumsum(t.lengths_b[b]), len(raw)))
+        last = np.cumsum([len(w.encode()) + 1 for w in run])
+        to_group = np.searchsorted(ends, last) + 1  # groups up to the end of each word
+        of_a, of_b = (np.diff(x, prepend=0) for x in (to_a, to_b))
+        # a token's text with the mark that follows it; tokens of A stand before those of B in a group
+        text = np.empty(len(a) + len(b), dtype=np.int64)
+        mark_a, mark_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        mark_a[to_a - 1], mark_b[to_b - 1] = 1, 2
+        text[spread(to_a + to_b - of_a - of_b, of_a)] = 3 * a + mark_a
+        text[spread(to_a + to_b - of_b, of_b)] = 3 * b + mark_b
+        tokens = list(map(t.written.__getitem__, text.tolist()))
+        to_token = (to_a + to_b)[to_group - 1].tolist()
+        at = 0
+        for word, end in zip(run, to_token, strict=True):
             self.codes[word] = len(self.groups)
-            self.groups.append(written(found))
-            self.counts.append((len(a), len(b), len(found)))
-            self.links.append(np.array([x[-1] << 32 | y[-1] for x, y in found], dtype=np.int64))
-            self.tokens += len(a) + len(b)
-
-    def text(self, text: str) -> list[int]:
-        """The codes of a text's words; none if it has no tokens."""
-        if not text:
-            return []
-        words = self.tokenizers.words(text)
-        if missing := [w for w in dict.fromkeys(words) if w not in self.codes]:
+            self.groups.append("".join(tokens[at:end])[:-1])
+            at = end
+        counts = np.column_stack([np.diff(x[to_group - 1], prepend=0) for x in (to_a, to_b)] + [np.diff(to_group, prepend=0)])
+        self.parts.append((counts, a[to_a - 1] << 32 | b[to_b - 1]))
+        self.tokens += len(text)
+        return True
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of A and B, groups) of each word, and the links of all words in their order."""
+        if len(self.parts) > 1:
+            self.parts = [(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
+        return self.parts[0] if self.parts else (np.empty((0, 3), np.int64), np.empty(0, np.int64))
+
+    def texts(self, batch: list[str]) -> list[list[int]]:
+        """The codes of each text's words; none if it has no tokens."""
+        words = [self.tokenizers.words(text) if text else [] for text in batch]
+        if missing := [w for w in dict.fromkeys(itertools.chain.from_iterable(words)) if w not in self.codes]:
             self.learn(missing)
-        codes = list(map(self.codes.__getitem__, words))
-        if -1 in codes and len(words) > 1 and text not in self.codes:
-            self.learn([text])  # as a whole, by the letter of the rule
-        return [c for c in [self.codes[text]] if c >= 0] if -1 in codes else codes
+        out = []
+        for text, own in zip(batch, words, strict=True):
+            codes = list(map(self.codes.__getitem__, own))
+            if -1 in codes:
+                if text not in self.codes:
+                    self.learn([text])  # as a whole, by the letter of the rule
+                codes = [c for c in [self.codes[text]] if c >= 0]
+            out.append(codes)
+        return out
 
     def digest(self, codes: list[int]) -> str:
         return hashlib.sha256(";".join(map(self.groups.__getitem__, codes)).encode()).hexdigest() if codes else ""
 
 
-_DOCS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 _CHUNK = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, sizes array<int>, codes binary, held array<int>, link array<int>, a array<int>, b array<int>, n array<long>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -186,11 +230,11 @@ def _chunk(number: int, aligner: Aligner, rows: list[tuple], codes: list[np.ndar
     """One row: the documents, their words as codes of the chunk, and its distinct pairs of ids."""
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     used, own = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_inverse=True)
-    counts = np.array([aligner.counts[w] for w in used], dtype=np.int64).reshape(-1, 3)
+    all_counts, all_links = aligner.held()
+    counts, starts = all_counts[used], (np.cumsum(all_counts[:, 2]) - all_counts[:, 2])[used]
     times = np.bincount(own, minlength=len(used)).astype(np.int64)
-    lists = [aligner.links[w] for w in used]
-    held = np.array([len(x) for x in lists], dtype=np.int64)
-    pairs, link = np.unique(np.concatenate([np.empty(0, np.int64), *lists]), return_inverse=True)
+    held = counts[:, 2]
+    pairs, link = np.unique(all_links[spread(starts, held)], return_inverse=True)
     n = np.zeros(len(pairs), dtype=np.int64)
     np.add.at(n, link, np.repeat(times, held))
     n_a, n_b, n_groups = (_sums(counts[own, k], sizes) for k in range(3))
@@ -209,17 +253,17 @@ def chunks(docs: DataFrame, file_a: bytes, file_b: bytes, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(_loaded(*sent.value))
         number, rows, codes, words = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = aligner.text(text or "")
-                rows.append((doc_id, aligner.digest(found)))
-                codes.append(np.array(found, dtype=np.int64))
-                words += len(found) + 1  # empty texts fill a chunk too
-                if words >= CHUNK_WORDS or aligner.tokens >= KEPT_TOKENS:
-                    yield _chunk(number, aligner, rows, codes)
-                    number, rows, codes, words = number + 1, [], [], 0
-                    if aligner.tokens >= KEPT_TOKENS:
-                        aligner.forget()
+        for batch in slices(batches, ROWS):
+            found = aligner.texts([x or "" for x in batch.column(1).to_pylist()])
+            for doc_id, own in zip(batch.column(0).to_pylist(), found, strict=True):
+                rows.append((doc_id, aligner.digest(own)))
+                codes.append(np.array(own, dtype=np.int64))
+                words += len(own) + 1  # empty texts fill a chunk too
+            if words >= CHUNK_WORDS or aligner.tokens >= KEPT_TOKENS:
+                yield _chunk(number, aligner, rows, codes)
+                number, rows, codes, words = number + 1, [], [], 0
+                if aligner.tokens >= KEPT_TOKENS:
+                    aligner.forget()
         if rows:
             yield _chunk(number, aligner, rows, codes)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -57,16 +58,17 @@ def plain(rows):
 
 
 def test_labels_and_groups():
-    found = alignment.labels([2, 1, 3], [3, 1, 2], 6)
-    assert list(found) == [0, 1, 3, 2, 0, 3]
-    assert alignment.groups([7, 8, 9], [1, 2, 3], bytes(found)) == [([7, 8], [1]), ([9], [2, 3])]
-    assert alignment.written([([7, 8], [1]), ([9], [2, 3])]) == "7,8|1;9|2,3"
+    found = alignment.labels(np.array([2, 3, 6]), np.array([3, 4, 6]), 6)
+    assert found.tolist() == [0, 1, 3, 2, 0, 3]
+    ends, to_a, to_b = alignment.groups(found)
+    assert (ends.tolist(), to_a.tolist(), to_b.tolist()) == ([3, 6], [2, 3], [1, 3])
 
 
 @pytest.mark.parametrize("limits", [(1 << 20, 1 << 22), (50, 200)])
 def test_odd_texts_in_chunks_of_any_size(spark, monkeypatch, limits):
     monkeypatch.setattr(alignment, "CHUNK_WORDS", limits[0])
     monkeypatch.setattr(alignment, "KEPT_TOKENS", limits[1])
+    monkeypatch.setattr(alignment, "ROWS", 3)
     docs = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in ODD], "doc_id long, text string, chunk string, a int, n long").repartition(3)
     got = alignment.align(docs)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, plain(ODD)))
