@@ -1,14 +1,9 @@
-"""Overlapping chunks that end at natural boundaries.
-
-Where a chunk may end is looked up in tables made once for each text: for every place the last
-line end, blank line, sentence end and white space before it.
-"""
+"""Overlapping chunks that end at natural boundaries, looked for in the last stretch of each."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -23,48 +18,35 @@ WHITE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
 SENTENCE_ENDS, CLOSERS = ".!?。！？", "\"'”’）)"
 
 
-class Boundaries:
-    """For each place k of a text, the last place before k that has a property, -1 for none."""
-
-    def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        places = np.arange(len(codes))
-
-        def among(chars: str) -> np.ndarray:
-            return np.isin(codes, np.array([ord(c) for c in chars], np.uint32))
-
-        def last(has: np.ndarray, value: np.ndarray = places) -> np.ndarray:
-            return np.concatenate(([-1], np.maximum.accumulate(np.where(has, value, -1))))
+def last_among(text: str, chars: str, low: int, high: int) -> int:
+    """The last place in [low, high) with one of ``chars``, -1 if there is none."""
+    return next((k for k in range(high - 1, low - 1, -1) if text[k] in chars), -1)
 
-        def stretch(has: np.ndarray) -> np.ndarray:
-            """Where the stretch of ``has`` that starts at each place ends."""
-            stop = np.where(has, len(codes), places)
-            return np.append(np.minimum.accumulate(stop[::-1])[::-1], len(codes))
 
-        white, line = among(WHITE), codes == ord("\n")
-        self.white, self.line, self.sentence = last(white), last(line), last(among(SENTENCE_ENDS))
-        self.sentence_end = stretch(white)[stretch(among(CLOSERS))[1:]]
-        # a line end with another before it in the same white space closes a blank line
-        other = last(line)[:-1]
-        joined = line & (other >= 0) & (other > last(~white)[:-1])
-        self.blank, self.opened = last(joined), np.where(joined, other, -1)
+def end_of(text: str, low: int, high: int) -> int:
+    """The best place in (low, high] to end a chunk: after a blank line, a line, a sentence or a
+    blank, the last of its kind; else ``high``. Only the text between is looked at."""
+    line = text.rfind("\n", low, high)
+    at = line
+    while at >= 0:
+        other = text.rfind("\n", low, at)
+        if other >= 0 and not text[other + 1 : at].strip(WHITE):
+            return at + 1
+        at = other
+    if line >= 0:
+        return line + 1
+    sentence = last_among(text, SENTENCE_ENDS, low, high)
+    if sentence >= 0:
+        after = text[sentence + 1 : high].lstrip(CLOSERS).lstrip(WHITE)
+        return high - len(after)
+    white = last_among(text, WHITE, low, high)
+    return white + 1 if white >= 0 else high
 
-    def end(self, low: int, high: int) -> int:
-        """The best place in (low, high] to end a chunk: after a blank line, a line, a sentence or
-        a blank, the last of its kind; else ``high``."""
-        blank, line, sentence, white = (int(x[high]) for x in (self.blank, self.line, self.sentence, self.white))
-        if blank >= low and self.opened[blank] >= low:
-            return blank + 1
-        if line >= low:
-            return line + 1
-        if sentence >= low:
-            return min(int(self.sentence_end[sentence]), high)
-        return white + 1 if white >= low else high
 
-    def start(self, low: int, high: int) -> int:
-        """After the last blank in [low, high), else ``high``."""
-        white = int(self.white[high])
-        return white + 1 if white >= low else high
+def start_of(text: str, low: int, high: int) -> int:
+    """After the last blank in [low, high), else ``high``."""
+    white = last_among(text, WHITE, low, high)
+    return white + 1 if white >= 0 else high
 
 
 def pieces(text: str, size: int = 900, overlap: int = 100) -> list[str]:
@@ -75,12 +57,12 @@ def pieces(text: str, size: int = 900, overlap: int = 100) -> list[str]:
     text = text.replace("\r\n", "\n").replace("\r", "\n").strip(WHITE)
     if len(text) <= size:
         return [text] if text else []
-    bounds, spans, start = Boundaries(text), [], 0
+    spans, start = [], 0
     while start + size < len(text):
-        end = bounds.end(max(start + 1, start + size - LOOK_BACK), start + size)
+        end = end_of(text, max(start + 1, start + size - LOOK_BACK), start + size)
         spans.append((start, end))
         back = max(start + 1, end - overlap)
-        start = bounds.start(max(start + 1, back - BLANK_BACK), back) if overlap else end
+        start = start_of(text, max(start + 1, back - BLANK_BACK), back) if overlap else end
     spans.append((start, len(text)))
     return [x for x in (text[a:b].strip(WHITE) for a, b in spans) if x]
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.store import latest
+
 #: Ranks of a result that feedback may name.
 MOST_RANK = 20
 FEEDBACK_KEY = ("user_id", "log_id", "document_id")
@@ -40,9 +42,11 @@ def logged(searches: DataFrame, found: DataFrame, key: str = "request_id") -> Da
     return out.withColumn("id", F.concat(F.lit("log-"), F.left(id_, F.lit(16))))
 
 
-def upserted_documents(stored: DataFrame, updates: DataFrame, key: str = "drive_file_id") -> DataFrame:
+def upserted_documents(stored: DataFrame, updates: DataFrame, key: str = "drive_file_id", order: str | None = None) -> DataFrame:
     """``stored`` (id, key, ...) with the values of ``updates`` (key, ...) where it has the key, and new
-    rows for other keys. The id of a row never changes; a new one follows from its key."""
+    rows for other keys. The id of a row never changes; a new one follows from its key. Of updates with
+    one key the last by ``order`` counts; without an order they are an error."""
+    updates = latest(updates, key, order)
     names = [c for c in stored.columns if c not in ("id", key) and c in updates.columns]
     new = updates.select(key, *[F.col(c).alias(f"new_{k}_") for k, c in enumerate(names)], F.lit(True).alias("given_"))
     joined = stored.join(new, key, "full_outer")

@@ -1,11 +1,12 @@
-"""A versioned Parquet chunk store: upserts, sweeps and deletes are joins that write a new
-version; a one-row table of the store's identity is checked before use."""
+"""What a chunk store does to its rows: upserts, sweeps and deletes as joins, vectors that are used
+again, and the identity that a store and its user must share. ``committed.Store`` applies them to
+the buckets that a change touches."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Vectors of one batch of a checkpoint.
@@ -33,9 +34,21 @@ def checked(chunks: DataFrame, dimensions: int) -> DataFrame:
     return chunks.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit("embedding of another length")).cast(chunks.schema["embedding"].dataType)))
 
 
-def upserted(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """``base`` with the rows of ``updates`` in place of those with their keys."""
-    return base.join(updates.select(key), key, "left_anti").select(*base.columns).unionByName(updates.select(*base.columns))
+def latest(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    """A row for each key: the last by ``order``. Without one, a key that is given twice is an error."""
+    whole = F.struct(*rows.columns)
+    if order:
+        return rows.groupBy(key).agg(F.max_by(whole, F.col(order)).alias("row_")).select("row_.*")
+    counted = rows.groupBy(key).agg(F.first(whole).alias("row_"), F.count("*").alias("n_"))
+    once = F.when(F.col("n_") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("a key is given twice: "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))
+    return counted.select(*[once.alias(c) if c == key else F.col(f"row_.{c}").alias(c) for c in rows.columns])
+
+
+def upserted(base: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """``base`` with the rows of ``updates`` in place of those with their keys; of updates with one
+    key the last by ``order``."""
+    new = latest(updates, key, order).select(*base.columns)
+    return base.join(new.select(key), key, "left_anti").select(*base.columns).unionByName(new)
 
 
 def swept(base: DataFrame, expected: DataFrame, document: str = "document_id", key: str = "id") -> DataFrame:
@@ -54,51 +67,3 @@ def reusable(expected: DataFrame, stored: DataFrame, dimensions: int) -> DataFra
     """Expected chunks with the stored vector of the same id, source time and content."""
     s = stored.filter(F.size("embedding") == dimensions).select("id", F.col("content").alias("c_"), F.col("source_modified_time").alias("t_"), "embedding")
     return expected.join(s, "id").filter("content = c_ AND source_modified_time = t_").drop("c_", "t_")
-
-
-class ChunkStore:
-    """Versions below a folder: ``v=<n>`` holds the chunks, ``identity`` the descriptor."""
-
-    def __init__(self, spark: SparkSession, path: str, identity: Identity):
-        self.spark, self.path, self.identity = spark, path.rstrip("/"), identity
-
-    def _versions(self) -> list[int]:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = []
-        for s in fs.listStatus(folder):
-            name = s.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-            if name.startswith("v=") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
-
-    def read(self) -> DataFrame | None:
-        versions = self._versions()
-        if not versions:
-            return None
-        recorded = self.spark.read.text(f"{self.path}/identity").first()[0]
-        if recorded != self.identity.descriptor():
-            raise IncompatibleStore(f"{recorded} is not {self.identity.descriptor()}")
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}")
-
-    def write(self, chunks: DataFrame) -> int:
-        """A new version; readers see it once it is complete."""
-        versions = self._versions()
-        if not versions:
-            self.spark.createDataFrame([(self.identity.descriptor(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/identity")
-        version = (versions or [0])[-1] + 1
-        checked(chunks, self.identity.dimensions).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        return version
-
-    def upsert(self, updates: DataFrame) -> int:
-        base = self.read()
-        return self.write(updates if base is None else upserted(base, updates))
-
-    def sweep(self, expected: DataFrame) -> int:
-        return self.write(swept(self.read(), expected))
-
-    def delete(self, documents: DataFrame) -> int:
-        return self.write(without(self.read(), documents))

@@ -18,9 +18,10 @@ def same_instant(a: Column, b: Column) -> Column:
 def duplicate_pairs(files: DataFrame) -> DataFrame:
     """(id, kept_id): PDFs with a PPTX of the same base name in a shared folder; columns id,
     base, mime, parents."""
-    pdf = files.filter(F.col("mime") == PDF).select("id", "base", F.col("parents").alias("p"))
-    pptx = files.filter(F.col("mime") == PPTX).select(F.col("id").alias("other"), "base", F.col("parents").alias("q"))
-    return pdf.join(pptx, "base").filter(F.arrays_overlap("p", "q")).groupBy("id").agg(F.min("other").alias("kept_id"))
+    held = files.select("id", "base", "mime", F.explode(F.array_distinct("parents")).alias("parent"))
+    pdf = held.filter(F.col("mime") == PDF).select("id", "base", "parent")
+    pptx = held.filter(F.col("mime") == PPTX).groupBy("base", "parent").agg(F.min("id").alias("other"))  # one of a name and folder
+    return pdf.join(pptx, ["base", "parent"]).groupBy("id").agg(F.min("other").alias("kept_id"))
 
 
 def actions(listing: DataFrame, state: DataFrame, provider: str, store: str) -> DataFrame:

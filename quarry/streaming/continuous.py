@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.store import ChunkStore
+from quarry.operators.committed import Change, Store
 
 
-def sync_stream(chunks: DataFrame, store: ChunkStore, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Upserts each batch of a stream of chunks into the store; a batch that is run again
-    writes the same rows again. Ends when what is there has been read."""
+def sync_stream(rows: DataFrame, store: Store, checkpoint: str, order: str, table: str = "chunks", name: str = "sync", embed: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Upserts each batch of a stream of rows into a table of the store, of rows with one key the
+    last by ``order``. The number of the batch is part of the commit: a batch that is run again,
+    because its writer died before it could say that it was done, changes nothing. Ends when what
+    is there has been read."""
 
-    def apply(batch: DataFrame, _: int) -> None:
-        latest = batch.dropDuplicates(["id"])
-        store.upsert(embed(latest) if embed else latest)
+    def apply(batch: DataFrame, number: int) -> None:
+        store.commit({table: Change(upserts=embed(batch) if embed else batch, order=order)}, stream=name, batch=number)
 
-    return chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def searches_by_window(logs: DataFrame, size: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

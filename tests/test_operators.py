@@ -6,38 +6,8 @@ import zipfile
 
 import pytest
 
-from quarry.operators import store, sync
+from quarry.operators import sync
 from quarry.sources import files
-from quarry.streaming.continuous import sync_stream
-
-CHUNK = "id string, document_id string, source_modified_time string, content string, embedding array<double>"
-
-
-def chunks(spark, *rows):
-    return spark.createDataFrame([(f"{d}:{k}", d, "t", c, [1.0, 0.0]) for d, k, c in rows], CHUNK)
-
-
-def contents(frame):
-    return {r.id: r.content for r in frame.collect()}
-
-
-def test_store(spark, tmp_path):
-    s = store.ChunkStore(spark, str(tmp_path / "s"), store.Identity("p", 2))
-    assert s.read() is None
-    s.upsert(chunks(spark, ("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")))
-    s.upsert(chunks(spark, ("a", 0, "new")))
-    assert contents(s.read()) == {"a:0": "new", "a:1": "y", "b:0": "z"}
-    s.sweep(chunks(spark, ("a", 0, "new")))
-    assert contents(s.read()) == {"a:0": "new", "b:0": "z"}
-    s.delete(chunks(spark, ("b", 0, "")))
-    assert contents(s.read()) == {"a:0": "new"}
-    with pytest.raises(store.IncompatibleStore):
-        store.ChunkStore(spark, str(tmp_path / "s"), store.Identity("q", 2)).read()
-    with pytest.raises(Exception, match="another length"):
-        store.ChunkStore(spark, str(tmp_path / "t"), store.Identity("p", 3)).upsert(chunks(spark, ("a", 0, "x")))
-    again = store.reusable(chunks(spark, ("a", 0, "new"), ("a", 1, "y")).drop("embedding"), s.read(), 2)
-    assert contents(again) == {"a:0": "new"}
-
 
 def test_sync_actions(spark):
     listing = spark.createDataFrame(
@@ -51,14 +21,6 @@ def test_sync_actions(spark):
     assert sync.counters(acted).first().asDict() == {"files": 6, "new": 1, "updated": 1, "skip": 1, "duplicate": 1, "unsupported": 1, "removed": 1}
 
 
-def test_stream_into_the_store(spark, tmp_path):
-    chunks(spark, ("a", 0, "x"), ("b", 0, "y")).write.parquet(str(tmp_path / "in"))
-    s = store.ChunkStore(spark, str(tmp_path / "s"), store.Identity("p", 2))
-    for _ in range(2):
-        sync_stream(spark.readStream.schema(CHUNK).parquet(str(tmp_path / "in")), s, str(tmp_path / "c")).awaitTermination()
-    assert contents(s.read()) == {"a:0": "x", "b:0": "y"}
-
-
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
