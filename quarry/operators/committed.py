@@ -13,9 +13,9 @@ written. Manifests grow with buckets, not with rows.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
-from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -171,25 +171,23 @@ class Store:
 
     # -- writing
     def _prepared(self, table: str, change: Change) -> Change:
-        """What a change says, stored: it is read more than once, and a commit that is tried again
-        works nothing out again."""
-        own = self.tables[table]
-        kept: Callable[[DataFrame | None, str], DataFrame | None] = lambda df, name: None if df is None else stored(df, name)
-        upserts = change.upserts
+        """A change with its upserts checked and stored: they are read more than once, and a commit that
+        is tried again works nothing out again."""
+        own, upserts = self.tables[table], change.upserts
         if upserts is not None:
             columns = self.spark.createDataFrame([], own.schema).columns
             extra = [change.order] if change.order and change.order not in columns else []
             upserts = latest(upserts.select(*columns, *extra), own.key, change.order).select(*columns)
-            upserts = checked(upserts, self.identity.dimensions) if "embedding" in columns else upserts
-        return Change(kept(upserts, "upserts"), kept(None if change.removed is None else change.removed.select(own.document), "removed"), kept(None if change.expected is None else change.expected.select(own.document, own.key), "expected"))
+            upserts = stored(checked(upserts, self.identity.dimensions) if "embedding" in columns else upserts, "upserts")
+        return Change(upserts, change.removed, change.expected)
 
     def _rewritten(self, table: str, change: Change, folders: dict[str, str], buckets: int, folder: str) -> dict[str, str]:
         """The folders of a table's buckets after a change; only the touched ones are read and written."""
         own = self.tables[table]
-        given = [x.select(own.document) for x in (change.upserts, change.removed, change.expected) if x is not None]
-        touched: set[str] = set()
-        for documents in given:  # as many numbers as there are buckets, at most
-            touched |= {str(r["b"]) for r in documents.select(self.bucket(own.document, buckets).alias("b")).distinct().collect()}
+        given = [x.select(F.col(own.document).alias("d")) for x in (change.upserts, change.removed, change.expected) if x is not None]
+        documents = functools.reduce(DataFrame.unionByName, given)
+        # as many numbers as there are buckets, at most
+        touched = {str(r["b"]) for r in documents.select(self.bucket("d", buckets).alias("b")).distinct().collect()}
         if not touched:
             return folders
         old = self._files(table, {b: f for b, f in folders.items() if b in touched})

@@ -111,7 +111,7 @@ class DenseIndex:
 
     def _measured(self, queries: np.ndarray, rows: DataFrame, recall: float, k: int) -> int:
         """The least number of lists that brings the wanted recall, mean over sampled queries: of each
-        one's true nearest, the ranks of their lists."""
+        one's true nearest but itself, the ranks of their lists."""
         centroids = np.array(self.model["centroids"])
         size = centroids.shape[1]
 
@@ -119,14 +119,16 @@ class DenseIndex:
             for batch in batches:
                 x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
                 scores = queries @ x.T
-                top = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, :k]
+                top = np.argpartition(-scores, min(k + 1, len(x)) - 1, axis=1)[:, : k + 1]
                 near = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(axis=1), axis=1)
                 q = np.repeat(np.arange(len(queries)), top.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(scores[q, top.ravel()]), pa.array(near[top.ravel()], pa.int32())], names=["q", "score", "list"])
 
         found = rows.select("unit").mapInArrow(best, "q int, score double, list int")
-        ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n") <= k)
+        ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n").between(2, k + 1))
         nearest = [(r["q"], r["list"]) for r in ranked.select("q", "list").collect()]  # k rows for each sampled query
+        if not nearest:
+            return len(centroids)
         order = np.argsort(np.argsort(-(queries @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1), axis=1)
         ranks = np.sort([order[q, c] for q, c in nearest])
         return int(ranks[min(len(ranks), int(np.ceil(recall * len(ranks)))) - 1]) + 1

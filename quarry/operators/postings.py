@@ -3,7 +3,7 @@
 ``PostingIndex`` holds posting lists in ranges of (term, doc_id), so that a query reads only the row
 groups whose range of terms holds one of its own, and a frequent term is spread over many files.
 
-``BlockIndex`` is for the best few documents. Documents are dealt by length to shards; the postings of
+``BlockIndex`` is for the best few documents. Documents are dealt to shards by likeness and length; the postings of
 a term in a shard are one block, with the greatest part of a score that any of them can have. A search
 reads these bounds first, scores the shards whose terms promise most, and then of the others
 only those that can still reach the k-th score: the blocks of the rest are never read."""
@@ -44,6 +44,18 @@ SHARD, FIRST = 1024, 8
 K1, B = 1.2, 0.75
 
 
+def _commonest(found: Column) -> Column:
+    """The commonest word of a list; null of an empty one."""
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("best"), F.lit(0).alias("most"))
+
+    def step(seen: Column, word: Column) -> Column:
+        n = F.when(seen["word"].eqNullSafe(word), seen["n"] + 1).otherwise(1)
+        more = n > seen["most"]
+        return F.struct(word.alias("word"), n.alias("n"), F.when(more, word).otherwise(seen["best"]).alias("best"), F.when(more, n).otherwise(seen["most"]).alias("most"))
+
+    return F.aggregate(F.array_sort(found), start, step, lambda seen: seen["best"])
+
+
 class BlockIndex:
     """``blocks`` (term, shard, n, upper, postings) and ``whole`` (n, avgdl, shards) below a folder."""
 
@@ -51,12 +63,13 @@ class BlockIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, docs: DataFrame, shard: int = SHARD) -> BlockIndex:
-        """Index documents (doc_id, text), a row for each id; short documents, whose words count for more, share
-        shards. The texts are cut into words once."""
+        """Index documents (doc_id, text), a row for each id. Documents share a shard that have their commonest
+        word in common, as those of one language do, and then their length: so bounds of shards lie
+        close to the scores in them."""
         tokens = stored(docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("len", F.size("w")), "tokens")
         whole = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
-        # the place within a range of lengths is the lower part of an id that grows with the rows
-        ordered = tokens.repartitionByRange("len", "doc_id").sortWithinPartitions("len", "doc_id").withColumn("at", F.monotonically_increasing_id())
+        # the place within a range is the lower part of an id that grows with the rows
+        ordered = tokens.withColumn("lead", _commonest(F.col("w"))).repartitionByRange("lead", "len", "doc_id").sortWithinPartitions("lead", "len", "doc_id").withColumn("at", F.monotonically_increasing_id())
         dealt = ordered.withColumn("shard", F.shiftleft(F.shiftright("at", 33), 33) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / shard))
         counted = dealt.select("doc_id", "len", "shard", F.explode("w").alias("term")).groupBy("shard", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(whole["avgdl"] or 1.0)))

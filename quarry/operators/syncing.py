@@ -142,21 +142,21 @@ class Run:
         held = reusable(wanted, self.store.read("chunks").join(documents, "document_id", "left_semi"), self.store.identity.dimensions).select("id", "embedding")
         chunks = stored(wanted.join(held.withColumn("reused", F.lit(True)), "id", "left").withColumn("reused", F.coalesce("reused", F.lit(False))), "wanted")
         stop, stop_batch = until_quota(batches(chunks, self.batch), quota)
-        results = stored(fetched.select("id", "ordinal", "modified", "action", _result(stop).alias("result")), "results")
+        results = fetched.select("id", "ordinal", "modified", "action", _result(stop).alias("result"))
         own_batch = F.floor(F.col("chunk_index") / self.batch)
         allowed = F.lit(True) if stop is None else (F.col("ordinal") < stop) | ((F.col("ordinal") == stop) & (own_batch < stop_batch))
         missing = chunks.filter(~F.col("reused") & allowed)
         told = missing.drop("embedding").withColumn("text", embedding_input(F.col("section_title"), F.col("content")))
-        new = stored(self.embed(told).select(*[c for c in chunks.columns if c not in ("ordinal", "reused")]), "embedded")
+        new = self.embed(told).select(*[c for c in chunks.columns if c not in ("ordinal", "reused")])
         read = results.filter("result = 'ok'")
         clears = results.filter(F.col("result").isin("empty", *KNOWN_FAILURES)).select(F.col("id").alias("document_id"))
         expected = chunks.join(read.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("document_id", "id")
         states = self._state(results.filter("result NOT IN ('late', 'quota')"), F.col("result") == "ok", F.lit(None), F.lit(True))
         self.store.commit({"chunks": Change(upserts=new, removed=clears, expected=expected), "documents": Change(upserts=states)})
-        self._count(results, chunks, new, stop, stop_batch, totals)
+        self._count(results, chunks, allowed, stop, stop_batch, totals)
         return stop
 
-    def _count(self, results: DataFrame, chunks: DataFrame, new: DataFrame, stop: int | None, stop_batch: int | None, totals: dict[str, int]) -> None:
+    def _count(self, results: DataFrame, chunks: DataFrame, allowed: Column, stop: int | None, stop_batch: int | None, totals: dict[str, int]) -> None:
         abusive, *others = KNOWN_FAILURES
         found: dict[tuple[str, str], int] = {(r["action"], r["result"]): r["count"] for r in results.groupBy("action", "result").count().collect()}
         by_result: dict[str, int] = {}
@@ -169,9 +169,10 @@ class Run:
             totals[KNOWN_FAILURES[reason]] += by_result.get(reason, 0)
         totals["failed"] += sum(by_result.get(x, 0) for x in ("failed", "quota", *others))
         totals["embedding_quota_exhausted"] |= int(stop is not None)
-        totals["embedded_chunks"] += new.count()
         reached = F.lit(True) if stop is None else F.col("ordinal") <= stop
-        totals["reused_chunks"] += chunks.filter(reached & F.col("reused")).count()
+        held = chunks.agg(F.count_if(~F.col("reused") & allowed).alias("new"), F.count_if(F.col("reused") & reached).alias("reused")).first()
+        totals["embedded_chunks"] += held["new"]
+        totals["reused_chunks"] += held["reused"]
         tried = F.lit(True) if stop is None else (F.col("ordinal") < stop) | ((F.col("ordinal") == stop) & (F.col("batch") <= stop_batch))
         sent = batches(chunks, self.batch).filter(tried).agg(F.count("*").alias("n"), F.coalesce(F.sum("missing"), F.lit(0)).alias("m")).first()
         totals["embedding_batch_attempts"] += sent["n"]

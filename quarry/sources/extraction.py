@@ -139,7 +139,7 @@ def analysed(source: Source, extractors: tuple[Extractor, ...], file_id: str, mi
     try:
         data, attempts = downloaded(source, file_id, mime, acknowledge, wait_s=wait_s)
     except Refused as refused:
-        return row(FAILURES.get(refused.reason or "", "extraction_failed"), refused.reason or "unknown", refused), None
+        return row(FAILURES.get(refused.reason or "", "extraction_failed"), refused.reason if refused.reason in FAILURES else "unknown", refused), None
     except ValueError as broken:
         return row("extraction_failed", error=broken), None
     try:
@@ -180,6 +180,8 @@ def register(spark: SparkSession, name: str, extractors: tuple[Extractor, ...] =
     source. ``with_sections`` is a constant: without it the function has no column of texts, so that a
     dry run carries none."""
 
+    dry, full = StructType.fromDDL(_MEASURES), StructType.fromDDL(f"{_MEASURES}, {_SECTIONS}")
+
     class Analysis:
         def __init__(self, result: AnalyzeResult | None = None):
             self.wanted = result is None or "sections" in result.schema.names
@@ -191,7 +193,7 @@ def register(spark: SparkSession, name: str, extractors: tuple[Extractor, ...] =
             for argument, kind in ((file_id, "string"), (mime, "string"), (acknowledge, "boolean")):
                 if argument.dataType.simpleString() not in (kind, "void"):
                     raise ValueError(f"a {kind} is expected, not {argument.dataType.simpleString()}")
-            return AnalyzeResult(StructType.fromDDL(_MEASURES + (f", {_SECTIONS}" if with_sections.value else "")))
+            return AnalyzeResult(full if with_sections.value else dry)
 
         def eval(self, file_id: str, mime: str, acknowledge: bool, with_sections: bool, *more: object) -> Iterator[tuple]:
             measures, sections = analysed(source(*more), extractors, file_id, mime or "", bool(acknowledge), wait_s)
