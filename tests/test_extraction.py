@@ -90,7 +90,7 @@ def one_page(content, resources="", head=""):
 
 def test_pdf_operators():
     shown = r"BT (Plain \(nested (x)\) \101\n) Tj [(two) -300 (words) 20 (!)] TJ 0 -12 Td (next) ' /F9 1 Tf (a) Tj 5 0 Td (b) Tj ET BT 1 0 0 1 0 700 Tm (c) Tj 1 0 0 1 0 690 Tm (d) Tj ET BI /W 1 ID (junk) Tj EI (end) Tj"
-    assert pdf.pages_of(one_page(shown)) == ["Plain (nested (x)) Atwo words!\nnexta b\nc\nd\nend"]
+    assert pdf.pages_of(one_page(shown)) == ["Plain (nested (x)) A\ntwo words!\nnexta b\nc\nd\nend"]
 
 
 def test_pdf_forms_comments_and_revisions():
