@@ -7,10 +7,10 @@ Jaccard similarity, 0.8 or more.
 
 A line is removed if an earlier line, by (doc_id, line number), is equal in tokens or
 similar to it, whether that one is kept or not. Lines without words are kept. Null text is
-empty. Null ids come last and count as one document; rows that share an id are one document
-and each get its result. Rows whose text loses all its lines keep the empty text, and
-``dedup`` drops them. Very long texts are taken whole, a slice of rows at a time; an empty
-table gives an empty result; other columns are ignored, or handed on by ``dedup``.
+empty. Each row is a document of its own, with its own result: rows that share an id, or have
+none, come after all others, by id (null last) and text. Rows whose text loses all its lines
+keep the empty text, and ``dedup`` drops them. Very long texts are taken whole, a slice of rows
+at a time; an empty table gives an empty result; other columns are ignored, or handed on by ``dedup``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from quarry.llm.setjoin import POSTINGS_AT_ONCE, first_number, links, met, neede
 from quarry.llm.tokens import compact, word_hashes
 from quarry.llm.wordjoin import AGAIN, LEAST, LINES, PACKED, POSTINGS
 
-_LAST = (1 << 63) - 1
+#: From here on are the keys of rows that share an id or have none.
+_SHARED = (1 << 63) - (1 << 60)
 #: Lines that a task holds before it sends them.
 LINES_AT_ONCE = 200_000
 
@@ -225,12 +226,27 @@ def _hashed(hash_of):
     return lean(run)
 
 
+def keyed(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a long that names each row, in the order of documents: the id, where it is one row's.
+    Only the other rows are stored and numbered; a copy of a row comes after it."""
+    own, listed, many = fresh(docs, "own", "listed", "many")
+    rows = docs.withColumn(key, F.col(id_col).cast("long"))
+    ids = rows.groupBy(F.col(key).alias(listed)).agg(F.count("*").alias(many))
+    shared = spill(ids.filter((F.col(many) > 1) | F.col(listed).isNull() | (F.col(listed) >= _SHARED)).select(listed), "shared")
+    if shared.isEmpty():
+        return rows
+    odd = rows.join(shared, F.col(key).eqNullSafe(F.col(listed)), "left_semi").withColumn(own, F.monotonically_increasing_id())
+    order = [F.col(key).asc_nulls_last(), F.col(text_col).asc_nulls_first(), F.col(own)]
+    numbered = odd.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.lit(_SHARED) + F.monotonically_increasing_id())
+    return rows.join(shared, F.col(key).eqNullSafe(F.col(listed)), "left_anti").unionByName(spill(numbered.drop(own), "shared_rows"))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some.
-    ``doc`` is the id, the greatest long for null."""
+    """(doc, lines): the numbers (from 0) of the lines to remove, for each id that has some. An id names
+    one row (``keyed`` sees to that)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rarity = wordjoin.rarity(rows)
     shards = rarity.shards(partitions(spark))
     found = spill(wordjoin.dealt(rows.mapInArrow(lean(_describe(rarity, shards)), PACKED), shards).mapInArrow(lean(_join), _FOUND), "lines")
@@ -271,10 +287,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; ``n_chars`` follows the new text. Documents that
     lose all their lines go."""
-    key, lost = fresh(docs, "key", "lost")
-    gone = removed_lines(docs).select(F.col("doc").alias(key), F.col("lines").alias(lost))
-    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(gone, key, "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains(lost, k)), "\n")
+    key, lost, parts = fresh(docs, "key", "lost", "parts")
+    rows = keyed(docs, key)
+    gone = removed_lines(rows, key).select(F.col("doc").alias(key), F.col("lines").alias(lost))
+    joined = rows.join(gone, key, "left").withColumn(parts, F.when(F.col(lost).isNotNull(), F.split("text", "\n", -1)))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
+    left = F.array_join(F.transform(places, lambda k: F.get(F.col(parts), k)), "\n")
     changed = joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -283,7 +301,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row for each document: its lines, how many go, and their numbers."""
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    out = lines.join(removed_lines(docs), "doc", "left").withColumn("removed_lines", F.coalesce("lines", F.array().cast("array<int>")))
+    rows = keyed(table(spark, sf_dir, "documents"), "doc")
+    lines = rows.select("doc", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    out = lines.join(removed_lines(rows, "doc"), "doc", "left").withColumn("removed_lines", F.coalesce("lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines")

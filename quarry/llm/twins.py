@@ -8,9 +8,11 @@ from quarry.llm.mixing import BLOCK_ROWS
 
 #: Lines as multisets of words; links by a join on prefixes of rare tokens, then all tokens.
 OP6_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-w AS (SELECT doc_id, line, list_sort(list_filter(string_split_regex(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda v: v <> '')) AS s FROM l),
-c AS (SELECT s, min((doc_id, line)) AS first, row_number() OVER () AS id FROM w WHERE len(s) > 0 GROUP BY s),
+WITH d0 AS (SELECT *, doc_id IS NULL OR count(*) OVER (PARTITION BY doc_id) > 1 AS shared FROM documents),
+d1 AS (SELECT doc_id, text, row_number() OVER (ORDER BY shared, doc_id NULLS LAST, text NULLS FIRST) AS doc FROM d0),
+l AS (SELECT doc, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM d1),
+w AS (SELECT doc, line, list_sort(list_filter(string_split_regex(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda v: v <> '')) AS s FROM l),
+c AS (SELECT s, min((doc, line)) AS first, row_number() OVER () AS id FROM w WHERE len(s) > 0 GROUP BY s),
 e AS (SELECT id, first, len(s) AS n, unnest(list_transform(range(1, len(s) + 1), lambda i: s[i] || ' ' || (i - list_position(s, s[i])))) AS t FROM c),
 f AS (SELECT t, count(*) AS many FROM e GROUP BY t),
 r AS (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY many, t) AS place FROM e JOIN f USING (t)),
@@ -19,10 +21,10 @@ near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND
 sets AS (SELECT id, n, list(t) AS s FROM e GROUP BY id, n),
 later AS (SELECT DISTINCT near.b AS id FROM near JOIN sets x ON x.id = near.a JOIN sets y ON y.id = near.b
     WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
-gone AS (SELECT w.doc_id, w.line FROM w JOIN c USING (s) LEFT JOIN later USING (id) WHERE (w.doc_id, w.line) > c.first OR later.id IS NOT NULL),
-g AS (SELECT doc_id, list(CAST(line AS INT) ORDER BY line) AS lines FROM gone GROUP BY doc_id)
+gone AS (SELECT w.doc, w.line FROM w JOIN c USING (s) LEFT JOIN later USING (id) WHERE (w.doc, w.line) > c.first OR later.id IS NOT NULL),
+g AS (SELECT doc, list(CAST(line AS INT) ORDER BY line) AS lines FROM gone GROUP BY doc)
 SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS n_lines, CAST(coalesce(len(lines), 0) AS INT) AS n_removed, coalesce(lines, CAST([] AS INT[])) AS removed_lines
-FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
+FROM d1 d LEFT JOIN g ON g.doc = d.doc"""
 
 #: A row for each letter, its neighbours by windows; CRC-32 by its table.
 OP7_SQL = rf"""

@@ -53,8 +53,15 @@ def test_odd_rows_of_op6(spark, tmp_path):
     rows = [(1, "a b c d e\nd"), (None, "d\nlast"), (None, "last\nA B c d e"), (2, None), (2, ""), (3, "x " * 30_000), (4, "X " * 30_000)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((str(r.doc_id), r.n_lines, r.removed_lines) for r in lines.op6_line_dedup(spark, str(tmp_path)).collect())
-    # rows without an id are one document: the lines 0 and 1 of both go
-    assert got == [("1", 2, []), ("2", 1, []), ("2", 1, []), ("3", 1, []), ("4", 1, [0]), ("None", 2, [0, 1]), ("None", 2, [0, 1])]
+    # each row is a document; those without an id come last, by text
+    assert got == [("1", 2, []), ("2", 1, []), ("2", 1, []), ("3", 1, []), ("4", 1, [0]), ("None", 2, [0]), ("None", 2, [0, 1])]
+
+
+def test_rows_that_share_an_id_keep_what_no_earlier_line_has(spark):
+    rows = [(1, "a b c d e\nfirst"), (7, "first\nunique line one two three"), (7, "other words here now then\na b c d e"), (9, "plain"), (None, "d\nlast"), (None, "last\nA b c d e"), (5, "copy"), (5, "copy"), ((1 << 63) - 1, "plain\ntop")]
+    got = sorted((str(r.doc_id), r.text, r.n_chars) for r in lines.dedup(frame(spark, rows).repartition(4)).collect())
+    want = [("1", rows[0][1]), ("5", "copy"), ("7", "other words here now then"), ("7", "unique line one two three"), ("9", "plain"), (str((1 << 63) - 1), "top"), ("None", "d\nlast")]
+    assert got == sorted((i, t, len(t)) for i, t in want)
 
 
 def test_op6_of_the_table(spark):
