@@ -7,12 +7,15 @@ every leaf as main text or not with the whole page as context.
 
 The model is trained here, on pages that ``sample_page`` makes up (articles in many markups
 between menus, headers, footers, sidebars, notices, adverts, forms and comments); training
-is deterministic and takes some seconds on the driver. No page of the input is needed.
+is deterministic and takes some seconds on the driver. No page of the input is needed. Some of the
+pages are blocks without any container, or lines parted by empty ones.
 
 Scripts, styles, templates, drawings, form fields, what stands for a script, comments and
 markup are never text. A null page is empty; a page without text gives the empty string; a page
-without any tag is text as a whole. Unclosed and unmatched tags are tolerated. Repeated rows each
-get a row.
+without any tag is text as a whole. Unclosed and unmatched tags are tolerated, and pages of any
+length are read in one pass; elements more than ``DEEPEST`` deep count as if they lay there. Repeated
+rows each get a row; an empty table gives an empty result; other columns are handed on, but for
+those called like the results.
 """
 
 from __future__ import annotations
@@ -34,10 +37,13 @@ PATH, WORDS, NUMBERS, HIDDEN = 48, 24, 6, 24
 INPUT = PATH + WORDS + NUMBERS
 #: Pages and passes of training, and padded leaves of one step of labelling.
 PAGES, PASSES, STEP = 1500, 20, 40_000
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|canvas)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
+# Elements whose content is never text.
+_HIDDEN = frozenset("script style noscript template svg textarea select iframe canvas".split())
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTE_OR_END = re.compile("[>\"']")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN}
+#: Elements within one another; what is deeper is read as if it lay at this depth.
+DEEPEST = 128
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Elements inside a block, and elements without content.
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr del".split())
@@ -45,6 +51,45 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 Leaf = tuple[tuple[str, ...], str, float]
+#: A token: the text before it, a name (empty for what is no element), whether it ends the element, its attributes.
+Token = tuple[str, str, bool, str]
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """The tags of a page, each with the text before it, and the text after the last one, in one pass.
+
+    A tag ends at the first ">" outside of quotes. Where a quote is never closed, or no such end follows,
+    quotes count for nothing from there on: the page is scanned to its end in vain once at most."""
+    at, said, quoted = 0, 0, True
+    last = page.rfind(">")
+    while found := _OPEN.search(page, at):
+        start, at = found.start(), found.end()
+        if start > last and not found[1]:
+            break  # no tag ends any more
+        if found[1]:
+            end = page.find("-->", at)
+            yield page[said:start], "", False, ""
+            said = at = len(page) if end < 0 else end + 3
+            continue
+        end = page.find(">", at)
+        if not found[2] and quoted:
+            place, whole = at, -1
+            while mark := _QUOTE_OR_END.search(page, place):
+                if mark[0] == ">":
+                    whole = mark.start()
+                    break
+                close = page.find(mark[0], mark.end())
+                if close < 0:
+                    break
+                place = close + 1
+            quoted, end = whole >= 0, whole if whole >= 0 else end
+        name = (found[4] or "").lower()
+        yield page[said:start], name, found[3] == "/", page[at:end]
+        said = at = end + 1
+        if name in _HIDDEN and not found[3]:
+            close = _ENDS[name].search(page, at)
+            said = at = close.end() if close else len(page)
+    yield page[said:], "", False, ""
 
 
 def leaves(page: str) -> list[Leaf]:
@@ -68,19 +113,20 @@ def leaves(page: str) -> list[Leaf]:
         length += len(raw)
         linked += len(raw) if links else 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
-        if not name:
+    deeper, broken = 0, False
+    for before, name, ending, attributes in tokens(page):
+        if before:
+            say(before)
+            broken = broken and not before.strip()
+        if not name or name in _HIDDEN:
             continue
-        name, ending = name.lower(), bool(m[2] or m[5])
         if name == "a":
             links = max(0, links + (-1 if ending else 1))
         if name == "br":
             held.append(" ")
+            if broken:  # an empty line parts blocks
+                close()
+            broken = True
         if name in INLINE or name in VOID:
             if name == "hr":
                 close()
@@ -88,7 +134,9 @@ def leaves(page: str) -> list[Leaf]:
         close()
         if ending:
             links = 0 if name in _ENDS_P else links
-            if any(tag == name for tag, _ in stack):
+            if deeper:
+                deeper -= 1
+            elif any(tag == name for tag, _ in stack):
                 while stack.pop()[0] != name:
                     pass
             continue
@@ -96,10 +144,11 @@ def leaves(page: str) -> list[Leaf]:
             stack.pop()
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()
-        named = " ".join(f"{kind.lower()}={w}" for kind, *v in _NAMES.findall(m[4] or m[7] or "") for w in re.split(r"[\s_\-]+", "".join(v).lower()) if w)
+        if len(stack) == DEEPEST:
+            deeper += 1
+            continue
+        named = " ".join(f"{kind.lower()}={w}" for kind, *v in _NAMES.findall(attributes) for w in re.split(r"[\s_\-]+", "".join(v).lower()) if w)
         stack.append((name, f"{name} {named}".strip()))
-    if at < len(page):
-        say(page[at:])
     close()
     return out
 
@@ -275,7 +324,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
         kind = rng.random()
         p_end = "" if wrong() else "</p>"
         if kind < 0.6:
-            text = take(words(1, 90))
+            text = take(" | ".join(words(2, 40).split()) + " |" if rng.random() < 0.06 else words(1, rng.choice([3, 90, 90, 90, 90])))
             if rng.random() < 0.2:
                 first, _, rest = text.partition(" ")
                 return f"<p>{rng.choice([link(first), f'<b>{first}</b>', f'<em>{first}</em>'])} {rest}{p_end}"
@@ -305,7 +354,17 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.15:
         inside.append(around("comments"))
     after = [around(rng.choice(["comments", "aside", "footer", "ad", "nav", "share", "form", "notice"])) for _ in range(rng.randint(0, 4))] + ([around("footer")] if rng.random() < 0.7 else [])
-    article = f"<{tag}{attributes}>{''.join(inside)}</{tag}>"
+    bare = rng.random()
+    if bare < 0.05:  # blocks alone
+        return "".join(inside), main
+    if bare < 0.12:  # lines parted by empty ones, between a line of links and a notice
+        main.clear()
+        said = [take(words(4, 60)) for _ in range(rng.randint(1, 8))]
+        links = " | ".join(rng.choice([link, str])(words(1, 2, False)) for _ in range(rng.randint(2, 6)))
+        said = [links] * (rng.random() < 0.7) + said + [f"{rng.choice(['&copy;', 'Copyright', '(c)', '\u00a9'])} {rng.choice(['', f'{rng.randrange(1990, 2030)} '])}{words(1, 5, False)}"] * (rng.random() < 0.6)
+        body = rng.choice(["<br><br>", "<br/><br/>", "<br>\n<br>"]).join(said)
+        return rng.choice([body, f"<html><body>{body}</body></html>"]), main
+    article = "".join(inside) if bare < 0.18 else f"<{tag}{attributes}>{''.join(inside)}</{tag}>"
     wrapped = f'<div class="{rng.choice(["wrapper", "container", "page", "layout", "site"])}">{article}</div>' if rng.random() < 0.25 else article
     head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 8, False)}</title><style>p{{}}</style><script>var t='</p>';</script></head>"
     return f"{head}<body>{''.join(before)}<!-- c -->{wrapped}{''.join(after)}</body></html>", main
@@ -325,12 +384,12 @@ def labelled_page(rng: random.Random) -> tuple[list[Leaf], np.ndarray]:
 
 @cache
 def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> Labeller:
-    """The labeller, fitted by Adam to ``pages`` made-up pages."""
+    """The labeller, fitted by Adam to ``pages`` made-up pages: the mean of its weights over the last passes."""
     rng, model = random.Random(seed), Labeller()
     made = [labelled_page(rng) for _ in range(pages)]
     made = [(leaf_vectors(found), y) for found, y in made if len(found) <= 120]
     first, second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
-    step = 0
+    step, steps, mean = 0, 0, {k: np.zeros_like(v) for k, v in model.p.items()}
     for n in range(passes):
         made.sort(key=lambda m: len(m[0]) + rng.random() * 8)
         groups = [made[k : k + 20] for k in range(0, len(made), 20)]
@@ -345,6 +404,10 @@ def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> Labelle
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 model.p[k] -= 0.012 * (0.3 if n > passes * 0.7 else 1) * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            if n > passes * 0.7:
+                steps += 1
+                mean = {k: v + model.p[k] for k, v in mean.items()}
+    model.p = {k: v / max(1, steps) for k, v in mean.items()} if steps else model.p
     return model
 
 
