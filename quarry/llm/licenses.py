@@ -1,18 +1,18 @@
 """License scans by sentence rules, with DataFrame functions only.
 
 A text is cut into sentences, at end marks and blank lines, so that a sentence may be wrapped
-over lines (and comment signs). Each sentence is normalised (lower case, every run of other
-characters than a-z and 0-9 one blank) and looked up among known licence sentences; if it is
-none of them, its lines are looked up one by one. The sequence of identifiers found is then matched against ordered rules, each a sequence of
+over lines (and comment signs); the dot of "Inc." and the like is none. Each sentence is
+normalised (lower case, every run of other characters than a-z and 0-9 one blank) and looked up
+among known licence sentences; if it is none of them, its lines are looked up one by one, and if
+they are none either, a phrase that names a licence is looked for in it, unless it says "not".
+The sequence of identifiers found is then matched against ordered rules, each a sequence of
 identifiers that must follow one another. The first rule that matches is the document's
-licence, all that match are listed.
+licence, all that match are listed. The identifiers that a machine-readable tag gives count as
+rules of their own, before all others; the title of a whole licence comes before the notices in it.
 
 Null and empty texts have no sentences and no licence. Repeated rows each get a row; very long
 texts are taken whole; an empty table gives an empty result; other columns are ignored.
-There is no shuffle: every row is decided by itself.
-
-The SQL twin cuts at every newline and knows ``SENTENCES`` and ``RULES`` only: it agrees where
-no licence notice is wrapped and none of ``WHOLE_SENTENCES`` occurs.
+There is no shuffle: every row is decided by itself. The SQL twin does the same with the same tables.
 """
 
 from __future__ import annotations
@@ -150,38 +150,105 @@ WHOLE_RULES: list[tuple[str, str]] = [
     ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-4"),
     ("CC-BY-NC-ND-4.0", "cc-by-nc-nd-4"),
 ]
-#: Ends of sentences: marks, and lines without a letter or digit.
-SENTENCE_END = r"[.!?;:]+\s+|\n[^A-Za-z0-9\n]*\n"
+# Titles of whole licences, and one more notice.
+TITLES: dict[str, str] = {
+    "gnu general public license version 3 29 june 2007": "gpl-3-title",
+    "gnu general public license version 2 june 1991": "gpl-2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl-3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl-2-1-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl-3-title",
+    "gnu free documentation license version 1 3 3 november 2008": "gfdl-13-title",
+    "apache license version 2 0 january 2004": "apache-2-title",
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache-2-title",
+    "apache license version 2 0 january 2004 https www apache org licenses": "apache-2-title",
+    "mozilla public license version 2 0": "mpl-2-title",
+    "eclipse public license v 2 0": "epl-2-title",
+    "boost software license version 1 0 august 17th 2003": "bsl-1",
+    "sil open font license version 1 1 26 february 2007": "ofl-11",
+    "creative commons attribution 4 0 international public license": "cc-by-4",
+    "creative commons attribution sharealike 4 0 international public license": "cc-by-sa-4",
+    "creative commons attribution noncommercial 4 0 international public license": "cc-by-nc-4",
+    "creative commons attribution noderivatives 4 0 international public license": "cc-by-nd-4",
+    "cc0 1 0 universal": "cc0-dedication",
+    "mit license": "mit",
+    "the mit license": "mit",
+    "the mit license mit": "mit",
+    "isc license": "isc",
+    "bsd 2 clause license": "bsd-2",
+    "bsd 3 clause license": "bsd-3",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache-2",
+}
+# Rules for titles, before all others.
+TITLE_RULES: list[tuple[str, str]] = [
+    ("GPL-3.0", "gpl-3-title"), ("GPL-2.0", "gpl-2-title"), ("LGPL-3.0", "lgpl-3-title"), ("LGPL-2.1", "lgpl-2-1-title"), ("AGPL-3.0", "agpl-3-title"),
+    ("GFDL-1.3", "gfdl-13-title"), ("Apache-2.0", "apache-2-title"), ("MPL-2.0", "mpl-2-title"), ("EPL-2.0", "epl-2-title"),
+]
+# Phrases that name a licence within a sentence, the more special ones first.
+PHRASES: list[tuple[str, str]] = [
+    ("gnu lesser general public license version 3", "lgpl-3"), ("gnu lesser general public license v3", "lgpl-3"), ("gnu affero general public license version 3", "agpl-3"),
+    ("gnu general public license version 3", "gpl-3"), ("gnu general public license v3", "gpl-3"), ("gpl version 3", "gpl-3"), ("gpl v3", "gpl-3"), ("gplv3", "gpl-3"),
+    ("gnu general public license version 2", "gpl-2"), ("gnu general public license v2", "gpl-2"), ("gpl version 2", "gpl-2"), ("gpl v2", "gpl-2"), ("gplv2", "gpl-2"),
+    ("under the apache license version 2 0", "apache-2"), ("under the apache license 2 0", "apache-2"), ("under the apache 2 0 license", "apache-2"), ("under apache 2 0", "apache-2"),
+    ("under the mit license", "mit"), ("under the terms of the mit license", "mit"), ("under an mit license", "mit"), ("under mit license", "mit"), ("license mit", "mit"),
+    ("under the bsd 3 clause license", "bsd-3"), ("under the bsd 2 clause license", "bsd-2"), ("governed by a bsd style license", "bsd-style"), ("under the isc license", "isc"),
+    ("under the mozilla public license version 2 0", "mpl-2"), ("under the mozilla public license 2 0", "mpl-2"), ("under the unlicense", "unlicense"), ("under cc0", "cc0-dedication"),
+]
+PHRASE_RULES: list[tuple[str, str]] = [("BSD-style", "bsd-style")]
+#: A machine-readable tag and the expression behind it; what parts the identifiers of one.
+TAG, TAG_PARTS = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]+)", r"[() ]+"
+#: Ends of sentences: marks, and lines without a letter or digit; abbreviations whose dot ends none.
+SENTENCE_END = r"[.!?;:]+[ \t\n\f\r]+|\n[^A-Za-z0-9\n]*\n"
+ABBREVIATION = r"(?i)\b(inc|ltd|co|corp|llc|e\.g|i\.e)\."
 #: Every known sentence has one of these; other texts are not cut up. Line ends may come in between.
-SIGN = "(?i)licen[sc]e|redistribut|permission|free[^a-z0-9]+software|later[^a-z0-9]+version|version [0-9.]+ of the|public[^a-z0-9]+domain|advertising[^a-z0-9]+materials|copy of the mpl"
+SIGN = "(?i)licen[sc]e|redistribut|permission|free[^a-z0-9]+software|later[^a-z0-9]+version|version [0-9.]+ of the|public[^a-z0-9]+domain|advertising[^a-z0-9]+materials|copy of the mpl|gpl|under[^a-z0-9]+(apache|cc0)|cc0 1"
 #: Whoever is named there.
 NAMES = "^neither the name of .+ nor the names of its contributors may"
 
 
+ALL_SENTENCES = SENTENCES | WHOLE_SENTENCES | TITLES
+ALL_RULES = TITLE_RULES + WHOLE_RULES + RULES + PHRASE_RULES
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in text order."""
-    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | WHOLE_SENTENCES).items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in ALL_SENTENCES.items() for x in pair])
+
+    def plain(part: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))
 
     def look_up(part: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))
-        return F.try_element_at(known, F.regexp_replace(plain, NAMES, "neither the name of the copyright holder nor the names of its contributors may"))
+        return F.try_element_at(known, F.regexp_replace(plain(part), NAMES, "neither the name of the copyright holder nor the names of its contributors may"))
+
+    def named(part: Column) -> Column:
+        padded = F.concat(F.lit(" "), plain(part), F.lit(" "))
+        first = F.coalesce(*[F.when(padded.contains(f" {phrase} "), F.lit(name)) for phrase, name in PHRASES])
+        return F.when(~padded.contains(" not "), first)
 
     def ids(part: Column) -> Column:
-        return F.when(look_up(part).isNotNull(), F.array(look_up(part))).otherwise(F.transform(F.split(part, "\n"), look_up))
+        lines = F.filter(F.transform(F.split(part, "\n"), look_up), lambda x: x.isNotNull())
+        return F.when(look_up(part).isNotNull(), F.array(look_up(part))).when(F.size(lines) > 0, lines).otherwise(F.array(named(part)))
 
-    found = F.flatten(F.transform(F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(SIGN)), ids))
+    whole = F.regexp_replace(text, ABBREVIATION, "$1")
+    found = F.flatten(F.transform(F.filter(F.split(whole, SENTENCE_END), lambda s: s.rlike(SIGN)), ids))
     return F.when(text.rlike(SIGN), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+def tags(text: Column) -> Column:
+    """The licences that the tags of a text name, in text order."""
+    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), lambda t: F.split(t, TAG_PARTS)))
+    return F.filter(words, lambda w: ~w.isin("", "OR", "AND", "WITH", "-") & ~w.rlike("exception"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, licenses, sentence_ids, n_sentences): license is null where no rule matches."""
-    found = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(text).alias("ids"), tags(text).alias("tags"))
     sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    hits = [F.when(sequence.contains(f" {rule} "), F.lit(name)) for name, rule in WHOLE_RULES + RULES]
-    matched = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    hits = [F.when(sequence.contains(f" {rule} "), F.lit(name)) for name, rule in ALL_RULES]
+    matched = F.array_distinct(F.concat("tags", F.filter(F.array(*hits), lambda x: x.isNotNull())))
     return found.select(
         "doc_id",
-        F.coalesce(*hits).alias("license"),
+        F.coalesce(F.get("tags", F.lit(0)), *hits).alias("license"),
         F.array_join(matched, ",").alias("licenses"),
         F.array_join("ids", " ").alias("sentence_ids"),
         F.size("ids").alias("n_sentences"),
@@ -195,18 +262,26 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    known = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
-    cases = [f"CASE WHEN contains(seq, ' {rule} ') THEN '{name}' END" for name, rule in RULES]
-    ordered = "CASE " + " ".join(f"WHEN contains(seq, ' {rule} ') THEN '{name}'" for name, rule in RULES) + " END"
-    first = ", ".join(cases)  # of a name that matches twice the first place counts
+    known = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in ALL_SENTENCES.items()) + "}"
+    cases = ", ".join(f"CASE WHEN contains(seq, ' {rule} ') THEN '{name}' END" for name, rule in ALL_RULES)
+    phrase = "CASE WHEN contains(p, ' not ') THEN NULL " + " ".join(f"WHEN contains(p, ' {x} ') THEN '{name}'" for x, name in PHRASES) + " END"
+    plain = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    sign = SIGN.replace("'", "''")
     return f"""
-WITH s AS (
-  SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '[.!?;:]+\\s+|\\n+'),
-         lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: ({known})[p]), lambda x: x IS NOT NULL) AS ids FROM s),
-q AS (SELECT doc_id, ids, ' ' || coalesce(array_to_string(ids, ' '), '') || ' ' AS seq FROM i),
-m AS (SELECT *, list_filter([{first}], lambda x: x IS NOT NULL) AS hits FROM q)
-SELECT doc_id, {ordered} AS license,
+WITH k AS (SELECT {known} AS known),
+s AS (SELECT doc_id, coalesce(text, '') AS text, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '{ABBREVIATION}', '\\1', 'g'), '{SENTENCE_END}')) AS part,
+  unnest(range(len(string_split_regex(regexp_replace(coalesce(text, ''), '{ABBREVIATION}', '\\1', 'g'), '{SENTENCE_END}')))) AS place, row FROM (SELECT *, row_number() OVER () AS row FROM documents) d),
+l AS (SELECT row, place, known[regexp_replace({plain.format('part')}, '{NAMES}', 'neither the name of the copyright holder nor the names of its contributors may')] AS whole,
+  list_filter(list_transform(string_split(part, chr(10)), lambda x: known[regexp_replace({plain.format('x')}, '{NAMES}', 'neither the name of the copyright holder nor the names of its contributors may')]), lambda x: x IS NOT NULL) AS lines,
+  ' ' || {plain.format('part')} || ' ' AS p FROM s, k WHERE regexp_matches(part, '{sign}')),
+i AS (SELECT row, flatten(list(CASE WHEN whole IS NOT NULL THEN [whole] WHEN len(lines) > 0 THEN lines ELSE [{phrase}] END ORDER BY place)) AS ids FROM l GROUP BY row),
+d AS (SELECT *, row_number() OVER () AS row FROM documents),
+t AS (SELECT d.doc_id, list_filter(coalesce(ids, []), lambda x: x IS NOT NULL) AS ids,
+  list_filter(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '{TAG}', 1), lambda x: string_split_regex(x, '{TAG_PARTS}'))), lambda w: w NOT IN ('', 'OR', 'AND', 'WITH', '-') AND NOT regexp_matches(w, 'exception')) AS tags
+  FROM d LEFT JOIN i ON i.row = d.row),
+q AS (SELECT *, ' ' || coalesce(array_to_string(ids, ' '), '') || ' ' AS seq FROM t),
+m AS (SELECT *, list_concat(tags, list_filter([{cases}], lambda x: x IS NOT NULL)) AS hits FROM q)
+SELECT doc_id, hits[1] AS license,
        coalesce(array_to_string(list_filter(hits, lambda x, k: list_position(hits, x) = k), ','), '') AS licenses,
        coalesce(array_to_string(ids, ' '), '') AS sentence_ids, CAST(len(ids) AS INTEGER) AS n_sentences
 FROM m"""
