@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,11 @@ def measured(chunks: DataFrame) -> DataFrame:
 
 def extracted_sizes(sections: Column) -> tuple[Column, Column]:
     """Characters and bytes of a list of sections."""
-    return tuple(F.aggregate(sections, F.lit(0).cast("long"), lambda s, x, of=of: s + of(x["text"])) for of in (F.length, F.octet_length))
+
+    def total(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(sections, F.lit(0).cast("long"), lambda s, x: s + of(x["text"]))
+
+    return total(F.length), total(F.octet_length)
 
 
 _QUARTILES = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))

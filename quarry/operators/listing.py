@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.session import stored
 
@@ -27,3 +28,9 @@ def reached(edges: DataFrame, root: str) -> DataFrame:
 def listed(edges: DataFrame, root: str) -> DataFrame:
     """The edges of the files in the folders that ``root`` leads to: a row for each such folder."""
     return edges.filter("NOT is_folder").join(reached(edges, root), "parent", "left_semi").select(*edges.columns)
+
+
+def in_locale_order(files: DataFrame, folder: str, name: str, key: str, collation: str = "UNICODE") -> DataFrame:
+    """``files`` with a column place: from 1 in each folder, by name as a locale sorts it, ties by key."""
+    order = Window.partitionBy(folder).orderBy(F.collate(F.col(name), collation), key)
+    return files.withColumn("place", F.row_number().over(order))

@@ -29,6 +29,16 @@ def binary_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF
     return reader.load(folder).filter("length > 0")
 
 
+def write_index(chunks: DataFrame, path: str, provider: str, dimensions: int, parts: int = 16) -> None:
+    """Replaces the index at ``path``: chunks (id, document_id, chunk_index, content, embedding) in ``parts``
+    JSON documents, each an index of its own that holds the documents of one hash."""
+    part = F.pmod(F.xxhash64("document_id"), F.lit(parts)).cast("int")
+    one = F.struct("id", F.col("document_id").alias("documentId"), F.col("chunk_index").alias("chunkIndex"), "content", "embedding")
+    whole = chunks.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(one)).alias("chunks"))
+    named = whole.select(F.lit(1).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.lit(provider).alias("embeddingProviderId"), F.lit(dimensions).alias("embeddingDimensions"), "chunks")
+    named.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def local_index(spark: SparkSession, path: str) -> DataFrame:
     """The chunks of a JSON index with a stated schema; a malformed file is an error."""
     schema = "version int, embeddingProviderId string, embeddingDimensions int, chunks array<struct<id:string,documentId:string,chunkIndex:bigint,content:string,embedding:array<double>>>"
