@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quarry.functions import expressions as X
 from quarry.functions.text import tidy, xml_decoded
 from quarry.operators import chunking, embedding, evaluation
+from quarry.operators.reranking import Reranker
 from quarry.plans import chunk_sql
 from quarry.plans.fixtures import FILES, PDF, PPTX, SLIDES
 from quarry.session import stored, table
@@ -195,9 +196,9 @@ m AS (SELECT b.item_id, i.item_id IS NULL AS no_answer, CASE WHEN i.item_id IS N
   FROM benchmark b LEFT JOIN ideal i ON i.item_id = b.item_id LEFT JOIN found f ON f.item_id = b.item_id)"""
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case for each benchmark item: the documents that contain it are relevant, and what is
-    ranked are those, their two successors, and one other document."""
+def listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, judgments, results): a case for each benchmark item; the documents that contain it are relevant, and
+    what is ranked are those, their two successors, and one other document."""
     items = table(spark, sf_dir, "benchmark")
     judged = stored(evaluation.containing(table(spark, sf_dir, "documents"), items).select("item_id", "doc_id"), "judged")  # read four times
     near = judged.select("item_id", F.explode(F.array("doc_id", F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("doc_id")).union(items.select("item_id", F.col("item_id") * 3)).distinct()
@@ -206,7 +207,11 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     judgments = judged.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("document"), F.lit(3).alias("grade"))
     answered = judged.select("item_id").distinct().withColumn("answered", F.lit(True))
     cases = items.join(answered, "item_id", "left").select(F.col("item_id").alias("case_id"), F.col("answered").isNull().alias("no_answer"))
-    return evaluation.evaluate(cases, judgments, results, AT)
+    return cases, judgments, results
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.evaluate(*listed(spark, sf_dir), AT)
 
 
 @query("eval_metrics", EVAL + " SELECT item_id, no_answer, hit, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, unjudged, judged_relevant, round(top_score, 6) AS top_score FROM m")
@@ -224,3 +229,20 @@ round(avg(top_score) FILTER (WHERE no_answer), 6) AS mean_silent_score, round(ma
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.summary(metrics(spark, sf_dir))
     return out.select("cases", "answered", "no_answer", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
+
+
+@query("rerank_ndcg", EVAL + " SELECT count(*) AS cases, round(avg(ndcg), 6) AS retrieved, true AS better FROM m WHERE NOT no_answer AND item_id % 2 = 1")
+def rerank_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean nDCG of cases with odd numbers, and whether a re-ranker trained on the others raises it."""
+    cases, judgments, results = listed(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "text")
+    pairs = results.join(items, "case_id").join(docs, "document", "left").join(judgments, ["case_id", "document"], "left")
+    labelled = stored(pairs.select("case_id", "document", "query", "text", F.col("grade").isNotNull().cast("int").alias("label")), "pairs")
+    ranker = Reranker.trained(labelled.filter("case_id % 2 = 0"))
+    scored = labelled.filter("case_id % 2 = 1").select("case_id", "document", ranker.relevance(F.col("query"), F.col("text")).alias("score"))
+    again = scored.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "document")))
+    odd = cases.filter("case_id % 2 = 1")
+    before, after = (evaluation.evaluate(odd, judgments, r.filter("case_id % 2 = 1"), AT).filter("NOT no_answer") for r in (results, again))
+    mean = after.agg(F.avg("ndcg").alias("after"))
+    return before.agg(F.count("*").alias("cases"), F.avg("ndcg").alias("before")).join(F.broadcast(mean)).select("cases", F.round("before", 6).alias("retrieved"), (F.col("after") > F.col("before")).alias("better"))  # a row each

@@ -15,6 +15,7 @@ from quarry.operators.store import Identity
 from quarry.plans.fixtures import CHUNKS, DOCX, FILES, PDF, PPTX, SLIDES
 from quarry.session import scratch, table
 from quarry.sources import files as sources
+from quarry.sources.tree import contents, tree
 from quarry.streaming.continuous import searches_by_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +170,16 @@ def locale_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of each folder in the order of their names as people sort them: letters before marks and case."""
     files = spark.sql(NAMED, customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
     return listing.in_locale_order(files, "folder", "name", "id")
+
+
+# -- a tree as a source -------------------------------------------------------------------
+@query("tree_listing", "SELECT 'nation=' || CAST(c_nationkey AS VARCHAR) AS parent, 'text/plain' AS mime, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS held FROM customer WHERE c_nationkey IN (3, 5, 8) GROUP BY c_nationkey")
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, a folder for each nation, listed by the data source with filters that it takes over,
+    and read: sizes as listed and as read."""
+    folder = scratch(spark, "tree")
+    rows = table(spark, sf_dir, "customer").select("c_name", F.col("c_nationkey").alias("nation"))
+    rows.repartition("nation").write.partitionBy("nation").text(folder)
+    files = tree(spark, folder).filter(F.col("mime") == "text/plain").filter(F.col("parent").isin("nation=3", "nation=5", "nation=8"))
+    read = contents(spark, folder, files)
+    return read.groupBy("parent", "mime").agg(F.sum("size").alias("size"), F.sum(F.length("content").cast("long")).alias("held"))
