@@ -191,12 +191,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    """The columns of the SQL twin; ``op5_link_counts`` has the numbers of links too."""
-    return link_components(table(spark, sf_dir, "documents")).drop("n_links")
+    """All whole documents: the size of each one's set, its component, and its number of links."""
+    return link_components(table(spark, sf_dir, "documents"))
 
 
 def op5_link_counts(spark, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents"))
+    """The numbers of links alone."""
+    return link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_links")
 
 
 OP5_SQL = r"""
@@ -208,4 +209,6 @@ e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
     GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
-SELECT s.doc_id, CAST(len(any_value(sh)) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id"""
+SELECT s.doc_id, CAST(len(any_value(sh)) AS BIGINT) AS n_shingles, min(r.b) AS component_id,
+    coalesce(any_value(c.many), 0) AS n_links FROM s JOIN reach r ON r.a = s.doc_id LEFT JOIN (SELECT a, count(*) AS many FROM pairs GROUP BY a) c ON c.a = s.doc_id GROUP BY s.doc_id"""
+OP5_LINKS_SQL = f"SELECT doc_id, n_links FROM ({OP5_SQL}) q"

@@ -34,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.OP2_SQL,
         "op5_ngram_jaccard": jaccard.OP5_SQL,
+        "op5_link_counts": jaccard.OP5_LINKS_SQL,
         "op6_line_dedup": twins.OP6_SQL,
         "op7_language_id": twins.OP7_SQL,
         "op9_source_mixing": twins.OP9_SQL,

@@ -33,4 +33,4 @@ def test_link_counts_of_the_table(spark):
     sf = "/root/testdata/sf0.001"
     want = brute_counts([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()])
     assert {r.doc_id: r.n_links for r in jaccard.op5_link_counts(spark, sf).collect()} == want
-    assert jaccard.op5_ngram_jaccard(spark, sf).columns == ["doc_id", "n_shingles", "component_id"]
+    assert jaccard.op5_ngram_jaccard(spark, sf).columns == ["doc_id", "n_shingles", "component_id", "n_links"]
