@@ -40,6 +40,8 @@ FOLDER = "/opt/tokenizers"
 NAME_A, NAME_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words of a chunk, and tokens of the words that a task remembers; both bound its memory.
 CHUNK_WORDS, KEPT_TOKENS = 1 << 20, 1 << 22
+#: Chunks of a row group: Spark's reader decodes a row group of so few rows at once, and chunks are large.
+GROUPED = 4
 #: Characters of a text of new words, documents read at once.
 RUN, ROWS = 4096, 200
 #: A tokenizer's file is sent to every task; vocabularies do not grow with the data.
@@ -277,20 +279,19 @@ def pair_counts(stored: DataFrame) -> DataFrame:
     return totals.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The documents of one chunk, with what all chunks say of its pairs."""
     names = [c.split()[0] for c in _RESULT.split(", ")]
-    for batch in slices(batches, 1):
-        row = {k: batch.column(k) for k in batch.schema.names}
-        sizes, held, link = (row[k].flatten().to_numpy().astype(np.int64) for k in ("sizes", "held", "link"))
-        answers = row["answers"].flatten()
-        place, count, best = (answers.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("pos", "count", "best"))
-        by_pair = np.zeros((2, len(place)), dtype=np.int64)
-        by_pair[0, place], by_pair[1, place] = best, count
-        words = int(sizes.sum())
-        own = unpack(row["codes"][0].as_py(), np.uint32, words) if words else np.empty(0, np.uint32)
-        n_best, count_sum = (_sums(_sums(v[link], held)[own], sizes) if words else np.zeros(len(sizes), np.int64) for v in by_pair)
-        out = {k: row[k].flatten() for k in names if k in row} | {"n_links": row["n_groups"].flatten(), "n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
-        yield pa.RecordBatch.from_arrays([out[k] for k in names], names=names)
+    row = {k: left.column(k).combine_chunks() for k in left.column_names}
+    sizes, held, link = (row[k].flatten().to_numpy().astype(np.int64) for k in ("sizes", "held", "link"))
+    place, count, best = (right.column(k).to_numpy().astype(np.int64) for k in ("pos", "count", "best"))
+    by_pair = np.zeros((2, len(place)), dtype=np.int64)
+    by_pair[0, place], by_pair[1, place] = best, count
+    words = int(sizes.sum())
+    own = unpack(row["codes"][0].as_py(), np.uint32, words) if words else np.empty(0, np.uint32)
+    n_best, count_sum = (_sums(_sums(v[link], held)[own], sizes) if words else np.zeros(len(sizes), np.int64) for v in by_pair)
+    out = {k: row[k].flatten() for k in names if k in row} | {"n_links": row["n_groups"].flatten(), "n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
+    return pa.table([out[k] for k in names], names=names)
 
 
 def files(folder: str, name_a: str = NAME_A, name_b: str = NAME_B) -> tuple[bytes, bytes]:
@@ -305,11 +306,11 @@ def files(folder: str, name_a: str = NAME_A, name_b: str = NAME_B) -> tuple[byte
 
 def align(docs: DataFrame, folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: its tokens, groups and links, and how frequent its links are in all documents."""
-    stored = spill(chunks(docs, *files(folder), id_col, text_col), "aligned")
+    stored = spill(chunks(docs, *files(folder), id_col, text_col), "aligned", GROUPED)
     pairs = stored.select("chunk", F.posexplode(F.arrays_zip("a", "b"))).select("chunk", "pos", "col.*")
-    answers = pairs.join(pair_counts(stored), ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "count", "best")).alias("answers"))
-    joined = stored.drop("a", "b", "n").join(answers, "chunk", "left").withColumn("answers", F.coalesce("answers", F.array().cast("array<struct<pos:int,count:bigint,best:boolean>>")))
-    return joined.mapInArrow(lean(_finish), _RESULT)
+    answers = pairs.join(pair_counts(stored), ["a", "b"]).select(F.col("chunk").alias("of"), "pos", "count", "best")
+    # chunk by chunk: neither side holds the answers or the documents of a partition at once
+    return stored.drop("a", "b", "n").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_finish, _RESULT)
 
 
 def op13_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -98,3 +99,18 @@ def test_whole_texts_and_words_agree(spark):
 
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_task_holds_many_chunks_at_once(spark, monkeypatch):
+    seen, spill = [], alignment.spill
+    monkeypatch.setattr(alignment, "CHUNK_WORDS", 5)
+    monkeypatch.setattr(alignment, "ROWS", 50)
+    monkeypatch.setattr(alignment, "spill", lambda *a: seen.append(spill(*a)) or seen[-1])
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(4000)], "doc_id long, text string").repartition(1)
+    got = alignment.align(docs)
+    assert got.count() == 4000 and got.filter("n_links = 0").count() == 0
+    stored = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in seen[0].inputFiles()]
+    most = max(m.row_group(k).num_rows for m in stored for k in range(m.num_row_groups))
+    assert seen[0].count() > 10 * alignment.GROUPED and most <= alignment.GROUPED
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" not in plan
