@@ -177,7 +177,8 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHEN n < 1073741824 THEN CAST(CAST(CAST(n / 1048576.0E0 AS DECIMAL(30, 10)) AS DECIMAL(30, 1)) AS STRING) || ' MiB' ELSE CAST(CAST(CAST(n / 1073741824.0E0 AS DECIMAL(30, 10)) AS DECIMAL(30, 2)) AS STRING) || ' GiB' END AS label
 FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey % 5000000000 AS n FROM orders) t""")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey") % F.lit(5000000000)
+    key = F.col("o_orderkey").cast("decimal(19,0)")  # a cube of a long key is beyond a long
+    n = (key * key % F.lit(5000000000) * key % F.lit(5000000000)).cast("long")
     return table(spark, sf_dir, "orders").select("o_orderkey", X.bytes_label(n).alias("label"))
 
 
