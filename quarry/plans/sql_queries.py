@@ -92,14 +92,17 @@ SELECT count(*) AS files, count(CASE WHEN status = 'success' THEN 1 END) AS succ
   count(CASE WHEN status = 'duplicate' THEN 1 END) AS duplicates, count(CASE WHEN status = 'unsupported' THEN 1 END) AS unsupported,
   count(CASE WHEN status = 'not_sampled' THEN 1 END) AS not_sampled, count(CASE WHEN status = 'not_sampled' THEN 1 END) > 0 AS is_sampled FROM s""")
 both("projected_totals", STATUS + f", {FORMAT} SELECT CAST(sum(chunks) AS BIGINT) AS measured, CAST(sum({PROJECTED}) AS BIGINT) AS projected FROM f")
-both("storage_scenarios", WITH + """
+SCENARIOS = WITH + """
 , b AS (SELECT CAST(sum(est) AS BIGINT) * 768 * 4 + CAST(sum(size) AS BIGINT) AS base FROM typed),
 k AS (SELECT * FROM (VALUES (1.0), (1.5), (2.0), (3.0)) AS v(factor))
 SELECT CAST(factor AS DOUBLE) AS factor, CAST(base * CAST(factor AS DOUBLE) AS BIGINT) AS bytes,
   round(base * CAST(factor AS DOUBLE) / 5368709120 * 100, 6) AS percent,
   CAST(greatest(0, 5368709120 - base * CAST(factor AS DOUBLE)) AS BIGINT) AS remaining,
   CASE WHEN base = 0 THEN 'NO DATA' WHEN base * 3.0 / 5368709120 * 100 < 25 THEN 'LOW RISK' WHEN base * 3.0 / 5368709120 * 100 < 60 THEN 'MODERATE RISK'
-    ELSE 'HIGH RISK' END AS risk FROM b, k""")
+    ELSE 'HIGH RISK' END AS risk FROM b, k"""
+# DuckDB casts a double to the nearest whole number, ties to even; Spark cuts it off
+both("storage_scenarios", SCENARIOS.replace("CAST(base * CAST(factor AS DOUBLE) AS BIGINT)", "CAST(rint(base * CAST(factor AS DOUBLE)) AS BIGINT)")
+  .replace("CAST(greatest(0, 5368709120 - base * CAST(factor AS DOUBLE)) AS BIGINT)", "CAST(rint(greatest(0, 5368709120 - base * CAST(factor AS DOUBLE))) AS BIGINT)"), SCENARIOS)
 both("top_files", WITH + """
 , r AS (SELECT id, category, size, row_number() OVER (PARTITION BY category ORDER BY size DESC, id) AS rank FROM typed)
 SELECT id, category, size, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")

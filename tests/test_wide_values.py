@@ -1,5 +1,9 @@
 """Queries on keys and sums that the smallest tables do not have."""
 
+import math
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.expressions import bytes_label
@@ -12,3 +16,14 @@ def test_labels_of_keys_whose_cube_is_beyond_a_long(spark, tmp_path):
     exact = spark.createDataFrame([(k, None if k is None else k**3 % 5_000_000_000) for k in keys], "o_orderkey long, n long")
     want = exact.select("o_orderkey", bytes_label(F.col("n")).alias("label"))
     assert set(registry.QUERIES["format_bytes"](spark, str(tmp_path)).collect()) == set(want.collect())
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 2_000_000_001])
+def test_halves_of_bytes_are_rounded_as_in_the_twin(spark, tmp_path, size):
+    spark.createDataFrame([(0, size, "x")], "doc_id long, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = registry.QUERIES["storage_scenarios"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLES["storage_scenarios"]).fetchall())
+    half = next(r for r in got if r["factor"] == 1.5)
+    assert half["bytes"] % 2 == 0 and math.isclose(half["bytes"], 1.5 * next(r for r in got if r["factor"] == 1.0)["bytes"], abs_tol=0.5)
