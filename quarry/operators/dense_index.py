@@ -34,6 +34,8 @@ SAMPLE_NUMBERS, WORDS, PART = 1 << 21, 256, 8
 AGAIN = 20
 #: Vectors of the sample that recall is measured on.
 MEASURED = 64
+#: Rows, and queries, that a task of a search for many queries holds.
+TOGETHER, ASKED = 1 << 15, 1 << 12
 
 
 def learned(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -53,6 +55,32 @@ def parts_of(size: int) -> list[tuple[int, int]]:
     return [(at, min(size, at + PART)) for at in range(0, size, PART)]
 
 
+def _rows(column: pa.Array, size: int) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
+
+
+def _first(scores: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the ``most`` greatest finite numbers of each row, ties by ``order``."""
+    if most < scores.shape[1]:
+        least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+        for row, at in zip(scores, least, strict=True):
+            tied = np.flatnonzero(row == at)
+            spare = len(tied) - (most - np.count_nonzero(row > at))
+            if spare > 0:
+                row[tied[np.argsort(order[tied])[len(tied) - spare :]]] = -np.inf
+        scores[scores < least[:, None]] = -np.inf
+    row, column = np.nonzero(scores > -np.inf)
+    return row, column, scores[row, column]
+
+
+def _picked(left: pa.Table, right: pa.Table, found: list[tuple], more: dict[str, str]) -> pa.Table:
+    """(query, id, guess) and further columns of the rows that were found, blocks of queries one after the other."""
+    of = pa.array(np.concatenate([np.empty(0, np.int64), *(at + row for at, row, _, _ in found)]))
+    to = pa.array(np.concatenate([np.empty(0, np.int64), *(column for _, _, column, _ in found)]))
+    columns = {"query": left.column("query").take(of), "id": right.column("id").take(to), "guess": pa.array(np.concatenate([np.empty(0), *(score for *_, score in found)]))}
+    return pa.table(columns | {name: right.column(own).take(to) for name, own in more.items()})
+
+
 def usable(chunks: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vector) of the rows with a vector of finite numbers that is not zero."""
     x = F.col(vector)
@@ -186,49 +214,91 @@ class DenseIndex:
         return self._scored(self.lists(), query).limit(k)
 
     def search_all(self, queries: DataFrame, k: int, probes: int | None = None, again: int = AGAIN) -> DataFrame:
-        """(query, id, score) for many queries (query, vector): each goes to the lists it probes and meets
-        their codes there; the vectors of the candidates alone are read, once for all."""
+        """(query, id, score) for many queries (query, vector): each goes to the groups of lists that it probes
+        and meets their codes there; the vectors of the candidates alone are read, once for all. A task holds
+        a block of queries and a group of rows, and hands on again x k candidates of each query at most."""
         centroids, books = np.array(self.model["centroids"]), [np.array(w) for w in self.model["codebooks"]]
         size, many = centroids.shape[1], probes or self.model["probes"]
-        shape = f"query {queries.schema['query'].dataType.simpleString()}, vector array<double>, list int"
+        counts = dict(self.lists().groupBy("list").count().collect())  # a row for each list
+        group, groups = np.zeros(len(centroids), dtype=np.int64), []
+        for c in range(len(centroids)):
+            if not groups or groups[-1] + counts.get(c, 0) > TOGETHER:
+                groups.append(0)
+            groups[-1] += counts.get(c, 0)
+            group[c] = len(groups) - 1
+        parts = [max(1, -(-n // TOGETHER)) for n in groups]  # a list that is too large for a task is dealt out
+        near = lambda x: np.argsort(-(x @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :many]
 
         def sent(batches):
             for batch in batches:
-                x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                lists = np.argsort(-(x @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :many]
-                of = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(lists.ravel(), pa.int32())], names=["query", "vector", "list"])
-
-        asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(sent, shape)
-        # rows of a list are dealt to as many parts as it has thousands, its queries go to each
-        sizes = {r["list"]: -(-r["count"] // 4096) for r in self.lists().groupBy("list").count().collect()}  # a row for each list
-        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in sizes.items() for x in p]), F.col("list")), F.lit(1))
-        rows = self.lists().select("list", "id", "codes").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
-        kinds = (queries.schema["query"].dataType.simpleString(), self.model["key"])
+                x = _rows(batch.column(2), size)
+                own = [np.unique(group[lists]) for lists in near(x / np.linalg.norm(x, axis=1, keepdims=True))] or [np.empty(0, np.int64)]
+                to = [(r, g, p) for r, found in enumerate(own) for g in found for p in range(parts[g])]
+                of = pa.array([t[0] for t in to], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array([t[1] for t in to], pa.int32()), pa.array([t[2] for t in to], pa.int32())], names=["query", "block", "vector", "group", "part"])
 
-        def guess(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            q, found, guesses = [], [], []
+        kinds = (queries.schema["query"].dataType.simpleString(), self.model["key"])
+        asked, blocks = self._blocks(queries)
+        dealt = asked.mapInArrow(sent, f"query {kinds[0]}, block int, vector array<double>, group int, part int")
+        placed = F.get(F.array(*[F.lit(int(g)) for g in group]), F.col("list"))
+        dealt_to = F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(n) for n in parts]), F.col("group"))).cast("int")
+        rows = self.lists().select("list", "id", "codes").withColumn("group", placed).withColumn("part", dealt_to).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def guess(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.sort_by([("list", "ascending"), ("id", "ascending")])
+            found = []
             if left.num_rows and right.num_rows:
-                x = np.array(left.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
+                x = _rows(left.column("vector").combine_chunks(), size)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                codes = np.array(right.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(right.num_rows, -1)
+                codes, lists = _rows(right.column("codes").combine_chunks(), len(books)), right.column("list").to_numpy()
+                runs = [(int(c), *np.searchsorted(lists, [c, c + 1])) for c in np.unique(lists)]
+                order = np.argsort(np.argsort(np.array(right.column("id").to_pylist()), kind="stable"))  # ties by id
                 for at in range(0, len(x), 256):
                     some = x[at : at + 256]
-                    scores = np.repeat((some @ centroids[key[0].as_py()])[:, None], len(codes), axis=1)
-                    for j, ((a, b), words) in enumerate(zip(parts_of(size), books, strict=True)):
-                        scores += (some[:, a:b] @ words.T)[:, codes[:, j]]
-                    top = np.argpartition(-scores, min(again * k, len(codes)) - 1, axis=1)[:, : again * k]
-                    of = np.repeat(np.arange(len(some)), top.shape[1])
-                    q.append(at + of)
-                    found.append(top.ravel())
-                    guesses.append(scores[of, top.ravel()])
-            take = lambda column, which: column.combine_chunks().take(pa.array(np.concatenate([np.empty(0, np.int64), *which]).astype(np.int64)))
-            return pa.table([take(left.column("query"), q), take(right.column("id"), found), pa.array(np.concatenate([np.empty(0), *guesses])), pa.array(np.full(sum(map(len, q)), key[0].as_py()), pa.int32())], names=["query", "id", "guess", "list"])
-
-        met = dealt.groupBy("list", "part").cogroup(rows.groupBy("list", "part")).applyInArrow(guess, f"query {kinds[0]}, id {kinds[1]}, guess double, list int")
+                    probed = np.zeros((len(some), len(centroids)), dtype=bool)
+                    np.put_along_axis(probed, near(some), True, axis=1)
+                    scores = np.full((len(some), len(codes)), -np.inf)
+                    for c, start, end in runs:
+                        which = np.flatnonzero(probed[:, c])
+                        own = np.repeat((some[which] @ centroids[c])[:, None], end - start, axis=1)
+                        for j, ((a, b), words) in enumerate(zip(parts_of(size), books, strict=True)):
+                            own += (some[which, a:b] @ words.T)[:, codes[start:end, j]]
+                        scores[which, start:end] = own
+                    found.append((at, *_first(scores, order, again * k)))
+            return _picked(left, right, found, {"list": "list"})
+
+        met = dealt.groupBy("group", "block", "part").cogroup(rows.groupBy("group", "block", "part")).applyInArrow(guess, f"query {kinds[0]}, id {kinds[1]}, guess double, list int")
         candidates = met.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("guess"), "id"))).filter(F.col("n") <= again * k).select("query", "id", "list")
         own = queries.select("query", F.col("vector").cast("array<double>").alias("wanted"))
         scored = candidates.join(self.lists().select("list", "id", "vector"), ["list", "id"]).join(own, "query").select("query", "id", cosine(F.col("vector"), F.col("wanted")).alias("score"))
         return scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k).drop("n")
+
+    def _blocks(self, queries: DataFrame) -> tuple[DataFrame, int]:
+        """(query, block, vector) and the number of blocks of some thousand queries."""
+        many = max(1, -(-queries.count() // ASKED))
+        return queries.select("query", F.pmod(F.xxhash64("query"), F.lit(many)).cast("int").alias("block"), F.col("vector").cast("array<double>").alias("vector")), many
+
+    def exact_all(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query, id, score): the k nearest of all rows for many queries (query, vector), ties by id. The work is
+        queries x rows; a task multiplies a block of queries by a part of the rows and hands on the k best of
+        each query. Cosines are equal that differ by rounding alone."""
+        size = len(self.model["centroids"][0])
+        kinds = (queries.schema["query"].dataType.simpleString(), self.model["key"])
+        held = self.lists().select("id", "vector")
+        parts = max(1, -(-held.count() // TOGETHER))
+        asked, blocks = self._blocks(queries)
+        dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = held.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = []
+            if left.num_rows and right.num_rows:
+                x, y = (_rows(t.column("vector").combine_chunks(), size) for t in (left, right))
+                x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
+                order = np.argsort(np.argsort(np.array(right.column("id").to_pylist()), kind="stable"))
+                for at in range(0, len(x), 256):
+                    found.append((at, *_first(np.round(x[at : at + 256] @ y.T, 12), order, k)))
+            return _picked(left, right, found, {})
+
+        met = dealt.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInArrow(nearest, f"query {kinds[0]}, id {kinds[1]}, guess double").withColumnRenamed("guess", "score")
+        return met.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k).drop("n")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import retrieval
+from quarry.operators import dense_index, retrieval
 from quarry.operators.dense_index import DenseIndex
 from quarry.operators.postings import BlockIndex
 
@@ -100,3 +100,22 @@ def test_blocks_are_skipped(blocks):
 def test_blocks_of_nothing(spark, tmp_path):
     empty = BlockIndex(spark, str(tmp_path)).build(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.topk(["a"], 5)[0].count() == 0
+
+
+def test_truth_of_many_queries_in_parts(spark, index, monkeypatch):
+    monkeypatch.setattr(dense_index, "TOGETHER", 64)
+    monkeypatch.setattr(dense_index, "ASKED", 5)
+    queries = vectors()[::45] + 0.05
+    frame = spark.createDataFrame([(k, q.tolist()) for k, q in enumerate(queries)], "query long, vector array<double>")
+    want = {k: [r.id for r in index.exact(q.tolist(), 10).collect()] for k, q in enumerate(queries)}
+    for found in (index.exact_all(frame, 10), index.search_all(frame, 10, probes=9, again=100)):
+        got: dict = {}
+        for r in found.orderBy("query", F.desc(F.round("score", 12)), "id").collect():
+            got.setdefault(r["query"], []).append(r["id"])
+        assert got == want
+
+
+def test_a_task_hands_on_its_best_candidates_alone():
+    scores = np.array([[1.0, 3.0, 3.0, 3.0, -np.inf], [5.0, 4.0, 3.0, 2.0, 1.0]])
+    row, column, _ = dense_index._first(scores, np.array([0, 3, 2, 1, 4]), 2)
+    assert list(zip(row, column, strict=True)) == [(0, 2), (0, 3), (1, 0), (1, 1)]
