@@ -11,9 +11,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 # FNV-1a, and the weights of words, pairs of words and runs of 2 and 3 characters.
 OFFSET, PRIME, BITS32 = 2166136261, 16777619, 0xFFFFFFFF
@@ -68,11 +69,36 @@ def embed(texts: DataFrame, column: str = "text", dimensions: int = 384) -> Data
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([hashed(t or "", dimensions) for t in batch])
+            codes, distinct = pd.factorize(batch.fillna(""))
+            own = [hashed(t, dimensions) for t in distinct]  # copies of a text are embedded once
+            yield pd.Series([own[c] for c in codes])
 
     return texts.withColumn("embedding", vectors(F.col(column)))
 
 
+def embed_sparse(texts: DataFrame, column: str = "text", dimensions: int = 384, least: float = 0.0) -> DataFrame:
+    """``texts`` with a column embedding of (bucket, value) for the numbers beyond ``least``: a short text fills
+    few of its dimensions, and no others leave the workers."""
+    if dimensions < 8:
+        raise ValueError("a vector has eight dimensions at least")
+    names = [*texts.columns, "embedding"]
+    schema = StructType([*texts.schema.fields, StructField("embedding", ArrayType(StructType([StructField("bucket", IntegerType()), StructField("value", DoubleType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch.column(names.index(column)).fill_null("").dictionary_encode()
+            vectors = [hashed(t, dimensions) for t in told.dictionary.to_pylist()]
+            filled = [np.flatnonzero(np.abs(v) > least) for v in vectors]
+            ends = np.cumsum([0, *map(len, filled)])
+            buckets = np.concatenate([np.empty(0, np.int64), *filled])
+            values = np.concatenate([np.empty(0), *(v[at] for v, at in zip(vectors, filled, strict=True))])
+            pairs = pa.StructArray.from_arrays([pa.array(buckets, pa.int32()), pa.array(values)], names=["bucket", "value"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists.take(told.indices)], names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def packed(rows: DataFrame, group: str, order: str, text: str, items: int = ITEMS, tokens: int = TOKENS) -> DataFrame:
     """``rows`` with a column batch, counted from 0 within each ``group``: as many rows in
     ``order`` as fit into ``items`` and ``tokens`` (UTF-8 bytes + 16 each). A text beyond

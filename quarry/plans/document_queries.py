@@ -114,9 +114,10 @@ h AS (SELECT *, {fnv('f')} AS own, {fnv("f || ':sign'")} AS sign FROM c),
 v AS (SELECT p_partkey, own % 384 AS bucket, sum(weight * (1 + ln(n)) * CASE WHEN sign % 2 = 0 THEN 1 ELSE -1 END) AS value FROM h GROUP BY ALL)
 SELECT p_partkey, CAST(bucket AS INT) AS bucket, round(value / sqrt(sum(value * value) OVER (PARTITION BY p_partkey)), 6) AS value FROM v WHERE abs(value) > 1E-9""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = embedding.embed(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
-    long = vectors.select("p_partkey", F.posexplode("embedding").alias("bucket", "value"))
-    return long.filter(F.abs("value") > 1e-9).select("p_partkey", "bucket", F.round("value", 6).alias("value"))
+    # a small file is few tasks, however long its rows take: they are dealt to as many as a shuffle has
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    long = embedding.embed_sparse(parts, "p_name", least=1e-9).select("p_partkey", F.inline("embedding"))
+    return long.select("p_partkey", "bucket", F.round("value", 6).alias("value"))
 
 
 #: Items and tokens of a batch in the packing query: nine tenths of 10,000 tokens a minute.
