@@ -27,10 +27,15 @@ class PostingIndex:
     def build(self, docs: DataFrame) -> PostingIndex:
         """Index documents (doc_id, text), a row for each id. Counts are added up before the shuffle: one
         row for each term of a document is moved, however often it occurs."""
-        tokens = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
+        # dealt by document before they are cut: counting moves nothing, and texts are less than their words
+        dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+        tokens = dealt.select("doc_id", words(F.col("text")).alias("w"))
         counted = tokens.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        # stored, for ranges are drawn from a sample: texts are cut into words once
+        counted = stored(counted, "counted")
         counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.path}/postings")
-        tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/whole")
+        n, words_ = docs.count(), counted.agg(F.sum("tf")).first()[0]  # the lengths of all documents are the numbers of their words
+        self.spark.createDataFrame([(n, (words_ or 0) / n if n else None)], "n long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/whole")
         return self
 
     def search(self, terms: list[str]) -> DataFrame:

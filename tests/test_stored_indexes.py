@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dense_index, retrieval
+from quarry import session
+from quarry.operators import dense_index, postings, retrieval
 from quarry.operators.dense_index import DenseIndex
-from quarry.operators.postings import BlockIndex
+from quarry.operators.postings import BlockIndex, PostingIndex
 
 VECTOR = "id string, embedding array<double>, list int, codes int"
 
@@ -119,3 +120,17 @@ def test_a_task_hands_on_its_best_candidates_alone():
     scores = np.array([[1.0, 3.0, 3.0, 3.0, -np.inf], [5.0, 4.0, 3.0, 2.0, 1.0]])
     row, column, _ = dense_index._first(scores, np.array([0, 3, 2, 1, 4]), 2)
     assert list(zip(row, column, strict=True)) == [(0, 2), (0, 3), (1, 0), (1, 1)]
+
+
+def test_words_are_counted_where_their_documents_lie(spark, corpus, tmp_path, monkeypatch):
+    """Counting the words of a document moves none of them."""
+    kept = []
+    monkeypatch.setattr(postings, "stored", lambda df, name: kept.append(df) or session.stored(df, name))
+    PostingIndex(spark, str(tmp_path / "p")).build(corpus)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning(doc_id") > plan.index("Generate explode")
+    whole = spark.read.parquet(f"{tmp_path}/p/whole").first()
+    lengths = corpus.select(F.size(retrieval.words(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*"), F.avg("n")).first()
+    assert tuple(whole) == tuple(lengths)
+    none = PostingIndex(spark, str(tmp_path / "n")).build(corpus.filter("false"))
+    assert none.search(["a1"]).count() == 0 and spark.read.parquet(f"{tmp_path}/n/whole").first()["avgdl"] is None
