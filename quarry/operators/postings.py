@@ -73,16 +73,21 @@ class BlockIndex:
         close to the scores in them."""
         tokens = stored(docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("len", F.size("w")), "tokens")
         whole = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
-        # the place within a range is the lower part of an id that grows with the rows
-        ordered = tokens.withColumn("lead", _commonest(F.col("w"))).repartitionByRange("lead", "len", "doc_id").sortWithinPartitions("lead", "len", "doc_id").withColumn("at", F.monotonically_increasing_id())
-        dealt = ordered.withColumn("shard", F.shiftleft(F.shiftright("at", 33), 33) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / shard))
-        counted = dealt.select("doc_id", "len", "shard", F.explode("w").alias("term")).groupBy("shard", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        counted = self._counted(tokens, shard)
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(whole["avgdl"] or 1.0)))
         blocks = counted.groupBy("term", "shard").agg(F.count("*").alias("n"), F.max(part).alias("upper"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))
         blocks.sortWithinPartitions("term", "shard").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.path}/blocks")
         self.spark.createDataFrame([(whole["n"], whole["avgdl"])], "n long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/whole")
         return self
 
+    def _counted(self, tokens: DataFrame, shard: int) -> DataFrame:
+        """A row for each term of a document, with its shard."""
+        # the place within a range is the lower part of an id that grows with the rows
+        ordered = tokens.withColumn("lead", _commonest(F.col("w"))).repartitionByRange("lead", "len", "doc_id").sortWithinPartitions("lead", "len", "doc_id").withColumn("at", F.monotonically_increasing_id())
+        dealt = ordered.withColumn("shard", F.shiftleft(F.shiftright("at", 33), 33) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / shard))
+        # the keys of the ranges are among those of the groups: counting moves nothing
+        return dealt.select("lead", "len", "doc_id", "shard", F.explode("w").alias("term")).groupBy("lead", "len", "doc_id", "shard", "term").agg(F.count("*").alias("tf"))
+
     def _scored(self, blocks: DataFrame, idf: Column, avgdl: float) -> DataFrame:
         rows = blocks.select("term", F.explode("postings").alias("p")).select("term", "p.*")
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl)))

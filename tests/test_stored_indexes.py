@@ -134,3 +134,11 @@ def test_words_are_counted_where_their_documents_lie(spark, corpus, tmp_path, mo
     assert tuple(whole) == tuple(lengths)
     none = PostingIndex(spark, str(tmp_path / "n")).build(corpus.filter("false"))
     assert none.search(["a1"]).count() == 0 and spark.read.parquet(f"{tmp_path}/n/whole").first()["avgdl"] is None
+
+
+def test_terms_of_blocks_are_counted_where_their_documents_lie(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "doc_id long, w array<string>").withColumn("len", F.size("w"))
+    counted = BlockIndex(spark, str(tmp_path))._counted(tokens, 16)
+    assert {(r.doc_id, r.term, r.tf, r.len) for r in counted.collect()} == {(1, "a", 2, 3), (1, "b", 1, 3)}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan
