@@ -7,8 +7,9 @@ versions only; a writer that dies leaves nothing but files that no manifest name
 back by document ids comes from their buckets alone, and of these from the row groups whose Bloom
 filters know the ids.
 
-A hot document makes a large bucket, but no large task: buckets are dealt out by size when they are
-written. Manifests grow with buckets, not with rows.
+Which rows a change takes away is found by keys alone. Whole rows travel once, when they are dealt out to
+the files of their buckets, and meet the keys that go there. A hot document makes a large bucket, but no
+large task: a bucket has a part for every ``PART`` bytes. Manifests grow with buckets, not with rows.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ import functools
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.operators.store import Identity, IncompatibleStore, checked, latest
+from quarry.operators.store import Identity, IncompatibleStore, checked, latest, once
 from quarry.session import stored
 
 #: Attempts of a commit that others overtake, and versions that stay readable.
 ATTEMPTS, KEPT = 3, 2
+#: Bytes of a part of a bucket, as they lie in files, and the codec of what is kept.
+PART, CODEC = 32 << 20, "zstd"
 
 
 @dataclass(frozen=True)
@@ -108,24 +113,34 @@ class Folders:
                 raise Overtaken(name) from error
             raise
 
+    def size(self, name: str) -> int:
+        at = self.path(name)
+        return at.getFileSystem(self.conf).getContentSummary(at).getLength()
+
     def drop(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
 
-def applied(old: DataFrame, change: Change, table: Table) -> DataFrame:
-    """The rows of a table after a change."""
+def gone(old: DataFrame, change: Change, table: Table) -> DataFrame:
+    """(document, key, new_): the keys of old and of new rows that a change takes away. Rows of one document and key
+    share their fate."""
     document, key = table.document, table.key
-    if change.removed is not None:
-        old = old.join(change.removed.select(document).distinct(), document, "left_anti").select(*old.columns)
+    both = list(dict.fromkeys([document, key]))
+    keys = old.select(*both, F.lit(False).alias("new_"))
+    goes = F.lit(False)
     if change.upserts is not None:
-        own = change.upserts.select(document, key)
-        old = old.join(own, [document, key], "left_anti").select(*old.columns).unionByName(change.upserts.select(*old.columns))
+        own = change.upserts.select(*both)
+        keys = keys.unionByName(own.withColumn("new_", F.lit(True))).join(own.withColumn("given_", F.lit(True)), both, "left")
+        goes = goes | (~F.col("new_") & F.col("given_").isNotNull())
     if change.expected is not None:
+        named = change.expected.select(*both).filter(F.col(key).isNotNull()).distinct().withColumn("named_", F.lit(True))
         listed = change.expected.select(document).distinct().withColumn("listed_", F.lit(True))
-        named = change.expected.select(document, key).filter(F.col(key).isNotNull()).distinct().withColumn("named_", F.lit(True))
-        marked = old.join(listed, document, "left").join(named, [document, key], "left")
-        old = marked.filter("listed_ IS NULL OR named_").select(*old.columns)
-    return old
+        keys = keys.join(named, both, "left").join(listed, document, "left")
+        goes = goes | (F.col("listed_").isNotNull() & F.col("named_").isNull())
+    if change.removed is not None:
+        keys = keys.join(change.removed.select(document).distinct().withColumn("removed_", F.lit(True)), document, "left")
+        goes = goes | (~F.col("new_") & F.col("removed_").isNotNull())
+    return keys.filter(goes).select(*both, "new_").distinct()
 
 
 class Store:
@@ -177,23 +192,53 @@ class Store:
         if upserts is not None:
             columns = self.spark.createDataFrame([], own.schema).columns
             extra = [change.order] if change.order and change.order not in columns else []
-            upserts = latest(upserts.select(*columns, *extra), own.key, change.order).select(*columns)
-            upserts = stored(checked(upserts, self.identity.dimensions) if "embedding" in columns else upserts, "upserts")
+            upserts = upserts.select(*columns, *extra)
+            if change.order:
+                upserts = latest(upserts, own.key, change.order).select(*columns)
+            upserts = stored(checked(upserts, self.identity.dimensions) if "embedding" in columns else upserts, "upserts", CODEC)
+            upserts = upserts if change.order else once(upserts, own.key)
         return Change(upserts, change.removed, change.expected)
 
+    def _buckets(self, rows: DataFrame, document: str, buckets: int) -> set[str]:
+        """As many numbers as there are buckets, at most."""
+        return {str(r["b"]) for r in rows.select(self.bucket(document, buckets).alias("b")).distinct().collect()}
+
+    def _dealt(self, rows: DataFrame, going: DataFrame, own: Table, buckets: int, parts: int) -> DataFrame:
+        """``rows`` but those that go, in parts of their buckets: the one shuffle of whole rows. The keys that go are
+        dealt out alike and stand before the rows that they take away."""
+        columns = [c for c in rows.columns if c != "new_"]
+        marked = rows.withColumn("goes_", F.lit(False))
+        if any_goes := not going.isEmpty():
+            marked = marked.unionByName(going.withColumn("goes_", F.lit(True)), allowMissingColumns=True)
+        part = F.pmod(F.xxhash64(own.document, own.key, F.lit(1)), F.lit(parts)).cast("int")
+        dealt = marked.withColumn("bucket", self.bucket(own.document, buckets)).withColumn("part_", part).repartition("bucket", "part_")
+        order = list(dict.fromkeys(["bucket", "part_", own.document, own.key]))
+        if any_goes:
+            same = Window.partitionBy(*order, "new_")
+            dealt = dealt.withColumn("taken_", F.max("goes_").over(same)).filter("NOT taken_")
+        return dealt.sortWithinPartitions(*order).select(*columns, "bucket")
+
     def _rewritten(self, table: str, change: Change, folders: dict[str, str], buckets: int, folder: str) -> dict[str, str]:
         """The folders of a table's buckets after a change; only the touched ones are read and written."""
         own = self.tables[table]
         given = [x.select(F.col(own.document).alias("d")) for x in (change.upserts, change.removed, change.expected) if x is not None]
         documents = functools.reduce(DataFrame.unionByName, given)
-        # as many numbers as there are buckets, at most
-        touched = {str(r["b"]) for r in documents.select(self.bucket("d", buckets).alias("b")).distinct().collect()}
+        named = self._buckets(documents, "d", buckets)
+        old = self._files(table, {b: f for b, f in folders.items() if b in named})
+        going = stored(gone(old, change, own), "gone")
+        changing = [going.select(own.document)] + ([change.upserts.select(own.document)] if change.upserts is not None else [])
+        touched = self._buckets(functools.reduce(DataFrame.unionByName, changing), own.document, buckets)
         if not touched:
             return folders
-        old = self._files(table, {b: f for b, f in folders.items() if b in touched})
-        rows = applied(old, change, own).withColumn("bucket", self.bucket(own.document, buckets))
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", own.document, own.key)
-        dealt.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{own.document}", "true").parquet(f"{self.path}/{folder}/{table}")
+        kept = {b: f for b, f in folders.items() if b in touched}
+        rows = self._files(table, kept).withColumn("new_", F.lit(False))
+        size = sum(self.folders.size(f"{self.path}/{f}/bucket={b}") for b, f in kept.items())
+        if change.upserts is not None:
+            rows = rows.unionByName(change.upserts.withColumn("new_", F.lit(True)))
+            size += sum(self.folders.size(f) for f in {unquote(f).rsplit("/", 1)[0] for f in change.upserts.inputFiles()})
+        parts = max(1, -(-size // (PART * len(touched))))
+        dealt = self._dealt(rows, going, own, buckets, parts)
+        dealt.write.partitionBy("bucket").option("compression", CODEC).option(f"parquet.bloom.filter.enabled#{own.document}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{self.path}/{folder}/{table}")
         written = [n.removeprefix("bucket=") for n in self.folders.names(f"{self.path}/{folder}/{table}") if n.startswith("bucket=")]
         return {b: f for b, f in folders.items() if b not in touched} | {b: f"{folder}/{table}" for b in written}
 

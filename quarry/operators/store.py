@@ -44,6 +44,14 @@ def latest(rows: DataFrame, key: str, order: str | None) -> DataFrame:
     return counted.select(*[once.alias(c) if c == key else F.col(f"row_.{c}").alias(c) for c in rows.columns])
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, which are read once for their keys alone: one that is given twice is an error."""
+    twice = rows.groupBy(key).count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"a key is given twice: {twice[key]}")
+    return rows
+
+
 def upserted(base: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """``base`` with the rows of ``updates`` in place of those with their keys; of updates with one
     key the last by ``order``."""
@@ -64,6 +72,9 @@ def without(base: DataFrame, documents: DataFrame, document: str = "document_id"
 
 
 def reusable(expected: DataFrame, stored: DataFrame, dimensions: int) -> DataFrame:
-    """Expected chunks with the stored vector of the same id, source time and content."""
-    s = stored.filter(F.size("embedding") == dimensions).select("id", F.col("content").alias("c_"), F.col("source_modified_time").alias("t_"), "embedding")
-    return expected.join(s, "id").filter("content = c_ AND source_modified_time = t_").drop("c_", "t_")
+    """Expected chunks with the stored vector of the same id, document, source time and content. Contents are
+    compared by their SHA-256, so that they do not travel unless the result is asked for them."""
+    keys = [c for c in ("id", "document_id") if c in expected.columns and c in stored.columns]
+    s = stored.filter(F.size("embedding") == dimensions).select(*keys, F.sha2("content", 256).alias("c_"), F.col("source_modified_time").alias("t_"), "embedding")
+    found = expected.withColumn("d_", F.sha2("content", 256)).join(s, keys).filter("d_ = c_ AND source_modified_time = t_")
+    return found.select(*expected.columns, "embedding")

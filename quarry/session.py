@@ -28,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the folder that all executors share and read back: a cut in its lineage that
-    outlives them. The folder is ``spark.checkpoint.dir``; a local session may do without it."""
+    outlives them. The folder is ``spark.checkpoint.dir``; a local session may do without it. ``codec``
+    for what is large and read seldom; else that of the session."""
     spark = df.sparkSession
     folder = scratch(spark, name)
-    df.write.parquet(folder)
+    (df.write.option("compression", codec) if codec else df.write).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
