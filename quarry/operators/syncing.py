@@ -1,8 +1,10 @@
 """A synchronisation that acts: what is new or changed in a listing is fetched, cut, embedded and
-committed to a ``Store`` together with the state of its files, a wave of files at a time.
+committed to a ``Store`` together with the state of its files, a wave of files at a time. What is decided
+on files and chunks is decided on their keys; contents go from what was fetched to the store.
 
 A wave is one version of the store: its new vectors, the chunks that its documents no longer have,
-the chunks of documents that are to be cleared, and the state of its files. A run that dies leaves
+the chunks of documents that are to be cleared, and the state of its files; the first one also clears
+duplicates and files that are gone. A run that dies leaves
 whole waves; the next one finds their files up to date. Chunks whose text and source time are
 stored already keep their vectors. Where a quota ends the run, the batches before it are kept.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.expressions import embedding_input
-from quarry.operators.committed import Change, Store, Table
+from quarry.operators.committed import CODEC, Change, Store, Table
 from quarry.operators.store import reusable
 from quarry.operators.sync import CHECKPOINT, KNOWN_FAILURES, actions
 from quarry.session import stored
@@ -72,7 +74,7 @@ def until_quota(wanted: DataFrame, quota: int | None) -> tuple[int | None, int |
 def _result(stop: int | None) -> Column:
     late = F.lit(False) if stop is None else F.col("ordinal") > stop
     hit = F.lit(False) if stop is None else F.col("ordinal") == stop
-    empty = F.size(F.coalesce("chunks", F.array())) == 0
+    empty = F.col("many") == 0
     return F.when(late, "late").when(hit, "quota").when(F.col("reason").isNotNull(), F.when(F.col("reason").isin(*KNOWN_FAILURES), F.col("reason")).otherwise("failed")).when(empty, "empty").otherwise("ok")
 
 
@@ -105,14 +107,14 @@ class Run:
             name = {"skip": "skipped", "duplicate": "duplicates"}.get(r["action"], r["action"])
             if name in ("duplicates", "removed", "unsupported", "skipped"):
                 totals[name] += r["count"]
-        self._settled(files)
+        settled = self._settled(files)
         todo = stored(files.filter("action IN ('new', 'updated')").select("id", "ordinal", "mime", "modified", "action"), "todo")
         many, left = todo.count(), self.quota
         waves = max(1, -(-many // self.wave))
         dealt = todo if waves == 1 else stored(todo.repartitionByRange(waves, "ordinal").withColumn("wave", F.spark_partition_id()), "waves")
         for at in range(waves if many else 0):
             part = dealt if waves == 1 else dealt.filter(F.col("wave") == at).drop("wave")
-            stop = self._wave(part, left, totals)
+            stop = self._wave(part, left, totals, None if at else settled)
             left = None if left is None else max(0, self.quota - totals["embedded_chunks"])
             if stop is not None:
                 late = todo.filter(F.col("ordinal") >= stop)
@@ -121,37 +123,47 @@ class Run:
                 totals["skipped"] -= files.filter((F.col("action") == "skip") & (F.col("ordinal") > stop)).count()
                 self.store.commit({"documents": Change(upserts=self._state(late, F.lit(False), F.lit(None), F.lit(True)))})
                 break
+        if not many and settled is not None:
+            self.store.commit(self._changes(settled))
         if stream is not None:
             self.store.commit({}, stream, number)
         return totals
 
-    def _settled(self, files: DataFrame) -> None:
-        """Duplicates and files that are gone: their chunks go, their states say why."""
+    def _settled(self, files: DataFrame) -> DataFrame | None:
+        """The states of duplicates and of files that are gone: their chunks go."""
         duplicates = self._state(files.filter("action = 'duplicate'"), F.lit(False), F.col("kept_id"), F.lit(True))
         gone = self._state(files.filter("action = 'removed'").withColumn("modified", F.col("old_modified")), F.lit(False), F.lit(None), F.lit(False))
         settled = stored(duplicates.unionByName(gone), "settled")
-        if not settled.isEmpty():
-            self.store.commit({"chunks": Change(removed=settled.select(F.col("id").alias("document_id"))), "documents": Change(upserts=settled)})
+        return None if settled.isEmpty() else settled
 
-    def _wave(self, todo: DataFrame, quota: int | None, totals: dict[str, int]) -> int | None:
+    @staticmethod
+    def _changes(settled: DataFrame) -> dict[str, Change]:
+        return {"chunks": Change(removed=settled.select(F.col("id").alias("document_id"))), "documents": Change(upserts=settled)}
+
+    def _wave(self, todo: DataFrame, quota: int | None, totals: dict[str, int], settled: DataFrame | None = None) -> int | None:
         """Commits a wave; the ordinal at which a quota ended it."""
         keys = todo.select("id", "ordinal", "modified", "action")
-        fetched = stored(keys.join(self.fetch(todo.drop("action")).select("id", "reason", "chunks"), "id", "left").withColumn("reason", F.when(F.col("chunks").isNull() & F.col("reason").isNull(), "missing").otherwise(F.col("reason"))), "fetched")
+        read_in = keys.join(self.fetch(todo.drop("action")).select("id", "reason", "chunks"), "id", "left").withColumn("reason", F.when(F.col("chunks").isNull() & F.col("reason").isNull(), "missing").otherwise(F.col("reason")))
+        fetched = stored(read_in.withColumn("many", F.size(F.coalesce("chunks", F.array()))), "fetched", CODEC)
         wanted = cut(fetched)
-        documents = wanted.select("document_id").distinct()
-        held = reusable(wanted, self.store.read("chunks").join(documents, "document_id", "left_semi"), self.store.identity.dimensions).select("id", "embedding")
-        chunks = stored(wanted.join(held.withColumn("reused", F.lit(True)), "id", "left").withColumn("reused", F.coalesce("reused", F.lit(False))), "wanted")
+        held = stored(reusable(wanted, self.store.read("chunks"), self.store.identity.dimensions).select("document_id", "id"), "reused")
+        named = wanted.select("document_id", "ordinal", "id", "chunk_index")
+        chunks = stored(named.join(held.withColumn("reused", F.lit(True)), ["document_id", "id"], "left").withColumn("reused", F.coalesce("reused", F.lit(False))), "wanted")
         stop, stop_batch = until_quota(batches(chunks, self.batch), quota)
         results = fetched.select("id", "ordinal", "modified", "action", _result(stop).alias("result"))
         own_batch = F.floor(F.col("chunk_index") / self.batch)
         allowed = F.lit(True) if stop is None else (F.col("ordinal") < stop) | ((F.col("ordinal") == stop) & (own_batch < stop_batch))
-        missing = chunks.filter(~F.col("reused") & allowed)
-        told = missing.drop("embedding").withColumn("text", embedding_input(F.col("section_title"), F.col("content")))
-        new = self.embed(told).select(*[c for c in chunks.columns if c not in ("ordinal", "reused")])
+        # what is held is small or none as a rule: contents need not travel to meet it then
+        missing = wanted.filter(allowed) if held.isEmpty() else wanted.filter(allowed).join(held, ["document_id", "id"], "left_anti")
+        told = missing.withColumn("text", embedding_input(F.col("section_title"), F.col("content")))
+        new = self.embed(told).select(*[c for c in wanted.columns if c != "ordinal"], "embedding")
         read = results.filter("result = 'ok'")
         clears = results.filter(F.col("result").isin("empty", *KNOWN_FAILURES)).select(F.col("id").alias("document_id"))
         expected = chunks.join(read.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("document_id", "id")
         states = self._state(results.filter("result NOT IN ('late', 'quota')"), F.col("result") == "ok", F.lit(None), F.lit(True))
+        if settled is not None:
+            clears = clears.unionByName(settled.select(F.col("id").alias("document_id")))
+            states = states.unionByName(settled)
         self.store.commit({"chunks": Change(upserts=new, removed=clears, expected=expected), "documents": Change(upserts=states)})
         self._count(results, chunks, allowed, stop, stop_batch, totals)
         return stop
