@@ -7,8 +7,8 @@ vector, in columns of their own. A search reads the codes of the lists nearest t
 up the products of its parts with the words, and scores the best of them again, exactly, on their
 vectors. With all lists and all candidates it is the exact search.
 
-How many lists a search probes is measured when the index is built: as many as bring the wanted recall
-on a bounded sample of the vectors, held against all of them.
+How many lists a search probes, and how many candidates it scores again, is measured when the index is
+built: as many as bring the wanted recall on a bounded sample of the vectors, held against all of them.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from quarry.session import stored
 MOST_LISTS, EACH = 4096, 100
 #: Numbers of the sample that codebooks are learned from, words of a codebook, components of a part.
 SAMPLE_NUMBERS, WORDS, PART = 1 << 21, 256, 8
-#: Candidates that are scored again, for each result.
+#: Candidates that are scored again, for each result, at least.
 AGAIN = 20
 #: Vectors of the sample that recall is measured on.
 MEASURED = 64
 #: Rows, and queries, that a task of a search for many queries holds.
 TOGETHER, ASKED = 1 << 15, 1 << 12
+#: Pairs of a query and a candidate that are multiplied at once.
+PAIRS = 1 << 15
 
 
 def learned(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -73,12 +75,34 @@ def _first(scores: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray
     return row, column, scores[row, column]
 
 
-def _picked(left: pa.Table, right: pa.Table, found: list[tuple], more: dict[str, str]) -> pa.Table:
-    """(query, id, guess) and further columns of the rows that were found, blocks of queries one after the other."""
+def _ordered(ids: pa.Array) -> np.ndarray:
+    """The rank of each id."""
+    return np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"))
+
+
+def _products(queries: np.ndarray, centroids: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
+    """Of queries with centroids, and of their parts with words."""
+    return [queries @ centroids.T, *(queries[:, a:b] @ w.T for (a, b), w in zip(parts_of(centroids.shape[1]), books, strict=True))]
+
+
+def _guesses(products: list[np.ndarray], lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The products of queries with quantised rows: equal for rows of equal list and codes."""
+    out = products[0][:, lists]
+    for j, table in enumerate(products[1:]):
+        out += table[:, codes[:, j]]
+    return out
+
+
+def _multiplied(x: np.ndarray, row: np.ndarray, y: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The product of each pair of rows, as many at once as memory should hold."""
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[row[at : at + PAIRS]], y[column[at : at + PAIRS]]) for at in range(0, len(row), PAIRS))])
+
+
+def _picked(left: pa.Table, right: pa.Table, found: list[tuple]) -> pa.Table:
+    """(query, id, score) of the rows that were found, blocks of queries one after the other."""
     of = pa.array(np.concatenate([np.empty(0, np.int64), *(at + row for at, row, _, _ in found)]))
     to = pa.array(np.concatenate([np.empty(0, np.int64), *(column for _, _, column, _ in found)]))
-    columns = {"query": left.column("query").take(of), "id": right.column("id").take(to), "guess": pa.array(np.concatenate([np.empty(0), *(score for *_, score in found)]))}
-    return pa.table(columns | {name: right.column(own).take(to) for name, own in more.items()})
+    return pa.table({"query": left.column("query").take(of), "id": right.column("id").take(to), "score": pa.array(np.concatenate([np.empty(0), *(score for *_, score in found)]))})
 
 
 def usable(chunks: DataFrame, key: str, vector: str) -> DataFrame:
@@ -89,7 +113,7 @@ def usable(chunks: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 class DenseIndex:
-    """``lists/list=<n>`` (id, codes, vector) below a folder, and ``model``: centroids, codebooks, probes."""
+    """``lists/list=<n>`` (id, codes, vector) below a folder, and ``model``: centroids, codebooks, probes, again."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -128,38 +152,54 @@ class DenseIndex:
         coded = rows.mapInArrow(code, f"id {kind}, codes array<smallint>, vector array<double>, list int")
         coded.hint("rebalance", "list").sortWithinPartitions("list", "id").write.mode("overwrite").partitionBy("list").parquet(f"{self.path}/lists")
         self._save({"centroids": centroids.tolist(), "codebooks": [w.tolist() for w in books], "probes": len(centroids), "key": kind})
-        self._save(self.model | {"probes": self._measured(sample[:MEASURED], rows, recall, k)})
+        self._save(self.model | self._measured(sample[:MEASURED], recall, k))
         return self
 
     def _sample(self, rows: DataFrame, count: int, most: int) -> np.ndarray:
-        """Unit vectors of the smallest hashes, ``most`` at most."""
-        drawn = F.shiftrightunsigned(F.xxhash64("vector"), 24)
+        """Unit vectors of the smallest hashes, ``most`` at most. Copies of a vector are drawn one by one: in a
+        hash of vectors alone they would come together, and could be all that recall is measured on."""
+        drawn = F.shiftrightunsigned(F.xxhash64("id", "vector"), 24)
         found = rows.filter(drawn <= int(min(1.0, most / count) * (1 << 40))).orderBy(drawn, "id").limit(most).select("unit")
         return np.array([r[0] for r in found.collect()])
 
-    def _measured(self, queries: np.ndarray, rows: DataFrame, recall: float, k: int) -> int:
-        """The least number of lists that brings the wanted recall, mean over sampled queries: of each
-        one's true nearest but itself, the ranks of their lists."""
-        centroids = np.array(self.model["centroids"])
-        size = centroids.shape[1]
+    def _measured(self, queries: np.ndarray, recall: float, k: int) -> dict[str, int]:
+        """The least numbers of lists and of candidates, for each result, that bring the wanted recall, mean over
+        sampled queries: of each one's true nearest but itself, the ranks of their lists and of their guesses
+        among all rows. Of those that may be missed, half may lie in other lists and half behind other guesses."""
+        kind, (centroids, books) = self.model["key"], self._words()
+        size, products = centroids.shape[1], _products(queries, centroids, books)
+
+        def guessed(batch: pa.RecordBatch) -> np.ndarray:
+            return _guesses(products, batch.column("list").to_numpy(), _rows(batch.column("codes"), len(books)))
 
         def best(batches):
             for batch in batches:
-                x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
-                scores = queries @ x.T
-                top = np.argpartition(-scores, min(k + 1, len(x)) - 1, axis=1)[:, : k + 1]
-                near = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(axis=1), axis=1)
-                q = np.repeat(np.arange(len(queries)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(scores[q, top.ravel()]), pa.array(near[top.ravel()], pa.int32())], names=["q", "score", "list"])
-
-        found = rows.select("unit").mapInArrow(best, "q int, score double, list int")
-        ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n").between(2, k + 1))
-        nearest = [(r["q"], r["list"]) for r in ranked.select("q", "list").collect()]  # k rows for each sampled query
+                x = _rows(batch.column("vector"), size)
+                scores = np.round(queries @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 12)
+                row, column, score = _first(scores, _ordered(batch.column("id")), k + 1)
+                to = pa.array(column)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(score), pa.array(guessed(batch)[row, column]), batch.column("id").take(to), batch.column("list").take(to)], names=["q", "score", "guess", "id", "list"])
+
+        found = self.lists().mapInArrow(best, f"q int, score double, guess double, id {kind}, list int")
+        ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("n").between(2, k + 1))
+        nearest = [tuple(r) for r in ranked.select("q", "guess", "id", "list").collect()]  # k rows for each sampled query
         if not nearest:
-            return len(centroids)
-        order = np.argsort(np.argsort(-(queries @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1), axis=1)
-        ranks = np.sort([order[q, c] for q, c in nearest])
-        return int(ranks[min(len(ranks), int(np.ceil(recall * len(ranks)))) - 1]) + 1
+            return {"probes": len(centroids), "again": AGAIN}
+
+        def before(batches):
+            counts = np.zeros(len(nearest), dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    guesses, ids = guessed(batch), np.array(batch.column("id").to_pylist())
+                    for i, (q, guess, own, _) in enumerate(nearest):
+                        counts[i] += np.count_nonzero(guesses[q] > guess) + np.count_nonzero(ids[guesses[q] == guess] < own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nearest)), pa.int32()), pa.array(counts)], names=["i", "rank"])
+
+        behind = self.lists().select("id", "codes", "list").mapInArrow(before, "i int, rank long").groupBy("i").agg(F.sum("rank"))
+        order = np.argsort(np.argsort(-(products[0] - 0.5 * (centroids**2).sum(axis=1)), axis=1), axis=1)
+        most = min(len(nearest), int(np.ceil((1 + recall) / 2 * len(nearest)))) - 1
+        probes, candidates = (int(np.sort(ranks)[most]) + 1 for ranks in ([order[q, c] for q, _, _, c in nearest], [r[1] for r in behind.collect()]))
+        return {"probes": probes, "again": max(AGAIN, -(-candidates // k))}
 
     def _save(self, model: dict) -> None:
         text = json.dumps(model)
@@ -172,6 +212,9 @@ class DenseIndex:
             self._model = json.loads(self.spark.read.text(f"{self.path}/model").first()[0])
         return self._model
 
+    def _words(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.array(self.model["centroids"]), [np.array(w) for w in self.model["codebooks"]]
+
     # -- searching
     def lists(self) -> DataFrame:
         """All rows, with their list."""
@@ -193,17 +236,19 @@ class DenseIndex:
             out = out + F.get(table, F.get(F.col("codes"), j).cast("int"))
         return out
 
-    def search(self, query: list[float], k: int, probes: int | None = None, again: int = AGAIN) -> DataFrame:
+    def search(self, query: list[float], k: int, probes: int | None = None, again: int | None = None) -> DataFrame:
         """(id, score) of the k nearest: cosines of the best candidates of the probed lists, ties by id.
-        ``probes``: lists; ``exact()`` reads them all."""
+        ``probes``: lists, ``again``: candidates for each result; ``exact()`` reads them all."""
         if not self.model["centroids"]:
             return self.spark.createDataFrame([], f"id {self.model['key']}, score double")
         which = self.probed(query, probes or self.model["probes"])
         held = self.lists().filter(F.col("list").isin(which))
-        best = held.select("id", "list", self.estimate(query, which).alias("guess")).orderBy(F.desc("guess"), "id").limit(again * k)
-        found = best.select("id", "list").collect()  # again x k rows
-        rows = held.filter(F.col("list").isin(sorted({r["list"] for r in found})) & F.col("id").isin([r["id"] for r in found]))
-        return self._scored(rows, query).limit(k)
+        best = held.select("id", "list", self.estimate(query, which).alias("guess")).orderBy(F.desc("guess"), "id").limit((again or self._again()) * k)
+        return self._scored(held.join(best, ["list", "id"], "left_semi"), query).limit(k)
+
+    def _again(self) -> int:
+        """Candidates for each result; an index of old has not measured them."""
+        return self.model.get("again", AGAIN)
 
     def _scored(self, rows: DataFrame, query: list[float]) -> DataFrame:
         wanted = F.array(*[F.lit(float(x)) for x in query])
@@ -213,12 +258,14 @@ class DenseIndex:
         """(id, score) of the k nearest of all lists."""
         return self._scored(self.lists(), query).limit(k)
 
-    def search_all(self, queries: DataFrame, k: int, probes: int | None = None, again: int = AGAIN) -> DataFrame:
+    def search_all(self, queries: DataFrame, k: int, probes: int | None = None, again: int | None = None) -> DataFrame:
         """(query, id, score) for many queries (query, vector): each goes to the groups of lists that it probes
-        and meets their codes there; the vectors of the candidates alone are read, once for all. A task holds
-        a block of queries and a group of rows, and hands on again x k candidates of each query at most."""
-        centroids, books = np.array(self.model["centroids"]), [np.array(w) for w in self.model["codebooks"]]
-        size, many = centroids.shape[1], probes or self.model["probes"]
+        and meets their codes there, and the vectors of its again x k best candidates of the group. A task holds
+        a block of queries and a group of rows, and hands on the k best of each query, ties by id."""
+        if not self.model["centroids"]:
+            return self._none(queries)
+        centroids, books = self._words()
+        size, many, most = centroids.shape[1], probes or self.model["probes"], (again or self._again()) * k
         counts = dict(self.lists().groupBy("list").count().collect())  # a row for each list
         group, groups = np.zeros(len(centroids), dtype=np.int64), []
         for c in range(len(centroids)):
@@ -242,36 +289,39 @@ class DenseIndex:
         dealt = asked.mapInArrow(sent, f"query {kinds[0]}, block int, vector array<double>, group int, part int")
         placed = F.get(F.array(*[F.lit(int(g)) for g in group]), F.col("list"))
         dealt_to = F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(n) for n in parts]), F.col("group"))).cast("int")
-        rows = self.lists().select("list", "id", "codes").withColumn("group", placed).withColumn("part", dealt_to).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows = self.lists().withColumn("group", placed).withColumn("part", dealt_to).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-        def guess(left: pa.Table, right: pa.Table) -> pa.Table:
+        def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
             right = right.sort_by([("list", "ascending"), ("id", "ascending")])
             found = []
             if left.num_rows and right.num_rows:
-                x = _rows(left.column("vector").combine_chunks(), size)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x, y = (_rows(t.column("vector").combine_chunks(), size) for t in (left, right))
+                x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
                 codes, lists = _rows(right.column("codes").combine_chunks(), len(books)), right.column("list").to_numpy()
                 runs = [(int(c), *np.searchsorted(lists, [c, c + 1])) for c in np.unique(lists)]
-                order = np.argsort(np.argsort(np.array(right.column("id").to_pylist()), kind="stable"))  # ties by id
+                order = _ordered(right.column("id"))
                 for at in range(0, len(x), 256):
                     some = x[at : at + 256]
                     probed = np.zeros((len(some), len(centroids)), dtype=bool)
                     np.put_along_axis(probed, near(some), True, axis=1)
-                    scores = np.full((len(some), len(codes)), -np.inf)
+                    products, scores = _products(some, centroids, books), np.full((len(some), len(codes)), -np.inf)
                     for c, start, end in runs:
                         which = np.flatnonzero(probed[:, c])
-                        own = np.repeat((some[which] @ centroids[c])[:, None], end - start, axis=1)
-                        for j, ((a, b), words) in enumerate(zip(parts_of(size), books, strict=True)):
-                            own += (some[which, a:b] @ words.T)[:, codes[start:end, j]]
-                        scores[which, start:end] = own
-                    found.append((at, *_first(scores, order, again * k)))
-            return _picked(left, right, found, {"list": "list"})
-
-        met = dealt.groupBy("group", "block", "part").cogroup(rows.groupBy("group", "block", "part")).applyInArrow(guess, f"query {kinds[0]}, id {kinds[1]}, guess double, list int")
-        candidates = met.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("guess"), "id"))).filter(F.col("n") <= again * k).select("query", "id", "list")
-        own = queries.select("query", F.col("vector").cast("array<double>").alias("wanted"))
-        scored = candidates.join(self.lists().select("list", "id", "vector"), ["list", "id"]).join(own, "query").select("query", "id", cosine(F.col("vector"), F.col("wanted")).alias("score"))
-        return scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k).drop("n")
+                        scores[which, start:end] = _guesses([p[which] for p in products], lists[start:end], codes[start:end])
+                    row, column, _ = _first(scores, order, most)
+                    scores.fill(-np.inf)
+                    scores[row, column] = np.round(_multiplied(some, row, y, column), 12)
+                    found.append((at, *_first(scores, order, k)))
+            return _picked(left, right, found)
+
+        met = dealt.groupBy("group", "block", "part").cogroup(rows.groupBy("group", "block", "part")).applyInArrow(nearest, f"query {kinds[0]}, id {kinds[1]}, score double")
+        return self._best(met, k)
+
+    def _best(self, met: DataFrame, k: int) -> DataFrame:
+        return met.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k).drop("n")
+
+    def _none(self, queries: DataFrame) -> DataFrame:
+        return self.spark.createDataFrame([], f"query {queries.schema['query'].dataType.simpleString()}, id {self.model['key']}, score double")
 
     def _blocks(self, queries: DataFrame) -> tuple[DataFrame, int]:
         """(query, block, vector) and the number of blocks of some thousand queries."""
@@ -282,6 +332,8 @@ class DenseIndex:
         """(query, id, score): the k nearest of all rows for many queries (query, vector), ties by id. The work is
         queries x rows; a task multiplies a block of queries by a part of the rows and hands on the k best of
         each query. Cosines are equal that differ by rounding alone."""
+        if not self.model["centroids"]:
+            return self._none(queries)
         size = len(self.model["centroids"][0])
         kinds = (queries.schema["query"].dataType.simpleString(), self.model["key"])
         held = self.lists().select("id", "vector")
@@ -295,10 +347,10 @@ class DenseIndex:
             if left.num_rows and right.num_rows:
                 x, y = (_rows(t.column("vector").combine_chunks(), size) for t in (left, right))
                 x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
-                order = np.argsort(np.argsort(np.array(right.column("id").to_pylist()), kind="stable"))
+                order = _ordered(right.column("id"))
                 for at in range(0, len(x), 256):
                     found.append((at, *_first(np.round(x[at : at + 256] @ y.T, 12), order, k)))
-            return _picked(left, right, found, {})
+            return _picked(left, right, found)
 
-        met = dealt.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInArrow(nearest, f"query {kinds[0]}, id {kinds[1]}, guess double").withColumnRenamed("guess", "score")
-        return met.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k).drop("n")
+        met = dealt.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInArrow(nearest, f"query {kinds[0]}, id {kinds[1]}, score double")
+        return self._best(met, k)

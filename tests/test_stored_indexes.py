@@ -8,6 +8,7 @@ from quarry import session
 from quarry.operators import dense_index, postings, retrieval
 from quarry.operators.dense_index import DenseIndex
 from quarry.operators.postings import BlockIndex, PostingIndex
+from quarry.plans import store_queries
 
 VECTOR = "id string, embedding array<double>, list int, codes int"
 
@@ -142,3 +143,28 @@ def test_terms_of_blocks_are_counted_where_their_documents_lie(spark, tmp_path):
     assert {(r.doc_id, r.term, r.tf, r.len) for r in counted.collect()} == {(1, "a", 2, 3), (1, "b", 1, 3)}
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_recall_of_near_copies_is_that_of_the_sql(spark, tmp_path):
+    """Guesses hardly tell near copies apart: as many are scored again as the recall needs. A query without a
+    vector is one of the queries."""
+    x = np.random.default_rng(5).standard_normal((4000, 64))
+    x[1::2] = x[1:5:2].repeat(1000, axis=0) + 0.01 * x[1::2]
+    x = x[np.random.default_rng(6).permutation(4000)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(4000, None), (4050, [0.0] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/a/embeddings.parquet")
+    assert [tuple(r) for r in store_queries.dense_index_recall(spark, f"{tmp_path}/a").collect()] == [(82, 10, True)]
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/b/embeddings.parquet")
+    assert [tuple(r) for r in store_queries.dense_index_recall(spark, f"{tmp_path}/b").collect()] == [(0, 10, True)]
+
+
+def test_candidates_are_measured(spark, index, tmp_path):
+    """Rows of equal codes, which guesses do not tell apart, are counted by id before the true nearest."""
+    assert index.model["again"] >= dense_index.AGAIN
+    x = np.repeat(vectors()[:3], 300, axis=0)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    copies = DenseIndex(spark, str(tmp_path)).build(frame)
+    assert copies.model["again"] == dense_index.AGAIN
+    copies._save(copies.model | {"codebooks": [[[0.0] * len(w[0])] * len(w) for w in copies.model["codebooks"]], "centroids": [[0.0] * 20] * 9})
+    behind = copies._measured(vectors()[2:3], 0.95, 10)
+    assert behind["again"] == 62  # ids 600 to 610, of which the first is the query itself
